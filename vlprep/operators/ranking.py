@@ -33,7 +33,8 @@ def int_buckets(df: DataFrame, order: str, n_buckets: int = INT_BUCKETS):
     The limits come from one pass over the order column. They only set the
     balance; whatever they are, positions derived from them are exact.
     """
-    shares = F.transform(F.sequence(F.lit(1), F.lit(n_buckets - 1)), lambda i: i / float(n_buckets))
+    # one literal, as thousands of them are slow to plan
+    shares = F.split(F.lit(",".join(str(i / n_buckets) for i in range(1, n_buckets))), ",").cast("array<double>")
     found = df.agg(F.percentile_approx(F.col(order).cast("double"), shares, 4 * n_buckets).alias("p")).first()["p"]
     limits = sorted(set(found or []))
     splits = [-float("inf"), *limits, float("inf")]
@@ -48,22 +49,19 @@ def int_buckets(df: DataFrame, order: str, n_buckets: int = INT_BUCKETS):
     return add
 
 
-def _with_starts(df: DataFrame, counted: DataFrame) -> DataFrame:
-    """Join each row with the start of its ``_bucket``; at most 65,536 buckets."""
-    starts = (
-        counted.groupBy("_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("_bucket", F.coalesce(F.sum("_n").over(W.orderBy("_bucket").rowsBetween(*_BEFORE)), F.lit(0)).alias("_start"))
-    )
-    return df.join(F.broadcast(starts), "_bucket")
+def _starts(counted: DataFrame) -> DataFrame:
+    """Start position of each ``_bucket``. One row per bucket meets here: 65,536 at most."""
+    before = F.sum("_n").over(W.orderBy("_bucket").rowsBetween(*_BEFORE))
+    return counted.select("_bucket", F.coalesce(before, F.lit(0)).alias("_start"))
 
 
-def exact_rank(df: DataFrame, order: str, out: str = "pos") -> DataFrame:
+def exact_rank(df: DataFrame, order: str, out: str = "pos", dear: bool = False) -> DataFrame:
     """Add the zero-based position of each row in the order of ``order``.
 
     ``order`` is unique: a hex key of :func:`hash_key`, or a whole number. The
-    bucket counts read ``order`` in a pass of their own; when computing ``df``
-    is dear, ``cut`` it first.
+    bucket counts read ``order`` in a pass of their own, which is cheap for
+    stored columns. Set ``dear`` when ``df`` is costly to compute: then the
+    counts come from the shuffled rows, and ``df`` is computed once.
     """
     kind = df.schema[order].dataType
     if isinstance(kind, T.StringType):
@@ -72,9 +70,20 @@ def exact_rank(df: DataFrame, order: str, out: str = "pos") -> DataFrame:
         bucketed = int_buckets(df, order)(df)
     else:
         raise ValueError(f"order column {order!r} must be a hash key or a whole number, is {kind.simpleString()}")
-    placed = _with_starts(bucketed, bucketed)
+    if dear:
+        bucketed = bucketed.filter(F.col("_bucket").isNotNull()).repartition("_bucket")
+        # reading every column makes both uses of the shuffle the same, so Spark does it once
+        counted = bucketed.groupBy("_bucket").agg(
+            F.count(F.lit(1)).alias("_n"), F.max(F.xxhash64(*df.columns)).alias("_seen")
+        ).filter(F.col("_seen").isNotNull())
+    else:
+        counted = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     here = F.row_number().over(W.partitionBy("_bucket").orderBy(order))
-    return placed.withColumn(out, (F.col("_start") + here - 1).cast("bigint")).drop("_bucket", "_start")
+    return (
+        bucketed.join(F.broadcast(_starts(counted)), "_bucket")
+        .withColumn(out, (F.col("_start") + here - 1).cast("bigint"))
+        .drop("_bucket", "_start")
+    )
 
 
 def rank_in_group(df: DataFrame, group: str, order: str, out: str = "pos", width: int | None = None) -> DataFrame:
@@ -114,12 +123,9 @@ def running_start(table: DataFrame, key: str, weight: str, out: str = "start") -
     """
     bucketed = table.withColumn("_bucket", _hash_bucket(key))
     totals = bucketed.groupBy("_bucket").agg(F.sum(weight).alias("_n"))
-    starts = totals.select(
-        "_bucket", F.coalesce(F.sum("_n").over(W.orderBy("_bucket").rowsBetween(*_BEFORE)), F.lit(0)).alias("_start")
-    )
     here = F.coalesce(F.sum(weight).over(W.partitionBy("_bucket").orderBy(key).rowsBetween(*_BEFORE)), F.lit(0))
     return (
-        bucketed.join(F.broadcast(starts), "_bucket")
+        bucketed.join(F.broadcast(_starts(totals)), "_bucket")
         .withColumn(out, (F.col("_start") + here).cast("bigint"))
         .drop("_bucket", "_start")
     )
@@ -139,8 +145,10 @@ def name_index(names: DataFrame, name: str, out: str) -> DataFrame:
         names.repartitionByRange(name).sortWithinPartitions(name).withColumn("_bucket", F.spark_partition_id())
     )
     here = F.row_number().over(W.partitionBy("_bucket").orderBy(name))
+    # Spark chooses the number of range partitions: as many as shuffle partitions
+    starts = _starts(ranged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")))
     return (
-        _with_starts(ranged, ranged)
+        ranged.join(F.broadcast(starts), "_bucket")
         .withColumn(out, (F.col("_start") + here - 1).cast("bigint"))
         .drop("_bucket", "_start")
     )
