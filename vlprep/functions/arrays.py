@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vlprep.config import IGNORE_LABEL, LENGTH_HIGH, LENGTH_LOW, PAD_ID, QUERY_POSITIONS, LabelRule
+from vlprep.functions.vectors import let
 
 
 def _fill(value: int, n: Column) -> Column:
@@ -57,21 +58,20 @@ def prefixed_ids(ids: Column, image_id: int, start_id: int, end_id: int,
 def cut_at_stop(ids: Column, attention_mask: Column, prompt_len: Column, stop_id: int) -> Column:
     """Generated row up to, not including, the first stop id after the prompt.
 
-    Rows without one end at their mask length.
+    A struct of ``answer_ids`` and ``finish_index``, the zero-based place of the
+    stop id. Rows without one end at their mask length, with a null index.
     """
-    n = seq_len(attention_mask)
-    answer = F.slice(ids, prompt_len.cast("int") + 1, F.greatest(n - prompt_len, F.lit(0)).cast("int"))
-    stop = F.array_position(answer, F.lit(stop_id).cast("int"))
-    keep = F.when(stop > 0, prompt_len + stop - 1).otherwise(n)
-    return F.slice(ids, 1, keep.cast("int"))
-
-
-def stop_index(ids: Column, attention_mask: Column, prompt_len: Column, stop_id: int) -> Column:
-    """Zero-based place of the first stop id after the prompt; null = unfinished."""
-    n = seq_len(attention_mask)
-    answer = F.slice(ids, prompt_len.cast("int") + 1, F.greatest(n - prompt_len, F.lit(0)).cast("int"))
-    stop = F.array_position(answer, F.lit(stop_id).cast("int"))
-    return F.when(stop > 0, prompt_len + stop - 1)
+
+    def cut(n: Column) -> Column:
+        answer = F.slice(ids, prompt_len.cast("int") + 1, F.greatest(n - prompt_len, F.lit(0)).cast("int"))
+        return let(F.array_position(answer, F.lit(stop_id).cast("int")), lambda at: kept(n, at))
+
+    def kept(n: Column, at: Column) -> Column:
+        finish = F.when(at > 0, prompt_len + at - 1).cast("bigint")
+        answer = F.slice(ids, F.lit(1), F.coalesce(finish, n).cast("int"))
+        return F.struct(answer.alias("answer_ids"), finish.alias("finish_index"))
+
+    return let(seq_len(attention_mask), cut)
 
 
 def masked_sum(losses: Column, label_ids: Column) -> Column:

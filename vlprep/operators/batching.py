@@ -11,19 +11,18 @@ from vlprep.functions import arrays
 from vlprep.operators.ranking import exact_rank
 
 
-def assign_batches(df: DataFrame, order: str, size: int, drop_last: bool = False, dear: bool = False) -> DataFrame:
+def assign_batches(df: DataFrame, order: str, size: int, drop_last: bool = False, dear: bool = False,
+                   like: DataFrame | None = None) -> DataFrame:
     """Add ``batch_id`` and ``pos`` (place in the batch), batches of ``size`` rows in order of ``order``.
 
-    ``drop_last`` leaves out the rows of an incomplete last batch. ``dear``: see :func:`exact_rank`.
+    ``drop_last`` leaves out the rows of an incomplete last batch. ``dear`` and ``like``: see :func:`exact_rank`.
     """
-    ranked = exact_rank(df, order, "_place", dear)
+    ranked = exact_rank(df, order, "_place", dear, like, total="_rows")
     if drop_last:
-        # every place of a full batch is below the first one of the open batch
-        total = ranked.agg(F.count(F.lit(1))).scalar() if dear else df.agg(F.count(F.lit(1))).scalar()
-        ranked = ranked.filter(F.col("_place") < total - total % size)
+        ranked = ranked.filter(F.col("_place") < F.col("_rows") - F.col("_rows") % size)
     return ranked.withColumns(
         {"batch_id": F.expr(f"_place div {int(size)}"), "pos": F.col("_place") % size}
-    ).drop("_place")
+    ).drop("_place", "_rows")
 
 
 def pad_batch(df: DataFrame, ids: str = "ids", batch: str | list[str] = "batch_id", pad_id: int = PAD_ID) -> DataFrame:

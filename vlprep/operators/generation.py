@@ -18,8 +18,10 @@ ROWS_PER_STEP = 256
 
 def truncate_generation(df: DataFrame, ids: str, attention_mask: str, prompt_len: str, stop_id: int, out: str = "answer_ids") -> DataFrame:
     """Add the row cut before its first stop id, and ``finish_index`` (null = unfinished)."""
-    args = (F.col(ids), F.col(attention_mask), F.col(prompt_len), stop_id)
-    return df.withColumns({out: arrays.cut_at_stop(*args), "finish_index": arrays.stop_index(*args)})
+    cut = arrays.cut_at_stop(F.col(ids), F.col(attention_mask), F.col(prompt_len), stop_id)
+    return df.withColumn("_cut", cut).select(
+        "*", F.col("_cut.answer_ids").alias(out), F.col("_cut.finish_index").alias("finish_index")
+    ).drop("_cut")
 
 
 def _uniform(seed, row_id, step: int) -> float:

@@ -154,17 +154,26 @@ def patchify(df: DataFrame, row_id: str, patch: int = PATCH_SIZE, pixels: str =
     """
     kind = df.schema[row_id].dataType.simpleString()
 
+    def squares(values, h: int, w: int) -> np.ndarray:
+        if h % patch or w % patch:
+            raise ValueError(f"image sides {h}x{w} are not multiples of {patch}")
+        grid = np.asarray(values, dtype=np.float32).reshape(channels, h // patch, patch, w // patch, patch)
+        return grid.transpose(1, 3, 0, 2, 4).reshape(-1, channels * patch * patch)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for key, values, h, w in zip(pdf[row_id], pdf[pixels], pdf[height], pdf[width]):
-                if values is None:
-                    continue
-                h, w = int(h), int(w)
-                if h % patch or w % patch:
-                    raise ValueError(f"image sides {h}x{w} are not multiples of {patch}")
-                grid = np.asarray(values, dtype=np.float32).reshape(channels, h // patch, patch, w // patch, patch)
-                flat = grid.transpose(1, 3, 0, 2, 4).reshape(-1, channels * patch * patch)
-                yield pd.DataFrame({row_id: key, "patch": np.arange(len(flat)), "values": list(flat)})
+            pdf = pdf[pdf[pixels].notna()]
+            for start in range(0, len(pdf), ROWS_PER_YIELD):
+                part = pdf.iloc[start : start + ROWS_PER_YIELD]
+                flat = [squares(v, int(h), int(w)) for v, h, w in zip(part[pixels], part[height], part[width])]
+                counts = [len(f) for f in flat]
+                yield pd.DataFrame(
+                    {
+                        row_id: np.repeat(part[row_id].to_numpy(), counts),
+                        "patch": np.concatenate([np.arange(n) for n in counts]),
+                        "values": [row for f in flat for row in f],
+                    }
+                )
 
     return df.select(row_id, pixels, height, width).mapInPandas(run, f"`{row_id}` {kind}, patch bigint, values array<float>")
 

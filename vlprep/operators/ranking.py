@@ -50,24 +50,28 @@ def int_buckets(df: DataFrame, order: str, n_buckets: int = INT_BUCKETS):
 
 
 def _starts(counted: DataFrame) -> DataFrame:
-    """Start position of each ``_bucket``. One row per bucket meets here: 65,536 at most."""
+    """Start position of each ``_bucket``, and the total. One row per bucket meets here: 65,536 at most."""
     before = F.sum("_n").over(W.orderBy("_bucket").rowsBetween(*_BEFORE))
-    return counted.select("_bucket", F.coalesce(before, F.lit(0)).alias("_start"))
+    total = F.sum("_n").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    return counted.select("_bucket", F.coalesce(before, F.lit(0)).alias("_start"), total.alias("_total"))
 
 
-def exact_rank(df: DataFrame, order: str, out: str = "pos", dear: bool = False) -> DataFrame:
+def exact_rank(df: DataFrame, order: str, out: str = "pos", dear: bool = False, like: DataFrame | None = None,
+               total: str | None = None) -> DataFrame:
     """Add the zero-based position of each row in the order of ``order``.
 
     ``order`` is unique: a hex key of :func:`hash_key`, or a whole number. The
     bucket counts read ``order`` in a pass of their own, which is cheap for
     stored columns. Set ``dear`` when ``df`` is costly to compute: then the
-    counts come from the shuffled rows, and ``df`` is computed once.
+    counts come from the shuffled rows, and ``df`` is computed once. ``like`` is
+    a stored table whose ``order`` column is spread alike; whole-number ranges
+    are then taken from it. ``total`` names a column for the number of rows.
     """
     kind = df.schema[order].dataType
     if isinstance(kind, T.StringType):
         bucketed = df.withColumn("_bucket", _hash_bucket(order))
     elif isinstance(kind, T.IntegralType):
-        bucketed = int_buckets(df, order)(df)
+        bucketed = int_buckets(like if like is not None else df, order)(df)
     else:
         raise ValueError(f"order column {order!r} must be a hash key or a whole number, is {kind.simpleString()}")
     if dear:
@@ -79,11 +83,12 @@ def exact_rank(df: DataFrame, order: str, out: str = "pos", dear: bool = False)
     else:
         counted = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     here = F.row_number().over(W.partitionBy("_bucket").orderBy(order))
-    return (
-        bucketed.join(F.broadcast(_starts(counted)), "_bucket")
-        .withColumn(out, (F.col("_start") + here - 1).cast("bigint"))
-        .drop("_bucket", "_start")
+    placed = bucketed.join(F.broadcast(_starts(counted)), "_bucket").withColumn(
+        out, (F.col("_start") + here - 1).cast("bigint")
     )
+    if total:
+        placed = placed.withColumn(total, F.col("_total"))
+    return placed.drop("_bucket", "_start", "_total")
 
 
 def rank_in_group(df: DataFrame, group: str, order: str, out: str = "pos", width: int | None = None) -> DataFrame:
@@ -127,7 +132,7 @@ def running_start(table: DataFrame, key: str, weight: str, out: str = "start") -
     return (
         bucketed.join(F.broadcast(_starts(totals)), "_bucket")
         .withColumn(out, (F.col("_start") + here).cast("bigint"))
-        .drop("_bucket", "_start")
+        .drop("_bucket", "_start", "_total")
     )
 
 
@@ -150,7 +155,7 @@ def name_index(names: DataFrame, name: str, out: str) -> DataFrame:
     return (
         ranged.join(F.broadcast(starts), "_bucket")
         .withColumn(out, (F.col("_start") + here - 1).cast("bigint"))
-        .drop("_bucket", "_start")
+        .drop("_bucket", "_start", "_total")
     )
 
 

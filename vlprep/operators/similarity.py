@@ -7,10 +7,9 @@ leave it, never the pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +19,40 @@ from vlprep.functions.vectors import l2_normalize
 BLOCK = 1024
 CLASS_LIMIT = 4096
 
+_TILE = pa.schema(
+    [("batch_id", pa.int64()), ("pos", pa.int64())]
+    + [(n, pa.float64()) for n in ("i_top", "i_sum", "t_top", "t_sum", "own", "best_score")]
+    + [("best", pa.int64())]
+)
+_BEST = pa.schema([("_id", pa.int64()), ("predicted", pa.int64()), ("score", pa.float64())])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of an Arrow list column without nulls, one per row."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    n, width = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(rows.reshape(-1)))
+
+
+def _by_row(column: pa.Array, compute) -> list[pa.Array]:
+    """Apply ``compute`` to the rows that are not null, and put nulls back in their places."""
+    present = column.drop_null()
+    places = pc.if_else(pc.is_valid(column), pc.cast(pc.cumulative_sum(pc.cast(pc.is_valid(column), pa.int64())), pa.int64()), None)
+    return [out.take(pc.subtract(places, 1)) for out in compute(present)]
+
+
+def _sides(rows: pa.Table, order: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Keys and vectors of both sides of a tile, each in order of its key."""
+    sides = []
+    for side in (0, 1):
+        part = rows.filter(pc.equal(rows["_side"], side)).sort_by(order)
+        vectors = part["_vec"].combine_chunks()
+        sides.append((part[order].to_numpy(), _matrix(vectors) if len(part) else np.zeros((0, 0))))
+    return sides
+
 
 def project(df: DataFrame, vector: str, weights, bias=None, out: str = "projected") -> DataFrame:
     """``W x + b`` for each vector; ``weights`` has one row per output dimension."""
@@ -27,12 +60,16 @@ def project(df: DataFrame, vector: str, weights, bias=None, out: str = "projecte
     b = np.zeros(w.shape[0]) if bias is None else np.asarray(bias, dtype=np.float64)
     shared = df.sparkSession.sparkContext.broadcast((w, b))
 
-    @F.pandas_udf("array<double>")
-    def apply(column: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def apply(column: pa.Array) -> pa.Array:
         weight, shift = shared.value
-        if not len(column):
-            return pd.Series([], dtype=object)
-        return pd.Series(list(np.stack(column.to_numpy()).astype(np.float64) @ weight.T + shift))
+
+        def product(present: pa.Array) -> list[pa.Array]:
+            if not len(present):
+                return [pa.array([], pa.list_(pa.float64()))]
+            return [_lists(_matrix(present) @ weight.T + shift)]
+
+        return _by_row(column, product)[0]
 
     return df.withColumn(out, apply(F.col(vector)))
 
@@ -76,37 +113,40 @@ def batch_pairs(df: DataFrame, image: str = "image_vec", text: str = "text_vec",
         " best_score double, best bigint"
     )
 
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        i = pdf[pdf["_side"] == 0].sort_values("_pos")
-        t = pdf[pdf["_side"] == 1].sort_values("_pos")
-        if not len(i) or not len(t):
-            return pd.DataFrame(columns=["batch_id", "pos", "i_top", "i_sum", "t_top", "t_sum", "own", "best_score", "best"])
-        z = np.stack(i["_vec"].to_numpy()) @ np.stack(t["_vec"].to_numpy()).T * scale
-        ipos, tpos = i["_pos"].to_numpy(), t["_pos"].to_numpy()
-        i_top, t_top = z.max(axis=1), z.max(axis=0)
-        at = z.argmax(axis=1)
-        batch_value = pdf["_batch"].iloc[0]
-        own = np.full(len(ipos), np.nan)  # reaches Spark as null
+    def tile(rows: pa.Table) -> pa.Table:
+        (ipos, left), (tpos, right) = _sides(rows, "_pos")
+        if not len(ipos) or not len(tpos):
+            return pa.table({n: [] for n in _TILE.names}, schema=_TILE)
+        z = left @ right.T * scale
+        i_top, t_top, at = z.max(axis=1), z.max(axis=0), z.argmax(axis=1)
+        own = np.full(len(ipos), np.nan)
         _, where_i, where_t = np.intersect1d(ipos, tpos, assume_unique=True, return_indices=True)
         own[where_i] = z[where_i, where_t]
-        rows = pd.DataFrame({
-            "batch_id": batch_value, "pos": ipos, "i_top": i_top,
-            "i_sum": np.exp(z - i_top[:, None]).sum(axis=1), "t_top": None, "t_sum": None,
-            "own": own, "best_score": i_top, "best": tpos[at],
-        })
-        cols = pd.DataFrame({
-            "batch_id": batch_value, "pos": tpos, "i_top": None, "i_sum": None, "t_top": t_top,
-            "t_sum": np.exp(z - t_top[None, :]).sum(axis=0), "own": None, "best_score": -np.inf, "best": -1,
-        })
-        return pd.concat([rows, cols], ignore_index=True)
-
-    tiles = images.unionByName(texts).groupBy("_batch", "_r", "_c").applyInPandas(tile, schema)
+        n, m = len(ipos), len(tpos)
+        image_only = lambda v: pa.array(np.concatenate([v, np.zeros(m, v.dtype)]), mask=np.arange(n + m) >= n)
+        text_only = lambda v: pa.array(np.concatenate([np.zeros(n, v.dtype), v]), mask=np.arange(n + m) < n)
+        return pa.table(
+            [
+                pa.array(np.full(n + m, rows["_batch"][0].as_py())),
+                pa.array(np.concatenate([ipos, tpos])),
+                image_only(i_top),
+                image_only(np.exp(z - i_top[:, None]).sum(axis=1)),
+                text_only(t_top),
+                text_only(np.exp(z - t_top[None, :]).sum(axis=0)),
+                pc.if_else(pc.is_nan(image_only(own)), None, image_only(own)),
+                image_only(i_top),
+                image_only(tpos[at]),
+            ],
+            schema=_TILE,
+        )
+
+    tiles = images.unionByName(texts).groupBy("_batch", "_r", "_c").applyInArrow(tile, schema)
     part = lambda top, s: F.collect_list(F.when(F.col(top).isNotNull(), F.struct(F.col(top).alias("m"), F.col(s).alias("s"))))
     merged = tiles.groupBy("batch_id", "pos").agg(
         part("i_top", "i_sum").alias("_i"),
         part("t_top", "t_sum").alias("_t"),
         F.max("own").alias("own"),
-        F.max_by("best", F.struct("best_score", -F.col("best"))).alias("best"),
+        F.max_by("best", F.when(F.col("best").isNotNull(), F.struct("best_score", -F.col("best")))).alias("best"),
     )
 
     # one entry per tile: shift to the common maximum, add up
@@ -150,7 +190,7 @@ def class_vectors(df: DataFrame, vector: str = "embedding", label: str = "label"
 
 def zero_shot(images: DataFrame, classes: DataFrame, vector: str = "embedding", class_vec: str = "class_vec",
               label: str = "label", row_id: str | None = None, scaler: float = 1.0, block: int = BLOCK,
-              class_limit: int = CLASS_LIMIT) -> DataFrame:
+              class_block: int = BLOCK, class_limit: int = CLASS_LIMIT) -> DataFrame:
     """Add ``predicted`` and ``score``: the class whose vector scores highest, the lowest label on ties.
 
     Up to ``class_limit`` classes are shipped to the tasks and images are not
@@ -161,46 +201,48 @@ def zero_shot(images: DataFrame, classes: DataFrame, vector: str = "embedding",
     if len(rows) > class_limit:
         if row_id is None:
             raise ValueError(f"more than {class_limit} classes: zero_shot needs row_id")
-        return _zero_shot_blocks(images, classes, vector, class_vec, label, row_id, scaler, block)
+        return _zero_shot_blocks(images, classes, vector, class_vec, label, row_id, scaler, block, class_block)
     rows = rows.sort_values("label")
     if rows.empty:
         return images.withColumns({"predicted": F.lit(None).cast("bigint"), "score": F.lit(None).cast("double")})
     shared = images.sparkSession.sparkContext.broadcast((rows["label"].to_numpy(), np.stack(rows["v"].to_numpy())))
 
-    @F.pandas_udf("struct<predicted bigint, score double>")
-    def best(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<predicted bigint, score double>")
+    def best(column: pa.Array) -> pa.Array:
         names, matrix = shared.value
-        for column in batches:
-            if not len(column):
-                yield pd.DataFrame({"predicted": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-                continue
-            z = np.stack(column.to_numpy()).astype(np.float64) @ matrix.T * scaler
-            at = z.argmax(axis=1)
-            yield pd.DataFrame({"predicted": names[at], "score": z[np.arange(len(z)), at]})
+
+        def highest(present: pa.Array) -> list[pa.Array]:
+            z = _matrix(present) @ matrix.T * scaler if len(present) else np.zeros((0, len(names)))
+            return [pa.array(names[z.argmax(axis=1)], pa.int64()), pa.array(z.max(axis=1), pa.float64())]
+
+        predicted, score = _by_row(column, highest)
+        return pa.StructArray.from_arrays([predicted, score], names=["predicted", "score"])
 
     return images.withColumn("_best", best(F.col(vector))).select("*", "_best.predicted", "_best.score").drop("_best")
 
 
-def _zero_shot_blocks(images, classes, vector, class_vec, label, row_id, scaler, block):
+def _zero_shot_blocks(images, classes, vector, class_vec, label, row_id, scaler, block, class_block):
     n_classes, n_images = classes.count(), images.count()
-    c_blocks, i_blocks = -(-n_classes // block), max(1, -(-n_images // block))
+    c_blocks, i_blocks = -(-n_classes // class_block), max(1, -(-n_images // block))
     numbered = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = images.select(F.lit(0).alias("_side"), F.col(row_id).cast("bigint").alias("_id"),
-                         F.col(vector).cast("array<double>").alias("_vec"), numbered(row_id, i_blocks).alias("_i"), all_of(c_blocks).alias("_c"))
-    right = classes.select(F.lit(1).alias("_side"), F.col(label).cast("bigint").alias("_id"),
-                           F.col(class_vec).cast("array<double>").alias("_vec"), all_of(i_blocks).alias("_i"), numbered(label, c_blocks).alias("_c"))
-
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, c = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1].sort_values("_id")
-        if not len(i) or not len(c):
-            return pd.DataFrame({"_id": [], "predicted": [], "score": []}).astype({"_id": "int64", "predicted": "int64"})
-        z = np.stack(i["_vec"].to_numpy()) @ np.stack(c["_vec"].to_numpy()).T * scaler
-        at = z.argmax(axis=1)
-        return pd.DataFrame({"_id": i["_id"].to_numpy(), "predicted": c["_id"].to_numpy()[at], "score": z[np.arange(len(z)), at]})
-
-    tiles = left.unionByName(right).groupBy("_i", "_c").applyInPandas(tile, "_id bigint, predicted bigint, score double")
+    vec = lambda c: F.col(c).cast("array<double>").alias("_vec")
+    left = images.filter(F.col(vector).isNotNull()).select(
+        F.lit(0).alias("_side"), F.col(row_id).cast("bigint").alias("_id"), vec(vector), numbered(row_id, i_blocks).alias("_i"), all_of(c_blocks).alias("_c")
+    )
+    right = classes.select(
+        F.lit(1).alias("_side"), F.col(label).cast("bigint").alias("_id"), vec(class_vec), all_of(i_blocks).alias("_i"), numbered(label, c_blocks).alias("_c")
+    )
+
+    def tile(rows: pa.Table) -> pa.Table:
+        (ids, left), (labels, right) = _sides(rows, "_id")
+        if not len(ids) or not len(labels):
+            return pa.table({n: [] for n in _BEST.names}, schema=_BEST)
+        z = left @ right.T * scaler
+        return pa.table([pa.array(ids), pa.array(labels[z.argmax(axis=1)]), pa.array(z.max(axis=1))], schema=_BEST)
+
+    tiles = left.unionByName(right).groupBy("_i", "_c").applyInArrow(tile, "_id bigint, predicted bigint, score double")
     best = tiles.groupBy("_id").agg(
         F.max_by("predicted", F.struct(F.col("score"), -F.col("predicted"))).alias("predicted"), F.max("score").alias("score")
     )
-    return images.join(best.withColumnRenamed("_id", row_id), row_id)
+    return images.join(best.withColumnRenamed("_id", row_id), row_id, "left")

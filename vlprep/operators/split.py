@@ -16,17 +16,16 @@ _PPM = 1_000_000
 def positional_split(df: DataFrame, row_id: str, val: int = VALIDATION_ROWS, test_div: int = TEST_DIVISOR, seed=0) -> DataFrame:
     """Add ``split``: the first ``val`` rows by id, then a seeded shuffle of the rest cut 1 : ``test_div``-1.
 
-    Of the ``m`` shuffled rows the first ``m div test_div`` are ``test``.
+    Of the ``m`` shuffled rows the first ``m div test_div`` are ``test``. Ids are
+    ranked alone and the rows move once; ``cut`` a ``df`` that is costly to compute.
     """
     ranked = exact_rank(df.select(row_id), row_id, "_place")
     rest = ranked.filter(F.col("_place") >= val).withColumn("_key", hash_key(seed, row_id))
-    m = F.greatest(df.agg(F.count(F.lit(1))).scalar() - F.lit(val), F.lit(0))
-    shuffled = exact_rank(rest, "_key", "_order").select(
-        row_id, F.when(F.col("_order") < F.floor(m / test_div), "test").otherwise("train").alias("_split")
+    shuffled = exact_rank(rest, "_key", "_order", total="_m").select(
+        row_id, F.when(F.col("_order") < F.expr(f"_m div {int(test_div)}"), "test").otherwise("train").alias("split")
     )
-    first = ranked.filter(F.col("_place") < val).select(row_id, F.lit("val").alias("_split"))
-    # only ids were ranked; the rows themselves move once
-    return df.join(first.unionByName(shuffled), row_id).withColumnRenamed("_split", "split")
+    first = ranked.filter(F.col("_place") < val).select(row_id, F.lit("val").alias("split"))
+    return df.join(first.unionByName(shuffled), row_id)
 
 
 def head_rows(df: DataFrame, order: str, n: int) -> DataFrame:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 from vlprep.config import BROADCAST_ROWS, IMAGE_PROMPTS, SYSTEM_PROMPT, WORD_PATTERN
 from vlprep.functions.text import has_text, message, pick_prompt, render_chat, system_message, words
 from vlprep.operators.filters import filter_captions
+from vlprep.session import fits
 
 
 def build_vocab(df: DataFrame, text: str, size: int, pattern: str = WORD_PATTERN) -> DataFrame:
@@ -52,12 +56,21 @@ def encode(df: DataFrame, tokens: str, vocab: DataFrame, unknown_id: int, row_id
 
 
 def _encode_lookup(df: DataFrame, tokens: str, rows: pd.DataFrame, unknown_id: int, out: str) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(dict(zip(rows["word"], rows["token_id"].astype(int))))
+    shared = df.sparkSession.sparkContext.broadcast(
+        (rows["word"].tolist(), np.append(rows["token_id"].to_numpy(dtype="int32"), np.int32(unknown_id)))
+    )
 
-    @F.pandas_udf("array<int>")
-    def ids(column: pd.Series) -> pd.Series:
-        table = shared.value
-        return column.map(lambda ws: None if ws is None else [table.get(w, unknown_id) for w in ws])
+    @F.arrow_udf("array<int>")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known, numbers = shared.value
+        vocabulary = pa.array(known, pa.string())
+        for column in batches:
+            found = pc.index_in(column.flatten(), value_set=vocabulary)
+            # a word not found takes the last number
+            places = pc.fill_null(found, len(known)).to_numpy(zero_copy_only=False)
+            lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
+            yield pa.ListArray.from_arrays(offsets, pa.array(numbers[places]), mask=pc.is_null(column))
 
     return df.withColumn(out, ids(F.col(tokens)))
 
@@ -65,20 +78,18 @@ def _encode_lookup(df: DataFrame, tokens: str, rows: pd.DataFrame, unknown_id: i
 def _encode_join(df: DataFrame, tokens: str, vocab: DataFrame, unknown_id: int, row_id: str, out: str) -> DataFrame:
     # Ids follow frequency, so the hot words are the lowest ids: those are
     # broadcast, and what is left for the shuffle join has no hot key.
-    head = vocab.filter(F.col("token_id") < BROADCAST_ROWS).select("word", F.col("token_id").alias("_head"))
-    tail = vocab.filter(F.col("token_id") >= BROADCAST_ROWS).select("word", F.col("token_id").alias("_tail"))
+    head = vocab.filter(F.col("token_id") < BROADCAST_ROWS).select("word", F.col("token_id").alias("_id"))
     each = df.select(row_id, F.posexplode(tokens).alias("_at", "word")).join(F.broadcast(head), "word", "left")
-    hit = each.filter(F.col("_head").isNotNull()).select(row_id, "_at", F.col("_head").alias("_id"))
-    # unknown hot words must not meet in one task either: one lookup per distinct word and row
-    rest = each.filter(F.col("_head").isNull()).groupBy("word", row_id).agg(F.collect_list("_at").alias("_ats"))
-    miss = rest.join(tail, "word", "left").select(
-        row_id, F.explode("_ats").alias("_at"), F.coalesce("_tail", F.lit(unknown_id).cast("bigint")).alias("_id")
-    )
+    if not fits(vocab):
+        tail = vocab.filter(F.col("token_id") >= BROADCAST_ROWS).select("word", F.col("token_id").alias("_tail"))
+        # unknown words may be hot too: one lookup per distinct word and row
+        rest = each.filter(F.col("_id").isNull()).groupBy("word", row_id).agg(F.collect_list("_at").alias("_ats"))
+        miss = rest.join(tail, "word", "left").select(row_id, F.explode("_ats").alias("_at"), F.col("_tail").alias("_id"))
+        each = each.filter(F.col("_id").isNotNull()).select(row_id, "_at", "_id").unionByName(miss)
     lists = (
-        hit.unionByName(miss)
-        .groupBy(row_id)
-        .agg(F.sort_array(F.collect_list(F.struct("_at", "_id"))).alias("_list"))
-        .select(row_id, F.transform("_list", lambda x: x["_id"].cast("int")).alias(out))
+        each.groupBy(row_id)
+        .agg(F.sort_array(F.collect_list(F.struct("_at", F.coalesce("_id", F.lit(unknown_id)).cast("int").alias("_id")))).alias("_list"))
+        .select(row_id, F.col("_list._id").alias(out))
     )
     empty = F.when(F.col(tokens).isNotNull(), F.array().cast("array<int>"))
     return df.join(lists, row_id, "left").withColumn(out, F.coalesce(F.col(out), empty))

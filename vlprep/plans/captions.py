@@ -11,7 +11,6 @@ from vlprep.functions.text import hash_ids, with_end, words
 from vlprep.operators.batching import assign_batches, make_labels, pad_batch
 from vlprep.operators.filters import filter_captions
 from vlprep.operators.tokens import caption_samples
-from vlprep.session import cut
 
 RESERVED = 2  # ids 0 (pad) and 1 (end of text)
 END_ID = 1
@@ -24,15 +23,10 @@ def contrastive_rows(df: DataFrame, row_id: str, text: str, vocab_size: int, pat
 
 
 def contrastive_batches(df: DataFrame, row_id: str, text: str, size: int, seed, vocab_size: int = 50_000,
-                        drop_last: bool = False, written: bool = False) -> DataFrame:
-    """Shuffled, numbered batches of caption ids, not padded yet.
-
-    With ``written`` the filtered rows are written once and reread; otherwise the
-    texts are read twice, once for the bucket counts and once for the rows.
-    """
+                        drop_last: bool = False) -> DataFrame:
+    """Shuffled, numbered batches of caption ids, not padded yet. Texts are read once."""
     rows = contrastive_rows(df, row_id, text, vocab_size).withColumn("shuffle_key", hash_key(seed, row_id))
-    rows = cut(rows) if written else rows
-    return assign_batches(rows, "shuffle_key", size, drop_last)
+    return assign_batches(rows, "shuffle_key", size, drop_last, dear=True)
 
 
 def captioning_batches(df: DataFrame, row_id: str, text: str, size: int, seed, rule: LabelRule, vocab_size: int = 50_000) -> DataFrame:
@@ -44,4 +38,4 @@ def captioning_batches(df: DataFrame, row_id: str, text: str, size: int, seed, r
         F.size("prompt_tokens").cast("bigint").alias("prompt_len"),
         hash_key(seed, row_id).alias("shuffle_key"),
     )
-    return make_labels(pad_batch(assign_batches(rows, "shuffle_key", size)), rule)
+    return make_labels(pad_batch(assign_batches(rows, "shuffle_key", size, dear=True)), rule)

@@ -12,6 +12,7 @@ from vlprep.operators.batching import assign_batches, make_labels, pad_batch
 from vlprep.operators.dialogue import dialogue_samples, opening_prompts
 from vlprep.operators.split import positional_split
 from vlprep.plans.captions import RESERVED
+from vlprep.session import cut
 
 
 def dialogue_rows(turns: DataFrame, images: DataFrame | None = None, vocab_size: int = 50_000,
@@ -29,10 +30,13 @@ def dialogue_batches(turns: DataFrame, size: int, rule: LabelRule, images: DataF
                      **options) -> DataFrame:
     """Padded and labelled batches of dialogues, in order of ``conv_id``."""
     rows = dialogue_rows(turns, images, **options)
-    return make_labels(pad_batch(assign_batches(rows, order, size)), rule)
+    return make_labels(pad_batch(assign_batches(rows, order, size, dear=True, like=turns)), rule)
 
 
 def finetune_rows(turns: DataFrame, images: DataFrame, seed, val: int = VALIDATION_ROWS, test_div: int = TEST_DIVISOR, **options) -> DataFrame:
-    """Dialogue rows with their split and the shuffle key of a first epoch."""
-    rows = dialogue_rows(turns, images, **options)
+    """Dialogue rows with their split and the shuffle key of a first epoch.
+
+    The split ranks the rows twice, so they are written once and reread.
+    """
+    rows = cut(dialogue_rows(turns, images, **options))
     return positional_split(rows, "conv_id", val, test_div, seed).withColumn("shuffle_key", hash_key(seed, F.lit(0), "conv_id"))

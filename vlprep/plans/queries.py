@@ -688,7 +688,7 @@ def zero_shot(spark, sf):
 
 @query
 def zero_shot_blocks(spark, sf):
-    return _zero_shot(spark, sf, row_id="vec_id", class_limit=1, block=4)
+    return _zero_shot(spark, sf, row_id="vec_id", class_limit=1, block=256, class_block=4)
 
 
 @query

@@ -62,7 +62,11 @@ def stream_batches(source: DataFrame, folder: str, checkpoint: str, order: str,
     """Batches of ``size`` rows over the whole stream; a batch may span micro-batches."""
 
     def step(rows: DataFrame, epoch: int) -> None:
-        append_batches(rows.sparkSession, rows, epoch, order, size, folder)
+        rows.persist()
+        try:
+            append_batches(rows.sparkSession, rows, epoch, order, size, folder)
+        finally:
+            rows.unpersist()
 
     return _start(source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint), trigger)
 
