@@ -74,18 +74,20 @@ def exact_rank(df: DataFrame, order: str, out: str = "pos", dear: bool = False,
         bucketed = int_buckets(like if like is not None else df, order)(df)
     else:
         raise ValueError(f"order column {order!r} must be a hash key or a whole number, is {kind.simpleString()}")
+    one = F.lit(1)
     if dear:
         bucketed = bucketed.filter(F.col("_bucket").isNotNull()).repartition("_bucket")
-        # reading every column makes both uses of the shuffle the same, so Spark does it once
-        counted = bucketed.groupBy("_bucket").agg(
-            F.count(F.lit(1)).alias("_n"), F.max(F.xxhash64(*df.columns)).alias("_seen")
-        ).filter(F.col("_seen").isNotNull())
-    else:
-        counted = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+        # Buckets and places are never negative, so the hash is never computed. Naming
+        # every column here and below keeps both uses of the shuffle the same, and
+        # Spark then runs it once.
+        one = F.when(F.col("_bucket") >= 0, 1).otherwise(F.xxhash64(*df.columns))
+    counted = bucketed.groupBy("_bucket").agg(F.sum(one).alias("_n"))
     here = F.row_number().over(W.partitionBy("_bucket").orderBy(order))
     placed = bucketed.join(F.broadcast(_starts(counted)), "_bucket").withColumn(
         out, (F.col("_start") + here - 1).cast("bigint")
     )
+    if dear:
+        placed = placed.filter((F.col(out) >= 0) | (F.xxhash64(*df.columns) == 0))
     if total:
         placed = placed.withColumn(total, F.col("_total"))
     return placed.drop("_bucket", "_start", "_total")
