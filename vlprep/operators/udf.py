@@ -39,9 +39,7 @@ def where_fn(df: DataFrame, predicate: Callable | Column, *columns: str) -> Data
     def test(*series: pd.Series) -> pd.Series:
         return predicate(*series)
 
-    from pyspark.sql.pandas.functions import PandasUDFType
-
-    return df.filter(F.pandas_udf(test, "boolean", PandasUDFType.SCALAR)(*[F.col(c) for c in columns]))
+    return df.filter(F.pandas_udf(test, "boolean")(*[F.col(c) for c in columns]))
 
 
 def embed_table(df: DataFrame, loader: Callable[[], Callable], columns: list[str], keep: list[str], out: str = "embedding") -> DataFrame:

@@ -36,6 +36,8 @@ TEXT_MEMBERS = ("json", "txt", "cls")
 SPLIT_BYTES = 512 << 20
 ROWS_PER_ARROW_BATCH = 256
 BYTES_PER_ARROW_BATCH = 32 << 20
+LONG_NAMES = (tarfile.GNUTYPE_LONGNAME, tarfile.GNUTYPE_LONGLINK, tarfile.XHDTYPE, tarfile.XGLTYPE)
+LONG_NAME_BLOCKS = 32
 
 
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -98,7 +100,7 @@ def _members(handle, offset: int, total: int) -> Iterator[tuple[int, str, int, i
         if len(block) < BLOCK:
             raise tarfile.ReadError("shard ends inside a header")
         info = _header(block)
-        if offset + BLOCK + info.size > total:
+        if offset + _step(info) > total:
             raise tarfile.ReadError("shard ends inside a member")
         if info.type in (tarfile.GNUTYPE_LONGNAME, tarfile.XHDTYPE):
             data = handle.read(info.size)
@@ -140,6 +142,19 @@ def _first_header(handle, start: int, size: int) -> int | None:
     return None
 
 
+def _named_from(handle, offset: int) -> int:
+    """Where the member of a header begins: at the long name in front of it, if there is one."""
+    for back in range(1, LONG_NAME_BLOCKS + 1):
+        before = offset - back * BLOCK
+        if before < 0:
+            break
+        handle.seek(before)
+        block = handle.read(BLOCK)
+        if _is_header(block) and _header(block).type in LONG_NAMES and before + _step(_header(block)) == offset:
+            return _named_from(handle, before)
+    return offset
+
+
 def _split_name(name: str) -> tuple[str, str]:
     folder, slash, last = name.rpartition("/")
     stem, _, extension = last.partition(".")
@@ -155,27 +170,37 @@ def _samples(handle, part: ShardRange, size: int, columns: list[str]) -> Iterato
     offset = 0 if whole_start else _first_header(handle, part.start, size)
     if offset is None or offset >= part.end:
         return
+    offset = offset if whole_start else _named_from(handle, offset)
     foreign, skipping = None, not whole_start
     key, sample, last = None, {}, False
-    for start, name, data, length in _members(handle, offset, size):
-        this, extension = _split_name(name)
-        if skipping:
-            foreign = this if foreign is None else foreign
-            if this == foreign and start < part.end:
+    try:
+        for start, name, data, length in _members(handle, offset, size):
+            if start < part.start:
                 continue
-            if this == foreign:
-                return
-            skipping = False
-        if this != key:
-            if key is not None:
-                yield key, sample
-            if last:
-                return
-            key, sample = this, {}
-        last = last or start >= part.end
-        if extension in columns:
-            handle.seek(data)
-            sample[extension] = handle.read(length)
+            this, extension = _split_name(name)
+            if skipping:
+                foreign = this if foreign is None else foreign
+                if this == foreign and start < part.end:
+                    continue
+                if this == foreign:
+                    return
+                skipping = False
+            if this != key:
+                if key is not None:
+                    yield key, sample
+                if last:
+                    key = None
+                    return
+                key, sample = this, {}
+            last = last or start >= part.end
+            if extension in columns:
+                handle.seek(data)
+                sample[extension] = handle.read(length)
+    except tarfile.TarError:
+        # what was read before the damage counts
+        if key is not None:
+            yield key, sample
+        raise
     if key is not None:
         yield key, sample
 
