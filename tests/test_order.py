@@ -39,6 +39,13 @@ def test_clustered_integers_fill_many_buckets(spark):
     assert largest < 1000
 
 
+def test_more_ranges_for_more_rows(spark):
+    df = spark.range(30_000).select((F.col("id") * F.col("id")).alias("id"))
+    counts = [ranking.int_buckets(df, "id", 16, r)(df).groupBy("_bucket").count() for r in (10**6, 100)]
+    assert counts[0].count() == 16 and 200 < counts[1].count() <= 16 * 19
+    assert counts[1].agg(F.max("count")).first()[0] < 1000
+
+
 def test_dear_rank_computes_its_input_once(spark):
     seen = spark.sparkContext.accumulator(0)
 

@@ -81,7 +81,7 @@ def test_no_shards(spark, tmp_path):
 
 
 @pytest.mark.parametrize("split_bytes", [512, 1000, 4096, 10_000, 1 << 20, 0])
-@pytest.mark.parametrize("format", [tarfile.PAX_FORMAT, tarfile.GNU_FORMAT])
+@pytest.mark.parametrize("format", [tarfile.PAX_FORMAT, tarfile.GNU_FORMAT, "old"])
 def test_split_shards_give_every_sample_once(tmp_path, split_bytes, format):
     rng = np.random.default_rng(split_bytes)
     samples = []
@@ -91,7 +91,23 @@ def test_split_shards_give_every_sample_once(tmp_path, split_bytes, format):
         if i % 4 == 0:
             members["txt"] = b"x" * int(rng.integers(0, 3000))
         samples.append((key, members))
-    write_tar(tmp_path / "x.tar", samples, format)
+    if format == "old":
+        # the first tar format has no mark in its headers
+        samples = [(k[-5:], m) for k, m in samples]
+        write_tar(tmp_path / "x.tar", samples, tarfile.USTAR_FORMAT)
+        data = bytearray((tmp_path / "x.tar").read_bytes())
+        at = 0
+        while data[at]:
+            head = data[at : at + 512]
+            size = int(head[124:135], 8)
+            head[257:512] = bytes(255)
+            head[148:156] = b" " * 8
+            head[148:156] = b"%06o\0 " % sum(head)
+            data[at : at + 512] = head
+            at += 512 + -(-size // 512) * 512
+        (tmp_path / "x.tar").write_bytes(bytes(data))
+    else:
+        write_tar(tmp_path / "x.tar", samples, format)
     options = {"path": str(tmp_path / "x.tar"), "split_bytes": str(split_bytes), "on_error": "fail", "columns": "jpg,json,txt"}
     reader = tarshards.TarShardReader(options, tarshards.TarShards(options).schema())
     parts = reader.partitions()
@@ -158,6 +174,18 @@ def test_split_layout_reads_one_file_in_many_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+@pytest.mark.parametrize("text", [
+    '[{"topic": 1, "image_id": 1, "conversations": []}, {"topic": 1, "image_id": 2, "conversations": []}]',
+    '[{"image_id": 1, "conversations": [{"topic": "image_id", "content": []}]}]',
+    '[{"image_id": 1, "conversations": [',
+    '[{"conversations": []}]',
+])
+def test_split_layout_fails_rather_than_losing_documents(spark, tmp_path, text):
+    (tmp_path / "d.json").write_text(text)
+    with pytest.raises(Exception):
+        tables.read_dialogues(spark, str(tmp_path), "split").collect()
+
+
 def test_dialogue_lines_roundtrip_and_bad_documents(spark, tmp_path):
     df = spark.createDataFrame(DOCS, tables.DIALOGUE)
     tables.write_dialogue_lines(df, f"{tmp_path}/lines")

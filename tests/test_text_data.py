@@ -23,6 +23,17 @@ def test_caption_window_over_long_text_is_exact(spark):
     assert [r.id for r in filters.filter_captions(df, "text", True).collect()] == [2]
 
 
+@pytest.mark.parametrize("high", [128, 5000])
+def test_word_windows_by_match_and_by_count_agree(spark, sf, high):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(
+        spark.createDataFrame([(-1, ""), (-2, " \t\n"), (-3, " a"), (-4, "a "), (-5, " a\r\n b "), (-6, "a\u00a0b c")], "doc_id bigint, text string")
+    )
+    t = F.col("text")
+    for low in (-1, 0, 1, 2, 40):
+        odd = docs.filter(text.words_between(t, low, high) != ((text.count_words(t) > low) & (text.count_words(t) < high)))
+        assert odd.count() == 0
+
+
 def test_required_members(spark):
     df = spark.createDataFrame([(1, "a", None), (2, "b", "c")], "id int, jpg string, json string")
     assert [r.json for r in filters.to_columns(df, ["jpg", "json"]).collect()] == ["c"]

@@ -15,8 +15,11 @@ from vlprep.config import (
     SYSTEM_PROMPT,
     WORD_PATTERN,
 )
+from vlprep.functions.arrays import length_between
 from vlprep.functions.keys import hash_key, key_choice, key_number
 
+MATCH_LIMIT = 1024  # repetitions a match nests
+
 
 def words(text: Column, pattern: str = WORD_PATTERN) -> Column:
     """All matches of ``pattern`` in the whole text."""
@@ -27,6 +30,24 @@ def count_words(text: Column, pattern: str = WORD_PATTERN) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def at_least_words(text: Column, n: int) -> Column:
+    """Whether a text has ``n`` white-space separated words or more; reading stops at the ``n``-th."""
+    if n <= 0:
+        return F.lit(True)
+    return text.rlike(rf"^\s*+(?:\S++\s++){{{n - 1}}}\S")
+
+
+def words_between(text: Column, low: int, high: int, pattern: str = WORD_PATTERN) -> Column:
+    """``low < number of words < high``.
+
+    For plain words a match decides, which ends as soon as the limit is passed;
+    other patterns are counted.
+    """
+    if pattern == WORD_PATTERN and high <= MATCH_LIMIT:
+        return at_least_words(text, low + 1) & ~at_least_words(text, high)
+    return length_between(count_words(text, pattern), low, high)
+
+
 def has_text(text: Column) -> Column:
     """Not null and not empty. White space alone counts as text."""
     return text.isNotNull() & (text != "")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vlprep.config import LENGTH_HIGH, LENGTH_LOW, WORD_PATTERN
 from vlprep.functions.arrays import length_between
-from vlprep.functions.text import count_words, has_text
+from vlprep.functions.text import has_text, words_between
 
 
 def to_columns(df: DataFrame, members: list[str], missing: str = "drop") -> DataFrame:
@@ -41,9 +41,7 @@ def filter_captions(df: DataFrame, text: str, append_end: bool, pattern: str = W
     tokens at all and drop out; this needs no token ids, so it runs before any lookup.
     """
     extra = 1 if append_end else 0
-    return df.filter(has_text(F.col(text))).filter(
-        length_between(count_words(F.col(text), pattern) + extra, low, high)
-    )
+    return df.filter(has_text(F.col(text)) & words_between(F.col(text), low - extra, high - extra, pattern))
 
 
 def require_images(samples: DataFrame, images: DataFrame, key: str = "image_id") -> DataFrame:

@@ -8,6 +8,7 @@ its size is bounded by the number of buckets, not by the data.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -19,6 +20,7 @@ from vlprep.functions.keys import key_number
 HASH_DIGITS = 4
 HASH_BUCKETS = 16**HASH_DIGITS
 INT_BUCKETS = 4096
+ROWS_PER_BUCKET = 250_000
 
 _BEFORE = (W.unboundedPreceding, -1)
 
@@ -27,17 +29,22 @@ def _hash_bucket(key: str) -> Column:
     return key_number(F.col(key), HASH_DIGITS).cast("int")
 
 
-def int_buckets(df: DataFrame, order: str, n_buckets: int = INT_BUCKETS):
+def int_buckets(df: DataFrame, order: str, n_buckets: int = INT_BUCKETS, rows_per_bucket: int = ROWS_PER_BUCKET):
     """Function adding column ``_bucket``: about equally full ranges of a whole number.
 
     The limits come from one pass over the order column. They only set the
-    balance; whatever they are, positions derived from them are exact.
+    balance; whatever they are, positions derived from them are exact. Ranges
+    over ``rows_per_bucket`` rows are cut evenly, up to 65,536 ranges in all.
     """
     # one literal, as thousands of them are slow to plan
-    shares = F.split(F.lit(",".join(str(i / n_buckets) for i in range(1, n_buckets))), ",").cast("array<double>")
-    found = df.agg(F.percentile_approx(F.col(order).cast("double"), shares, 4 * n_buckets).alias("p")).first()["p"]
-    limits = sorted(set(found or []))
-    splits = [-float("inf"), *limits, float("inf")]
+    shares = F.split(F.lit(",".join(str(i / n_buckets) for i in range(n_buckets + 1))), ",").cast("array<double>")
+    value = F.col(order).cast("double")
+    found = df.agg(F.count(order).alias("n"), F.percentile_approx(value, shares, 4 * n_buckets).alias("p")).first()
+    limits = np.unique(found["p"] or [])
+    parts = min(HASH_BUCKETS // n_buckets, -(-found["n"] // (n_buckets * rows_per_bucket)))
+    if parts > 1 and len(limits) > 1:
+        limits = np.unique(np.interp(np.arange((len(limits) - 1) * parts + 1) / parts, np.arange(len(limits)), limits))
+    splits = [-float("inf"), *limits.tolist()[1:], float("inf")]
     if len(splits) < 3:
         return lambda d: d.withColumn("_bucket", F.lit(0))
     cutter = Bucketizer(splits=splits, inputCol="_order", outputCol="_bucket")

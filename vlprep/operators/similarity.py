@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from vlprep.config import SCALER_MAX, TEMPERATURE_INIT
 from vlprep.functions.vectors import l2_normalize
 
-BLOCK = 1024
+BLOCK = 2048
 CLASS_LIMIT = 4096
 
 _TILE = pa.schema(
@@ -106,8 +106,8 @@ def batch_pairs(df: DataFrame, image: str = "image_vec", text: str = "text_vec",
     own_block = F.expr(f"cast(`{pos}` div {block} as int)")
     others = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
     columns = [F.col(batch).alias("_batch"), F.col(pos).cast("bigint").alias("_pos")]
-    images = df.select(*columns, F.lit(0).alias("_side"), F.col(image).cast("array<double>").alias("_vec"), own_block.alias("_r"), others.alias("_c"))
-    texts = df.select(*columns, F.lit(1).alias("_side"), F.col(text).cast("array<double>").alias("_vec"), others.alias("_r"), own_block.alias("_c"))
+    images = df.select(*columns, F.lit(0).alias("_side"), F.col(image).alias("_vec"), own_block.alias("_r"), others.alias("_c"))
+    texts = df.select(*columns, F.lit(1).alias("_side"), F.col(text).cast(df.schema[image].dataType).alias("_vec"), others.alias("_r"), own_block.alias("_c"))
     schema = (
         "batch_id bigint, pos bigint, i_top double, i_sum double, t_top double, t_sum double, own double,"
         " best_score double, best bigint"

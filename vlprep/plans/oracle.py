@@ -291,7 +291,7 @@ SELECT conv_id, CASE WHEN place < 10 THEN 'val' WHEN o < ((SELECT count(*) FROM
 t AS (SELECT conv_id, turn, regexp_replace(regexp_replace(body, '^\s+', ''), '\s+$', '') AS body FROM r),
 u AS (SELECT conv_id, turn, CASE WHEN body LIKE '<|im\_start|>%' ESCAPE '\' THEN substr(body, 13) ELSE body END AS body FROM t)
 SELECT conv_id, turn, md5(CASE WHEN suffix(body, '<|im_end|>') THEN left(body, length(body) - 10) ELSE body END) AS answer_md5 FROM u""",
-    "truncate_generation": f"""WITH r AS (SELECT doc_id, {ids('text', 50, 0)} AS ids FROM documents),
+    "truncate_generation": f"""WITH r AS (SELECT doc_id, list_transform({words('text')}, lambda w: length(w) % 12) AS ids FROM documents),
 s AS (SELECT doc_id, ids, least(4, len(ids)) AS p, list_position(ids[5:], 0) AS hit FROM r)
 SELECT doc_id, CASE WHEN hit > 0 THEN p + hit - 1 ELSE len(ids) END AS n_kept, CASE WHEN hit > 0 THEN p + hit - 1 END AS finish_index,
        {digest('ids[1:CASE WHEN hit > 0 THEN p + hit - 1 ELSE len(ids) END]')} AS answer_ids FROM s""",

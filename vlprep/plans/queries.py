@@ -533,7 +533,7 @@ def clean_response(spark, sf):
 
 @query
 def truncate_generation(spark, sf):
-    ids = text.hash_ids(text.words(F.col("text")), 50)
+    ids = F.transform(text.words(F.col("text")), lambda w: F.length(w) % 12)
     rows = table(spark, sf, "documents").select("doc_id", ids.alias("ids"))
     rows = rows.withColumns({"mask": arrays.mask(F.col("ids"), F.size("ids")), "prompt_len": F.least(F.lit(4), F.size("ids"))})
     out = generation.truncate_generation(rows, "ids", "mask", "prompt_len", stop_id=0)

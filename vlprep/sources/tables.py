@@ -40,27 +40,34 @@ def list_shards(spark: SparkSession, pattern: str) -> DataFrame:
     return name_index(table, "shard", "shard_idx")
 
 
-def read_dialogues(spark: SparkSession, path: str, layout: str = "array") -> DataFrame:
+def read_dialogues(spark: SparkSession, path: str, layout: str = "split") -> DataFrame:
     """Nested dialogue documents.
 
-    ``lines``: one document per line, splits freely. ``array``: files holding one
-    JSON array each, one task per file. ``split``: the same files read by many
-    tasks, cut where a document starts; every document must begin with its
-    ``image_id``. A document that does not parse ends the job.
+    ``split``: files holding one JSON array each, read by many tasks, cut where a
+    document starts; every document must begin with its ``image_id``, followed by
+    ``conversations``. ``array``: the same files without that condition, one task
+    per file. ``lines``: one document per line. What does not parse, or breaks
+    the condition, ends the job; nothing is left out.
     """
     if layout == "lines":
         return spark.read.schema(DIALOGUE).option("mode", "FAILFAST").json(path)
     if layout == "array":
         return spark.read.schema(DIALOGUE).option("multiLine", True).option("mode", "FAILFAST").json(path)
     if layout != "split":
-        raise ValueError(f"layout must be 'lines', 'array' or 'split', got {layout!r}")
-    pieces = spark.read.option("lineSep", _FIRST_KEY).text(path)
-    # what stands between two documents: closing brace, comma or bracket, opening brace
-    body = F.regexp_replace("value", r"\}\s*(,\s*\{|\])?\s*$", "}")
-    documents = pieces.filter(F.col("value").rlike(r"^\s*:")).select(
-        F.from_json(F.concat(F.lit("{" + _FIRST_KEY), body), DIALOGUE, {"mode": "FAILFAST"}).alias("d")
+        raise ValueError(f"layout must be 'split', 'array' or 'lines', got {layout!r}")
+    piece = F.col("value")
+    starts = piece.rlike(r'^\s*:\s*-?\d+\s*,\s*"conversations"\s*:')
+    before_first = piece.rlike(r"^\s*(\[\s*)?\{?\s*$")
+    failure = F.raise_error(F.concat(F.lit("not a document, read with layout='array': "), F.substring(piece, 1, 80)))
+    pieces = spark.read.option("lineSep", _FIRST_KEY).text(path).filter(
+        F.when(starts, True).when(before_first, False).otherwise(failure.cast("boolean"))
     )
-    return documents.select("d.*")
+    # what stands between two documents: closing brace, comma or bracket, opening brace
+    between = r"\}\s*(,\s*\{|\])?\s*$"
+    whole = F.when(piece.rlike(between), F.regexp_replace(piece, between, "}")).otherwise(failure.cast("string"))
+    return pieces.select(
+        F.from_json(F.concat(F.lit("{" + _FIRST_KEY), whole), DIALOGUE, {"mode": "FAILFAST"}).alias("d")
+    ).select("d.*")
 
 
 def write_dialogue_lines(df: DataFrame, path: str, mode: str = "error") -> None:

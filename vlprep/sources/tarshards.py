@@ -166,6 +166,13 @@ def _samples(handle, part: ShardRange, size: int, columns: list[str]) -> Iterato
     including the one the first member past its end belongs to. The range at the
     start of a shard keeps its first sample. So each sample has exactly one range.
     """
+    if part.start > 0 or part.end < size:
+        handle.seek(0)
+        if not _is_header(handle.read(BLOCK)):
+            # no marks to find members by: the first range takes the whole shard
+            if part.start > 0:
+                return
+            part = ShardRange(part.path, 0, size)
     whole_start = part.start == 0
     offset = 0 if whole_start else _first_header(handle, part.start, size)
     if offset is None or offset >= part.end:
@@ -219,14 +226,10 @@ class TarShardReader(DataSourceReader):
             raise ValueError(f"no shards match {self.pattern!r}")
         parts: list[InputPartition] = []
         for path, size in shards:
-            step = self.split_bytes if 0 < self.split_bytes < size and self._splittable(path) else max(size, 1)
+            step = self.split_bytes if 0 < self.split_bytes < size else max(size, 1)
             parts += [ShardRange(path, s, min(s + step, size)) for s in range(0, max(size, 1), step)]
         return parts
 
-    def _splittable(self, path: str) -> bool:
-        with _filesystem(self.pattern)[0].open_input_stream(path) as stream:
-            return _is_header(stream.read(BLOCK))
-
     def _row(self, path: str, key, sample: dict, error) -> dict:
         row = {"shard": path, "key": key, "error": error}
         for name in self.columns:
@@ -317,7 +320,7 @@ class TarShardWriter(DataSourceArrowWriter):
         done = [(m.folder, n) for m in messages if m is not None for n in m.names]
         names = [n for _, n in done]
         if len(set(names)) != len(names):
-            raise ValueError("a shard was written by two tasks: partition by range of shard_idx")
+            raise ValueError("a shard was written by two tasks: partition by shard_idx")
         old = {p for p, _ in find_shards(root)}
         clash = [n for n in names if f"{root}/{n}" in old]
         if clash and not self.overwrite:
@@ -404,7 +407,7 @@ def write_shards(df: DataFrame, path: str, order: str, rows_per_shard: int = 10_
     members = [c for c in df.columns if c != order or c == "key"]
     placed = exact_rank(df, order, "_place").withColumn("shard_idx", F.expr(f"_place div {int(rows_per_shard)}"))
     (
-        placed.repartitionByRange("shard_idx")
+        placed.repartition("shard_idx")
         .sortWithinPartitions("shard_idx", "_place")
         .select("shard_idx", *members)
         .write.format("tarshards")

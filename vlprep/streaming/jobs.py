@@ -55,7 +55,7 @@ def append_batches(spark: SparkSession, rows: DataFrame, epoch: int, order: str,
     ).parquet(here)
     # counted from what was written: the offset always fits the rows
     written = spark.read.parquet(here).agg(F.count(F.lit(1)).alias("rows"))
-    written.coalesce(1).write.mode("overwrite").parquet(f"{offsets_dir}/epoch={epoch}")
+    written.write.mode("overwrite").parquet(f"{offsets_dir}/epoch={epoch}")
 
 
 def stream_batches(source: DataFrame, folder: str, checkpoint: str, order: str, size: int, trigger: dict | None = None) -> StreamingQuery:
