@@ -44,7 +44,7 @@ def int_buckets(df: DataFrame, order: str, n_buckets: int = INT_BUCKETS, rows_pe
     parts = min(HASH_BUCKETS // n_buckets, -(-found["n"] // (n_buckets * rows_per_bucket)))
     if parts > 1 and len(limits) > 1:
         limits = np.unique(np.interp(np.arange((len(limits) - 1) * parts + 1) / parts, np.arange(len(limits)), limits))
-    splits = [-float("inf"), *limits.tolist()[1:], float("inf")]
+    splits = [-float("inf"), *limits.tolist()[1:-1], float("inf")]
     if len(splits) < 3:
         return lambda d: d.withColumn("_bucket", F.lit(0))
     cutter = Bucketizer(splits=splits, inputCol="_order", outputCol="_bucket")
