@@ -171,6 +171,7 @@ def test_batch_shuffle_keeps_batches_whole(spark):
     df = batching.assign_batches(spark.range(100), "id", 8)
     a = {r.batch_id: r.batch_pos for r in shuffles.shuffle_batches(df, "batch_id", seed=1, epoch=0).collect()}
     b = {r.batch_id: r.batch_pos for r in shuffles.shuffle_batches(df, "batch_id", seed=1, epoch=1).collect()}
+    assert a == {r.batch_id: r.batch_pos for r in shuffles.shuffle_batches(df, "batch_id", 13, seed=1).collect()}
     assert sorted(a.values()) == list(range(13)) == sorted(b.values()) and a != b
 
 

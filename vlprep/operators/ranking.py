@@ -64,7 +64,7 @@ def _starts(counted: DataFrame) -> DataFrame:
 
 
 def exact_rank(df: DataFrame, order: str, out: str = "pos", dear: bool = False, like: DataFrame | None = None,
-               total: str | None = None) -> DataFrame:
+               total: str | None = None, only: Column | None = None) -> DataFrame:
     """Add the zero-based position of each row in the order of ``order``.
 
     ``order`` is unique: a hex key of :func:`hash_key`, or a whole number. The
@@ -81,20 +81,24 @@ def exact_rank(df: DataFrame, order: str, out: str = "pos", dear: bool = False,
         bucketed = int_buckets(like if like is not None else df, order)(df)
     else:
         raise ValueError(f"order column {order!r} must be a hash key or a whole number, is {kind.simpleString()}")
-    one = F.lit(1)
+    one = F.lit(1) if only is None else only.cast("int")
     if dear:
         bucketed = bucketed.filter(F.col("_bucket").isNotNull()).repartition("_bucket")
-        # Buckets and places are never negative, so the hash is never computed. Naming
+        # Buckets and places are never below these limits, so the hash is never computed. Naming
         # every column here and below keeps both uses of the shuffle the same, and
         # Spark then runs it once.
-        one = F.when(F.col("_bucket") >= 0, 1).otherwise(F.xxhash64(*df.columns))
+        one = F.when(F.col("_bucket") >= 0, one).otherwise(F.xxhash64(*df.columns))
     counted = bucketed.groupBy("_bucket").agg(F.sum(one).alias("_n"))
-    here = F.row_number().over(W.partitionBy("_bucket").orderBy(order))
+    inside = W.partitionBy("_bucket").orderBy(order)
+    if only is None:
+        here = F.row_number().over(inside)
+    else:
+        here = F.sum(only.cast("int")).over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))
     placed = bucketed.join(F.broadcast(_starts(counted)), "_bucket").withColumn(
         out, (F.col("_start") + here - 1).cast("bigint")
     )
     if dear:
-        placed = placed.filter((F.col(out) >= 0) | (F.xxhash64(*df.columns) == 0))
+        placed = placed.filter((F.col(out) >= -1) | (F.xxhash64(*df.columns) == 0))
     if total:
         placed = placed.withColumn(total, F.col("_total"))
     return placed.drop("_bucket", "_start", "_total")

@@ -57,12 +57,15 @@ def buffer_shuffle(df: DataFrame, position: str, row_id: str, seed, size: int =
     )
 
 
-def shuffle_batches(df: DataFrame, batch: str, n_batches: DataFrame | None = None, seed=0, epoch: int = 0, out: str = "batch_pos") -> DataFrame:
+def shuffle_batches(df: DataFrame, batch: str, n_batches: int | None = None, seed=0, epoch: int = 0, out: str = "batch_pos") -> DataFrame:
     """New place of every batch for one epoch; the rows of a batch stay together.
 
-    ``n_batches`` may pass the table of batch ids, when it exists already.
+    With the number of batches known, their ids need no pass over ``df``.
     """
-    ids = (n_batches if n_batches is not None else df.select(batch)).select(batch).distinct()
+    if n_batches is None:
+        ids = df.select(batch).distinct()
+    else:
+        ids = df.sparkSession.range(n_batches).select(F.col("id").alias(batch))
     order = exact_rank(ids.withColumn("_key", hash_key(seed, F.lit(epoch), batch)), "_key", out).drop("_key")
     return df.join(order, batch)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vlprep.config import SCALER_MAX, TEMPERATURE_INIT
@@ -104,10 +104,17 @@ def batch_pairs(df: DataFrame, image: str = "image_vec", text: str = "text_vec",
         batch_size = (df.agg(F.max(pos)).first()[0] or 0) + 1
     n_blocks = -(-int(batch_size) // block)
     own_block = F.expr(f"cast(`{pos}` div {block} as int)")
-    others = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    columns = [F.col(batch).alias("_batch"), F.col(pos).cast("bigint").alias("_pos")]
-    images = df.select(*columns, F.lit(0).alias("_side"), F.col(image).alias("_vec"), own_block.alias("_r"), others.alias("_c"))
-    texts = df.select(*columns, F.lit(1).alias("_side"), F.col(text).cast(df.schema[image].dataType).alias("_vec"), others.alias("_r"), own_block.alias("_c"))
+    blocks = F.sequence(F.lit(0), F.lit(n_blocks - 1))
+    vec = {0: F.col(image), 1: F.col(text).cast(df.schema[image].dataType)}
+
+    def copy(side: int, row_block: Column, column_block: Column) -> Column:
+        return F.struct(F.lit(side).alias("_side"), vec[side].alias("_vec"), row_block.alias("_r"), column_block.alias("_c"))
+
+    # one pass: an image goes to every column block of its row block, a text the other way round
+    copies = F.concat(
+        F.transform(blocks, lambda b: copy(0, own_block, b)), F.transform(blocks, lambda b: copy(1, b, own_block))
+    )
+    sides = df.select(F.col(batch).alias("_batch"), F.col(pos).cast("bigint").alias("_pos"), F.inline(copies))
     schema = (
         "batch_id bigint, pos bigint, i_top double, i_sum double, t_top double, t_sum double, own double,"
         " best_score double, best bigint"
@@ -140,7 +147,7 @@ def batch_pairs(df: DataFrame, image: str = "image_vec", text: str = "text_vec",
             schema=_TILE,
         )
 
-    tiles = images.unionByName(texts).groupBy("_batch", "_r", "_c").applyInArrow(tile, schema)
+    tiles = sides.groupBy("_batch", "_r", "_c").applyInArrow(tile, schema)
     part = lambda top, s: F.collect_list(F.when(F.col(top).isNotNull(), F.struct(F.col(top).alias("m"), F.col(s).alias("s"))))
     merged = tiles.groupBy("batch_id", "pos").agg(
         part("i_top", "i_sum").alias("_i"),

@@ -19,13 +19,11 @@ def positional_split(df: DataFrame, row_id: str, val: int = VALIDATION_ROWS, tes
     Of the ``m`` shuffled rows the first ``m div test_div`` are ``test``. Ids are
     ranked alone and the rows move once; ``cut`` a ``df`` that is costly to compute.
     """
-    ranked = exact_rank(df.select(row_id), row_id, "_place")
-    rest = ranked.filter(F.col("_place") >= val).withColumn("_key", hash_key(seed, row_id))
-    shuffled = exact_rank(rest, "_key", "_order", total="_m").select(
-        row_id, F.when(F.col("_order") < F.expr(f"_m div {int(test_div)}"), "test").otherwise("train").alias("split")
-    )
-    first = ranked.filter(F.col("_place") < val).select(row_id, F.lit("val").alias("split"))
-    return df.join(first.unionByName(shuffled), row_id)
+    ranked = exact_rank(df.select(row_id), row_id, "_place").withColumn("_key", hash_key(seed, row_id))
+    rest = F.col("_place") >= val
+    shuffled = exact_rank(ranked, "_key", "_order", dear=True, total="_m", only=rest)
+    split = F.when(~rest, "val").when(F.col("_order") < F.expr(f"_m div {int(test_div)}"), "test").otherwise("train")
+    return df.join(shuffled.select(row_id, split.alias("split")), row_id)
 
 
 def head_rows(df: DataFrame, order: str, n: int) -> DataFrame:

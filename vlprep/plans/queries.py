@@ -307,8 +307,9 @@ def batches_drop_last(spark, sf):
 
 @query
 def batch_order(spark, sf):
-    rows = batching.assign_batches(table(spark, sf, "documents").select("doc_id"), "doc_id", 32)
-    return shuffles.shuffle_batches(rows, "batch_id", seed=SEED, epoch=1)
+    docs = table(spark, sf, "documents").select("doc_id")
+    rows = batching.assign_batches(docs, "doc_id", 32)
+    return shuffles.shuffle_batches(rows, "batch_id", -(-docs.count() // 32), SEED, epoch=1)
 
 
 @query
