@@ -58,8 +58,12 @@ def disjoint(new: DataFrame, used: DataFrame, text: str = "text", key=text_key)
     """Rows of ``new`` whose text does not occur in ``used``.
 
     The used keys are reduced to distinct ones first, so copies are not shuffled.
+    They are grouped by key and first digit, which is the same as by key but
+    leaves the join a shuffle of its own: only then can Spark split a hot text
+    among the new rows.
     """
-    seen = used.filter(F.col(text).isNotNull()).select(key(text).alias("_text_key")).distinct()
+    keys = used.filter(F.col(text).isNotNull()).select(key(text).alias("_text_key"))
+    seen = keys.withColumn("_digit", F.substring("_text_key", 1, 1)).distinct().select("_text_key")
     return new.withColumn("_text_key", key(text)).join(seen, "_text_key", "left_anti").drop("_text_key")
 
 
