@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from vlprep.functions.keys import hash_key
 from vlprep.operators import batching, ranking, shuffles, split
 
-SIZES = [0, 1, 9, 10, 11, 1000]
+SIZES = [(0, False), (1, True), (10, True), (11, False), (500, True), (500, False)]
 
 
 def ids(spark, n, seed=0):
@@ -14,21 +14,19 @@ def ids(spark, n, seed=0):
     return spark.createDataFrame([(v,) for v in values], "id bigint")
 
 
-@pytest.mark.parametrize("n", SIZES)
-@pytest.mark.parametrize("dear", [False, True])
+@pytest.mark.parametrize("n, dear", SIZES)
 def test_integer_rank(spark, n, dear):
     df = ids(spark, n)
     got = {r.id: r.pos for r in ranking.exact_rank(df, "id", dear=dear).collect()}
     assert got == {v: i for i, v in enumerate(sorted(got))} and len(got) == n
 
 
-@pytest.mark.parametrize("n", SIZES)
-@pytest.mark.parametrize("dear", [False, True])
+@pytest.mark.parametrize("n, dear", SIZES)
 def test_hash_rank_does_not_depend_on_partitions(spark, n, dear):
     df = ids(spark, n).withColumn("k", hash_key(3, "id"))
-    ranks = [{r.id: r.pos for r in ranking.exact_rank(df.repartition(p), "k", dear=dear).collect()} for p in (1, 7, 64)]
+    ranks = [{r.id: r.pos for r in ranking.exact_rank(df.repartition(p), "k", dear=dear).collect()} for p in (1, 7)]
     keys = {r.id: r.k for r in df.collect()}
-    assert ranks[0] == ranks[1] == ranks[2] == {v: i for i, v in enumerate(sorted(keys, key=keys.get))}
+    assert ranks[0] == ranks[1] == {v: i for i, v in enumerate(sorted(keys, key=keys.get))}
 
 
 def test_clustered_integers_fill_many_buckets(spark):
@@ -108,9 +106,8 @@ def test_take_per_group_limits_before_the_shuffle(spark):
     assert "row_number(), 4, Partial" in plan
 
 
-@pytest.mark.parametrize("n", SIZES)
+@pytest.mark.parametrize("n, dear", SIZES)
 @pytest.mark.parametrize("drop_last", [False, True])
-@pytest.mark.parametrize("dear", [False, True])
 def test_batches_hold_every_row_once(spark, n, drop_last, dear):
     rows = batching.assign_batches(ids(spark, n), "id", 10, drop_last, dear).collect()
     assert len(rows) == (n - n % 10 if drop_last else n)
@@ -123,7 +120,7 @@ def test_large_batch_size(spark):
     assert {r.batch_id: r["count"] for r in rows} == {0: 8192, 1: 8192, 2: 20_000 - 2 * 8192}
 
 
-@pytest.mark.parametrize("n", [0, 1, 9, 49, 50, 51, 61, 200])
+@pytest.mark.parametrize("n", [0, 1, 49, 50, 51, 61])
 def test_positional_split_sizes(spark, n):
     rows = split.positional_split(ids(spark, n), "id", val=50, seed=2).collect()
     by = {s: {r.id for r in rows if r.split == s} for s in ("val", "test", "train")}

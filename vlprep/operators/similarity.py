@@ -7,6 +7,8 @@ leave it, never the pairs.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -88,6 +90,11 @@ def gather_ranks(df: DataFrame, position: str, micro: int, world: int, out: str
     return df.withColumns({out: F.expr(f"`{position}` div {size}"), "pos": F.col(position) % size})
 
 
+def concat_ranks(tables: list[DataFrame]) -> DataFrame:
+    """Tables of the single ranks put together, with column ``rank``."""
+    return reduce(DataFrame.unionByName, [t.withColumn("rank", F.lit(i).cast("bigint")) for i, t in enumerate(tables)])
+
+
 def batch_pairs(df: DataFrame, image: str = "image_vec", text: str = "text_vec", batch: str = "batch_id",
                 pos: str = "pos", scaler: float | None = None, block: int = BLOCK, batch_size: int | None = None) -> DataFrame:
     """Every image against every text of its batch, summed up per row and column.

@@ -323,6 +323,8 @@ SELECT label, place AS best FROM each QUALIFY row_number() OVER (PARTITION BY la
     ) + " FROM embeddings",
     "pool_tokens": """WITH e AS (SELECT vec_id, embedding::double[] AS v, vec_id % 8 AS t FROM embeddings)
 SELECT vec_id, round(list_sum(v[1:8]), 6) AS first, round(list_sum(v[t * 8 + 1:t * 8 + 8]), 6) AS last, round(list_sum(v[9:64]), 6) AS rest FROM e""",
+    "gather_ranks": "SELECT vec_id, vec_id // 64 AS batch_id, vec_id % 64 AS pos FROM embeddings",
+    "concat_ranks": "SELECT vec_id, label::bigint AS label, CASE WHEN label < 5 THEN 0 ELSE 1 END::bigint AS rank FROM embeddings",
     "batch_pairs": f"""WITH {towers(64, '10')}
 SELECT r.b AS batch_id, r.i % 64 AS pos, round(own, 6) AS own, round(r.lse, 6) AS image_lse, round(c.lse, 6) AS text_lse, best % 64 AS best
 FROM rws r JOIN cls c ON r.b = c.b AND r.i = c.j""",

@@ -646,6 +646,17 @@ def _two_towers(spark, sf):
     return image, caption
 
 
+@query
+def gather_ranks(spark, sf):
+    return similarity.gather_ranks(table(spark, sf, "embeddings").select("vec_id"), "vec_id", 16, 4)
+
+
+@query
+def concat_ranks(spark, sf):
+    rows = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("bigint").alias("label"))
+    return similarity.concat_ranks([rows.filter("label < 5"), rows.filter("label >= 5")])
+
+
 @query
 def batch_pairs(spark, sf):
     pairs = similarity.gather_ranks(similarity.pair_by_key(*_two_towers(spark, sf), "key"), "place", 16, 4)
