@@ -127,6 +127,9 @@ def test_write_read_identity_and_shard_sizes(spark, tmp_path):
     back = tarshards.with_captions(tarshards.read_shards(spark, path, on_error="fail")).orderBy("key").collect()
     assert [(r.key, len(r.jpg), r.caption) for r in back] == [(f"{i:05d}", i, f"c{i}") for i in range(25)]
     assert {os.path.basename(r.shard) for r in back[10:20]} == {"000001.tar"}
+    with tarfile.open(f"{path}/000001.tar") as plain:
+        assert plain.getnames() == [f"{i:05d}.{m}" for i in range(10, 20) for m in ("jpg", "json")]
+        assert plain.extractfile("00012.json").read() == b'{"caption":"c12"}'
     with pytest.raises(Exception, match="shards exist already"):
         tarshards.write_shards(df, path, "id", rows_per_shard=10)
     assert sorted(os.listdir(path)) == ["000000.tar", "000001.tar", "000002.tar"]

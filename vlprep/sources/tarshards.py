@@ -283,7 +283,7 @@ class TarShardWriter(DataSourceArrowWriter):
         folder = f"{root}/{self.job}/{uuid.uuid4().hex}"
         files.create_dir(folder, recursive=True)
         names: list[str] = []
-        sink = archive = None
+        sink = None
         try:
             for batch in iterator:
                 for row in batch.to_pylist():
@@ -291,20 +291,19 @@ class TarShardWriter(DataSourceArrowWriter):
                     if not names or names[-1] != name:
                         if name in names:
                             raise ValueError("rows of a shard must be consecutive: sort by shard_idx")
-                        if archive is not None:
-                            archive.close()
-                            sink.close()
-                        sink = files.open_output_stream(f"{folder}/{name}")
-                        archive = tarfile.open(fileobj=sink, mode="w|", format=tarfile.PAX_FORMAT)
+                        if sink is not None:
+                            self._finish(sink)
+                        sink = files.open_output_stream(f"{folder}/{name}", buffer_size=1 << 20)
                         names.append(name)
-                    self._add(archive, row)
+                    self._add(sink, row)
+            if sink is not None:
+                self._finish(sink)
         finally:
-            if archive is not None:
-                archive.close()
+            if sink is not None and not sink.closed:
                 sink.close()
         return WrittenShards(names, folder)
 
-    def _add(self, archive: tarfile.TarFile, row: dict) -> None:
+    def _add(self, sink: pa.NativeFile, row: dict) -> None:
         for member in self.members:
             value = row[member]
             if value is None:
@@ -312,7 +311,11 @@ class TarShardWriter(DataSourceArrowWriter):
             data = value.encode("utf-8") if isinstance(value, str) else bytes(value)
             info = tarfile.TarInfo(f"{row['key']}.{member}")
             info.size = len(data)
-            archive.addfile(info, io.BytesIO(data))
+            sink.write(info.tobuf(tarfile.PAX_FORMAT) + data + bytes(-len(data) % BLOCK))
+
+    def _finish(self, sink: pa.NativeFile) -> None:
+        sink.write(bytes(2 * BLOCK))  # fixed value: end of a tar file
+        sink.close()
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         files, root = _filesystem(self.path)
