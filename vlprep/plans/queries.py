@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vlprep.config import FINETUNE, PRETRAIN, STRICT
 from vlprep.functions import arrays, text, vectors
-from vlprep.functions.keys import digest, hash_key
+from vlprep.functions.keys import digest
 from vlprep.operators import (
     batching,
     dialogue,
