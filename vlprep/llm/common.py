@@ -73,6 +73,14 @@ class Words:
     def of(self, i: int) -> np.ndarray:
         return self.hashes[self.first[i] : self.first[i + 1]]
 
+    @staticmethod
+    def count(texts: list[bytes], word_bytes: np.ndarray) -> np.ndarray:
+        """Number of words of each text, without their hashes."""
+        inside = word_bytes[LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]]
+        begins = np.cumsum(np.diff(inside.view(np.int8), prepend=0) == 1)
+        lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+        return np.diff(begins[np.cumsum(lengths + 1) - 1], prepend=0)
+
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

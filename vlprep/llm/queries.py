@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vlprep.llm.common import read_table
 
@@ -13,6 +14,13 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer's file, in the same place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def query(f: Query) -> Query:
     QUERIES[f.__name__] = f
     return f
@@ -24,3 +32,39 @@ def op2_near_duplicates(spark, sf):
     from vlprep.llm.neardup import near_duplicates
 
     return near_duplicates(read_table(spark, sf, "documents"), n=4)
+
+
+@query
+def op4_decontamination(spark, sf):
+    """Contract: windows of 13 words; contaminated from a twentieth of the words hit."""
+    from vlprep.llm.decontam import contaminated, decontaminate
+
+    found = decontaminate(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
+    ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        contaminated().alias("contaminated"),
+    )
+
+
+@query
+def op5_language(spark, sf):
+    """Contract: rows whose crc32(doc_id) mod 4 is 2 teach nothing."""
+    from vlprep.llm import langid
+
+    docs = read_table(spark, sf, "documents")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = langid.train(docs.filter(~held))
+    return langid.identify(docs, model, ["doc_id"]).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op6_token_files(spark, sf):
+    """Contract: ids of the whole texts by a public byte-level tokenizer, end id 2, in order of doc_id."""
+    from vlprep.llm.tokenfile import token_index
+
+    return token_index(read_table(spark, sf, "documents"), tokenizer_path())
