@@ -26,8 +26,8 @@ from vlprep.llm.common import small, steps, stored
 SLOT_BITS = 15
 SLOTS = 1 << SLOT_BITS
 DIM = 16
-EPOCHS = 12
-RATE = 4.0
+EPOCHS = 6
+RATE = 10.0
 BATCH = 32
 REJECT_BELOW = 0.5
 #: Most labelled rows a language gives to the sample, and most languages.

@@ -68,3 +68,15 @@ def op6_token_files(spark, sf):
     from vlprep.llm.tokenfile import token_index
 
     return token_index(read_table(spark, sf, "documents"), tokenizer_path())
+
+
+@query
+def op1_quality(spark, sf):
+    """Contract: labels of rows whose crc32(doc_id) mod 5 is 0 teach nothing; predicted from 0.3."""
+    from vlprep.llm import quality
+
+    docs = read_table(spark, sf, "documents")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    chain = quality.train(docs, read_table(spark, sf, "labels").filter(~held))
+    scored = quality.score(docs, chain)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
