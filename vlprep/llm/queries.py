@@ -80,3 +80,24 @@ def op1_quality(spark, sf):
     chain = quality.train(docs, read_table(spark, sf, "labels").filter(~held))
     scored = quality.score(docs, chain)
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op9_chat_windows(spark, sf):
+    """Contract: all conversations and one more, -7, whose texts hold control strings; read back from the stored windows."""
+    from vlprep.llm import chat
+    from vlprep.llm.common import stored
+
+    turns = read_table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok")
+    role = F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant"))
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), said.alias("text"))
+    return chat.digests(stored(chat.windows(turns.unionByName(extra)), "windows"))
+
+
+@query
+def op10_mixing(spark, sf):
+    """All of ``documents`` at weights of the square roots of the sources' sizes."""
+    from vlprep.llm.mixing import mix_sources
+
+    return mix_sources(read_table(spark, sf, "documents").select("doc_id", "source"))
