@@ -101,3 +101,28 @@ def op10_mixing(spark, sf):
     from vlprep.llm.mixing import mix_sources
 
     return mix_sources(read_table(spark, sf, "documents").select("doc_id", "source"))
+
+
+@query
+def op3_licences(spark, sf):
+    """Licence sentences and licences of all ``documents``."""
+    from vlprep.llm.licences import scan
+
+    found = scan(read_table(spark, sf, "documents"))
+    return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"))
+
+
+@query
+def op8_secrets(spark, sf):
+    """Candidates of all ``documents``, judged by a forest trained on those that can be told for certain."""
+    from vlprep.llm.secrets import find_secrets
+
+    return find_secrets(read_table(spark, sf, "documents"))
+
+
+@query
+def op7_embedding_duplicates(spark, sf):
+    """Contract: cosine at least 0.98 within a label, over all of ``embeddings``."""
+    from vlprep.llm.embdedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(read_table(spark, sf, "embeddings"))
