@@ -36,6 +36,8 @@ MAGIC = b"PFOR1\0\0\0"
 BLOCK = 128
 PERCENT = 90
 END_ID = 2
+#: Stands for a null document id in a file.
+NO_ID = -(1 << 63)
 #: Pieces of text whose ids a worker remembers.
 CACHE_PIECES = 300_000
 
@@ -229,7 +231,7 @@ def _write_rows(batches, folder: str, tokenizer: str, end_id: int):
     out = FileWriter()
     for batch, texts in steps(batches, step=1 << 18):
         for doc, found in zip(batch.column("doc_id").to_pylist(), encoder.encode([t.decode("utf-8", "replace") for t in texts])):
-            out.add(doc, found + mark)
+            out.add(NO_ID if doc is None else doc, found + mark)
     if not out.doc_ids:
         return
     part = TaskContext.get().partitionId()
@@ -248,9 +250,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, order: list[str]
     """Write token files below ``folder``; one row per file: ``part``, ``path``, ``documents``, ``ids``, ``start``.
 
     Files follow each other in the order of the columns ``order`` (default
-    ``doc_id``, equal ids by text). A null text gives the end id alone; a null ``doc_id``
-    fails, as files have no place for it. ``start`` is the number of ids in the
-    files before. No documents, no files.
+    ``doc_id``, equal ids by text, null first). A null text gives the end id alone. ``start``
+    is the number of ids in the files before. No documents, no files.
     """
     order = order or ["doc_id", "text"]
     ranged = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[c for c in order if c not in ("doc_id", "text")])
@@ -281,7 +282,7 @@ def _read_rows(batches):
                     crc[i] = zlib.crc32(ids[firsts[i] - firsts[doc] : file.ends[i] - firsts[doc]])
                 doc = last
             yield pa.RecordBatch.from_arrays(
-                [pa.array(file.doc_ids), pa.array(firsts + start), pa.array(file.ends - firsts), pa.array(crc.astype(np.int64))],
+                [pa.array(file.doc_ids, mask=file.doc_ids == NO_ID), pa.array(firsts + start), pa.array(file.ends - firsts), pa.array(crc.astype(np.int64))],
                 ["doc_id", "start", "n_tokens", "ids_crc32"],
             )
 
