@@ -6,14 +6,17 @@ the count of leading zeros and the next ``MANTISSA`` bits (HyperMinHash, Yu and
 Weber). The way from sketches to classes:
 
 1. Documents with equal sets become one class, whatever their number.
-2. Bands of ``BAND`` registers are hashed; classes with a band in common meet.
+2. Empty buckets are filled from others, so that short texts have whole bands
+   too. Bands of ``BAND`` registers are hashed; classes with a band in common meet.
    In each bucket of a band every class is paired with the smallest one only.
 3. A pair is dropped when its collision-corrected Jaccard estimate is more than
    ``MARGIN`` standard deviations below the threshold; the rest is confirmed on
    the full sets, which are computed again for the documents concerned alone.
-4. Confirmed links give components. Members of a band's bucket that are still in
-   different components are then paired with each other, and confirmed
-   alike. Nothing is left out: pairs not compared are in one component already.
+4. Confirmed links give components. Members of a bucket that are still in
+   another component than its smallest one are paired with ``LEADS`` others chosen
+   by chance, and confirmed alike.
+5. Members of a bucket that are in different components even then are all paired with each
+   other. Nothing is left out: pairs not compared are in one component already.
 
 A pair at Jaccard 0.8 misses all 48 bands with probability 5e-9.
 """
@@ -31,8 +34,10 @@ from vlprep.llm.common import Words, components, grams, mix, seeds, small, steps
 
 BUCKETS = 240
 BAND = 5
-MANTISSA = 16
+MANTISSA = 10
 MARGIN = 6.0
+PROBES = 400
+LEADS = 4
 SHINGLE_WORDS = 5
 THRESHOLD = (4, 5)
 
@@ -55,7 +60,7 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     The hash, read as a fraction, times the number of buckets gives the bucket
     and a fraction inside it. Sorted hashes are sorted by bucket and fraction.
     """
-    out = np.zeros(BUCKETS, np.uint32)
+    out = np.zeros(BUCKETS, np.uint16)
     high, low = hashes >> np.uint64(32), hashes & np.uint64(0xFFFFFFFF)
     scaled = high * np.uint64(BUCKETS) + ((low * np.uint64(BUCKETS)) >> np.uint64(32))
     bucket = (scaled >> np.uint64(32)).astype(np.int64)
@@ -65,7 +70,7 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     zeros = 64 - np.frexp((rest >> np.uint64(11)).astype(np.float64))[1] - 11
     zeros = np.minimum(zeros, 62)
     mantissa = (rest << (zeros + 1).astype(np.uint64)) >> np.uint64(64 - MANTISSA)
-    out[bucket[at]] = (zeros.astype(np.uint32) << np.uint32(MANTISSA)) + mantissa.astype(np.uint32) + np.uint32(1)
+    out[bucket[at]] = (zeros << MANTISSA) + mantissa.astype(np.int64) + 1
     return out
 
 
@@ -83,16 +88,43 @@ def _sketch_rows(batches, n: int):
         )
 
 
+_PROBES = (mix(np.arange(PROBES * BUCKETS, dtype=np.uint64)) % np.uint64(BUCKETS)).astype(np.int64).reshape(PROBES, BUCKETS)
+
+
+def filled(regs: np.ndarray) -> np.ndarray:
+    """Rows of registers with empty buckets filled from others (optimal densification, Shrivastava, 2017).
+
+    Each empty bucket tries the others in an order of its own and takes the
+    register of the first that is not empty. So bands of short texts hold as
+    many draws as those of long ones. Rows without any register stay empty.
+    """
+    out = regs.copy()
+    for probe in _PROBES:
+        rows = np.flatnonzero((out == 0).any(1))
+        if not len(rows):
+            break
+        part = out[rows]
+        out[rows] = np.where(part == 0, regs[rows][:, probe], part)
+    rest = np.flatnonzero((out == 0).any(1))
+    for _ in range(BUCKETS):  # a text of one or two shingles may not be hit: the next bucket that is filled
+        if not len(rest):
+            break
+        part = out[rest]
+        out[rest] = np.where(part == 0, np.roll(part, 1, axis=1), part)
+        rest = rest[(out[rest] == 0).any(1)]
+    return out
+
+
 def _band_rows(batches):
     factors = seeds(BAND, 17)
     for batch in batches:
         for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
-            regs = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint32).reshape(-1, BUCKETS // BAND, BAND)
+            regs = filled(np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint16).reshape(-1, BUCKETS))
+            regs = regs.reshape(-1, BUCKETS // BAND, BAND).astype(np.uint64)
             with np.errstate(over="ignore"):
                 keys = (regs * factors).sum(2, dtype=np.uint64) + np.arange(BUCKETS // BAND, dtype=np.uint64) * factors[0]
-            used = regs.any(2)
-            ids = np.broadcast_to(part.column("class_id").to_numpy()[:, None], used.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(mix(keys[used]).view(np.int64)), pa.array(ids[used])], ["band", "class_id"])
+            ids = np.repeat(part.column("class_id").to_numpy(), BUCKETS // BAND)
+            yield pa.RecordBatch.from_arrays([pa.array(mix(keys).ravel().view(np.int64)), pa.array(ids)], ["band", "class_id"])
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +145,7 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _likely_rows(batches, share: float):
     for batch in batches:
         for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
-            a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint32).reshape(-1, BUCKETS) for c in ("sa", "sb"))
+            a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("sa", "sb"))
             found, used = estimate(a, b)
             margin = MARGIN * np.sqrt(share * (1 - share) / np.maximum(used, 1)) + 1 / np.maximum(used, 1)
             keep = pa.array(found >= share - margin)
@@ -160,6 +192,24 @@ def confirm(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int, thre
     return stored(both.mapInArrow(partial(_confirmed_rows, above=above, below=below), "a long, b long"), "links")
 
 
+def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    return pairs.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
+
+
+def apart(meets: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of the buckets whose members are in several components, by the links so far.
+
+    ``part`` is a member's component, ``apart`` whether it differs from that of the bucket's lead.
+    """
+    found = stored(components(links), "found")
+    part = F.coalesce("component_id", "class_id").alias("part")
+    placed = stored(meets.join(found.withColumnRenamed("id", "class_id"), "class_id", "left").select("band", "class_id", "lead", part), "placed")
+    main = placed.filter("class_id = lead").select("band", F.col("part").alias("main"))
+    mixed = placed.join(main, "band").withColumn("apart", F.col("part") != F.col("main")).drop("main")
+    several = mixed.groupBy("band").agg(F.max("apart").alias("any"), F.count(F.lit(1)).alias("_n")).filter("any and _n > 2").select("band")
+    return stored(mixed.join(several, "band", "left_semi"), "mixed")
+
+
 def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -181,25 +231,19 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, threshold: tuple[in
     bands = stored(classes.select("class_id", "sketch").mapInArrow(_band_rows, "band long, class_id long"), "bands")
     leads = bands.groupBy("band").agg(F.min("class_id").alias("lead"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     meets = stored(bands.join(leads, "band"), "meets")
-    first = confirm(meets.filter("class_id != lead").select(F.col("class_id").alias("a"), F.col("lead").alias("b")).distinct(), classes, ids, n, threshold)
-    found = stored(components(first), "first-components")
-    # Who is still apart from others of the same bucket?
-    part = F.coalesce("component_id", "class_id")
-    placed = stored(
-        meets.join(found.withColumnRenamed("id", "class_id"), "class_id", "left").select("band", "class_id", "lead", part.alias("part")), "placed"
-    )
-    main = placed.filter("class_id = lead").select("band", F.col("part").alias("main"))
-    mixed = placed.join(main, "band").withColumn("apart", F.col("part") != F.col("main"))
-    open_bands = mixed.groupBy("band").agg(F.max("apart").alias("any"), F.count(F.lit(1)).alias("_n")).filter("any and _n > 2").select("band")
-    mixed = stored(mixed.join(open_bands, "band", "left_semi"), "mixed")
+    links = confirm(meets.filter("class_id != lead").select(F.col("class_id").alias("a"), F.col("lead").alias("b")).distinct(), classes, ids, n, threshold)
+    mixed = apart(meets, links)
+    # a few more leads, chosen by chance in every bucket, settle nearly all of a crowd
+    more = [F.min_by(F.struct("class_id", "part"), F.xxhash64(F.lit(i), "band", "class_id")) for i in range(LEADS)]
+    leads = mixed.groupBy("band").agg(F.array(*more).alias("leads")).select("band", F.explode(F.array_distinct("leads")).alias("y"))
+    settled = mixed.filter("apart").join(leads, "band").filter(F.col("part") != F.col("y.part"))
+    links = stored(links.unionByName(confirm(_ordered(settled, "class_id", "y.class_id"), classes, ids, n, threshold)), "links")
+    mixed = apart(meets, links)
     x = mixed.filter("apart").select("band", F.col("class_id").alias("x"), F.col("part").alias("px"))
     y = mixed.filter("class_id != lead").select("band", F.col("class_id").alias("y"), F.col("part").alias("py"), "apart")
-    rest = (
-        x.join(y, "band").filter("px != py and (not apart or x < y)")
-        .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    )
+    rest = _ordered(x.join(y, "band").filter("px != py and (not apart or x < y)"), "x", "y")
     second = confirm(rest, classes, ids, n, threshold)
-    linked = stored(components(first.unionByName(second)), "components")
+    linked = stored(components(links.unionByName(second)), "components")
     to_class = classes.select(*same, "class_id").join(linked.withColumnRenamed("id", "class_id"), "class_id", "left")
     to_class = to_class.select(*same, F.coalesce("component_id", "class_id").alias("component_id"))
     alone = sk.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
