@@ -113,6 +113,29 @@ def steps(batches: Iterator[pa.RecordBatch], text: int | str = "text", step: int
             yield batch.slice(begin), texts[begin:]
 
 
+def groups(batches, keys: list[str]):
+    """Runs of rows with equal ``keys`` in sorted batches, each as one table of Arrow columns."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            key = tuple(c[a] for c in columns)
+            if key != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a Parquet table in the shared folder and return it as read from there."""
     path = run_dir(df.sparkSession, name)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vlprep.llm.common import components, small, stored
+from vlprep.llm.common import components, groups, small, stored
 
 THRESHOLD = 0.98
 NEIGHBOURS = 8
@@ -41,29 +41,6 @@ AUDIT_RECALL = 0.98
 SLACK = 1e-4
 
 
-def groups(batches, keys: list[str]):
-    """Runs of rows with equal ``keys`` in sorted batches, each as one table of Arrow columns."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        change = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            key = tuple(c[a] for c in columns)
-            if key != last and held:
-                yield pa.Table.from_batches(held)
-                held = []
-            last = key
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _matrix(column, kind=np.float32) -> np.ndarray:
     """Rows of equally long byte strings as a matrix."""
     parts = column.to_pylist()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vlprep.llm.common import Words, components, grams, mix, seeds, small, steps, stored
+from vlprep.llm.common import Words, components, grams, groups, mix, seeds, small, steps, stored
 
 BUCKETS = 240
 BAND = 5
@@ -38,6 +38,7 @@ MANTISSA = 10
 MARGIN = 6.0
 PROBES = 400
 LEADS = 4
+BLOCK_MEMBERS = 512
 SHINGLE_WORDS = 5
 THRESHOLD = (4, 5)
 
@@ -115,16 +116,20 @@ def filled(regs: np.ndarray) -> np.ndarray:
     return out
 
 
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """A hash for each band of each row of registers."""
+    bands, factors = filled(regs).reshape(-1, BUCKETS // BAND, BAND).astype(np.uint64), seeds(BAND, 17)
+    with np.errstate(over="ignore"):
+        keys = (bands * factors).sum(2, dtype=np.uint64) + np.arange(BUCKETS // BAND, dtype=np.uint64) * factors[0]
+    return mix(keys).view(np.int64)
+
+
 def _band_rows(batches):
-    factors = seeds(BAND, 17)
     for batch in batches:
         for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
-            regs = filled(np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint16).reshape(-1, BUCKETS))
-            regs = regs.reshape(-1, BUCKETS // BAND, BAND).astype(np.uint64)
-            with np.errstate(over="ignore"):
-                keys = (regs * factors).sum(2, dtype=np.uint64) + np.arange(BUCKETS // BAND, dtype=np.uint64) * factors[0]
+            keys = band_keys(np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint16).reshape(-1, BUCKETS))
             ids = np.repeat(part.column("class_id").to_numpy(), BUCKETS // BAND)
-            yield pa.RecordBatch.from_arrays([pa.array(mix(keys).ravel().view(np.int64)), pa.array(ids)], ["band", "class_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], ["band", "class_id"])
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,13 +147,17 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.clip(corrected / np.maximum(used, 1), 0, 1), used
 
 
+def margin(share: float, used: np.ndarray) -> np.ndarray:
+    used = np.maximum(used, 1)
+    return MARGIN * np.sqrt(share * (1 - share) / used) + 1 / used
+
+
 def _likely_rows(batches, share: float):
     for batch in batches:
         for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
             a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("sa", "sb"))
             found, used = estimate(a, b)
-            margin = MARGIN * np.sqrt(share * (1 - share) / np.maximum(used, 1)) + 1 / np.maximum(used, 1)
-            keep = pa.array(found >= share - margin)
+            keep = pa.array(found >= share - margin(share, used))
             yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], ["a", "b"])
 
 
@@ -162,38 +171,84 @@ def _confirmed_rows(batches, above: int, below: int):
     for batch in batches:
         keep = []
         for x, y in zip(batch.column("ma"), batch.column("mb")):
-            p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            both = np.concatenate([p, q])
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            keep.append(below * shared >= above * (len(p) + len(q) - shared))
+            shared, union = shared_part(*(np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)))
+            keep.append(below * shared >= above * union)
         keep = pa.array(keep, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
 
-def confirm(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs (``a``, ``b``) of class ids whose full sets reach the threshold; stored."""
-    above, below = threshold
+def shared_part(p: np.ndarray, q: np.ndarray) -> tuple[int, int]:
+    """Sizes of the intersection and the union of two sorted sets."""
+    both = np.concatenate([p, q])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared, len(p) + len(q) - shared
+
+
+def _crowd_rows(batches, above: int, below: int):
+    """Links between a tile's members that are apart and its others, each pair in its first common band only."""
+    share = above / below
+    for tile in groups(batches, ["band", "xb", "yb"]):
+        side, ids, parts = (tile.column(c).to_numpy() for c in ("side", "class_id", "part"))
+        late, band = tile.column("apart").to_numpy(zero_copy_only=False), tile.column("band")[0].as_py()
+        regs = np.frombuffer(b"".join(tile.column("sketch").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        keys, sets = band_keys(regs), tile.column("members").to_pylist()
+        y, links = np.flatnonzero(side == 1), []
+        for i in np.flatnonzero(side == 0):
+            j = y[(parts[y] != parts[i]) & (~late[y] | (ids[y] > ids[i]))]
+            first = (keys[j] == keys[i]).argmax(1)
+            j = j[keys[i][first] == band]
+            found, used = estimate(np.broadcast_to(regs[i], (len(j), BUCKETS)), regs[j])
+            for k in j[found >= share - margin(share, used)]:
+                shared, union = shared_part(np.frombuffer(sets[i], np.uint64), np.frombuffer(sets[k], np.uint64))
+                if below * shared >= above * union:
+                    links.append((max(ids[i], ids[k]), min(ids[i], ids[k])))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in links], pa.int64()), pa.array([v[1] for v in links], pa.int64())], ["a", "b"])
+
+
+def crowd_links(mixed: DataFrame, sketches: DataFrame, docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
+    """Links between members of a bucket that are in different parts.
+
+    A bucket is split into tiles by chance, where its members that are apart meet all
+    others. Estimates and full sets are compared there, so only links become rows.
+    """
+    seen = mixed.filter("class_id != lead")
+    sets = full_sets(seen.select(F.col("class_id").alias("doc_id")).distinct(), docs, n)
+    size = lambda c: F.greatest(F.lit(1), F.ceil(F.sum(c) / BLOCK_MEMBERS)).cast("int")
+    blocks = seen.groupBy("band").agg(size(F.col("apart").cast("int")).alias("xs"), size(F.lit(1)).alias("ys"))
+    spot = lambda of: F.array(F.pmod(F.xxhash64("class_id"), F.col(of)).cast("int"))
+    every = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
+    seen = seen.join(blocks, "band")
+    x = seen.filter("apart").withColumn("xb", F.explode(spot("xs"))).withColumn("yb", F.explode(every("ys"))).withColumn("side", F.lit(0))
+    y = seen.withColumn("xb", F.explode(every("xs"))).withColumn("yb", F.explode(spot("ys"))).withColumn("side", F.lit(1))
+    laid = x.unionByName(y).select("band", "xb", "yb", "side", "class_id", "part", "apart")
+    laid = laid.join(sketches.select("class_id", "sketch"), "class_id").join(sets, "class_id")
+    laid = laid.repartition("band", "xb", "yb").sortWithinPartitions("band", "xb", "yb")
+    return stored(laid.mapInArrow(partial(_crowd_rows, above=threshold[0], below=threshold[1]), "a long, b long"), "crowd-links")
+
+
+def full_sets(ids: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """``class_id`` and ``members`` of some documents, computed from their texts again; stored."""
+    texts = docs.select("doc_id", "text").join(small(stored(ids, "set-ids")), "doc_id", "left_semi")
+    # an id on several rows: any of its sets will do, as each is verified against what it meets
+    return stored(texts.mapInArrow(partial(_set_rows, n=n), "class_id long, members binary").dropDuplicates(["class_id"]), "sets")
+
+
+def likely(pairs: DataFrame, sketches: DataFrame, share: float) -> DataFrame:
+    """Pairs (``a``, ``b``) of class ids whose estimate does not rule a link out."""
     side = sketches.select("class_id", "sketch")
-    a = side.select(F.col("class_id").alias("a"), F.col("sketch").alias("sa"))
-    b = side.select(F.col("class_id").alias("b"), F.col("sketch").alias("sb"))
-    likely = stored(pairs.join(a, "a").join(b, "b").mapInArrow(partial(_likely_rows, share=above / below), "a long, b long"), "likely")
-    ids = stored(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "likely-ids")
-    # Rows may repeat an id; equal sets are one class, so any one row with the class's own set will do.
-    texts = docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi")
-    sets = stored(
-        texts.mapInArrow(partial(_set_rows, n=n), "class_id long, members binary").dropDuplicates(["class_id"]), "sets"
-    )
-    both = (
-        likely.join(sets.select(F.col("class_id").alias("a"), F.col("members").alias("ma")), "a")
-        .join(sets.select(F.col("class_id").alias("b"), F.col("members").alias("mb")), "b")
-        .select("a", "b", "ma", "mb")
-    )
-    return stored(both.mapInArrow(partial(_confirmed_rows, above=above, below=below), "a long, b long"), "links")
+    both = pairs.join(side.toDF("a", "sa"), "a").join(side.toDF("b", "sb"), "b")
+    return both.mapInArrow(partial(_likely_rows, share=share), "a long, b long")
 
 
-def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
-    return pairs.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
+def confirm(pairs: DataFrame, docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs (``a``, ``b``) of class ids whose full sets reach the threshold; stored."""
+    above, below = threshold
+    pairs = stored(pairs, "likely")
+    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs, n)
+    both = pairs.join(sets.toDF("a", "ma"), "a").join(sets.toDF("b", "mb"), "b").select("a", "b", "ma", "mb")
+    return stored(both.mapInArrow(partial(_confirmed_rows, above=above, below=below), "a long, b long"), "links")
 
 
 def apart(meets: DataFrame, links: DataFrame) -> DataFrame:
@@ -231,18 +286,17 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, threshold: tuple[in
     bands = stored(classes.select("class_id", "sketch").mapInArrow(_band_rows, "band long, class_id long"), "bands")
     leads = bands.groupBy("band").agg(F.min("class_id").alias("lead"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     meets = stored(bands.join(leads, "band"), "meets")
-    links = confirm(meets.filter("class_id != lead").select(F.col("class_id").alias("a"), F.col("lead").alias("b")).distinct(), classes, ids, n, threshold)
+    share = threshold[0] / threshold[1]
+    first = meets.filter("class_id != lead").select(F.col("class_id").alias("a"), F.col("lead").alias("b")).distinct()
+    links = confirm(likely(first, classes, share), ids, n, threshold)
     mixed = apart(meets, links)
     # a few more leads, chosen by chance in every bucket, settle nearly all of a crowd
     more = [F.min_by(F.struct("class_id", "part"), F.xxhash64(F.lit(i), "band", "class_id")) for i in range(LEADS)]
     leads = mixed.groupBy("band").agg(F.array(*more).alias("leads")).select("band", F.explode(F.array_distinct("leads")).alias("y"))
     settled = mixed.filter("apart").join(leads, "band").filter(F.col("part") != F.col("y.part"))
-    links = stored(links.unionByName(confirm(_ordered(settled, "class_id", "y.class_id"), classes, ids, n, threshold)), "links")
-    mixed = apart(meets, links)
-    x = mixed.filter("apart").select("band", F.col("class_id").alias("x"), F.col("part").alias("px"))
-    y = mixed.filter("class_id != lead").select("band", F.col("class_id").alias("y"), F.col("part").alias("py"), "apart")
-    rest = _ordered(x.join(y, "band").filter("px != py and (not apart or x < y)"), "x", "y")
-    second = confirm(rest, classes, ids, n, threshold)
+    settled = settled.select(F.greatest("class_id", "y.class_id").alias("a"), F.least("class_id", "y.class_id").alias("b")).distinct()
+    links = stored(links.unionByName(confirm(likely(settled, classes, share), ids, n, threshold)), "links")
+    second = crowd_links(apart(meets, links), classes, ids, n, threshold)
     linked = stored(components(links.unionByName(second)), "components")
     to_class = classes.select(*same, "class_id").join(linked.withColumnRenamed("id", "class_id"), "class_id", "left")
     to_class = to_class.select(*same, F.coalesce("component_id", "class_id").alias("component_id"))
