@@ -20,6 +20,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from functools import partial
 
 import numpy as np
@@ -39,7 +40,7 @@ END_ID = 2
 #: Stands for a null document id in a file.
 NO_ID = -(1 << 63)
 #: Pieces of text whose ids a worker remembers.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 600_000
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -191,29 +192,31 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.cache_pieces, self.known = cache_pieces, {}
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        self.tokenizer, self.cache_pieces = tokenizer, cache_pieces
+        self.plain, self.spaced = {}, {}  # ids of a piece, and of a piece with a space before it
 
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        if "  " in text:
-            return re.split(r"(?= [^\s])", text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+    def _learn(self, known: dict[str, bytes], lead: str, pieces: set[str]) -> None:
+        new = list(pieces.difference(known))
+        for piece, found in zip(new, self.tokenizer.encode_batch_fast([lead + p for p in new], add_special_tokens=False)):
+            known[piece] = array("I", found.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        cut = [self.pieces(t) for t in texts]
-        new = set().union(*cut).difference(self.known)
-        if len(self.known) + len(new) > self.cache_pieces:
-            self.known.clear()
-            new = set().union(*cut)
-        new = list(new)
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[piece] = np.array(found.ids, "<u4").tobytes()
-        of = self.known.__getitem__
-        return [b"".join(map(of, pieces)) for pieces in cut]
+        """32-bit ids of each text, in the machine's byte order."""
+        if len(self.plain) + len(self.spaced) > self.cache_pieces:
+            self.plain.clear()
+            self.spaced.clear()
+        cut = [None if "  " in t else t.split(" ") for t in texts]
+        odd = {i: re.split(r"(?= [^\s])", t) for i, (t, c) in enumerate(zip(texts, cut)) if c is None}
+        self._learn(self.plain, "", {c[0] for c in cut if c}.union(*odd.values()))
+        rests = [c[1:] if c else [] for c in cut]
+        self._learn(self.spaced, " ", set().union(*rests))
+        plain, spaced = self.plain.__getitem__, self.spaced.__getitem__
+        return [
+            b"".join(map(plain, odd[i])) if c is None else plain(c[0]) + b"".join(map(spaced, rest))
+            for i, (c, rest) in enumerate(zip(cut, rests))
+        ]
 
 
 def _filesystem(path: str):
