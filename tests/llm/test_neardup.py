@@ -94,7 +94,8 @@ def test_sketch_keeps_zeros_and_mantissa():
     register = int(neardup.sketch(np.array([value], np.uint64))[0]) - 1
     exact = value * neardup.BUCKETS
     assert register >> neardup.MANTISSA == 64 - exact.bit_length()
-    assert register & 0xFFFF == (exact >> (exact.bit_length() - 17)) & 0xFFFF
+    mask = (1 << neardup.MANTISSA) - 1
+    assert register & mask == (exact >> (exact.bit_length() - 1 - neardup.MANTISSA)) & mask
 
 
 def test_words_of_long_and_empty_texts():

@@ -29,6 +29,7 @@ DIM = 16
 EPOCHS = 6
 RATE = 10.0
 BATCH = 32
+LEAST_STEPS = 450
 REJECT_BELOW = 0.5
 #: Most labelled rows a language gives to the sample, and most languages.
 ROWS_PER_LANGUAGE = 600
@@ -105,9 +106,10 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 1) -> Model
     held = np.arange(len(rows)) % 5 == 4
     held &= len(rows) >= 50
     train = np.flatnonzero(~held)
-    total = EPOCHS * -(-len(train) // BATCH)
-    step = 0
-    for _ in range(EPOCHS):
+    each = -(-len(train) // BATCH)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // each))  # few rows are gone through more often
+    total, step = epochs * each, 0
+    for _ in range(epochs):
         rng.shuffle(train)
         for begin in range(0, len(train), BATCH):
             part = train[begin : begin + BATCH]

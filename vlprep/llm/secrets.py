@@ -58,7 +58,7 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     d = d.select("doc_id", "path", "_begins", F.posexplode("_near").alias("ordinal", "_x"))
     return d.select(
         "doc_id", "ordinal", F.get("_begins", F.col("ordinal")).cast("long").alias("begin"), F.col("_x.value").alias("value"),
-        F.regexp_extract("_x.left", r"(\S+\s*\S*\s*)$", 1).alias("before"), F.regexp_extract("_x.right", r"^(\S*\s*\S*)", 1).alias("after"), "path",
+        F.regexp_extract("_x.left", r"((?:\S+\s+){0,2}\S*)$", 1).alias("before"), F.regexp_extract("_x.right", r"^(\S*\s*\S*)", 1).alias("after"), "path",
     )
 
 
