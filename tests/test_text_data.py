@@ -1,11 +1,13 @@
 import pytest
 from pyspark.sql import functions as F
 
-from vlprep.config import IMAGE_PROMPTS, PRETRAIN
+from vlprep.config import PRETRAIN
 from vlprep.functions import text
 from vlprep.operators import batching, dialogue, filters, metrics, tokens
 from vlprep.plans import captions, dialogues
 
+PROMPTS = ["Say what you see.", "What is this?"]
+
 
 def caption_rows(spark):
     values = [None, "", " ", "one", "two words"] + [" ".join(["w"] * n) for n in (126, 127, 128)]
@@ -91,8 +93,8 @@ def test_encode_with_runs_the_loader_per_worker(spark):
 
 def test_prompt_is_a_prefix_of_the_full_sample(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    rows = tokens.caption_samples(docs, "doc_id", "text", seed=1).collect()
-    assert rows and {r.prompt for r in rows} <= set(IMAGE_PROMPTS)
+    rows = tokens.caption_samples(docs, "doc_id", "text", PROMPTS, seed=1).collect()
+    assert rows and {r.prompt for r in rows} <= set(PROMPTS)
     for r in rows:
         n = len(r.prompt_tokens)
         assert r.full_tokens[:n] == r.prompt_tokens
@@ -208,7 +210,7 @@ def test_prefix_extends_ids_mask_and_labels_together(spark):
 
 def test_label_stats_and_masked_mean(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    rows = captions.captioning_batches(docs, "doc_id", "text", 8, 1, PRETRAIN)
+    rows = captions.captioning_batches(docs, "doc_id", "text", 8, PROMPTS, 1, PRETRAIN)
     got = {r.batch_id: r for r in batching.label_stats(rows).collect()}
     losses = rows.withColumn("losses", F.transform("input_ids", lambda x: x * 1.0))
     means = {r.batch_id: r for r in metrics.masked_mean(losses, "losses", "labels", "batch_id").collect()}

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from vlprep.config import (
     CLASS_TEMPLATE,
-    IMAGE_PROMPTS,
     MESSAGE_END,
     MESSAGE_START,
     SYSTEM_PROMPT,
@@ -93,7 +92,7 @@ def render_chat(messages: Column, add_generation_prompt: bool = False, template=
     return F.concat(text, generation_suffix()) if add_generation_prompt else text
 
 
-def pick_prompt(row_id, prompts: Sequence[str] = IMAGE_PROMPTS, seed=0) -> Column:
+def pick_prompt(row_id, prompts: Sequence[str], seed=0) -> Column:
     """One of ``prompts`` per row, drawn by a seeded key of its id."""
     choice = key_choice(hash_key(seed, row_id), len(prompts))
     return F.get(F.array(*[F.lit(p) for p in prompts]), choice.cast("int"))

@@ -15,15 +15,16 @@ HISTORY_CHUNK = 64
 
 
 def first_messages(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
-                   text: str = "text", max_pairs: int = MAX_PAIRS, keep: list[str] | None = None) -> DataFrame:
+                   text: str = "text", max_pairs: int | None = MAX_PAIRS, keep: list[str] | None = None) -> DataFrame:
     """One row per conversation with its first ``2 * max_pairs`` messages, system ones left out.
 
     Later turns never change the outcome (see :func:`checked_pairs`), so each
     task drops them before the shuffle and the lists stay short however long a
-    conversation is.
+    conversation is. With ``max_pairs=None`` the lists are whole, for uses that need every
+    message in one row. A null role is kept, so that validation sees it.
     """
-    spoken = turns.filter(F.col(role) != "system")
-    first = take_per_group(spoken.select(conv, turn, role, text, *(keep or [])), conv, turn, 2 * max_pairs)
+    spoken = turns.filter(~F.col(role).eqNullSafe("system")).select(conv, turn, role, text, *(keep or []))
+    first = spoken if max_pairs is None else take_per_group(spoken, conv, turn, 2 * max_pairs)
     item = F.struct(F.col(turn), F.col(role).alias("role"), F.col(text).alias("content"))
     return first.groupBy(conv, *(keep or [])).agg(F.sort_array(F.collect_list(item)).alias("_items")).select(
         conv,
@@ -109,7 +110,7 @@ def nested_samples(dialogues: DataFrame, images: DataFrame | None = None, roles:
 
 def numbered_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role") -> DataFrame:
     """Turns without system messages, numbered from zero in each conversation (column ``at``)."""
-    return rank_in_group(turns.filter(F.col(role) != "system"), conv, turn, "at", width=TURN_WIDTH)
+    return rank_in_group(turns.filter(~F.col(role).eqNullSafe("system")), conv, turn, "at", width=TURN_WIDTH)
 
 
 def pair_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

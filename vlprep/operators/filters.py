@@ -45,8 +45,9 @@ def filter_captions(df: DataFrame, text: str, append_end: bool, pattern: str = W
 
 
 def require_images(samples: DataFrame, images: DataFrame, key: str = "image_id") -> DataFrame:
-    """Samples whose image exists."""
-    return samples.join(images.select(key), key, "left_semi")
+    """Samples whose image exists. Ids are compared as text, as file names give them."""
+    known = images.select(F.col(key).cast("string").alias("_image"))
+    return samples.join(known, F.col(key).cast("string") == F.col("_image"), "left_semi")
 
 
 def text_key(text: str | Column) -> Column:

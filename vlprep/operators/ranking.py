@@ -25,8 +25,22 @@ ROWS_PER_BUCKET = 250_000
 _BEFORE = (W.unboundedPreceding, -1)
 
 
+#: Bucket of rows whose order is null; it comes before all others.
+NULL_BUCKET = -1
+
+
 def _hash_bucket(key: str) -> Column:
-    return key_number(F.col(key), HASH_DIGITS).cast("int")
+    text = F.col(key)
+    fault = F.raise_error(F.concat(F.lit(f"{key} is not a lower-case hex key: "), text)).cast("int")
+    bucket = F.when(text.rlike(f"^[0-9a-f]{{{HASH_DIGITS},}}$"), key_number(text, HASH_DIGITS).cast("int")).otherwise(fault)
+    return F.when(text.isNull(), NULL_BUCKET).otherwise(bucket)
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where null equals null; the keys are kept once."""
+    renamed = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys]
+    return left.join(renamed, same, how).drop(*[f"_same_{k}" for k in keys])
 
 
 def int_buckets(df: DataFrame, order: str, n_buckets: int = INT_BUCKETS, rows_per_bucket: int = ROWS_PER_BUCKET):
@@ -46,12 +60,12 @@ def int_buckets(df: DataFrame, order: str, n_buckets: int = INT_BUCKETS, rows_pe
         limits = np.unique(np.interp(np.arange((len(limits) - 1) * parts + 1) / parts, np.arange(len(limits)), limits))
     splits = [-float("inf"), *limits.tolist()[1:-1], float("inf")]
     if len(splits) < 3:
-        return lambda d: d.withColumn("_bucket", F.lit(0))
+        return lambda d: d.withColumn("_bucket", F.when(F.col(order).isNull(), NULL_BUCKET).otherwise(0))
     cutter = Bucketizer(splits=splits, inputCol="_order", outputCol="_bucket")
 
     def add(d: DataFrame) -> DataFrame:
         out = cutter.transform(d.withColumn("_order", F.col(order).cast("double")))
-        return out.withColumn("_bucket", F.col("_bucket").cast("int")).drop("_order")
+        return out.withColumn("_bucket", F.coalesce(F.col("_bucket").cast("int"), F.lit(NULL_BUCKET))).drop("_order")
 
     return add
 
@@ -67,7 +81,8 @@ def exact_rank(df: DataFrame, order: str, out: str = "pos", dear: bool = False,
                total: str | None = None, only: Column | None = None) -> DataFrame:
     """Add the zero-based position of each row in the order of ``order``.
 
-    ``order`` is unique: a hex key of :func:`hash_key`, or a whole number. The
+    ``order`` is unique: a hex key of :func:`hash_key`, or a whole number; any other
+    text fails. Rows without an order come first, at any size, in no set order. The
     bucket counts read ``order`` in a pass of their own, which is cheap for
     stored columns. Set ``dear`` when ``df`` is costly to compute: then the
     counts come from the shuffled rows, and ``df`` is computed once. ``like`` is
@@ -83,11 +98,11 @@ def exact_rank(df: DataFrame, order: str, out: str = "pos", dear: bool = False,
         raise ValueError(f"order column {order!r} must be a hash key or a whole number, is {kind.simpleString()}")
     one = F.lit(1) if only is None else only.cast("int")
     if dear:
-        bucketed = bucketed.filter(F.col("_bucket").isNotNull()).repartition("_bucket")
+        bucketed = bucketed.repartition("_bucket")
         # Buckets and places are never below these limits, so the hash is never computed. Naming
         # every column here and below keeps both uses of the shuffle the same, and
         # Spark then runs it once.
-        one = F.when(F.col("_bucket") >= 0, one).otherwise(F.xxhash64(*df.columns))
+        one = F.when(F.col("_bucket") >= NULL_BUCKET, one).otherwise(F.xxhash64(*df.columns))
     counted = bucketed.groupBy("_bucket").agg(F.sum(one).alias("_n"))
     inside = W.partitionBy("_bucket").orderBy(order)
     if only is None:
@@ -107,13 +122,14 @@ def exact_rank(df: DataFrame, order: str, out: str = "pos", dear: bool = False,
 def rank_in_group(df: DataFrame, group: str, order: str, out: str = "pos", width: int | None = None) -> DataFrame:
     """Add the zero-based position of each row in its group, in order of ``order``.
 
-    ``order`` is a whole number, unique in its group. A group of any size is
+    ``order`` is a whole number, unique in its group; rows without one come first.
+    Rows without a group are a group. A group of any size is
     spread over many tasks: the unit of work is a (group, range of order). With
     ``width`` the ranges are ``order div width`` wide, for dense orders such as
     turn numbers; without it they are about equally full.
     """
     if width is not None:
-        bucketed = df.withColumn("_bucket", F.expr(f"`{order}` div {int(width)}"))
+        bucketed = df.withColumn("_bucket", F.expr(f"`{order}` div {int(width)}"))  # null orders are a range of their own
     else:
         bucketed = int_buckets(df, order)(df)
     starts = (
@@ -127,8 +143,7 @@ def rank_in_group(df: DataFrame, group: str, order: str, out: str = "pos", width
     )
     here = F.row_number().over(W.partitionBy(group, "_bucket").orderBy(order))
     return (
-        bucketed.withColumn("_here", here)
-        .join(starts, [group, "_bucket"])
+        null_safe_join(bucketed.withColumn("_here", here), starts, [group, "_bucket"])
         .withColumn(out, (F.col("_start") + F.col("_here") - 1).cast("bigint"))
         .drop("_bucket", "_start", "_here")
     )

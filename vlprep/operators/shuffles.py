@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vlprep.config import SHUFFLE_BUFFER
 from vlprep.functions.keys import hash_key
-from vlprep.operators.ranking import exact_rank, rank_in_group, running_start
+from vlprep.operators.ranking import exact_rank, null_safe_join, rank_in_group, running_start
 from vlprep.session import small
 
 
@@ -34,7 +34,7 @@ def shuffle_shards(df: DataFrame, shard: str, row_id: str, seed, out: str = "pos
     starts = running_start(counts, "_key", "_rows", "_first").select(shard, "_first")
     inside = rank_in_group(df, shard, row_id, "_inside")
     return (
-        inside.join(small(starts), shard)
+        null_safe_join(inside, small(starts), [shard])
         .withColumn(out, (F.col("_first") + F.col("_inside")).cast("bigint"))
         .drop("_first", "_inside")
     )
@@ -60,14 +60,16 @@ def buffer_shuffle(df: DataFrame, position: str, row_id: str, seed, size: int =
 def shuffle_batches(df: DataFrame, batch: str, n_batches: int | None = None, seed=0, epoch: int = 0, out: str = "batch_pos") -> DataFrame:
     """New place of every batch for one epoch; the rows of a batch stay together.
 
-    With the number of batches known, their ids need no pass over ``df``.
+    With the number of batches known, their ids need no pass over ``df``; a row of
+    a batch beyond it fails.
     """
     if n_batches is None:
         ids = df.select(batch).distinct()
     else:
         ids = df.sparkSession.range(n_batches).select(F.col("id").alias(batch))
     order = exact_rank(ids.withColumn("_key", hash_key(seed, F.lit(epoch), batch)), "_key", out).drop("_key")
-    return df.join(order, batch)
+    fault = F.raise_error(F.concat(F.lit("no place for batch "), F.coalesce(F.col(batch).cast("string"), F.lit("null")))).cast("bigint")
+    return df.join(order, batch, "left").withColumn(out, F.coalesce(out, fault))
 
 
 def epochs(df: DataFrame, row_id: str, n: int, seed) -> DataFrame:

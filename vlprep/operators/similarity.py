@@ -103,7 +103,7 @@ def batch_pairs(df: DataFrame, image: str = "image_vec", text: str = "text_vec",
     ``text_lse`` are the log-sum-exp of the image's row and the text's column, and
     ``best`` is the text the image scores highest (lowest place on ties).
 
-    ``pos`` runs from zero below ``batch_size`` (found when not given). Batches
+    ``pos`` runs from zero below ``batch_size`` (found when not given), or the job fails. Batches
     over ``block`` rows are split in tiles of ``block`` x ``block``.
     """
     scale = min(float(np.exp(TEMPERATURE_INIT)), SCALER_MAX) if scaler is None else float(scaler)
@@ -121,7 +121,10 @@ def batch_pairs(df: DataFrame, image: str = "image_vec", text: str = "text_vec",
     copies = F.concat(
         F.transform(blocks, lambda b: copy(0, own_block, b)), F.transform(blocks, lambda b: copy(1, b, own_block))
     )
-    sides = df.select(F.col(batch).alias("_batch"), F.col(pos).cast("bigint").alias("_pos"), F.inline(copies))
+    inside = (F.col(pos) >= 0) & (F.col(pos) < int(batch_size))
+    fault = F.raise_error(F.concat(F.lit(f"place outside batches of {int(batch_size)}: "), F.coalesce(F.col(pos).cast("string"), F.lit("null"))))
+    place = F.when(inside, F.col(pos).cast("bigint")).otherwise(fault.cast("bigint"))
+    sides = df.select(F.col(batch).alias("_batch"), place.alias("_pos"), F.inline(copies))
     schema = (
         "batch_id bigint, pos bigint, i_top double, i_sum double, t_top double, t_sum double, own double,"
         " best_score double, best bigint"

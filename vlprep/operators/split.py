@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vlprep.config import BROADCAST_ROWS, TEST_DIVISOR, VALIDATION_ROWS
 from vlprep.functions.keys import hash_key, key_choice, key_number
-from vlprep.operators.ranking import exact_rank, name_index
+from vlprep.operators.ranking import exact_rank, name_index, null_safe_join
 from vlprep.session import small
 
 _PPM = 1_000_000
@@ -51,7 +51,7 @@ def shard_table(df: DataFrame, shard: str, out: str = "shard_idx") -> DataFrame:
 def assign_ranks(df: DataFrame, shard: str, world: int, workers: int = 1) -> DataFrame:
     """Add ``shard_idx``, ``rank`` and ``worker``: shards go round the ranks, then round their workers."""
     table = shard_table(df, shard)
-    return df.join(small(table), shard).withColumns(
+    return null_safe_join(df, small(table), [shard]).withColumns(
         {
             "rank": F.col("shard_idx") % world,
             "worker": F.expr(f"(shard_idx div {int(world)})") % workers,
@@ -82,4 +82,4 @@ def resample_shards(df: DataFrame, shard: str, n_draws: int, seed=0) -> DataFram
         .agg(F.collect_list("draw").alias("_draws"))
     )
     wanted = lists.join(small(table, n), "shard_idx").select(shard, "_draws")
-    return df.join(small(wanted, n_draws), shard).withColumn("draw", F.explode("_draws")).drop("_draws")
+    return null_safe_join(df, small(wanted, n_draws), [shard]).withColumn("draw", F.explode("_draws")).drop("_draws")

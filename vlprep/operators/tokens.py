@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vlprep.config import BROADCAST_ROWS, IMAGE_PROMPTS, SYSTEM_PROMPT, WORD_PATTERN
+from vlprep.config import BROADCAST_ROWS, SYSTEM_PROMPT, WORD_PATTERN
 from vlprep.functions.text import has_text, message, pick_prompt, render_chat, system_message, words
 from vlprep.operators.filters import filter_captions
 from vlprep.session import fits
@@ -100,7 +100,7 @@ def caption_tokens(df: DataFrame, text: str, pattern: str = WORD_PATTERN, out: s
     return filter_captions(df, text, append_end=True, pattern=pattern).withColumn(out, words(F.col(text), pattern))
 
 
-def caption_samples(df: DataFrame, row_id: str, text: str, prompts: Sequence[str] = IMAGE_PROMPTS, seed=0,
+def caption_samples(df: DataFrame, row_id: str, text: str, prompts: Sequence[str], seed=0,
                     pattern: str = WORD_PATTERN, system: str = SYSTEM_PROMPT) -> DataFrame:
     """Prompt, prompt-with-answer and caption words of each caption sample.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +31,10 @@ def contrastive_batches(df: DataFrame, row_id: str, text: str, size: int, seed,
     return assign_batches(rows, "shuffle_key", size, drop_last, dear=True)
 
 
-def captioning_batches(df: DataFrame, row_id: str, text: str, size: int, seed, rule: LabelRule, vocab_size: int = 50_000) -> DataFrame:
+def captioning_batches(df: DataFrame, row_id: str, text: str, size: int, prompts: Sequence[str], seed,
+                       rule: LabelRule, vocab_size: int = 50_000) -> DataFrame:
     """Padded captioning batches with labels: prompt, caption, shuffle, batch, pad, label."""
-    samples = caption_samples(df.select(row_id, text), row_id, text, seed=seed)
+    samples = caption_samples(df.select(row_id, text), row_id, text, prompts, seed=seed)
     rows = samples.select(
         row_id,
         hash_ids(F.col("full_tokens"), vocab_size, RESERVED).alias("ids"),

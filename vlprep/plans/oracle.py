@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from vlprep.config import IMAGE_PROMPTS
 
 SEED = 7
 VOCAB = 1000
@@ -55,6 +54,7 @@ batched AS (
   SELECT doc_id, ids, place // 32 AS batch_id, place % 32 AS pos,
          max(len(ids)) OVER (PARTITION BY place // 32) AS batch_len FROM placed)"""
 
+IMAGE_PROMPTS = ("What does this picture show?", "Say in one sentence what can be seen here.", "Name the main things in the image.")
 PROMPT_LIST = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in IMAGE_PROMPTS) + "]"
 CAPTION_SAMPLES = f"""
 asked AS (
@@ -193,7 +193,7 @@ FROM events WHERE event_type <> 'error'""",
     "tar_roundtrip": f"""SELECT doc_id, place // 300 AS shard_idx, md5(text) AS jpg_md5, md5(text) AS caption_md5
 FROM documents JOIN ({RANKED_DOCS}) USING (doc_id)""",
     "dialogue_json_scan": f"""WITH {TURNS}
-SELECT conv_id AS image_id, count(*) AS n_messages, md5(string_agg(text, '|' ORDER BY place)) AS values_md5 FROM turns WHERE place < 6 GROUP BY conv_id""",
+SELECT conv_id AS image_id, count(*) AS n_messages, md5(string_agg(text, '|' ORDER BY place)) AS values_md5 FROM turns GROUP BY conv_id""",
     "batch_sink": f"""SELECT doc_id, CASE WHEN {number(key('source'))} % 1000000 < 200000 THEN 'val' ELSE 'train' END AS split,
        (place // 16) % 4 AS rank, place // 16 AS batch_id, place % 16 AS pos FROM documents JOIN ({RANKED_DOCS}) USING (doc_id)""",
     "caption_filter": f"WITH {CAPTIONS} SELECT doc_id, len(ids) AS n_tokens, {digest('ids')} AS ids FROM captions",
@@ -248,8 +248,8 @@ SELECT batch_id, count(*) AS n_rows, max(len(ids)) AS max_len, sum(len(ids))::bi
 FROM (SELECT source, len({words('text')}) AS n FROM documents) GROUP BY source""",
     "step_budget": "SELECT source, count(*) AS n_rows, count(*) // 8 AS n_batches, (count(*) // 16) * 2 AS n_steps FROM documents GROUP BY source",
     "require_images": "SELECT conv_id, turn FROM conversations WHERE conv_id IN (SELECT doc_id FROM labels)",
-    "chat_render": f"""WITH {TURNS}
-SELECT conv_id, md5(string_agg({said('role', 'text')}, '' ORDER BY place) || {ANSWER}) AS chat_md5 FROM turns WHERE place < 6 GROUP BY conv_id""",
+    "chat_render": f"""
+SELECT conv_id, md5(string_agg({said('role', 'text')}, '' ORDER BY turn) || {ANSWER}) AS chat_md5 FROM conversations GROUP BY conv_id""",
     "turn_pairs": f"""WITH {TURNS}
 SELECT q.conv_id, q.place // 2 AS pair, q.role AS question_role, a.role AS answer_role, md5(q.text) AS question, md5(a.text) AS answer
 FROM turns q LEFT JOIN turns a ON a.conv_id = q.conv_id AND a.place = q.place + 1 WHERE q.place % 2 = 0""",

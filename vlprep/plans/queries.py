@@ -33,6 +33,7 @@ from vlprep.streaming import jobs
 
 SEED = 7
 VOCAB = 1000
+PROMPTS = ("What does this picture show?", "Say in one sentence what can be seen here.", "Name the main things in the image.")
 TITLE = r"(?s)<title>(.*?)</title>"
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -192,12 +193,12 @@ def encode_with_tokeniser(spark, sf):
 
 @query
 def prompt_pick(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.pick_prompt("doc_id", seed=SEED).alias("prompt"))
+    return table(spark, sf, "documents").select("doc_id", text.pick_prompt("doc_id", PROMPTS, seed=SEED).alias("prompt"))
 
 
 @query
 def caption_samples(spark, sf):
-    out = tokens.caption_samples(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", seed=SEED)
+    out = tokens.caption_samples(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", PROMPTS, seed=SEED)
     return out.select(
         "doc_id",
         "prompt",
@@ -397,7 +398,9 @@ def require_images(spark, sf):
 
 @query
 def chat_render(spark, sf):
-    lists = dialogue.first_messages(_turns(spark, sf))
+    said = F.struct("turn", text.message(F.col("role"), F.col("text")).alias("m"))
+    whole = _turns(spark, sf).groupBy("conv_id").agg(F.sort_array(F.collect_list(said)).alias("said"))
+    lists = whole.select("conv_id", F.transform("said", lambda x: x["m"]).alias("messages"))
     return lists.select("conv_id", F.md5(text.render_chat(F.col("messages"), add_generation_prompt=True)).alias("chat_md5"))
 
 
@@ -421,7 +424,7 @@ def dialogue_samples_truncated(spark, sf):
 
 
 def _nested(spark, sf):
-    lists = dialogue.first_messages(_turns(spark, sf))
+    lists = dialogue.first_messages(_turns(spark, sf), max_pairs=None)
     content = F.transform(
         "messages",
         lambda m: F.struct(
@@ -506,7 +509,7 @@ def prefix_extend_linear(spark, sf):
 
 @query
 def captioning_batches(spark, sf):
-    rows = captions.captioning_batches(table(spark, sf, "documents"), "doc_id", "text", 32, SEED, PRETRAIN, VOCAB)
+    rows = captions.captioning_batches(table(spark, sf, "documents"), "doc_id", "text", 32, PROMPTS, SEED, PRETRAIN, VOCAB)
     return rows.select("doc_id", "batch_id", "pos", digest(F.col("input_ids")).alias("input_ids"), digest(F.col("labels")).alias("labels"))
 
 
@@ -804,7 +807,7 @@ def take_per_group(spark, sf):
 
 @query
 def masked_mean(spark, sf):
-    rows = captions.captioning_batches(table(spark, sf, "documents"), "doc_id", "text", 32, SEED, STRICT, VOCAB)
+    rows = captions.captioning_batches(table(spark, sf, "documents"), "doc_id", "text", 32, PROMPTS, SEED, STRICT, VOCAB)
     losses = rows.withColumn("losses", F.transform("input_ids", lambda x: (x % 13) / 13.0))
     out = metrics.masked_mean(losses, "losses", "labels", "batch_id")
     return out.select("batch_id", "n_tokens", six(F.col("loss")).alias("loss"))
