@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -136,6 +137,18 @@ def groups(batches, keys: list[str]):
         yield pa.Table.from_batches(held)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Jobs started inside give Python ``rows`` rows at a time; for rows that hold whole sets."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a Parquet table in the shared folder and return it as read from there."""
     path = run_dir(df.sparkSession, name)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vlprep.llm.common import Words, components, grams, groups, mix, seeds, small, steps, stored
+from vlprep.llm.common import Words, arrow_rows, components, grams, groups, mix, seeds, small, steps, stored
 
 BUCKETS = 240
 BAND = 5
@@ -39,6 +39,8 @@ MARGIN = 6.0
 PROBES = 400
 LEADS = 4
 BLOCK_MEMBERS = 512
+#: Rows with whole sets that Python gets at a time.
+SET_ROWS = 500
 SHINGLE_WORDS = 5
 THRESHOLD = (4, 5)
 
@@ -225,7 +227,8 @@ def crowd_links(mixed: DataFrame, sketches: DataFrame, docs: DataFrame, n: int,
     laid = x.unionByName(y).select("band", "xb", "yb", "side", "class_id", "part", "apart")
     laid = laid.join(sketches.select("class_id", "sketch"), "class_id").join(sets, "class_id")
     laid = laid.repartition("band", "xb", "yb").sortWithinPartitions("band", "xb", "yb")
-    return stored(laid.mapInArrow(partial(_crowd_rows, above=threshold[0], below=threshold[1]), "a long, b long"), "crowd-links")
+    with arrow_rows(docs.sparkSession, SET_ROWS):
+        return stored(laid.mapInArrow(partial(_crowd_rows, above=threshold[0], below=threshold[1]), "a long, b long"), "crowd-links")
 
 
 def full_sets(ids: DataFrame, docs: DataFrame, n: int) -> DataFrame:
@@ -248,7 +251,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, n: int, threshold: tuple[int, int
     pairs = stored(pairs, "likely")
     sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs, n)
     both = pairs.join(sets.toDF("a", "ma"), "a").join(sets.toDF("b", "mb"), "b").select("a", "b", "ma", "mb")
-    return stored(both.mapInArrow(partial(_confirmed_rows, above=above, below=below), "a long, b long"), "links")
+    with arrow_rows(docs.sparkSession, SET_ROWS):
+        return stored(both.mapInArrow(partial(_confirmed_rows, above=above, below=below), "a long, b long"), "links")
 
 
 def apart(meets: DataFrame, links: DataFrame) -> DataFrame:
