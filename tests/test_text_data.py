@@ -69,8 +69,8 @@ def test_vocabulary_order_and_encoding_paths(spark, monkeypatch):
     assert encoded("auto") == expected
     with pytest.raises(ValueError):
         encoded("lookup")
-    with pytest.raises(ValueError):
-        tokens.encode(listed, "w", vocab, 9)
+    # without row_id too: size never decides whether a call works
+    assert {r.id: r.ids for r in tokens.encode(listed, "w", vocab, 9).collect()} == expected
 
 
 def test_lookup_keeps_sliced_and_null_rows_apart(spark, sf):
@@ -177,14 +177,16 @@ def test_history_prompts_are_all_turns_before(spark, chunk):
     talk = {1: [("system", "s")] + [(("user", "assistant")[i % 2], f"m{i}") for i in range(9)], 2: [U, A]}
     df = turns(spark, talk)
     chunks = {(r.conv_id, r.chunk): r.text for r in dialogue.transcript_chunks(df, chunk=chunk).collect()}
-    rows = dialogue.history_prompts(df, chunk=chunk).collect()
+    history = dialogue.history_prompts(df, chunk=chunk)
+    rows = history.collect()
     assert len(rows) == 5
+    whole = {(r.conv_id, r.n_messages): r.prompt for r in dialogue.whole_prompts(history, dialogue.transcript_chunks(df, chunk=chunk)).collect()}
     for r in rows:
         spoken = [m for m in talk[r.conv_id] if m[0] != "system"]
         full = "<|im_start|>system\nYou are a helpful assistant.<|im_end|>\n"
         full += "".join(f"<|im_start|>{role}\n{body}<|im_end|>\n" for role, body in spoken[: r.n_messages])
-        prompt = "".join(chunks[r.conv_id, c] for c in range(r.prior_chunks)) + r.prompt
-        assert prompt == full + "<|im_start|>assistant\n"
+        prompt = "".join(chunks[r.conv_id, c] for c in range(r.prior_chunks)) + r.prompt_tail
+        assert prompt == full + "<|im_start|>assistant\n" == whole[r.conv_id, r.n_messages]
 
 
 def test_padding_masks_and_counts_agree(spark, sf):

@@ -62,7 +62,20 @@ def test_report_joins_towers_by_key(spark):
     assert sorted(r.n_pairs for r in report) == [6, 6]
 
 
-@pytest.mark.parametrize("options", [{}, {"row_id": "id", "class_limit": 2, "block": 16, "class_block": 3}])
+def test_report_normalises_towers(spark):
+    df, a, b = vectors(spark, 6)
+    stretched = df.withColumn("text_vec", F.transform("text_vec", lambda x: x * (F.col("place") + 1)))
+    sides = lambda d: (d.select(F.col("place").alias("key"), "place", "image_vec"), d.select(F.col("place").alias("key"), "text_vec"))
+    one, other, raw = (
+        similarity.contrastive_report(*sides(d), 6, normalize=n).first().loss for d, n in ((df, True), (stretched, True), (stretched, False))
+    )
+    assert one == pytest.approx(other) and other != pytest.approx(raw)
+    a, b = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (a, b))
+    z, row, col = brute(a, b, np.exp(0.07))
+    assert one == pytest.approx(((row - np.diag(z)).mean() + (col - np.diag(z)).mean()) / 2)
+
+
+@pytest.mark.parametrize("options", [{}, {"row_id": "id", "class_limit": 2, "block": 16, "class_block": 3}, {"class_limit": 2, "block": 16, "class_block": 3}])
 def test_zero_shot_takes_lowest_label_on_ties(spark, options):
     rng = np.random.default_rng(3)
     images, classes = rng.integers(-2, 3, size=(120, 4)), rng.integers(-2, 3, size=(11, 4))

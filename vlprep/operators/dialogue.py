@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vlprep.config import MAX_PAIRS, SYSTEM_PROMPT
 from vlprep.functions.text import generation_suffix, message, render_chat, render_message, system_message
 from vlprep.operators.filters import require_images
-from vlprep.operators.ranking import rank_in_group, take_per_group
+from vlprep.operators.ranking import null_safe_join, rank_in_group, take_per_group
 
 TURN_WIDTH = 1024
 HISTORY_CHUNK = 64
@@ -145,13 +145,12 @@ def _chunks(turns: DataFrame, conv: str, turn: str, role: str, text: str, chunk:
 
 def history_prompts(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
                     chunk: int = HISTORY_CHUNK, system: str = SYSTEM_PROMPT, answer_role: str = "assistant") -> DataFrame:
-    """The prompt of every answer: all messages before it, ready for generation.
+    """The end of the prompt of every answer: the messages of its chunk before it, ready for generation.
 
-    ``prompt`` is the whole prompt for the first ``chunk`` messages, which holds
-    almost every dialogue. Later answers give ``prior_chunks`` > 0: their prompt
-    is the text of that many rows of :func:`transcript_chunks`, followed by
-    ``prompt``. So no task ever gathers more than ``chunk`` messages, and a
-    conversation of any length gives output linear in its length.
+    The whole prompt is the text of the first ``prior_chunks`` rows of
+    :func:`transcript_chunks`, followed by ``prompt_tail``; :func:`whole_prompts` puts
+    them together for chosen answers. So no task ever gathers more than ``chunk``
+    messages, and a conversation of any length gives output linear in its length.
     """
     chunks = _chunks(turns, conv, turn, role, text, chunk)
     head = F.when(F.col("chunk") == 0, render_chat(F.array(system_message(system)))).otherwise(F.lit(""))
@@ -162,7 +161,7 @@ def history_prompts(turns: DataFrame, conv: str = "conv_id", turn: str = "turn",
         F.col("m.turn").alias(turn),
         F.col("chunk").alias("prior_chunks"),
         F.col("m.at").alias("n_messages"),
-        F.concat(head, F.array_join(F.transform(before, lambda x: x["piece"]), ""), generation_suffix()).alias("prompt"),
+        F.concat(head, F.array_join(F.transform(before, lambda x: x["piece"]), ""), generation_suffix()).alias("prompt_tail"),
     )
 
 
@@ -175,6 +174,20 @@ def transcript_chunks(turns: DataFrame, conv: str = "conv_id", turn: str = "turn
     )
 
 
+def whole_prompts(history: DataFrame, chunks: DataFrame, conv: str = "conv_id") -> DataFrame:
+    """Chosen rows of :func:`history_prompts` with ``prompt``: all messages before the answer.
+
+    ``chunks`` are the conversations' :func:`transcript_chunks` of the same chunk size. A prompt
+    is as long as the dialogue before it, so choose the answers to be generated.
+    """
+    wanted = history.filter("prior_chunks > 0").select(conv, "n_messages", "prior_chunks")
+    before = null_safe_join(chunks, wanted, [conv]).filter("chunk < prior_chunks")
+    parts = F.sort_array(F.collect_list(F.struct("chunk", "text")))
+    heads = before.groupBy(conv, "n_messages").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("_head"))
+    joined = null_safe_join(history, heads, [conv, "n_messages"], "left")
+    return joined.withColumn("prompt", F.concat(F.coalesce("_head", F.lit("")), "prompt_tail")).drop("_head", "prior_chunks", "prompt_tail")
+
+
 def opening_prompts(messages: Column, system: str = SYSTEM_PROMPT) -> Column:
     """Prompt text of the first question: what stands before its answer."""
     first = F.get(messages, F.lit(0))

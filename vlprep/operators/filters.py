@@ -55,16 +55,27 @@ def text_key(text: str | Column) -> Column:
     return F.md5(F.lower(F.trim(F.col(text) if isinstance(text, str) else text)))
 
 
-def disjoint(new: DataFrame, used: DataFrame, text: str = "text", key=text_key) -> DataFrame:
-    """Rows of ``new`` whose text does not occur in ``used``.
+def text_keys(used: DataFrame, text: str = "text", key=text_key) -> DataFrame:
+    """Distinct keys of the texts of ``used``.
 
-    The used keys are reduced to distinct ones first, so copies are not shuffled.
     They are grouped by key and first digit, which is the same as by key but
-    leaves the join a shuffle of its own: only then can Spark split a hot text
+    leaves a later join a shuffle of its own: only then can Spark split a hot text
     among the new rows.
     """
     keys = used.filter(F.col(text).isNotNull()).select(key(text).alias("_text_key"))
-    seen = keys.withColumn("_digit", F.substring("_text_key", 1, 1)).distinct().select("_text_key")
+    return keys.withColumn("_digit", F.substring("_text_key", 1, 1)).distinct().select("_text_key")
+
+
+def disjoint(new: DataFrame, used: DataFrame, text: str = "text", key=text_key) -> DataFrame:
+    """Rows of ``new`` whose text does not occur in ``used``.
+
+    The used keys are reduced to distinct ones first, so copies are not shuffled.
+    """
+    return without_keys(new, text_keys(used, text, key), text, key)
+
+
+def without_keys(new: DataFrame, seen: DataFrame, text: str = "text", key=text_key) -> DataFrame:
+    """Rows of ``new`` whose text has none of the keys of :func:`text_keys`."""
     return new.withColumn("_text_key", key(text)).join(seen, "_text_key", "left_anti").drop("_text_key")
 
 

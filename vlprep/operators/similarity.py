@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from vlprep.config import SCALER_MAX, TEMPERATURE_INIT
 from vlprep.functions.vectors import l2_normalize
+from vlprep.session import cut
 
 BLOCK = 2048
 CLASS_LIMIT = 4096
@@ -186,12 +187,16 @@ def contrastive_loss(pairs: DataFrame) -> DataFrame:
 
 
 def contrastive_report(images: DataFrame, texts: DataFrame, micro: int, world: int = 1, key: str = "key",
-                       position: str = "place", scaler: float | None = None, block: int = BLOCK) -> DataFrame:
+                       position: str = "place", scaler: float | None = None, block: int = BLOCK, normalize: bool = True) -> DataFrame:
     """Contrastive loss of the batches that ``world`` ranks of ``micro`` pairs form.
 
     ``images`` has ``key``, ``position`` and ``image_vec``; ``texts`` has ``key`` and
-    ``text_vec``. ``world=1`` gives the loss each rank would see alone.
+    ``text_vec``, both scaled to length 1 unless ``normalize`` is off. ``world=1``
+    gives the loss each rank would see alone.
     """
+    if normalize:
+        images = images.withColumn("image_vec", l2_normalize(F.col("image_vec")))
+        texts = texts.withColumn("text_vec", l2_normalize(F.col("text_vec")))
     pairs = gather_ranks(pair_by_key(images, texts, key), position, micro, world)
     return contrastive_loss(batch_pairs(pairs, scaler=scaler, block=block, batch_size=micro * world))
 
@@ -212,12 +217,14 @@ def zero_shot(images: DataFrame, classes: DataFrame, vector: str = "embedding",
 
     Up to ``class_limit`` classes are shipped to the tasks and images are not
     shuffled. More are cut into blocks that meet blocks of images, and the best
-    class per block is kept; that needs a unique ``row_id``.
+    class per block is kept. Rows are told apart by a unique ``row_id`` there; without
+    one, the images are written once with a number for each row.
     """
     rows = classes.select(F.col(label).cast("bigint").alias("label"), F.col(class_vec).cast("array<double>").alias("v")).limit(class_limit + 1).toPandas()
     if len(rows) > class_limit:
         if row_id is None:
-            raise ValueError(f"more than {class_limit} classes: zero_shot needs row_id")
+            numbered = cut(images.withColumn("_row", F.monotonically_increasing_id()))
+            return _zero_shot_blocks(numbered, classes, vector, class_vec, label, "_row", scaler, block, class_block).drop("_row")
         return _zero_shot_blocks(images, classes, vector, class_vec, label, row_id, scaler, block, class_block)
     rows = rows.sort_values("label")
     if rows.empty:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from vlprep.config import BROADCAST_ROWS, SYSTEM_PROMPT, WORD_PATTERN
 from vlprep.functions.text import has_text, message, pick_prompt, render_chat, system_message, words
 from vlprep.operators.filters import filter_captions
-from vlprep.session import fits
+from vlprep.session import cut, fits, small
 
 
 def build_vocab(df: DataFrame, text: str, size: int, pattern: str = WORD_PATTERN) -> DataFrame:
@@ -38,7 +38,8 @@ def encode(df: DataFrame, tokens: str, vocab: DataFrame, unknown_id: int, row_id
     """Replace words by their ids; words outside the vocabulary become ``unknown_id``.
 
     ``lookup`` ships the vocabulary to the tasks, no row is shuffled. ``join``
-    works for vocabularies of any size and needs a unique ``row_id``. ``auto``
+    works for vocabularies of any size; rows are told apart by a unique ``row_id``, and
+    without one they are written once with a number for each. ``auto``
     takes the first when the vocabulary has at most ``BROADCAST_ROWS`` words.
     """
     if method not in ("auto", "lookup", "join"):
@@ -51,7 +52,8 @@ def encode(df: DataFrame, tokens: str, vocab: DataFrame, unknown_id: int, row_id
         if method == "lookup":
             raise ValueError(f"vocabulary has more than {BROADCAST_ROWS} words, use method='join'")
     if row_id is None:
-        raise ValueError("encoding by join needs row_id")
+        numbered = cut(df.withColumn("_row", F.monotonically_increasing_id()))
+        return _encode_join(numbered, tokens, vocab, unknown_id, "_row", out).drop("_row")
     return _encode_join(df, tokens, vocab, unknown_id, row_id, out)
 
 
@@ -77,9 +79,9 @@ def _encode_lookup(df: DataFrame, tokens: str, rows: pd.DataFrame, unknown_id: i
 
 def _encode_join(df: DataFrame, tokens: str, vocab: DataFrame, unknown_id: int, row_id: str, out: str) -> DataFrame:
     # Ids follow frequency, so the hot words are the lowest ids: those are
-    # broadcast, and what is left for the shuffle join has no hot key.
+    # broadcast (unless a vocabulary of the user's own repeats them), and what is left for the shuffle join has no hot key.
     head = vocab.filter(F.col("token_id") < BROADCAST_ROWS).select("word", F.col("token_id").alias("_id"))
-    each = df.select(row_id, F.posexplode(tokens).alias("_at", "word")).join(F.broadcast(head), "word", "left")
+    each = df.select(row_id, F.posexplode(tokens).alias("_at", "word")).join(small(head), "word", "left")
     if not fits(vocab):
         tail = vocab.filter(F.col("token_id") >= BROADCAST_ROWS).select("word", F.col("token_id").alias("_tail"))
         # unknown words may be hot too: one lookup per distinct word and row

@@ -259,9 +259,14 @@ FROM turns q LEFT JOIN turns a ON a.conv_id = q.conv_id AND a.place = q.place +
 SELECT conv_id AS image_id, 0::bigint AS conv_no, n_pairs, md5(full_text) AS text_md5 FROM valid WHERE conv_id IN (SELECT doc_id FROM labels)""",
     "history_prompts": f"""{HISTORY}
 SELECT a.conv_id, a.turn, a.chunk AS prior_chunks, a.place AS n_messages,
-       md5(CASE WHEN a.chunk = 0 THEN {SYSTEM} ELSE '' END || coalesce(string_agg(b.piece, '' ORDER BY b.place), '') || {ANSWER}) AS prompt
+       md5(CASE WHEN a.chunk = 0 THEN {SYSTEM} ELSE '' END || coalesce(string_agg(b.piece, '' ORDER BY b.place), '') || {ANSWER}) AS prompt_tail
 FROM said a LEFT JOIN said b ON a.conv_id = b.conv_id AND a.chunk = b.chunk AND b.place < a.place
 WHERE a.role = 'assistant' GROUP BY a.conv_id, a.turn, a.chunk, a.place""",
+    "whole_prompts": f"""{HISTORY},
+lasts AS (SELECT conv_id, max(place) AS place FROM said WHERE role = 'assistant' GROUP BY conv_id)
+SELECT a.conv_id, a.turn, a.place AS n_messages, md5({SYSTEM} || coalesce(string_agg(b.piece, '' ORDER BY b.place), '') || {ANSWER}) AS prompt
+FROM said a JOIN lasts l ON a.conv_id = l.conv_id AND a.place = l.place LEFT JOIN said b ON a.conv_id = b.conv_id AND b.place < a.place
+GROUP BY a.conv_id, a.turn, a.place""",
     "transcript_chunks": f"""{HISTORY}
 SELECT conv_id, chunk, md5(CASE WHEN chunk = 0 THEN {SYSTEM} ELSE '' END || string_agg(piece, '' ORDER BY place)) AS text
 FROM said GROUP BY conv_id, chunk""",

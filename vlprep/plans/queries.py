@@ -447,6 +447,15 @@ def nested_samples(spark, sf):
 @query
 def history_prompts(spark, sf):
     out = dialogue.history_prompts(_turns(spark, sf), chunk=4)
+    return out.withColumn("prompt_tail", F.md5("prompt_tail"))
+
+
+@query
+def whole_prompts(spark, sf):
+    """Of the last answer of every conversation."""
+    answers = dialogue.history_prompts(_turns(spark, sf), chunk=4)
+    last = answers.groupBy("conv_id").agg(F.max_by(F.struct("turn", "prior_chunks", "n_messages", "prompt_tail"), "n_messages").alias("m"))
+    out = dialogue.whole_prompts(last.select("conv_id", "m.*"), dialogue.transcript_chunks(_turns(spark, sf), chunk=4))
     return out.withColumn("prompt", F.md5("prompt"))
 
 
@@ -649,6 +658,11 @@ def _two_towers(spark, sf):
     return image, caption
 
 
+def _stretched(df, vector):
+    """Vectors of several lengths, as towers give them before they are normalised."""
+    return df.withColumn(vector, F.transform(vector, lambda x: x * (F.col("key") % 3 + 1)))
+
+
 @query
 def gather_ranks(spark, sf):
     return similarity.gather_ranks(table(spark, sf, "embeddings").select("vec_id"), "vec_id", 16, 4)
@@ -669,7 +683,8 @@ def batch_pairs(spark, sf):
 
 
 def _contrastive(spark, sf, world):
-    out = similarity.contrastive_report(*_two_towers(spark, sf), micro=16, world=world)
+    image, caption = _two_towers(spark, sf)
+    out = similarity.contrastive_report(_stretched(image, "image_vec"), _stretched(caption, "text_vec"), micro=16, world=world)
     return out.select("batch_id", "n_pairs", *[six(F.col(c)).alias(c) for c in ("image_loss", "text_loss", "loss")])
 
 

@@ -9,9 +9,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vlprep.config import WORD_PATTERN
 from vlprep.operators.batching import pad_batch
-from vlprep.operators.filters import disjoint
+from vlprep.operators.filters import text_keys, without_keys
 from vlprep.operators.ranking import exact_rank
 from vlprep.operators.tokens import caption_tokens
+from vlprep.session import cut
 from vlprep.sources.tables import parse_run_log
 
 
@@ -28,8 +29,8 @@ def stream_prepare(source: DataFrame, sink: str, checkpoint: str, text: str = "t
 
 def stream_disjoint(source: DataFrame, used: DataFrame, sink: str, checkpoint: str, text: str = "text",
                     trigger: dict | None = None) -> StreamingQuery:
-    """Rows of a stream whose text is not in a static corpus."""
-    out = disjoint(source, used, text)
+    """Rows of a stream whose text is not in a static corpus, whose keys are computed once at the start."""
+    out = without_keys(source, cut(text_keys(used, text)), text)
     return _start(out.writeStream.format("parquet").outputMode("append").option("path", sink).option("checkpointLocation", checkpoint), trigger)
 
 
