@@ -7,13 +7,16 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vlprep.session import run_dir, small
 
 #: Bytes of text that one numpy step works on; a longer text is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
+#: Bytes of an Arrow batch where an operator starts the job itself.
+BATCH_BYTES = 4 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -43,7 +46,7 @@ def powers(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
         with np.errstate(over="ignore"):
-            have = np.full(max(n, STEP_BYTES + 65536), base, np.uint64)
+            have = np.full(max(n, 2 * STEP_BYTES), base, np.uint64)
             have[0] = 1
             have = np.cumprod(have, dtype=np.uint64)
         _powers[base] = have if len(have) <= 4 * STEP_BYTES else have[: 2 * STEP_BYTES].copy()
@@ -98,20 +101,24 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def steps(batches: Iterator[pa.RecordBatch], text: int | str = "text", step: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Cut Arrow batches into slices of about ``step`` bytes of text, nulls read as empty."""
+def slices(batches: Iterator[pa.RecordBatch], text: int | str = "text", step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into slices of about ``step`` bytes of text."""
     for batch in batches:
-        column = batch.column(text)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        begin = 0
+        while begin < batch.num_rows:
+            before = ends[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, before + step, "right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
+def steps(batches: Iterator[pa.RecordBatch], text: int | str = "text", step: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of about ``step`` bytes of text with their texts, nulls read as empty."""
+    for part in slices(batches, text, step):
+        column = part.column(text)
         texts = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
-        begin = size = 0
-        for i, t in enumerate(texts):
-            texts[i] = t = t or b""
-            if i > begin and size + len(t) > step:
-                yield batch.slice(begin, i - begin), texts[begin:i]
-                begin, size = i, 0
-            size += len(t)
-        if begin < len(texts):
-            yield batch.slice(begin), texts[begin:]
+        yield part, [t or b"" for t in texts]
 
 
 def groups(batches, keys: list[str]):
@@ -138,15 +145,18 @@ def groups(batches, keys: list[str]):
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int):
-    """Jobs started inside give Python ``rows`` rows at a time; for rows that hold whole sets."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def arrow_batches(spark: SparkSession, rows: int, size: int = BATCH_BYTES):
+    """Jobs started inside give Python at most ``rows`` rows and about ``size`` bytes at a time."""
+    limits = {"maxRecordsPerBatch": str(rows), "maxBytesPerBatch": str(size)}
+    names = {f"spark.sql.execution.arrow.{k}": v for k, v in limits.items()}
+    before = {k: spark.conf.get(k) for k in names}
     try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vlprep.llm.common import small, steps, stored
+from vlprep.llm.common import slices, small, steps, stored
 
 SLOT_BITS = 15
 SLOTS = 1 << SLOT_BITS
@@ -72,7 +72,7 @@ def _lower(batches):
 
 
 def _count_rows(batches):
-    for batch, texts in steps(_lower(batches), "_text"):
+    for batch, texts in steps(_lower(slices(batches, "_text")), "_text"):
         slots, owners = subwords(texts)
         keys, counts = np.unique(owners.astype(np.int64) * (2 * SLOTS) + slots, return_counts=True)
         cut = np.searchsorted(keys, np.arange(len(texts) + 1) * (2 * SLOTS))
@@ -166,7 +166,7 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model
 
 def _guess_rows(batches, shared, names: list[str]):
     model: Model | None = shared.value
-    for batch, lowered in steps(_lower(batches), "_text"):
+    for batch, lowered in steps(_lower(slices(batches, "_text")), "_text"):
         n = len(lowered)
         if model is None:
             best, score = ["und"] * n, np.zeros(n)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vlprep.llm.common import Words, arrow_rows, components, grams, groups, mix, seeds, small, steps, stored
+from vlprep.llm.common import Words, arrow_batches, components, grams, groups, mix, seeds, small, steps, stored
 
 BUCKETS = 240
 BAND = 5
@@ -41,6 +41,8 @@ LEADS = 4
 BLOCK_MEMBERS = 512
 #: Rows with whole sets that Python gets at a time.
 SET_ROWS = 500
+#: Most rows of other kinds.
+ROWS = 10_000
 SHINGLE_WORDS = 5
 THRESHOLD = (4, 5)
 
@@ -227,7 +229,7 @@ def crowd_links(mixed: DataFrame, sketches: DataFrame, docs: DataFrame, n: int,
     laid = x.unionByName(y).select("band", "xb", "yb", "side", "class_id", "part", "apart")
     laid = laid.join(sketches.select("class_id", "sketch"), "class_id").join(sets, "class_id")
     laid = laid.repartition("band", "xb", "yb").sortWithinPartitions("band", "xb", "yb")
-    with arrow_rows(docs.sparkSession, SET_ROWS):
+    with arrow_batches(docs.sparkSession, SET_ROWS):
         return stored(laid.mapInArrow(partial(_crowd_rows, above=threshold[0], below=threshold[1]), "a long, b long"), "crowd-links")
 
 
@@ -251,7 +253,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, n: int, threshold: tuple[int, int
     pairs = stored(pairs, "likely")
     sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs, n)
     both = pairs.join(sets.toDF("a", "ma"), "a").join(sets.toDF("b", "mb"), "b").select("a", "b", "ma", "mb")
-    with arrow_rows(docs.sparkSession, SET_ROWS):
+    with arrow_batches(docs.sparkSession, SET_ROWS):
         return stored(both.mapInArrow(partial(_confirmed_rows, above=above, below=below), "a long, b long"), "links")
 
 
@@ -280,6 +282,12 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, threshold: tuple[in
     a null one is left unlinked, with a null component, and kept. An
     empty table gives an empty result.
     """
+    # every job that runs Python is started in here; what is returned only reads tables
+    with arrow_batches(docs.sparkSession, ROWS):
+        return _classes(docs, n, threshold)
+
+
+def _classes(docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sk = stored(
         ids.mapInArrow(partial(_sketch_rows, n=n), "doc_id long, n_shingles long, h1 long, h2 long, sketch binary"), "sketches"
