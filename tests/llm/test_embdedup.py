@@ -70,3 +70,38 @@ def test_equal_vectors_in_numbers(spark):
     rows = [(i, [1.0, 0.5, 0.25], 0) for i in range(3000)]
     got = embdedup.near_duplicate_vectors(table(spark, rows)).collect()
     assert {(r["n_links"], r["component_id"]) for r in got} == {(2999, 0)}
+
+
+def crowd(rng, centre, n, spread):
+    noise = rng.normal(size=(n, len(centre)))
+    noise -= np.outer(noise @ centre, centre)
+    noise /= np.linalg.norm(noise, axis=1)[:, None]
+    return np.cos(spread) * centre + np.sin(spread) * noise
+
+
+def two_crowds(n=60, d=64, seed=1, apart=0.985):
+    """Vectors of two crowds of one label: all cosines inside a crowd above those across, which are about ``apart``."""
+    rng = np.random.default_rng(seed)
+    a, b = np.linalg.qr(rng.normal(size=(d, 2)))[0].T
+    spread = np.arccos(0.998) / np.sqrt(2)
+    return np.vstack([crowd(rng, a, n, spread), crowd(rng, apart * a + np.sqrt(1 - apart**2) * b, n, spread)])
+
+
+def test_crowds_that_fill_their_lists(spark):
+    x = two_crowds()
+    rows = [(i, [float(np.float32(v)) for v in row], 0) for i, row in enumerate(x)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embdedup.near_duplicate_vectors(table(spark, rows)).collect()}
+    assert got == brute(rows)
+
+
+def test_crossings_join_crowds(spark, monkeypatch):
+    x = np.vstack([two_crowds(), two_crowds(seed=2, apart=0.9)])
+    vec = [v / np.linalg.norm(v) for v in x]
+    coded = spark.createDataFrame([(i, i // 120, bytearray(v.tobytes())) for i, v in enumerate(vec)], "node long, part long, exact binary")
+    pairs = [(i, j) for i in range(240) for j in range(i) if i // 60 == j // 60]
+    close = spark.createDataFrame(pairs, "a long, b long")
+    found = spark.createDataFrame([(i, i // 60 * 60) for i in range(240)], "id long, component_id long")
+    for tile in (1024, 16):
+        monkeypatch.setattr(embdedup, "TILE", tile)
+        links = {(r["a"], r["b"]) for r in embdedup._crossings(coded, close, found, 0.98).collect()}
+        assert links and {(a // 60, b // 60) for a, b in links if a // 60 != b // 60} == {(1, 0)}

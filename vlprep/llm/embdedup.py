@@ -10,9 +10,14 @@ add hardly any pair above the threshold and an audit against brute force,
 on a sample of nodes, finds enough of the pairs.
 
 Edges at the threshold, computed again in double precision, give components. Lists are
-bounded, so a node of a dense cluster may have more partners than its list: the
-partners are then counted exactly, by comparing the members of each component in
-tiles, of which only counts leave a task.
+bounded, so a node of a dense cluster may have more partners than its list, and
+all its links to another cluster may be missing. Two steps make up for that:
+
+1. Crowded nodes of a component lie in a ball around one of them. Components whose balls
+   come within the threshold of each other are compared in tiles, so no pair of
+   crowded nodes is left out.
+2. Partners are counted exactly, by comparing the members of each component in
+   tiles, of which only counts leave a task.
 """
 
 from __future__ import annotations
@@ -135,6 +140,94 @@ def _tile_rows(batches, threshold: float):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[rows][begin : begin + TILE]), pa.array(near @ n)], ["node", "links"])
 
 
+def _stars(near: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> list[tuple[int, int]]:
+    """The connected parts of a matrix of links between ``rows`` and ``cols``, as links to one row of each."""
+    out, fresh, open_rows = [], near.any(0), near.any(1)
+    for i in np.flatnonzero(open_rows):
+        if not open_rows[i]:
+            continue
+        open_rows[i], front = False, np.array([i])
+        while len(front):
+            hit = np.flatnonzero(near[front].any(0) & fresh)
+            fresh[hit] = False
+            out += [(cols[j], rows[i]) for j in hit]
+            front = np.flatnonzero(near[:, hit].any(1) & open_rows) if len(hit) else hit
+            open_rows[front] = False
+            out += [(rows[k], rows[i]) for k in front]
+    return out
+
+
+def _joined_rows(batches, threshold: float):
+    for tile in groups(batches, ["c", "d", "i", "j"]):
+        side, ids = tile.column("side").to_numpy(), tile.column("node").to_numpy()
+        x, own = _matrix(tile.column("exact"), np.float64), not side.any()
+        left, right = (slice(None), slice(None)) if own else (side == 0, side == 1)
+        near = (x[left] @ x[right].T) >= threshold
+        if own:
+            np.fill_diagonal(near, False)
+        links = [v for v in _stars(near, ids[left], ids[right]) if v[0] != v[1]]
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([max(v) for v in links], pa.int64()), pa.array([min(v) for v in links], pa.int64())], ["a", "b"])
+
+
+def _cosine_rows(batches):
+    for batch in batches:
+        pairs = zip(batch.column("exact").to_pylist(), batch.column("centre").to_pylist())
+        cos = np.array([np.frombuffer(x, np.float64) @ np.frombuffer(y, np.float64) for x, y in pairs])
+        yield pa.RecordBatch.from_arrays([batch.column("component_id"), pa.array(np.arccos(np.clip(cos, -1, 1)))], ["component_id", "angle"])
+
+
+def _ball_rows(batches, threshold: float):
+    for tile in groups(batches, ["part", "i", "j"]):
+        side, ids = tile.column("side").to_numpy(), tile.column("component_id").to_numpy()
+        x, radius = _matrix(tile.column("centre"), np.float64), tile.column("radius").to_numpy()
+        own = not side.any()
+        left, right = (slice(None), slice(None)) if own else (side == 0, side == 1)
+        apart = np.arccos(np.clip(x[left] @ x[right].T, -1, 1))
+        r, c = np.nonzero(apart <= radius[left][:, None] + radius[right] + np.arccos(threshold) + SLACK)
+        r, c = ids[left][r], ids[right][c]
+        if own:
+            r, c = r[r < c], c[r < c]
+        if len(r):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(r, c)), pa.array(np.maximum(r, c))], ["c", "d"])
+
+
+def _halves(rows: DataFrame, key: str, group: str) -> DataFrame:
+    """Rows laid out so that all of a ``group`` meet in tiles ``i``, ``j``: ``side`` 0 meets 1, in tiles of one side all meet."""
+    tiles = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    laid = rows.join(tiles, group).withColumn("own", F.pmod(F.xxhash64(key), F.col("tiles")).cast("int"))
+    laid = laid.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return laid.withColumns({"i": F.least("own", "o"), "j": F.greatest("own", "o"), "side": (F.col("own") > F.col("o")).cast("int")})
+
+
+def _joined(laid: DataFrame, threshold: float, name: str) -> DataFrame:
+    keys = ["c", "d", "i", "j"]
+    laid = laid.select(*keys, "side", "node", "exact").repartition(*keys).sortWithinPartitions(*keys, "side", "node")
+    return stored(laid.mapInArrow(partial(_joined_rows, threshold=threshold), "a long, b long"), name)
+
+
+def _crossings(coded: DataFrame, close: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """Links that join components by their crowded nodes, those whose partners may exceed a list or what a meeting proposes."""
+    crowded = close.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count().filter(F.col("count") >= NEIGHBOURS).select("node")
+    members = coded.select("node", "part", "exact").join(crowded, "node").join(found.withColumnRenamed("id", "node"), "node")
+    members = stored(members, "crowded")
+    centres = members.groupBy("component_id").agg(F.min(F.struct("node", "part", "exact")).alias("m"), F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("n"))
+    centres = stored(centres.select("component_id", F.col("m.part").alias("part"), F.col("m.exact").alias("centre"), "n"), "centres")
+    far = members.join(centres.select("component_id", "centre"), "component_id").select("component_id", "exact", "centre")
+    radius = far.mapInArrow(_cosine_rows, "component_id long, angle double").groupBy("component_id").agg(F.max("angle").alias("radius"))
+    keys = ["part", "i", "j"]
+    balls = _halves(centres.join(radius, "component_id"), "component_id", "part").select(*keys, "side", "component_id", "centre", "radius")
+    balls = balls.repartition(*keys).sortWithinPartitions(*keys, "side", "component_id")
+    near = stored(balls.mapInArrow(partial(_ball_rows, threshold=threshold), "c long, d long"), "near-balls")
+    size = centres.select("component_id", "n")
+    near = near.join(size.toDF("c", "nc"), "c").join(size.toDF("d", "nd"), "d")
+    spot, every = (lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    m = members.select("component_id", "node", "exact")
+    one = m.withColumnRenamed("component_id", "c").join(near, "c").withColumn("i", spot("nc")).withColumn("j", every("nd")).withColumn("side", F.lit(0))
+    two = m.withColumnRenamed("component_id", "d").join(near, "d").withColumn("i", every("nc")).withColumn("j", spot("nd")).withColumn("side", F.lit(1))
+    return _joined(one.unionByName(two), threshold, "crossings")
+
+
 def _audit_rows(batches, shared, threshold: float):
     for batch in batches:
         for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
@@ -224,6 +317,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_column: str = "vec_id", vector
             exact = coded.select("node", "exact")
             pairs = close.join(exact.toDF("a", "xa"), "a").join(exact.toDF("b", "xb"), "b")
             links = stored(pairs.mapInArrow(partial(_exact_rows, threshold=threshold), "a long, b long"), "links")
+            links = links.unionByName(_crossings(coded, close, components(links), threshold))
             found = stored(components(links), "vector-components")
             if turn == ROUNDS - 1 or _audit(coded, found, threshold) >= AUDIT_RECALL:
                 break
@@ -242,10 +336,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_column: str = "vec_id", vector
         graph = stored(_lists(flat.unionByName(met), most), "graph")
         flat = graph.select("node", F.explode("near").alias("n")).select("node", F.col("n.other").alias("other"), F.col("n.sim").alias("sim"))
     members = coded.select("node", "copies", "exact").join(found.withColumnRenamed("id", "node"), "node")
-    tiles = found.groupBy("component_id").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    laid = members.join(tiles, "component_id").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    laid = laid.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    laid = laid.select("component_id", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), (F.col("own") > F.col("o")).cast("int").alias("side"), "node", "copies", "exact")
+    laid = _halves(members, "node", "component_id").select("component_id", "i", "j", "side", "node", "copies", "exact")
     keys = ["component_id", "i", "j"]
     counted = laid.repartition(*keys).sortWithinPartitions(*keys, "side", "node").mapInArrow(partial(_tile_rows, threshold=threshold), "node long, links long")
     counted = counted.groupBy("node").agg(F.sum("links").alias("links"))
