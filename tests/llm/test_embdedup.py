@@ -105,3 +105,13 @@ def test_crossings_join_crowds(spark, monkeypatch):
         monkeypatch.setattr(embdedup, "TILE", tile)
         links = {(r["a"], r["b"]) for r in embdedup._crossings(coded, close, found, 0.98).collect()}
         assert links and {(a // 60, b // 60) for a, b in links if a // 60 != b // 60} == {(1, 0)}
+
+
+def test_labels_the_search_misses_are_compared_whole(spark, monkeypatch):
+    for name, value in {"ROUNDS": 1, "TABLES": 1, "LEAF": 2}.items():
+        monkeypatch.setattr(embdedup, name, value)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(150, 24))
+    rows = [(i, [float(np.float32(v)) for v in row], i % 2) for i, row in enumerate(np.vstack([x, x + rng.normal(size=x.shape) * 0.12]))]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embdedup.near_duplicate_vectors(table(spark, rows)).collect()}
+    assert got == brute(rows)

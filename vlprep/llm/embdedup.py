@@ -6,18 +6,19 @@ tables. Then rounds of NN-descent (Dong et al., 2011): at every node, its
 neighbours and those that have it as a neighbour are compared with each other, and each
 keeps the best it has met. A node whose whole list is above the threshold is
 saturated, and its list is enlarged for the next round. The rounds end when they
-add hardly any pair above the threshold and an audit against brute force,
-on a sample of nodes, finds enough of the pairs.
+add hardly any pair above the threshold.
 
 Edges at the threshold, computed again in double precision, give components. Lists are
 bounded, so a node of a dense cluster may have more partners than its list, and
-all its links to another cluster may be missing. Two steps make up for that:
+all its links to another cluster may be missing. Three steps make up for that:
 
 1. Crowded nodes of a component lie in a ball around one of them. Components whose balls
    come within the threshold of each other are compared in tiles, so no pair of
    crowded nodes is left out.
 2. Partners are counted exactly, by comparing the members of each component in
    tiles, of which only counts leave a task.
+3. An audit compares a sample of the nodes of every label with all its nodes. A label
+   of which it finds too few pairs, or can't tell, is compared as a whole, in tiles.
 """
 
 from __future__ import annotations
@@ -40,8 +41,13 @@ LEAF = 48
 LEAF_ROWS = 512
 ROUNDS = 6
 TILE = 1024
-AUDIT_NODES = 200
+#: Audited nodes of a label: so many, and so many times the root of their number.
+AUDIT_NODES = 400
+AUDIT_ROOTS = 2
+AUDIT_TILE = 4096
 AUDIT_RECALL = 0.98
+#: Audited nodes with partners from which the audit of a label tells.
+AUDIT_LEAST = 20
 #: Sign of a difference that single precision may hide.
 SLACK = 1e-4
 
@@ -228,31 +234,40 @@ def _crossings(coded: DataFrame, close: DataFrame, found: DataFrame, threshold:
     return _joined(one.unionByName(two), threshold, "crossings")
 
 
-def _audit_rows(batches, shared, threshold: float):
-    for batch in batches:
-        for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
-            parts, x = part.column("part").to_numpy(), part.column("exact").to_pylist()
-            for key, (ids, queries) in shared.value.items():
-                at = np.flatnonzero(parts == key)
-                if len(at):
-                    near = np.frombuffer(b"".join(x[i] for i in at), np.float64).reshape(len(at), -1) @ queries.T >= threshold
-                    r, c = np.nonzero(near)
-                    yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(at[r])), pa.array(ids[c])], ["a", "b"])
-
-
-def _audit(nodes: DataFrame, found: DataFrame, threshold: float) -> float:
-    """Share of the true partners of a sample of nodes that share their component."""
-    sample = nodes.orderBy(F.xxhash64("node"), "node").select("node", "part", "exact").limit(AUDIT_NODES).collect()
-    queries = {
-        p: (np.array([r["node"] for r in sample if r["part"] == p]), np.stack([np.frombuffer(r["exact"], np.float64) for r in sample if r["part"] == p]))
-        for p in {r["part"] for r in sample}
-    }
-    shared = nodes.sparkSession.sparkContext.broadcast(queries)  # AUDIT_NODES vectors
-    pairs = nodes.select("node", "part", "exact").mapInArrow(partial(_audit_rows, shared=shared, threshold=threshold), "a long, b long").filter("a != b")
-    where = found.select("id", "component_id")
-    true = pairs.join(where.toDF("a", "ca"), "a", "left").join(where.toDF("b", "cb"), "b", "left")
-    n, hit = true.agg(F.count(F.lit(1)), F.sum((F.col("ca") == F.col("cb")).cast("int"))).first()
-    return 1.0 if not n else (hit or 0) / n
+def _audit_rows(batches, threshold: float):
+    for tile in groups(batches, ["part", "i"]):
+        asks, where, ids = tile.column("asks").to_numpy(), tile.column("component_id").to_numpy(), tile.column("node").to_numpy()
+        x, q = _matrix(tile.column("exact"), np.float64), asks == 1
+        near = (x[q] @ x[~q].T >= threshold) & (ids[q][:, None] != ids[~q])
+        hit = near & (where[q][:, None] == where[~q])
+        n = int(q.sum())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids[q]), pa.array(tile.column("part").to_numpy()[q]), pa.array(near.sum(1), pa.int64()), pa.array(hit.sum(1), pa.int64())], ["node", "part", "true", "hit"]
+        ) if n else pa.RecordBatch.from_pylist([], AUDITED)
+
+
+AUDITED = pa.schema([("node", pa.int64()), ("part", pa.int64()), ("true", pa.int64()), ("hit", pa.int64())])
+
+
+def _audit(coded: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """Labels (``part``) of which too few pairs of a sample of nodes share a component, or too few of the sample have any.
+
+    The sample of a label grows with it; one that is all of the label tells without pairs too.
+    """
+    sizes = stored(coded.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("tiles", F.ceil(F.col("n") / AUDIT_TILE).cast("int")), "part-sizes")
+    placed = coded.select("node", "part", "exact").join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component_id", F.coalesce("component_id", "node"))
+    placed = placed.join(small(sizes), "part")
+    share = (AUDIT_NODES + AUDIT_ROOTS * F.sqrt("n")) / F.col("n")
+    chosen = placed.filter(F.pmod(F.xxhash64(F.lit(23), "node"), F.lit(1 << 30)) < share * (1 << 30))
+    asks = chosen.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("asks", F.lit(1))
+    told = placed.withColumn("i", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("asks", F.lit(0))
+    laid = asks.unionByName(told).select("part", "i", "asks", "node", "component_id", "exact").repartition("part", "i").sortWithinPartitions("part", "i")
+    per_node = laid.mapInArrow(partial(_audit_rows, threshold=threshold), "node long, part long, true long, hit long")
+    per_node = per_node.groupBy("part", "node").agg(F.sum("true").alias("true"), F.sum("hit").alias("hit")).withColumn("recall", F.when(F.col("true") > 0, F.col("hit") / F.col("true")))
+    per_part = per_node.groupBy("part").agg(F.count("recall").alias("told"), F.avg("recall").alias("recall"), F.count(F.lit(1)).alias("asked"))
+    tells = (F.col("told") >= AUDIT_LEAST) | (F.col("asked") >= F.col("n"))
+    good = sizes.join(per_part, "part", "left").filter(tells & (F.coalesce("recall", F.lit(1.0)) >= AUDIT_RECALL))
+    return stored(sizes.join(good.select("part"), "part", "left_anti").select("part"), "failed-parts")
 
 
 def _lists(pairs: DataFrame, most: DataFrame | None = None, k: int = NEIGHBOURS) -> DataFrame:
@@ -319,8 +334,12 @@ def near_duplicate_vectors(vectors: DataFrame, id_column: str = "vec_id", vector
             links = stored(pairs.mapInArrow(partial(_exact_rows, threshold=threshold), "a long, b long"), "links")
             links = links.unionByName(_crossings(coded, close, components(links), threshold))
             found = stored(components(links), "vector-components")
-            if turn == ROUNDS - 1 or _audit(coded, found, threshold) >= AUDIT_RECALL:
-                break
+            failed = _audit(coded, found, threshold)
+            if failed.limit(1).count():
+                whole = coded.select("node", "part", "exact").join(small(failed), "part", "left_semi")
+                laid = _halves(whole, "node", "part").withColumns({"c": F.col("part"), "d": F.col("part")})
+                found = stored(components(links.unionByName(_joined(laid, threshold, "whole-parts"))), "vector-components")
+            break
         # who meets where: neighbours, the best of those that have the node as neighbour, and the node itself
         back = flat.select(F.col("other").alias("centre"), "node", "sim")
         back = back.withColumn("_row", F.row_number().over(W.partitionBy("centre").orderBy(F.desc("sim"), "node"))).filter(F.col("_row") <= NEIGHBOURS)
