@@ -175,3 +175,64 @@ def test_longer_rules_take_the_shorter_in(spark, docs_of):
     rules = {"long": [["mit-short", "reserved"]], "short": [["reserved"]], "other": [["mit-short"]]}
     text = f"{licences.SENTENCES['mit-short']}\n{licences.SENTENCES['reserved']}"
     assert licences.scan(docs_of([(1, text)]), rules=rules).first()["licences"] == ["long"]
+
+
+MIT = '''MIT License
+
+Copyright (c) 2024 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.
+'''
+APACHE = '''Copyright 2024 Somebody
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    https://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+'''
+BSD = '''Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+{}Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+{}Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+'''
+BSD_NAME = '''
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+'''
+
+
+def test_licences_as_they_stand_in_files(spark, docs_of):
+    marked = lambda text, sign: "".join(f"{sign}{line}\n" for line in text.split("\n"))
+    rows = [(0, MIT), (1, APACHE), (2, BSD.format("1. ", "2. ")), (3, BSD.format("(1) ", "b) ") + BSD_NAME), (4, BSD.format("* ", "* "))]
+    signs = ["# ", "// ", " * ", "REM ", "dnl ", ";; "]
+    rows += [(10 + i, marked(MIT, sign)) for i, sign in enumerate(signs)] + [(20 + i, marked(APACHE, sign).replace("\n", "\r\n")) for i, sign in enumerate(signs)]
+    rows += [(30, "This is not licensed under the MIT License.")]
+    got = {r["doc_id"]: r["licences"] for r in licences.scan(docs_of(rows)).collect()}
+    want = {0: ["MIT"], 1: ["Apache-2.0"], 2: ["BSD-2-Clause"], 3: ["BSD-3-Clause"], 4: ["BSD-2-Clause"], 30: []}
+    assert got == want | {10 + i: ["MIT"] for i in range(6)} | {20 + i: ["Apache-2.0"] for i in range(6)}

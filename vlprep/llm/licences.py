@@ -1,11 +1,14 @@
 """Licences by their sentences.
 
-A text is cut into sentences, each is normalised (lower case, every run of
-other characters than letters and digits one space), and known ones give an
-identifier. The identifiers of a text, in order, are held against licence rules, which
-are sequences of identifiers; a rule matches where its sequence stands whole
-in the text's, with unknown sentences between its sentences left out of account. A
-rule inside a longer rule that also matches adds nothing.
+A text is read as words (runs of letters and digits, in lower case; comment signs and
+quotes are none) with marks where a sentence may begin or end: at a line end, and at a
+full stop, exclamation or question mark or colon before white space. A known sentence is found
+where its words stand one after another from one mark to another, whatever marks are in
+between, so wrapped lines and lines in comments do not hide it. The longest wins. The identifiers of a
+text, in order, are held against licence rules, which are sequences of identifiers; a
+rule matches where its sequence stands whole in the text's, with unknown
+sentences between its sentences left out of account. A rule inside a longer rule
+that also matches adds nothing.
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ SENTENCES = {
     "bsd-use": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-name": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "reserved": "All rights reserved.",
 }
 RULES = {
@@ -51,9 +55,12 @@ RULES = {
     "CC-BY-SA-4.0": [["cc-by-sa-4"]],
     "ISC": [["isc-grant"]],
     "BSD-2-Clause": [["bsd-use", "bsd-source", "bsd-binary"]],
+    "BSD-3-Clause": [["bsd-use", "bsd-source", "bsd-binary", "bsd-name"]],
     "all-rights-reserved": [["reserved"]],
 }
 
+MARK = "\x01"
+
 
 def normalised(sentence: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
@@ -62,8 +69,7 @@ def normalised(sentence: str) -> str:
 def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: dict[str, list[list[str]]] | None = None) -> DataFrame:
     """``doc_id``, ``sentence_ids`` (in order) and ``licences`` (sorted) of each row.
 
-    Sentences end at a line end, or at a full stop, exclamation or question mark
-    before white space. Null and empty texts have none; repeated rows are scanned
+    Null and empty texts have none; repeated rows are scanned
     alike. A sentence of a rule that is not complete shows in ``sentence_ids`` alone.
     """
     sentences, rules = sentences or SENTENCES, rules or RULES
@@ -72,12 +78,19 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: dict[s
     # the longest word of each sentence; texts with none of them need no closer look
     words = sorted({max(k.split(), key=len) for k in known})
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    cut = F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\n"), "\n")
-    cut = F.when(F.lower(text).rlike("|".join(words)), cut).otherwise(F.array().cast("array<string>"))
-    norm = F.transform(F.filter(cut, lambda s: F.length(s) > 3), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+    # MARK where a sentence may begin or end; comment signs that are words and marks of list items are no part of one
+    read = F.regexp_replace(F.lower(text), r"(?m)^([^a-z0-9\r\n]*)(?:rem|dnl)(?=\s)", "$1")
+    read = F.regexp_replace(read, "https://", "http://")
+    read = F.regexp_replace(read, r"(?m)^([^a-z0-9\r\n]*[a-z0-9]{1,2}\))(?=\s)", "$1" + MARK)
+    read = F.regexp_replace(read, r"""[.!?:]+["')\]]*(?=\s)|[\r\n]+""", MARK)
+    read = F.regexp_replace(F.regexp_replace(read, f"[^a-z0-9{MARK}]+", " "), f" ?{MARK}[ {MARK}]*", MARK)
+    read = F.trim(read)
+    longest = sorted(known, key=lambda k: (-len(k), k))
+    whole = f"(?:^|{MARK})({'|'.join(k.replace(' ', f'[ {MARK}]') for k in longest)})(?={MARK}|$)"
+    seen = F.when(F.lower(text).rlike("|".join(words)), F.regexp_extract_all(read, F.lit(whole), F.lit(1))).otherwise(F.array().cast("array<string>"))
     table = F.from_json(F.lit(json.dumps(known)), "map<string,string>")
-    ids = F.filter(F.transform("_norm", lambda s: F.element_at("_known", s)), lambda s: s.isNotNull())
-    found = docs.select("doc_id", norm.alias("_norm"), table.alias("_known")).select("doc_id", ids.alias("sentence_ids"))
+    ids = F.transform("_seen", lambda s: F.element_at("_known", F.translate(s, MARK, " ")))
+    found = docs.select("doc_id", seen.alias("_seen"), table.alias("_known")).select("doc_id", ids.alias("sentence_ids"))
     law = F.from_json(F.lit(json.dumps([{"licence": n, "ids": i} for n, i in flat])), "array<struct<licence: string, ids: array<string>>>")
 
     def stands_in(ids, whole):
