@@ -236,3 +236,19 @@ def test_licences_as_they_stand_in_files(spark, docs_of):
     got = {r["doc_id"]: r["licences"] for r in licences.scan(docs_of(rows)).collect()}
     want = {0: ["MIT"], 1: ["Apache-2.0"], 2: ["BSD-2-Clause"], 3: ["BSD-3-Clause"], 4: ["BSD-2-Clause"], 30: []}
     assert got == want | {10 + i: ["MIT"] for i in range(6)} | {20 + i: ["Apache-2.0"] for i in range(6)}
+
+
+@pytest.mark.parametrize("shares", [{"big": 10.0**0.5, **{f"s{i}": 1.0 for i in range(19)}}, {f"s{i}": 1 / i for i in range(1, 101)}, {"a": 0.5, "b": 0.3, "c": 1e-4}])
+def test_schedule_keeps_the_given_shares(shares):
+    blocks = dict.fromkeys(shares, 4000)
+    order = [None] * sum(blocks.values())
+    for p in mixing.plan(blocks, mixing.whole_weights(shares)):
+        for k in range(p["blocks"]):
+            order[p["start"] + k // p["weight"] * p["period"] + p["slots"][k % p["weight"]]] = p["source"]
+    assert None not in order
+    total, done, t = sum(shares.values()), dict.fromkeys(shares, 0), 0
+    while max(done.values()) < 4000:
+        done[order[t]] += 1
+        t += 1
+        if t % 50 == 0 or t < 50:
+            assert max(abs(done[s] - t * v / total) for s, v in shares.items()) < 1 + 1e-9

@@ -6,11 +6,11 @@ on and must come before slot ceil((k + 1) / w); among the blocks that may
 come, the one with the earliest deadline comes (Baruah et al., 1996). So at
 every slot each source has had less than one block more or less than its share.
 
-Weights are whole numbers, and the schedule repeats after as many slots as they add up
-to. Only that period is scheduled, on the driver; its size depends on the weights,
-not on the rows. When a source runs out, the others go on by a new period of their
-own weights, so there are at most as many periods as sources. All rows are
-placed.
+Weights are whole numbers in the exact ratios of the shares, and the schedule repeats after
+as many slots as they add up to. On the driver one period is scheduled, or as many slots as
+a source lasts if the period is longer: at most one number per block of the table. When a
+source runs out, the others go on by a new schedule of their own weights, so there are at
+most as many of them as sources. All rows are placed.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import json
 import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -26,21 +27,19 @@ from pyspark.sql import functions as F
 from vlprep.llm.common import small
 
 BLOCK_ROWS = 64
-#: Slots that the target weights are rounded to.
-RESOLUTION = 1000
 #: Most sources; the weights of more are better given to groups of them.
 SOURCES = 1000
 ROWS_PER_BUCKET = 50_000
 
 
-def period(weights: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of each source's blocks in one period, earliest deadline first; ties by source."""
+def period(weights: dict[str, int], length: int | None = None) -> dict[str, list[int]]:
+    """Slots of each source's blocks in one period or its first ``length`` slots, earliest deadline first; ties by source."""
     total = sum(weights.values())
     ready: list[tuple[int, str, int]] = []
     waiting = [(0, s, 0) for s in weights]
     heapq.heapify(waiting)
     out: dict[str, list[int]] = {s: [] for s in weights}
-    for slot in range(total):
+    for slot in range(total if length is None else min(total, length)):
         while waiting and waiting[0][0] <= slot:
             _, s, k = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(k + 1) * total // weights[s]), s, k))
@@ -56,21 +55,28 @@ def plan(blocks: dict[str, int], weights: dict[str, int]) -> list[dict]:
     done = dict.fromkeys(blocks, 0)
     rows, start = [], 0
     while active := {s: weights[s] for s in blocks if done[s] < blocks[s] and weights[s] > 0} or {s: 1 for s in blocks if done[s] < blocks[s]}:
-        slots, total = period(active), sum(active.values())
+        total = sum(active.values())
+        # by its last deadline a source has run out
+        slots = period(active, min(-(-(blocks[s] - done[s]) * total // w) for s, w in active.items()))
         last = {s: divmod(blocks[s] - done[s] - 1, w) for s, w in active.items()}
-        length = min(n * total + slots[s][k] for s, (n, k) in last.items()) + 1
+        length = min(n * total + slots[s][k] for s, (n, k) in last.items() if k < len(slots[s])) + 1
         for s, w in active.items():
             n = length // total * w + sum(x < length % total for x in slots[s])
-            rows.append({"source": s, "first": done[s], "blocks": n, "weight": w, "period": total, "start": start, "slots": slots[s]})
+            whole = length >= total
+            rows.append({"source": s, "first": done[s], "blocks": n, "weight": w if whole else max(n, 1), "period": total if whole else length, "start": start,
+                         "slots": slots[s] if whole else slots[s][:n]})
             done[s] += n
         start += length
     return rows
 
 
-def whole_weights(shares: dict[str, float], resolution: int = RESOLUTION) -> dict[str, int]:
-    """Shares as whole numbers that add up to about ``resolution``; a share above zero is at least 1."""
-    total = sum(v for v in shares.values() if v > 0)
-    return {s: max(1, round(v / total * resolution)) if v > 0 else 0 for s, v in shares.items()}
+def whole_weights(shares: dict[str, float]) -> dict[str, int]:
+    """Shares as whole numbers in exactly their ratios; those not above zero are 0."""
+    exact = {s: Fraction(v) if v > 0 else Fraction(0) for s, v in shares.items()}
+    whole = math.lcm(*(v.denominator for v in exact.values()))
+    ints = {s: int(v * whole) for s, v in exact.items()}
+    common = math.gcd(*ints.values()) or 1
+    return {s: v // common for s, v in ints.items()}
 
 
 def mix_sources(docs: DataFrame, shares: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, seed: int = 7,
@@ -100,9 +106,14 @@ def mix_sources(docs: DataFrame, shares: dict[str, float] | None = None, block_r
             short.append({"slot": p["start"] + k // p["weight"] * p["period"] + p["slots"][k % p["weight"]], "missing": block_rows - n % block_rows})
     spark = docs.sparkSession
     schema = "array<struct<source: string, first: long, blocks: long, weight: long, period: long, start: long, slots: array<long>>>"
-    table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([p for p in phases if p["blocks"]])), schema))).withColumnsRenamed(
-        {c: f"_{c}" for c in ("first", "blocks", "weight", "period", "start", "slots")}
-    )
+    table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([p for p in phases if p["blocks"]])), schema)))
+    # one row per block: its slot, and the rows missing in short blocks before it
+    table = table.withColumn("_turn", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("blocks") - 1) / F.col("weight")))))
+    table = table.select("*", F.posexplode("slots").alias("_k", "_in")).withColumn("_k", F.col("_turn") * F.col("weight") + F.col("_k")).filter("_k < blocks")
+    table = table.select(F.col("source").alias("_source"), (F.col("first") + F.col("_k")).alias("block"), (F.col("start") + F.col("_turn") * F.col("period") + F.col("_in")).alias("slot"))
+    gaps = F.from_json(F.lit(json.dumps(short)), "array<struct<slot: long, missing: long>>")
+    gap = F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + F.when(g["slot"] < F.col("slot"), g["missing"]).otherwise(0))
+    table = table.withColumn("_gap", gap)
     buckets = 1 << max(4, min(16, math.ceil(math.log2(max(1, max(counts.values(), default=1) / ROWS_PER_BUCKET))) + 4))
     rows = rows.withColumn("_bucket", F.pmod("_at", F.lit(buckets)))
     tally = rows.groupBy("_source", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -111,14 +122,6 @@ def mix_sources(docs: DataFrame, shares: dict[str, float] | None = None, block_r
     here = F.row_number().over(W.partitionBy("_source", "_bucket").orderBy("_at", id_column, F.xxhash64(*docs.columns)))
     rows = rows.withColumn("_here", here).join(small(tally.withColumnRenamed("_start", "_n0"), rows=len(counts) * buckets), ["_source", "_bucket"])
     rows = rows.withColumn("_rank", F.col("_n0") + F.col("_here") - 1).withColumn("block", F.floor(F.col("_rank") / block_rows))
-    rows = rows.join(
-        F.broadcast(table.withColumnRenamed("source", "_key")),  # at most sources times phases rows, whatever the table
-        (F.col("_source") == F.col("_key")) & (F.col("block") >= F.col("_first")) & (F.col("block") < F.col("_first") + F.col("_blocks")),
-    )
-    local = F.col("block") - F.col("_first")
-    slot = F.col("_start") + F.floor(local / F.col("_weight")) * F.col("_period") + F.element_at("_slots", (local % F.col("_weight") + 1).cast("int"))
-    gaps = F.from_json(F.lit(json.dumps(short)), "array<struct<slot: long, missing: long>>")
-    rows = rows.withColumn("slot", slot)
-    gap = F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + F.when(g["slot"] < F.col("slot"), g["missing"]).otherwise(0))
-    rows = rows.withColumn("position", F.col("slot") * block_rows + F.col("_rank") % block_rows - gap)
+    rows = rows.join(small(table, rows=sum(p["blocks"] for p in phases)), ["_source", "block"])
+    rows = rows.withColumn("position", F.col("slot") * block_rows + F.col("_rank") % block_rows - F.col("_gap"))
     return rows.select(*docs.columns, "block", "slot", "position")
