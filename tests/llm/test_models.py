@@ -131,3 +131,9 @@ def test_secrets_in_odd_texts(spark, docs_of):
     assert secrets.find_secrets(docs_of([]).limit(0)).collect() == []
     bare = docs_of(rows).select("doc_id", "text").withColumn("value", F.lit(1)).withColumn("label", F.lit(2))
     assert len(secrets.find_secrets(bare).collect()) == 301
+
+
+def test_secrets_with_a_late_digit(spark, docs_of):
+    late = "qWeRtYuIoPaSdFgHjKlZ" * 3 + "7xyzab"
+    got = secrets.find_secrets(docs_of([(1, f"token = {late} end"), (2, "x" * 200_000), (3, "y" * 200_000 + "1")])).collect()
+    assert sorted((r["doc_id"], r["begin"], r["length"]) for r in got) == [(1, 8, len(late)), (3, 0, 200_001)]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from vlprep.llm.common import small, stored
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9+/_-])|(?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/_-]{12,}={0,2})"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9+/_-])|(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}={0,2})"
 CREDENTIAL = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api.?key|access.?key|auth|bearer|credential)"
 HARMLESS = r"(?i)(sha\d*|md5|commit|uuid|isbn|digest|checksum|example|sample|dummy|test|phone|card|order)"
 #: Most labelled findings of each label that the forest is trained on.
