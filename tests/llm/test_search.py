@@ -72,7 +72,7 @@ def corpus(rng, n, vocabulary=400):
     return docs
 
 
-@pytest.mark.parametrize("short, block, segment, merge", [(128, 64, 500_000, 200_000), (10, 8, 3_000, 60), (0, 3, 700, 200_000)])
+@pytest.mark.parametrize("short, block, segment, merge", [(256, 128, 250_000, 200_000), (10, 8, 3_000, 60), (0, 3, 700, 200_000)])
 def test_against_brute_force(spark, docs_of, monkeypatch, short, block, segment, merge):
     for name, value in {"SHORT_LIST": short, "BLOCK": block, "SEGMENT_POSTINGS": segment, "QUERY_TERMS": merge}.items():
         monkeypatch.setattr(S, name, value)
@@ -85,7 +85,7 @@ def test_against_brute_force(spark, docs_of, monkeypatch, short, block, segment,
 
 def test_blocks_are_skipped_and_bounds_hold():
     rng = np.random.default_rng(7)
-    n, vocabulary = 2000, 30
+    n, vocabulary = 4000, 30
     sizes = rng.integers(5, vocabulary, n)
     terms = np.concatenate([np.sort(rng.choice(vocabulary, s, replace=False)) for s in sizes])
     values = rng.integers(1, 1000, len(terms)) * np.where(np.repeat(np.arange(n) % 50 == 0, sizes) & (terms < 10), 50, 1)  # a topic

@@ -29,11 +29,11 @@ from vlprep.llm.common import arrow_batches, seeds, steps, stored
 from vlprep.session import run_dir
 
 #: Postings of a segment; a document with more is a segment of its own.
-SEGMENT_POSTINGS = 500_000
+SEGMENT_POSTINGS = 250_000
 #: Lists up to this length are scored whole; longer ones have blocks.
-SHORT_LIST = 128
+SHORT_LIST = 256
 #: Documents of a block on average.
-BLOCK = 64
+BLOCK = 128
 #: Numbers in the sketch by which documents are compared.
 SKETCH = 16
 #: Terms of queries, repeats included, that are shipped at a time.
