@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,3 +211,56 @@ def test_resampling_without_broadcast_is_the_same(spark, monkeypatch):
     monkeypatch.setattr(session, "BROADCAST_ROWS", 1)
     monkeypatch.setattr(split, "BROADCAST_ROWS", 4)
     assert sorted(split.resample_shards(shards(spark), "shard", 25, 1).collect()) == sorted(plain)
+
+
+def test_nth_smallest(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(ranking, "FEW_ROWS", 5)
+    values = [int(v) for v in rng.integers(-(2**63), 2**63 - 1, 400)] + [2**63 - 1, -(2**63), 0, 0, 0, 7]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)] * 3, "v long").repartition(7)
+    keys = df.select(hash_key(1, "v").alias("v")).filter("v is not null")
+    texts = sorted(r.v for r in keys.collect())
+    for n in (1, 2, 17, 200, 404, 406):
+        assert ranking.nth_smallest(df, "v", n) == sorted(values)[n - 1]
+        assert ranking.nth_smallest(keys, "v", n) == texts[n - 1]
+    assert ranking.nth_smallest(df, "v", 407) is None and ranking.nth_smallest(df.limit(0), "v", 1) is None
+    assert ranking.nth_smallest(spark.range(10).select((F.col("id") % 3).alias("v")), "v", 5) == 1
+
+
+def test_halves_by_selection(spark):
+    df = spark.createDataFrame([(None, "n0"), (None, "n1")] + [(i * i, f"r{i}") for i in range(50)], "at long, name string")
+    for n in (0, 1, 2, 3, 30, 51, 52, 60):
+        head, tail = split.head_rows(df, "at", n), split.tail_from(df, "at", n)
+        assert head.count() == min(n, 52) and tail.count() == max(0, 52 - n)
+        if n > 2:
+            assert sorted(r.name for r in head.collect()) == sorted(["n0", "n1"] + [f"r{i}" for i in range(n - 2)][:50])
+            # a filter: no row is numbered or moved
+            plan = head._jdf.queryExecution().executedPlan().toString()
+            assert "Window" not in plan and "Exchange" not in plan
+
+
+def test_limits_of_ranges_need_no_merging_task(spark):
+    """Neither the limits nor the counts go through a task whose input grows with the number of tasks."""
+    seen = []
+    original = type(spark.range(1)).collect
+
+    def collect(self):
+        seen.append(self._jdf.queryExecution().executedPlan().toString())
+        return original(self)
+
+    df = spark.range(0, 10_000, 1, 40)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(df), "collect", collect)
+        ranking.int_buckets(df, "id")
+        ranking.nth_smallest(df, "id", 77)
+    assert seen and not any("SinglePartition" in p for p in seen)
+
+
+def test_padded_batches_compute_their_input_once(spark, sf):
+    from vlprep.plans.queries import QUERIES
+
+    for name in ("pad_and_mask", "captioning_batches"):
+        out = QUERIES[name](spark, sf)
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "ReusedExchange" in plan

@@ -76,7 +76,7 @@ def test_hot_word_is_counted_before_the_shuffle(spark):
     df = hot(spark).select(F.repeat(F.lit("the "), 20).alias("text"))
     vocab = tokens.build_vocab(df, "text", 10)
     assert [(r.word, r.n) for r in vocab.collect()] == [("the", N * 20)]
-    plan = vocab._jdf.queryExecution().executedPlan().toString()
+    plan = tokens.word_counts(df, "text")._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan
 
 

@@ -1,3 +1,4 @@
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,14 +66,40 @@ def test_vocabulary_order_and_encoding_paths(spark, monkeypatch):
     assert encoded("join") == expected
     # a vocabulary over the broadcast limit: its head by broadcast, its tail by shuffle
     monkeypatch.setattr(tokens, "BROADCAST_ROWS", 1)
-    monkeypatch.setattr(tokens, "fits", lambda df: False)
     assert encoded("auto") == expected
+    # words that the vocabulary can't hold are told apart before anything is shuffled
+    asked = spark.createDataFrame([(w,) for w in "abcdefghijklmnop"], "word string")
+    kept = {r.word for r in tokens.may_hold(asked, vocab).collect()}
+    assert {"a", "b", "c"} <= kept and len(kept) < 6
+    many = spark.range(5000).select(F.concat(F.lit("w"), "id").alias("word"))
+    assert tokens.may_hold(many, many).count() == 5000
+    assert tokens.may_hold(many.select(F.concat("word", F.lit("x")).alias("word")), many).count() < 50
     with pytest.raises(ValueError):
         encoded("lookup")
     # without row_id too: size never decides whether a call works
     assert {r.id: r.ids for r in tokens.encode(listed, "w", vocab, 9).collect()} == expected
 
 
+def test_vocabulary_of_ties(spark):
+    """Of the words with the border's count, the first by name; as many as fit."""
+    words = [w for i in range(40) for w in [f"w{i:02d}"] * (1 + i // 10)]
+    df = spark.createDataFrame([(" ".join(words),)], "text string")
+    ranked = sorted({w: words.count(w) for w in words}.items(), key=lambda x: (-x[1], x[0]))
+    for size in (0, 1, 9, 10, 11, 25, 40, 50):
+        got = [(r.word, r.n) for r in tokens.build_vocab(df, "text", size).orderBy("token_id").collect()]
+        assert got == ranked[:size]
+
+
+def test_long_lists_by_join(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "BROADCAST_ROWS", 3)
+    rng = random.Random(2)
+    vocab = spark.createDataFrame([(f"w{i}", i) for i in range(50)], "word string, token_id long")
+    rows = [(i, [rng.choice([f"w{rng.randrange(80)}", None, ""]) for _ in range(rng.choice([0, 1, 300]))]) for i in range(20)] + [(99, None)]
+    out = tokens.encode(spark.createDataFrame(rows, "id long, w array<string>"), "w", vocab, -1, "id", "join")
+    want = {i: None if ws is None else [int(w[1:]) if w and int(w[1:]) < 50 else -1 for w in ws] for i, ws in rows}
+    assert {r.id: r.ids for r in out.collect()} == want
+
+
 def test_lookup_keeps_sliced_and_null_rows_apart(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", text.words(F.col("text")).alias("w"))
     holes = docs.withColumn("w", F.when(F.col("doc_id") % 3 != 0, F.col("w")))

@@ -15,12 +15,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vlprep.config import BROADCAST_ROWS
 from vlprep.functions.keys import key_number
 
 HASH_DIGITS = 4
 HASH_BUCKETS = 16**HASH_DIGITS
 INT_BUCKETS = 4096
 ROWS_PER_BUCKET = 250_000
+#: Values drawn to set the limits of ranges.
+SAMPLE_ROWS = 1 << 17
+#: Groups in which counts of tasks are added up before they reach the driver.
+COUNT_GROUPS = 64
+#: A range with so many values is sorted on the driver.
+FEW_ROWS = 10_000
 
 _BEFORE = (W.unboundedPreceding, -1)
 
@@ -33,7 +40,8 @@ def _hash_bucket(key: str) -> Column:
     text = F.col(key)
     fault = F.raise_error(F.concat(F.lit(f"{key} is not a lower-case hex key: "), text)).cast("int")
     bucket = F.when(text.rlike(f"^[0-9a-f]{{{HASH_DIGITS},}}$"), key_number(text, HASH_DIGITS).cast("int")).otherwise(fault)
-    return F.when(text.isNull(), NULL_BUCKET).otherwise(bucket)
+    # never null, so that no plan adds a null check to one of two uses of it
+    return F.coalesce(F.when(text.isNotNull(), bucket), F.lit(NULL_BUCKET))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -46,16 +54,16 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 def int_buckets(df: DataFrame, order: str, n_buckets: int = INT_BUCKETS, rows_per_bucket: int = ROWS_PER_BUCKET):
     """Function adding column ``_bucket``: about equally full ranges of a whole number.
 
-    The limits come from one pass over the order column. They only set the
+    The limits come from about ``SAMPLE_ROWS`` values. They only set the
     balance; whatever they are, positions derived from them are exact. Ranges
     over ``rows_per_bucket`` rows are cut evenly, up to 65,536 ranges in all.
     """
-    # one literal, as thousands of them are slow to plan
-    shares = F.split(F.lit(",".join(str(i / n_buckets) for i in range(n_buckets + 1))), ",").cast("array<double>")
-    value = F.col(order).cast("double")
-    found = df.agg(F.count(order).alias("n"), F.percentile_approx(value, shares, 4 * n_buckets).alias("p")).first()
-    limits = np.unique(found["p"] or [])
-    parts = min(HASH_BUCKETS // n_buckets, -(-found["n"] // (n_buckets * rows_per_bucket)))
+    values = df.select(F.col(order).cast("bigint").alias("v")).filter("v IS NOT NULL")
+    n = row_count(values)
+    drawn = values.sample(SAMPLE_ROWS / n, seed=0) if n > SAMPLE_ROWS else values
+    drawn = np.sort(drawn.toArrow().column("v").to_numpy()).astype(float)
+    limits = np.unique(drawn[np.linspace(0, len(drawn) - 1, n_buckets + 1).astype(int)]) if len(drawn) else drawn
+    parts = min(HASH_BUCKETS // n_buckets, -(-n // (n_buckets * rows_per_bucket)))
     if parts > 1 and len(limits) > 1:
         limits = np.unique(np.interp(np.arange((len(limits) - 1) * parts + 1) / parts, np.arange(len(limits)), limits))
     splits = [-float("inf"), *limits.tolist()[1:-1], float("inf")]
@@ -70,6 +78,83 @@ def int_buckets(df: DataFrame, order: str, n_buckets: int = INT_BUCKETS, rows_pe
     return add
 
 
+def order_buckets(df: DataFrame, order: str):
+    """Function adding ``_bucket``, never null, which follows the order of a hash key or whole number."""
+    kind = df.schema[order].dataType
+    if isinstance(kind, T.StringType):
+        return lambda d: d.withColumn("_bucket", _hash_bucket(order))
+    if isinstance(kind, T.IntegralType):
+        return int_buckets(df, order)
+    raise ValueError(f"order column {order!r} must be a hash key or a whole number, is {kind.simpleString()}")
+
+
+def row_count(df: DataFrame) -> int:
+    """Number of rows; the counts of the tasks are added up in a few tasks, not in one."""
+    group = F.pmod(F.spark_partition_id(), F.lit(COUNT_GROUPS))
+    return sum(r["count"] for r in df.groupBy(group.alias("_group")).count().collect())
+
+
+def _extent(df: DataFrame, order: str) -> tuple[int, object, object]:
+    """Rows without ``order``, its smallest and its largest value."""
+    group = F.pmod(F.spark_partition_id(), F.lit(COUNT_GROUPS))
+    value = F.col(order)
+    found = df.groupBy(group.alias("_group")).agg(F.count_if(value.isNull()), F.min(value), F.max(value)).collect()
+    low, high = [r[2] for r in found if r[2] is not None], [r[3] for r in found if r[3] is not None]
+    return sum(r[1] for r in found), min(low, default=None), max(high, default=None)
+
+
+def _nth_range(counts: list[tuple], n: int) -> tuple[object, int, int]:
+    """The range that holds the ``n``-th value, the values before it, the values in it; ``counts`` are (range, values)."""
+    before = 0
+    for part, count in sorted(counts):
+        if before + count >= n:
+            return part, before, count
+        before += count
+    return None, before, 0
+
+
+def nth_smallest(df: DataFrame, order: str, n: int):
+    """The ``n``-th smallest value, from 1, of a whole number or a hash key; None if there are fewer.
+
+    Values are counted in at most 65,536 ranges, then the range that holds the
+    ``n``-th in ranges of its own, until it has few values. No row is shuffled, only counts are.
+    """
+    value = F.col(order)
+    values = df.select(value).filter(value.isNotNull())
+    text = isinstance(df.schema[order].dataType, T.StringType)
+    prefix, inside = "", values
+    if not text:
+        _, low, high = _extent(values, order)
+        if low is None:
+            return None
+    while True:
+        if text:
+            digits = F.substring(value, len(prefix) + 1, HASH_DIGITS)
+            counted = inside.groupBy(F.when(_hash_bucket(order) >= 0, digits).alias("_range"))
+        else:
+            width = (high - low) // HASH_BUCKETS + 1
+            kind = "decimal(38,0)" if high - low >= 1 << 62 else "bigint"
+            counted = inside.select(F.expr(f"(CAST(`{order}` AS {kind}) - CAST({low} AS {kind})) div CAST({width} AS {kind})").alias("_range")).groupBy("_range")
+        part, before, count = _nth_range([tuple(r) for r in counted.count().collect()], n)
+        if part is None:
+            return None
+        n -= before
+        if text:
+            prefix += part
+            inside = values.filter(value.startswith(prefix))
+            done = len(part) < HASH_DIGITS
+            last = prefix
+        else:
+            low, high = low + part * width, min(high, low + (part + 1) * width - 1)
+            inside = values.filter((value >= low) & (value <= high))
+            done = low == high
+            last = low
+        if done:
+            return last
+        if count <= FEW_ROWS:
+            return sorted(r[0] for r in inside.collect())[n - 1]
+
+
 def _starts(counted: DataFrame) -> DataFrame:
     """Start position of each ``_bucket``, and the total. One row per bucket meets here: 65,536 at most."""
     before = F.sum("_n").over(W.orderBy("_bucket").rowsBetween(*_BEFORE))
@@ -89,13 +174,7 @@ def exact_rank(df: DataFrame, order: str, out: str = "pos", dear: bool = False,
     a stored table whose ``order`` column is spread alike; whole-number ranges
     are then taken from it. ``total`` names a column for the number of rows.
     """
-    kind = df.schema[order].dataType
-    if isinstance(kind, T.StringType):
-        bucketed = df.withColumn("_bucket", _hash_bucket(order))
-    elif isinstance(kind, T.IntegralType):
-        bucketed = int_buckets(like if like is not None else df, order)(df)
-    else:
-        raise ValueError(f"order column {order!r} must be a hash key or a whole number, is {kind.simpleString()}")
+    bucketed = order_buckets(like if like is not None else df, order)(df)
     one = F.lit(1) if only is None else only.cast("int")
     if dear:
         bucketed = bucketed.repartition("_bucket")
@@ -164,20 +243,20 @@ def running_start(table: DataFrame, key: str, weight: str, out: str = "start") -
     )
 
 
-def name_index(names: DataFrame, name: str, out: str) -> DataFrame:
+def name_index(names: DataFrame, by: str | list, out: str, rows: int | None = None) -> DataFrame:
     """Number the rows of a table of distinct names in name order, from zero.
 
-    Up to ``BROADCAST_ROWS`` names are sorted together. Beyond that they are
-    range-partitioned and written once, and the partitions are counted.
+    ``by`` is a column, or a list of them. Up to ``BROADCAST_ROWS`` names are sorted
+    together. Beyond that they are range-partitioned and written once, and the partitions are counted. ``rows``
+    is an upper bound known beforehand; without one, the rows are counted.
     """
     from vlprep.session import cut, fits
 
-    if fits(names):
-        return names.withColumn(out, (F.row_number().over(W.orderBy(name)) - 1).cast("bigint"))
-    ranged = cut(
-        names.repartitionByRange(name).sortWithinPartitions(name).withColumn("_bucket", F.spark_partition_id())
-    )
-    here = F.row_number().over(W.partitionBy("_bucket").orderBy(name))
+    by = by if isinstance(by, list) else [by]
+    if rows <= BROADCAST_ROWS if rows is not None else fits(names):
+        return names.withColumn(out, (F.row_number().over(W.orderBy(*by)) - 1).cast("bigint"))
+    ranged = cut(names.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_bucket", F.spark_partition_id()))
+    here = F.row_number().over(W.partitionBy("_bucket").orderBy(*by))
     # Spark chooses the number of range partitions: as many as shuffle partitions
     starts = _starts(ranged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")))
     return (

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from vlprep.config import BROADCAST_ROWS, TEST_DIVISOR, VALIDATION_ROWS
 from vlprep.functions.keys import hash_key, key_choice, key_number
-from vlprep.operators.ranking import exact_rank, name_index, null_safe_join
-from vlprep.session import small
+from vlprep.operators.ranking import exact_rank, name_index, nth_smallest, null_safe_join, row_count
+from vlprep.session import cut, small
 
 _PPM = 1_000_000
 
@@ -26,14 +26,33 @@ def positional_split(df: DataFrame, row_id: str, val: int = VALIDATION_ROWS, tes
     return df.join(shuffled.select(row_id, split.alias("split")), row_id)
 
 
+def _halves(df: DataFrame, order: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """The first ``n`` rows by a unique ``order``, and the others.
+
+    Both are filters by the ``n``-th value, which counts alone give. Rows without an order come first, in no set order.
+    """
+    missing = F.col(order).isNull()
+    n_missing = row_count(df.filter(missing))
+    if n < n_missing:
+        placed = exact_rank(df.filter(missing), order, "_place")
+        head, rest = placed.filter(F.col("_place") < n).drop("_place"), placed.filter(F.col("_place") >= n).drop("_place")
+        return head, df.filter(~missing).unionByName(rest)
+    if n == n_missing:
+        return df.filter(missing), df.filter(~missing)
+    last = nth_smallest(df, order, n - n_missing)
+    if last is None:
+        return df, df.limit(0)
+    return df.filter(missing | (F.col(order) <= last)), df.filter(F.col(order) > last)
+
+
 def head_rows(df: DataFrame, order: str, n: int) -> DataFrame:
     """The first ``n`` rows by ``order``."""
-    return exact_rank(df, order, "_place").filter(F.col("_place") < n).drop("_place")
+    return _halves(df, order, n)[0]
 
 
 def tail_from(df: DataFrame, order: str, n: int) -> DataFrame:
     """The rows after the first ``n`` by ``order``."""
-    return exact_rank(df, order, "_place").filter(F.col("_place") >= n).drop("_place")
+    return _halves(df, order, n)[1]
 
 
 def split_shards(df: DataFrame, shard: str, val_fraction: float, seed=0) -> DataFrame:
@@ -44,8 +63,8 @@ def split_shards(df: DataFrame, shard: str, val_fraction: float, seed=0) -> Data
 
 
 def shard_table(df: DataFrame, shard: str, out: str = "shard_idx") -> DataFrame:
-    """Distinct shards numbered in name order."""
-    return name_index(df.select(shard).distinct(), shard, out)
+    """Distinct shards numbered in name order; they are written once, so that later uses don't read ``df`` again."""
+    return name_index(cut(df.select(shard).distinct()), shard, out)
 
 
 def assign_ranks(df: DataFrame, shard: str, world: int, workers: int = 1) -> DataFrame:

@@ -9,28 +9,35 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vlprep.config import BROADCAST_ROWS, SYSTEM_PROMPT, WORD_PATTERN
 from vlprep.functions.text import has_text, message, pick_prompt, render_chat, system_message, words
 from vlprep.operators.filters import filter_captions
-from vlprep.session import cut, fits, small
+from vlprep.operators.ranking import name_index, nth_smallest, row_count
+from vlprep.session import cut
+
+
+def word_counts(df: DataFrame, text: str, pattern: str = WORD_PATTERN) -> DataFrame:
+    """How often each word occurs: ``word``, ``n``."""
+    return df.select(F.explode(words(F.col(text), pattern)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def build_vocab(df: DataFrame, text: str, size: int, pattern: str = WORD_PATTERN) -> DataFrame:
     """The ``size`` most frequent words, numbered by (count descending, word).
 
-    Words are counted before they are shuffled. Only the ``size`` winners meet in one task.
+    Words are counted before they are shuffled, and the counts are written once. The
+    ``size``-th count is found by counting counts, so only words that often are numbered; of those
+    that have just this count, the first by name.
     """
-    counts = (
-        df.select(F.explode(words(F.col(text), pattern)).alias("word"))
-        .groupBy("word")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    top = counts.orderBy(F.desc("n"), "word").limit(size)
-    order = W.orderBy(F.desc("n"), "word")
-    return top.select("word", "n", (F.row_number().over(order) - 1).cast("bigint").alias("token_id"))
+    counts = cut(word_counts(df, text, pattern))
+    least = nth_smallest(counts.select((-F.col("n")).alias("n")), "n", size)
+    top = counts
+    if least is not None:
+        top = counts.filter(F.col("n") > -least)
+        ties, n_top = counts.filter(F.col("n") == -least), row_count(top)
+        top = top.unionByName(name_index(ties, "word", "_place").filter(F.col("_place") < size - n_top).drop("_place"))
+    return name_index(top, [F.desc("n"), F.col("word")], "token_id", size).select("word", "n", "token_id")
 
 
 def encode(df: DataFrame, tokens: str, vocab: DataFrame, unknown_id: int, row_id: str | None = None,
@@ -57,44 +64,76 @@ def encode(df: DataFrame, tokens: str, vocab: DataFrame, unknown_id: int, row_id
     return _encode_join(df, tokens, vocab, unknown_id, row_id, out)
 
 
-def _encode_lookup(df: DataFrame, tokens: str, rows: pd.DataFrame, unknown_id: int, out: str) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(
-        (rows["word"].tolist(), np.append(rows["token_id"].to_numpy(dtype="int32"), np.int32(unknown_id)))
-    )
+def _ids_of(df: DataFrame, tokens: str, rows: pd.DataFrame, unknown_id: int | None):
+    """Column of ids by a vocabulary shipped to the tasks, which index it once; other words get ``unknown_id``."""
+    shared = df.sparkSession.sparkContext.broadcast((rows["word"].tolist(), rows["token_id"].tolist()))
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known, numbers = shared.value
-        vocabulary = pa.array(known, pa.string())
+        place = dict(zip(reversed(known), reversed(numbers)))  # of a repeated word the first counts
         for column in batches:
-            found = pc.index_in(column.flatten(), value_set=vocabulary)
-            # a word not found takes the last number
-            places = pc.fill_null(found, len(known)).to_numpy(zero_copy_only=False)
+            # each distinct word of a batch is looked up once
+            found = column.flatten().dictionary_encode()
+            if pa.types.is_null(found.type.value_type):
+                found = pa.array([None] * len(found), pa.string()).dictionary_encode()
+            numbers_here = pa.array([place.get(w, unknown_id) for w in found.dictionary.to_pylist()] + [unknown_id], pa.int32())
+            flat = numbers_here.take(pc.fill_null(found.indices, len(numbers_here) - 1))
             lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
             offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
-            yield pa.ListArray.from_arrays(offsets, pa.array(numbers[places]), mask=pc.is_null(column))
+            yield pa.ListArray.from_arrays(offsets, flat, mask=pc.is_null(column))
+
+    return ids(F.col(tokens))
+
+
+def _encode_lookup(df: DataFrame, tokens: str, rows: pd.DataFrame, unknown_id: int, out: str) -> DataFrame:
+    return df.withColumn(out, _ids_of(df, tokens, rows, unknown_id))
 
-    return df.withColumn(out, ids(F.col(tokens)))
+
+#: Rows of the filter that tells which words a large vocabulary can hold; each has three times 63 bits.
+BLOOM_SLOTS = 1 << 17
+
+
+def _bloom_keys(word: str) -> dict:
+    bit = lambda seed: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(word, F.lit(seed)), F.lit(63)).cast("int"))
+    return {"_slot": F.pmod(F.xxhash64(word), F.lit(BLOOM_SLOTS)), "_b0": bit(1), "_b1": bit(2), "_b2": bit(3)}
+
+
+def may_hold(words_: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Rows whose ``word`` may be in ``vocab``: all that are, and few others. Nothing of ``words_`` is shuffled."""
+    bits = vocab.select("word").withColumns(_bloom_keys("word"))
+    slots = bits.groupBy("_slot").agg(*[F.bit_or(f"_b{i}").alias(f"_m{i}") for i in range(3)])  # BLOOM_SLOTS rows at most
+    near = words_.withColumns(_bloom_keys("word")).join(F.broadcast(slots), "_slot")
+    fits_all = [F.col(f"_m{i}").bitwiseAND(F.col(f"_b{i}")) != 0 for i in range(3)]
+    return near.filter(fits_all[0] & fits_all[1] & fits_all[2]).select(*words_.columns)
 
 
 def _encode_join(df: DataFrame, tokens: str, vocab: DataFrame, unknown_id: int, row_id: str, out: str) -> DataFrame:
-    # Ids follow frequency, so the hot words are the lowest ids: those are
-    # broadcast (unless a vocabulary of the user's own repeats them), and what is left for the shuffle join has no hot key.
-    head = vocab.filter(F.col("token_id") < BROADCAST_ROWS).select("word", F.col("token_id").alias("_id"))
-    each = df.select(row_id, F.posexplode(tokens).alias("_at", "word")).join(small(head), "word", "left")
-    if not fits(vocab):
-        tail = vocab.filter(F.col("token_id") >= BROADCAST_ROWS).select("word", F.col("token_id").alias("_tail"))
-        # unknown words may be hot too: one lookup per distinct word and row
-        rest = each.filter(F.col("_id").isNull()).groupBy("word", row_id).agg(F.collect_list("_at").alias("_ats"))
-        miss = rest.join(tail, "word", "left").select(row_id, F.explode("_ats").alias("_at"), F.col("_tail").alias("_id"))
-        each = each.filter(F.col("_id").isNotNull()).select(row_id, "_at", "_id").unionByName(miss)
-    lists = (
-        each.groupBy(row_id)
-        .agg(F.sort_array(F.collect_list(F.struct("_at", F.coalesce("_id", F.lit(unknown_id)).cast("int").alias("_id")))).alias("_list"))
-        .select(row_id, F.col("_list._id").alias(out))
-    )
-    empty = F.when(F.col(tokens).isNotNull(), F.array().cast("array<int>"))
-    return df.join(lists, row_id, "left").withColumn(out, F.coalesce(F.col(out), empty))
+    # Ids follow frequency, so the hot words are the lowest ids: those are shipped (unless
+    # a vocabulary of the user's own repeats them), and what is left for the shuffle has no hot key. Words that
+    # no vocabulary holds stay where they are. The texts are read once.
+    head = vocab.filter(F.col("token_id") < BROADCAST_ROWS).select("word", "token_id").limit(BROADCAST_ROWS + 1).toPandas()
+    tail = vocab.filter(F.col("token_id") >= BROADCAST_ROWS)
+    if len(head) > BROADCAST_ROWS:
+        head, tail = head[:0], vocab
+    found = cut(df.withColumn("_ids", _ids_of(df, tokens, head, None)))
+    each = found.select(row_id, "_ids", F.posexplode(tokens).alias("_at", "word")).filter(F.get("_ids", F.col("_at")).isNull())
+    rest = may_hold(each.filter(F.col("word").isNotNull()).select(row_id, "_at", "word"), tail)
+    # one lookup per distinct word and row
+    asked = rest.groupBy("word", row_id).agg(F.collect_list("_at").alias("_ats"))
+    known = asked.join(tail.select("word", F.col("token_id").cast("int").alias("_id")), "word").select(row_id, F.explode("_ats").alias("_at"), "_id")
+    more = known.groupBy(row_id).agg(F.collect_list(F.struct("_at", "_id")).alias("_more")).select(row_id, "_more._at", "_more._id")
+
+    @F.arrow_udf("array<int>")
+    def filled(ids: pa.Array, at: pa.Array, found_ids: pa.Array) -> pa.Array:
+        lengths = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths)
+        flat = pc.fill_null(ids.flatten(), unknown_id).to_numpy(zero_copy_only=False).copy()
+        counts = pc.fill_null(pc.list_value_length(at), 0).to_numpy(zero_copy_only=False)
+        flat[np.repeat(ends - lengths, counts) + at.flatten().to_numpy(zero_copy_only=False)] = found_ids.flatten().to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat, pa.int32()), mask=pc.is_null(ids))
+
+    return found.join(more, row_id, "left").withColumn(out, filled("_ids", "_at", "_id")).drop("_ids", "_at", "_id")
 
 
 def caption_tokens(df: DataFrame, text: str, pattern: str = WORD_PATTERN, out: str = "tokens") -> DataFrame:
