@@ -1,3 +1,4 @@
+import hashlib
 import io
 import json
 import os
@@ -6,12 +7,15 @@ import tarfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vlprep.config import SplitPaths
-from vlprep.operators import images, split
+from vlprep.operators import images, split, tokens
 from vlprep.sources import tables, tarshards
+from vlprep.streaming import jobs
 
 
 def add(tar, name, data):
@@ -123,18 +127,158 @@ def test_write_read_identity_and_shard_sizes(spark, tmp_path):
     df = spark.range(25).select("id", F.format_string("%05d", "id").alias("key"), F.encode(F.repeat(F.lit("z"), F.col("id").cast("int")), "utf-8").alias("jpg"),
                                 F.to_json(F.struct(F.concat(F.lit("c"), "id").alias("caption"))).alias("json"))
     tarshards.write_shards(df, path, "id", rows_per_shard=10)
-    assert sorted(os.listdir(path)) == ["000000.tar", "000001.tar", "000002.tar"]
+    names = shard_files(path)
+    assert [n[:10] for n in names] == ["000000000-", "000000001-", "000000002-"]
     back = tarshards.with_captions(tarshards.read_shards(spark, path, on_error="fail")).orderBy("key").collect()
     assert [(r.key, len(r.jpg), r.caption) for r in back] == [(f"{i:05d}", i, f"c{i}") for i in range(25)]
-    assert {os.path.basename(r.shard) for r in back[10:20]} == {"000001.tar"}
-    with tarfile.open(f"{path}/000001.tar") as plain:
+    assert {os.path.basename(r.shard) for r in back[10:20]} == {names[1]}
+    with tarfile.open(f"{path}/{names[1]}") as plain:
         assert plain.getnames() == [f"{i:05d}.{m}" for i in range(10, 20) for m in ("jpg", "json")]
         assert plain.extractfile("00012.json").read() == b'{"caption":"c12"}'
     with pytest.raises(Exception, match="shards exist already"):
         tarshards.write_shards(df, path, "id", rows_per_shard=10)
-    assert sorted(os.listdir(path)) == ["000000.tar", "000001.tar", "000002.tar"]
+    assert listed(path) == names and tarshards.read_shards(spark, path).count() == 25
     tarshards.write_shards(df.limit(5), path, "id", rows_per_shard=10, mode="overwrite")
-    assert os.listdir(path) == ["000000.tar"]
+    assert len(listed(path)) == 1 and tarshards.read_shards(spark, f"{path}/*.tar").count() == 5
+    assert tarshards.remove_unlisted(spark, path) == []
+    assert set(tarshards.remove_unlisted(spark, path, older_than=0)) >= set(names)
+    assert shard_files(path) == listed(path)
+
+
+def shard_files(path):
+    return sorted(n for n in os.listdir(path) if n.endswith(".tar"))
+
+
+def listed(path):
+    with open(f"{path}/_shards.json") as source:
+        return [n for n, _, _ in json.load(source)["shards"]]
+
+
+def test_shards_by_hash_key_and_one_shuffle_of_the_samples(spark, tmp_path):
+    df = spark.range(300).select(F.md5(F.col("id").cast("string")).alias("at"), F.format_string("%05d", "id").alias("key"), F.lit(b"z").alias("jpg")).repartition(5)
+    tarshards.write_shards(df, f"{tmp_path}/a", "at", rows_per_shard=64)
+    rows = tarshards.read_shards(spark, f"{tmp_path}/a", columns="jpg").collect()
+    order = sorted(range(300), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    assert len(rows) == 300 and {r.key: int(os.path.basename(r.shard)[:9]) for r in rows} == {f"{i:05d}": n // 64 for n, i in enumerate(order)}
+    plan = tarshards.place_in_shards(df, "at", 64)._jdf.queryExecution().executedPlan().toString()
+    # what is exchanged on the way to the shard numbers holds no sample
+    for line in plan.splitlines():
+        assert not ("Exchange" in line and "jpg" in line)
+    parts = tarshards.place_in_shards(df, "at", 64).repartition("shard_idx")._jdf.queryExecution().optimizedPlan().toString()
+    assert parts.count("RepartitionByExpression") == 1
+
+
+def test_rows_without_an_order_are_written(spark, tmp_path):
+    df = spark.createDataFrame([(None, "n0", b"a"), (None, "n1", b"b"), *[(i, f"k{i}", b"c") for i in range(5)]], "at long, key string, jpg binary")
+    tarshards.write_shards(df, f"{tmp_path}/a", "at", rows_per_shard=3)
+    rows = tarshards.read_shards(spark, f"{tmp_path}/a", columns="jpg").collect()
+    assert sorted(r.key for r in rows) == ["k0", "k1", "k2", "k3", "k4", "n0", "n1"]
+
+
+def read_all(path, split_bytes, marks=(), on_error="skip"):
+    options = {"path": str(path), "split_bytes": str(split_bytes), "on_error": on_error, "columns": "jpg,json"}
+    reader = tarshards.TarShardReader(options, tarshards.TarShards(options).schema())
+    parts = tarshards.ranges_of([tarshards.Shard(str(path), os.path.getsize(path), tuple(marks))], split_bytes)
+    rows = [row for part in parts for batch in reader.read(part) for row in batch.to_pylist()]
+    good = [(r["key"], r["jpg"], r["json"]) for r in rows if r["error"] is None]
+    return len(parts), good, sorted(r["error"] for r in rows if r["error"] is not None)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_damaged_shards_give_the_same_samples_however_they_are_cut(tmp_path, seed):
+    rng = np.random.default_rng(seed)
+    samples = [(f"{'long-' * 60 if i % 7 == 3 else ''}{i:05d}", {"jpg": rng.bytes(int(rng.integers(0, 9000))), "json": b"{}"}) for i in range(60)]
+    write_tar(tmp_path / "x.tar", samples, tarfile.GNU_FORMAT if seed % 2 else tarfile.PAX_FORMAT)
+    data = bytearray((tmp_path / "x.tar").read_bytes())
+    for _ in range(seed // 2):
+        at, n = int(rng.integers(0, len(data) - 20_000)), int(rng.integers(1, 20_000))
+        data[at : at + n] = bytes(n) if rng.integers(2) else rng.bytes(n)
+    for _ in range(seed // 3):  # single headers, and blank ones
+        at = int(rng.integers(0, len(data) // 512)) * 512
+        data[at : at + 512] = bytes(512) if rng.integers(2) else rng.bytes(512)
+    if seed % 4 == 3:
+        data = data[: int(len(data) * 0.8)]
+    (tmp_path / "x.tar").write_bytes(bytes(data))
+    _, want, faults = read_all(tmp_path / "x.tar", 0)
+    assert len(want) > 20 and (faults or seed < 2)
+    for split_bytes in (512, 5_000, 40_000, 1 << 20):
+        n, got, found = read_all(tmp_path / "x.tar", split_bytes)
+        assert got == want and found == faults
+        assert n > 1 or split_bytes >= len(data)
+
+
+def test_marked_shards_are_cut_at_marks_whatever_their_members_hold(spark, tmp_path):
+    inner = io.BytesIO()
+    with tarfile.open(fileobj=inner, mode="w") as tar:
+        for i in range(5):
+            add(tar, f"{i}.json", b"{}" * 300)
+    rows = [(i, f"{i:04d}", inner.getvalue() + bytes(512 * i), "{}") for i in range(30)]
+    df = spark.createDataFrame(rows, "at long, key string, jpg binary, json string")
+    tarshards.write_shards(df, f"{tmp_path}/a", "at", rows_per_shard=100, mark_bytes=20_000)
+    (shard,) = tarshards.find_shards(f"{tmp_path}/a")
+    assert len(shard.marks) > 5 and all(b - a >= 20_000 for a, b in zip((0, *shard.marks), shard.marks))
+    want = [(k, j, t) for _, k, j, t in rows]
+    for split_bytes in (1, 30_000, 100_000, 0):
+        n, got, faults = read_all(shard.path, split_bytes, shard.marks)
+        assert got == want and not faults and (n > 1 or split_bytes == 0)
+    back = tarshards.read_shards(spark, f"{tmp_path}/a", split_bytes=30_000).collect()
+    assert sorted((r.key, bytes(r.jpg), r.json) for r in back) == want
+
+
+def test_lost_attempts_are_not_seen(spark, tmp_path):
+    options = {"path": f"{tmp_path}/a"}
+    schema = T.StructType([T.StructField("shard_idx", T.LongType()), T.StructField("key", T.StringType()), T.StructField("json", T.StringType())])
+    writer = tarshards.TarShardWriter(options, schema, False)
+    batch = lambda k: iter([pa.RecordBatch.from_pylist([{"shard_idx": 0, "key": k, "json": "{}"}])])
+    lost, won = writer.write(batch("lost")), writer.write(batch("won"))
+    assert len(shard_files(tmp_path / "a")) == 2 and lost.shards != won.shards
+    writer.commit([won, None])
+    assert [r.key for r in tarshards.read_shards(spark, f"{tmp_path}/a", columns="json").collect()] == ["won"]
+    with pytest.raises(ValueError, match="two tasks"):
+        tarshards.TarShardWriter(options, schema, True).commit([lost, won])
+    writer.abort([won])
+    assert len(shard_files(tmp_path / "a")) == 1
+
+
+def test_stream_of_shards_equals_batch_and_reads_none_twice(spark, tmp_path):
+    folder, log, out, state = (f"{tmp_path}/{n}" for n in ("in", "log", "out", "state"))
+    os.mkdir(folder)
+
+    def run():
+        stream = tarshards.with_captions(tarshards.good_samples(tarshards.stream_shards(spark, folder, log, split_bytes=3000)))
+        jobs.stream_prepare(stream, out, state, text="caption").awaitTermination()
+
+    captions = [f"two words {i}" for i in range(20)]
+    write_tar(f"{folder}/m.tar", [sample(i, captions[i], 900) for i in range(10)])
+    run()
+    assert spark.read.parquet(out).count() == 10
+    run()  # nothing new
+    write_tar(f"{folder}/b.tar", [sample(i, captions[i]) for i in range(10, 15)])  # sorts before the one that was read
+    write_tar(f"{folder}/z.tar", [sample(15, "single"), sample(16, None)])
+    run()
+    batch = tokens.caption_tokens(tarshards.with_captions(tarshards.good_samples(tarshards.read_shards(spark, folder))), "caption")
+    fields = ["shard", "key", "caption", "tokens"]
+    got = sorted(map(tuple, spark.read.parquet(out).select(*fields).collect()))
+    assert got == sorted(map(tuple, batch.select(*fields).collect())) and len(got) == 16
+
+
+def test_admissions_outlive_a_restart(tmp_path):
+    for n in "abc":
+        write_tar(tmp_path / f"{n}.tar", [sample(1)])
+    options = {"path": f"{tmp_path}/*.tar", "log": f"{tmp_path}/log", "max_shards": "2"}
+    reader = lambda: tarshards.TarShardStreamReader(options, tarshards.TarShards(options).schema())
+    names = lambda r, a, b: [os.path.basename(p.path) for p in r.partitions({"admitted": a}, {"admitted": b})]
+    first = reader()
+    assert first.initialOffset() == {"admitted": 0} and first.latestOffset() == {"admitted": 1}
+    # lost before its offset was kept: the admission stands
+    again = reader()
+    assert again.latestOffset() == {"admitted": 2} and names(again, 0, 1) == ["a.tar", "b.tar"] and names(again, 1, 2) == ["c.tar"]
+    assert reader().latestOffset() == {"admitted": 2}
+    write_tar(tmp_path / "0.tar", [sample(1)])
+    last = reader()
+    assert last.latestOffset() == {"admitted": 3} and names(last, 0, 3) == ["a.tar", "b.tar", "c.tar", "0.tar"]
+    with pytest.raises(ValueError, match="lacks admission"):
+        last.partitions({"admitted": 0}, {"admitted": 9})
 
 
 def test_read_split(spark, shards, tmp_path):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -44,6 +45,14 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/vlprep-{name}-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the cluster's default file system where it names none."""
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    if re.match(r"^[a-z][a-z0-9+.-]*:", path) or default.startswith("file:"):
+        return path
+    return f"{default.rstrip('/')}/{path.lstrip('/')}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once, so that later passes reread it."""
     shared_dir(df.sparkSession)

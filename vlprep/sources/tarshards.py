@@ -1,43 +1,67 @@
-"""Tar shards of samples as a Spark data source.
+"""Tar shards of samples as a Spark data source, for tables and streams.
 
 A sample is a run of members that share a key: the member name up to the first
-dot of its last part. Every shard is read by at least one task; shards over
-``split_bytes`` by several, each beginning at the first member of its range.
+dot of its last part. Every shard is read by at least one task, shards over
+``split_bytes`` by several.
+
+Shards written here are listed in the folder's manifest, with marks: places where a sample begins, some
+megabytes apart. Such shards are cut at marks. Others are cut anywhere, and a task finds
+the last header before its range. Members that are tar files themselves hold headers too: read
+such shards with ``split_bytes=0`` unless they have marks.
+
+Damage is treated alike however a shard is cut: reading goes on at the next block that is a valid header, the
+sample before it ends there, and one row tells of the error.
 """
 
 from __future__ import annotations
 
 import fnmatch
 import io
+import json
 import re
 import tarfile
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
+    DataSourceStreamReader,
     InputPartition,
     WriterCommitMessage,
 )
 
 from vlprep.functions.text import json_member
-from vlprep.operators.ranking import exact_rank
+from vlprep.operators.ranking import NULL_BUCKET, exact_rank, order_buckets
+from vlprep.session import qualified, small
 
 BLOCK = tarfile.BLOCKSIZE
 TEXT_MEMBERS = ("json", "txt", "cls")
 SPLIT_BYTES = 512 << 20
+#: Least distance of two marks of a shard.
+MARK_BYTES = 16 << 20
 ROWS_PER_ARROW_BATCH = 256
 BYTES_PER_ARROW_BATCH = 32 << 20
-LONG_NAMES = (tarfile.GNUTYPE_LONGNAME, tarfile.GNUTYPE_LONGLINK, tarfile.XHDTYPE, tarfile.XGLTYPE)
-LONG_NAME_BLOCKS = 32
+WINDOW = BLOCK * 2048
+MANIFEST = "_shards.json"
+#: Names that the writer gives; such a shard is there once a manifest lists it.
+_ATTEMPT = re.compile(r"^\d{9,}-[0-9a-f]{12}\.tar$")
+
+
+class Shard(NamedTuple):
+    path: str
+    size: int
+    marks: tuple[int, ...] = ()
 
 
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -51,20 +75,54 @@ def _segments_match(path: str, pattern: str) -> bool:
     return len(names) == len(wanted) and all(fnmatch.fnmatchcase(n, w) for n, w in zip(names, wanted))
 
 
-def find_shards(pattern: str) -> list[tuple[str, int]]:
-    """Sorted paths and sizes of the files a pattern, folder or file name stands for."""
+def _read_json(files: pafs.FileSystem, path: str):
+    """Content of a JSON file; None if there is none."""
+    if files.get_file_info(path).type != pafs.FileType.File:
+        return None
+    with files.open_input_stream(path) as source:
+        return json.loads(source.read())
+
+
+def _write_json(files: pafs.FileSystem, path: str, value) -> None:
+    """Write a file at once: it is there as a whole or not at all."""
+    folder, _, name = path.rpartition("/")
+    draft = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    with files.open_output_stream(draft) as sink:
+        sink.write(json.dumps(value, separators=(",", ":")).encode())
+    files.move(draft, path)
+
+
+def _listed(files: pafs.FileSystem, folder: str) -> dict[str, Shard] | None:
+    """Shards of a folder's manifest by name; None without one."""
+    found = _read_json(files, f"{folder}/{MANIFEST}")
+    return None if found is None else {n: Shard(f"{folder}/{n}", size, tuple(marks)) for n, size, marks in found["shards"]}
+
+
+def find_shards(pattern: str) -> list[Shard]:
+    """Sorted shards that a pattern, folder or file name stands for. Where a folder has a manifest, only listed files count."""
     files, path = _filesystem(pattern)
     if not any(c in path for c in "*?["):
         info = files.get_file_info(path)
         if info.type == pafs.FileType.File:
-            return [(path, info.size)]
+            listed = _listed(files, path.rpartition("/")[0]) or {}
+            return [listed.get(path.rpartition("/")[2], Shard(path, info.size))]
         path = f"{path.rstrip('/')}/*.tar"
     base = path[: re.search(r"[*?\[]", path).start()].rpartition("/")[0] or "/"
     if files.get_file_info(base).type != pafs.FileType.Directory:
         return []
     deep = "/" in path[len(base) :].strip("/")
     found = files.get_file_info(pafs.FileSelector(base, recursive=deep))
-    return sorted((f.path, f.size) for f in found if f.type == pafs.FileType.File and _segments_match(f.path, path))
+    matching = [f for f in found if f.type == pafs.FileType.File and _segments_match(f.path, path)]
+    manifests = {folder: _listed(files, folder) for folder in {f.path.rpartition("/")[0] for f in matching}}
+    out = []
+    for f in matching:
+        folder, _, name = f.path.rpartition("/")
+        listed = manifests[folder]
+        if listed is None and not _ATTEMPT.match(name):
+            out.append(Shard(f.path, f.size))
+        elif listed is not None and name in listed:
+            out.append(listed[name])
+    return sorted(out)
 
 
 @dataclass
@@ -72,36 +130,115 @@ class ShardRange(InputPartition):
     path: str
     start: int
     end: int
+    marked: bool = False  # begins and ends where samples do
 
 
-def _header(block: bytes) -> tarfile.TarInfo:
-    return tarfile.TarInfo.frombuf(block, "utf-8", "surrogateescape")
+def ranges_of(shards: list[Shard], split_bytes: int) -> list[ShardRange]:
+    """Ranges of about ``split_bytes`` of some shards, whole shards for 0."""
+    parts: list[ShardRange] = []
+    for path, size, marks in shards:
+        step = split_bytes if 0 < split_bytes < size else max(size, 1)
+        cuts = list(range(0, max(size, 1), step))
+        if marks and len(cuts) > 1:
+            cuts = [0]
+            for mark in marks:
+                if mark - cuts[-1] >= step:
+                    cuts.append(mark)
+        ends = [*cuts[1:], size]
+        parts += [ShardRange(path, a, b, bool(marks)) for a, b in zip(cuts, ends)]
+    return parts
 
 
 def _step(info: tarfile.TarInfo) -> int:
     return BLOCK + -(-info.size // BLOCK) * BLOCK
 
 
+def _header(block: bytes, old: bool = False) -> tarfile.TarInfo | None:
+    """The header that a block is, by its magic word and checksum; ``old`` headers have no magic word."""
+    if len(block) < BLOCK or not (old or block[257:262] == b"ustar"):
+        return None
+    try:
+        return tarfile.TarInfo.frombuf(block, "utf-8", "surrogateescape")
+    except tarfile.HeaderError:
+        return None
+
+
 def _pax_path(data: bytes) -> str | None:
     found = re.search(rb"(?:^|\n)\d+ path=([^\n]*)\n", data)
     return found.group(1).decode("utf-8", "surrogateescape") if found else None
 
 
-def _members(handle, offset: int, total: int) -> Iterator[tuple[int, str, int, int]]:
-    """(start, name, data offset, size) of the files from ``offset`` on; damage raises."""
-    start, name = None, None
-    while True:
+class Member(NamedTuple):
+    start: int  # of its long name, if it has one
+    name: str
+    data: int
+    size: int
+
+
+class Gap(NamedTuple):
+    start: int
+    after: int  # where the header before it begins
+    fault: str | None  # None for blank blocks, as between shards put together
+
+
+def _next_header(handle, offset: int, size: int) -> tuple[int | None, bool]:
+    """The first header from ``offset`` on, and whether all before it is blank."""
+    blank = True
+    while offset < size:
         handle.seek(offset)
-        block = handle.read(BLOCK) if offset < total else b""
-        if not block.strip(b"\0"):
-            if start is not None:
-                raise tarfile.ReadError("shard ends after a long name")
+        window = handle.read(WINDOW)
+        at = window.find(b"ustar", 257)
+        while at >= 0:
+            begin = at - 257
+            if begin % BLOCK == 0 and _header(window[begin : begin + BLOCK]):
+                return offset + begin, blank and not window[:begin].strip(b"\0")
+            at = window.find(b"ustar", at + 1)
+        blank = blank and not window.strip(b"\0")
+        offset += WINDOW
+    return None, blank
+
+
+def _last_header(handle, before: int) -> int:
+    """The last header that begins before ``before``; 0 if there is none."""
+    end = -(-before // BLOCK) * BLOCK
+    while end > 0:
+        begin = max(0, end - WINDOW)
+        handle.seek(begin)
+        window = handle.read(end - begin)
+        at = window.rfind(b"ustar")
+        while at >= 0:
+            place = at - 257
+            if place >= 0 and place % BLOCK == 0 and _header(window[place : place + BLOCK]):
+                return begin + place
+            at = window.rfind(b"ustar", 0, at + 4)
+        end = begin
+    return 0
+
+
+def _walk(handle, offset: int, size: int, old: bool) -> Iterator[Member | Gap]:
+    """Files and gaps from ``offset`` on, in order."""
+    start = name = None
+    last = offset
+    while offset < size:
+        handle.seek(offset)
+        block = handle.read(BLOCK)
+        info = _header(block, old)
+        if info is None:
+            follows, blank = _next_header(handle, offset, size)
+            dangling = start is not None
+            if dangling or not blank:
+                yield Gap(offset, last, "a long name without its member" if dangling else "shard ends inside a header" if len(block) < BLOCK else "not a header")
+            elif follows is not None:
+                yield Gap(offset, last, None)
+            if follows is None:
+                return
+            start = name = None
+            offset = follows
+            continue
+        if offset + _step(info) > size:
+            yield Gap(offset, offset, "shard ends inside a member")
             return
-        if len(block) < BLOCK:
-            raise tarfile.ReadError("shard ends inside a header")
-        info = _header(block)
-        if offset + _step(info) > total:
-            raise tarfile.ReadError("shard ends inside a member")
+        last = offset
         if info.type in (tarfile.GNUTYPE_LONGNAME, tarfile.XHDTYPE):
             data = handle.read(info.size)
             long = data.rstrip(b"\0").decode("utf-8", "surrogateescape") if info.type == tarfile.GNUTYPE_LONGNAME else _pax_path(data)
@@ -110,49 +247,11 @@ def _members(handle, offset: int, total: int) -> Iterator[tuple[int, str, int, i
             start = offset if start is None else start
         else:
             if info.isreg():
-                yield (offset if start is None else start), name or info.name, offset + BLOCK, info.size
+                yield Member(offset if start is None else start, name or info.name, offset + BLOCK, info.size)
             start, name = None, None
         offset += _step(info)
-
-
-def _is_header(block: bytes) -> bool:
-    if len(block) < BLOCK or block[257:262] != b"ustar":
-        return False
-    try:
-        _header(block)
-    except tarfile.HeaderError:
-        return False
-    return True
-
-
-def _first_header(handle, start: int, size: int) -> int | None:
-    """The first header at or after ``start``: it and the one it leads to must both be valid."""
-    offset = -(-start // BLOCK) * BLOCK
-    while offset < size:
-        handle.seek(offset)
-        window = handle.read(BLOCK * 2048)
-        for at in range(0, len(window) - BLOCK + 1, BLOCK):
-            block = window[at : at + BLOCK]
-            if _is_header(block):
-                handle.seek(offset + at + _step(_header(block)))
-                following = handle.read(BLOCK)
-                if not following.strip(b"\0") or _is_header(following):
-                    return offset + at
-        offset += BLOCK * 2048
-    return None
-
-
-def _named_from(handle, offset: int) -> int:
-    """Where the member of a header begins: at the long name in front of it, if there is one."""
-    for back in range(1, LONG_NAME_BLOCKS + 1):
-        before = offset - back * BLOCK
-        if before < 0:
-            break
-        handle.seek(before)
-        block = handle.read(BLOCK)
-        if _is_header(block) and _header(block).type in LONG_NAMES and before + _step(_header(block)) == offset:
-            return _named_from(handle, before)
-    return offset
+    if start is not None:
+        yield Gap(size, last, "a long name without its member")
 
 
 def _split_name(name: str) -> tuple[str, str]:
@@ -161,55 +260,58 @@ def _split_name(name: str) -> tuple[str, str]:
     return f"{folder}{slash}{stem}", extension.lower()
 
 
-def _samples(handle, part: ShardRange, size: int, columns: list[str]) -> Iterator[tuple[str, dict[str, bytes]]]:
-    """Samples of a range: those after the one its first member belongs to, up to and
-    including the one the first member past its end belongs to. The range at the
-    start of a shard keeps its first sample. So each sample has exactly one range.
+def _samples(handle, part: ShardRange, size: int, columns: list[str]) -> Iterator[tuple[str | None, dict[str, bytes], str | None]]:
+    """(key, members, None) of the samples of a range, and (None, {}, fault) of the gaps.
+
+    A range that is cut anywhere gives the samples after the one its first member belongs to, up to and
+    including the one the first member past its end belongs to. The range at the start of a shard keeps its
+    first sample. So each sample has exactly one range. A gap belongs to the range of the header before it, and ends a sample.
     """
-    if part.start > 0 or part.end < size:
-        handle.seek(0)
-        if not _is_header(handle.read(BLOCK)):
-            # no marks to find members by: the first range takes the whole shard
-            if part.start > 0:
+    handle.seek(0)
+    block = handle.read(BLOCK)
+    old = _header(block) is None and _header(block, True) is not None
+    if old and not part.marked:
+        # no marks to find members by: the first range takes the whole shard
+        if part.start > 0:
+            return
+        part = ShardRange(part.path, 0, size)
+    skipping = part.start > 0 and not part.marked
+    foreign, key, sample, last = None, None, {}, False
+    for item in _walk(handle, _last_header(handle, part.start) if skipping else part.start, size, old):
+        if part.marked and item.start >= part.end:
+            break
+        if item.start < part.start:
+            continue
+        if isinstance(item, Gap):
+            if key is not None:
+                yield key, sample, None
+                key = None
+            if item.fault and part.start <= item.after < part.end:
+                yield None, {}, item.fault
+            if last:
                 return
-            part = ShardRange(part.path, 0, size)
-    whole_start = part.start == 0
-    offset = 0 if whole_start else _first_header(handle, part.start, size)
-    if offset is None or offset >= part.end:
-        return
-    offset = offset if whole_start else _named_from(handle, offset)
-    foreign, skipping = None, not whole_start
-    key, sample, last = None, {}, False
-    try:
-        for start, name, data, length in _members(handle, offset, size):
-            if start < part.start:
+            skipping = skipping and foreign is None
+            continue
+        this, extension = _split_name(item.name)
+        if skipping:
+            foreign = this if foreign is None else foreign
+            if this == foreign and item.start < part.end:
                 continue
-            this, extension = _split_name(name)
-            if skipping:
-                foreign = this if foreign is None else foreign
-                if this == foreign and start < part.end:
-                    continue
-                if this == foreign:
-                    return
-                skipping = False
-            if this != key:
-                if key is not None:
-                    yield key, sample
-                if last:
-                    key = None
-                    return
-                key, sample = this, {}
-            last = last or start >= part.end
-            if extension in columns:
-                handle.seek(data)
-                sample[extension] = handle.read(length)
-    except tarfile.TarError:
-        # what was read before the damage counts
-        if key is not None:
-            yield key, sample
-        raise
+            if this == foreign:
+                return
+            skipping = False
+        if this != key:
+            if key is not None:
+                yield key, sample, None
+            if last:
+                return
+            key, sample = this, {}
+        last = last or item.start >= part.end
+        if extension in columns:
+            handle.seek(item.data)
+            sample[extension] = handle.read(item.size)
     if key is not None:
-        yield key, sample
+        yield key, sample, None
 
 
 class TarShardReader(DataSourceReader):
@@ -224,11 +326,7 @@ class TarShardReader(DataSourceReader):
         shards = find_shards(self.pattern)
         if not shards:
             raise ValueError(f"no shards match {self.pattern!r}")
-        parts: list[InputPartition] = []
-        for path, size in shards:
-            step = self.split_bytes if 0 < self.split_bytes < size else max(size, 1)
-            parts += [ShardRange(path, s, min(s + step, size)) for s in range(0, max(size, 1), step)]
-        return parts
+        return ranges_of(shards, self.split_bytes)
 
     def _row(self, path: str, key, sample: dict, error) -> dict:
         row = {"shard": path, "key": key, "error": error}
@@ -249,8 +347,10 @@ class TarShardReader(DataSourceReader):
             with files.open_input_file(partition.path) as raw:
                 size = raw.size()
                 handle = io.BufferedReader(raw, 1 << 20)
-                for key, sample in _samples(handle, partition, size, self.columns):
-                    rows.append(self._row(partition.path, key, sample, None))
+                for key, sample, fault in _samples(handle, partition, size, self.columns):
+                    if fault and self.fail:
+                        raise tarfile.ReadError(fault)
+                    rows.append(self._row(partition.path, key, sample, fault))
                     held += sum(map(len, sample.values()))
                     if len(rows) >= ROWS_PER_ARROW_BATCH or held >= BYTES_PER_ARROW_BATCH:
                         yield batch()
@@ -263,45 +363,113 @@ class TarShardReader(DataSourceReader):
             yield batch()
 
 
+class TarShardStreamReader(DataSourceStreamReader):
+    """New shards of a pattern. Every admission of shards is logged in the folder ``log`` before it is read.
+
+    The offset is the number of admissions, so a restart finds what it has read, whatever the names
+    of shards that came since.
+    """
+
+    def __init__(self, options: dict, schema: T.StructType):
+        if "log" not in options:
+            raise ValueError("a stream of shards needs the option 'log', a folder of its own")
+        self.reader = TarShardReader(options, schema)
+        self.log = options["log"].rstrip("/")
+        self.most = int(options.get("max_shards", 0))
+        self.seen: set[str] | None = None
+        self.admitted = 0
+
+    def _entry(self, n: int) -> list[Shard] | None:
+        files, folder = _filesystem(self.log)
+        found = _read_json(files, f"{folder}/{n:09d}.json")
+        return None if found is None else [Shard(path, size, tuple(marks)) for path, size, marks in found]
+
+    def _load(self) -> None:
+        self.seen = set()
+        while (entry := self._entry(self.admitted + 1)) is not None:
+            self.admitted += 1
+            self.seen.update(s.path for s in entry)
+
+    def initialOffset(self) -> dict:
+        return {"admitted": 0}
+
+    def latestOffset(self) -> dict:
+        if self.seen is None:
+            self._load()
+        new = [s for s in find_shards(self.reader.pattern) if s.path not in self.seen]
+        new = new[: self.most] if self.most else new
+        if new:
+            files, folder = _filesystem(self.log)
+            files.create_dir(folder, recursive=True)
+            _write_json(files, f"{folder}/{self.admitted + 1:09d}.json", new)
+            self.admitted += 1
+            self.seen.update(s.path for s in new)
+        return {"admitted": self.admitted}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        parts: list[InputPartition] = []
+        for n in range(start["admitted"] + 1, end["admitted"] + 1):
+            entry = self._entry(n)
+            if entry is None:
+                raise ValueError(f"the log {self.log!r} lacks admission {n}")
+            parts += ranges_of(entry, self.reader.split_bytes)
+        return parts
+
+    def read(self, partition: ShardRange) -> Iterator[pa.RecordBatch]:
+        return self.reader.read(partition)
+
+
 @dataclass
 class WrittenShards(WriterCommitMessage):
-    names: list[str]
-    folder: str
+    shards: list[tuple[str, int, list[int]]]  # name, bytes, marks
+
+
+def _number(name: str) -> str:
+    return name.partition("-")[0].removesuffix(".tar")
 
 
 class TarShardWriter(DataSourceArrowWriter):
-    """Each task writes to a folder of its own; ``commit`` moves the finished shards of the tasks that won."""
+    """Each task attempt writes shards under names of its own; ``commit`` lists those of the attempts that won."""
 
     def __init__(self, options: dict, schema: T.StructType, overwrite: bool):
         self.path = options["path"].rstrip("/")
         self.members = [f.name for f in schema.fields if f.name not in ("shard_idx", "key")]
         self.overwrite = overwrite
-        self.job = f"_writing-{uuid.uuid4().hex}"
+        self.mark_bytes = int(options.get("mark_bytes", MARK_BYTES))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         files, root = _filesystem(self.path)
-        folder = f"{root}/{self.job}/{uuid.uuid4().hex}"
-        files.create_dir(folder, recursive=True)
-        names: list[str] = []
-        sink = None
+        files.create_dir(root, recursive=True)
+        attempt = uuid.uuid4().hex[:12]
+        done: list[tuple[str, int, list[int]]] = []
+        number, sink, marks, key = None, None, [], None
+        numbers = set()
         try:
             for batch in iterator:
                 for row in batch.to_pylist():
-                    name = f"{row['shard_idx']:06d}.tar"
-                    if not names or names[-1] != name:
-                        if name in names:
+                    if row["shard_idx"] != number:
+                        if row["shard_idx"] in numbers:
                             raise ValueError("rows of a shard must be consecutive: sort by shard_idx")
                         if sink is not None:
-                            self._finish(sink)
-                        sink = files.open_output_stream(f"{folder}/{name}", buffer_size=1 << 20)
-                        names.append(name)
+                            done.append(self._finish(sink, number, attempt, marks))
+                        number, marks, key = row["shard_idx"], [], None
+                        numbers.add(number)
+                        sink = files.open_output_stream(f"{root}/{self._name(number, attempt)}", buffer_size=1 << 20)
+                    at = sink.tell()
+                    if key is not None and row["key"] != key and at - (marks[-1] if marks else 0) >= self.mark_bytes:
+                        marks.append(at)
+                    key = row["key"]
                     self._add(sink, row)
             if sink is not None:
-                self._finish(sink)
+                done.append(self._finish(sink, number, attempt, marks))
         finally:
             if sink is not None and not sink.closed:
                 sink.close()
-        return WrittenShards(names, folder)
+        return WrittenShards(done)
+
+    @staticmethod
+    def _name(number: int, attempt: str) -> str:
+        return f"{number:09d}-{attempt}.tar"
 
     def _add(self, sink: pa.NativeFile, row: dict) -> None:
         for member in self.members:
@@ -313,35 +481,31 @@ class TarShardWriter(DataSourceArrowWriter):
             info.size = len(data)
             sink.write(info.tobuf(tarfile.PAX_FORMAT) + data + bytes(-len(data) % BLOCK))
 
-    def _finish(self, sink: pa.NativeFile) -> None:
+    def _finish(self, sink: pa.NativeFile, number: int, attempt: str, marks: list[int]) -> tuple[str, int, list[int]]:
         sink.write(bytes(2 * BLOCK))  # fixed value: end of a tar file
+        size = sink.tell()
         sink.close()
+        return self._name(number, attempt), size, marks
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         files, root = _filesystem(self.path)
         files.create_dir(root, recursive=True)
-        done = [(m.folder, n) for m in messages if m is not None for n in m.names]
-        names = [n for _, n in done]
-        if len(set(names)) != len(names):
+        new = sorted(s for m in messages if m is not None for s in m.shards)
+        numbers = {_number(n) for n, _, _ in new}
+        if len(numbers) != len(new):
             raise ValueError("a shard was written by two tasks: partition by shard_idx")
-        old = {p for p, _ in find_shards(root)}
-        clash = [n for n in names if f"{root}/{n}" in old]
-        if clash and not self.overwrite:
-            raise ValueError(f"shards exist already: {clash[:3]}")
-        for folder, name in done:
-            files.move(f"{folder}/{name}", f"{root}/{name}")
-        if self.overwrite:
-            for path in old - {f"{root}/{n}" for n in names}:
-                files.delete_file(path)
-        self._drop_work(files, root)
+        old = []
+        if not self.overwrite:
+            old = [(s.path.rpartition("/")[2], s.size, list(s.marks)) for s in find_shards(root)]
+            clash = [n for n, _, _ in old if _number(n) in numbers]
+            if clash:
+                raise ValueError(f"shards exist already: {clash[:3]}")
+        _write_json(files, f"{root}/{MANIFEST}", {"shards": sorted(old + new)})
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        self._drop_work(*_filesystem(self.path))
-
-    def _drop_work(self, files: pafs.FileSystem, root: str) -> None:
-        work = f"{root}/{self.job}"
-        if files.get_file_info(work).type == pafs.FileType.Directory:
-            files.delete_dir(work)
+        files, root = _filesystem(self.path)
+        for name in [n for m in messages if m is not None for n, _, _ in m.shards]:
+            files.delete_file(f"{root}/{name}")
 
 
 class TarShards(DataSource):
@@ -363,6 +527,9 @@ class TarShards(DataSource):
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return TarShardReader(dict(self.options), schema)
 
+    def streamReader(self, schema: T.StructType) -> DataSourceStreamReader:
+        return TarShardStreamReader(dict(self.options), schema)
+
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
         return TarShardWriter(dict(self.options), schema, overwrite)
 
@@ -371,23 +538,36 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(TarShards)
 
 
+def _options(on_error: str, **options) -> dict[str, str]:
+    if on_error not in ("skip", "fail"):
+        raise ValueError(f"on_error must be 'skip' or 'fail', got {on_error!r}")
+    return {"on_error": on_error} | {k: str(v) for k, v in options.items()}
+
+
 def read_shards(spark: SparkSession, pattern: str, columns: str = "jpg,json", on_error: str = "skip",
                 split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Samples with ``shard``, ``key``, one column per member in ``columns``, and ``error``.
 
-    Members not in ``columns`` are skipped over, not read. Damage in a shard gives
+    Members not in ``columns`` are skipped over, not read. Each damaged place of a shard gives
     one row with ``error`` and null ``key`` (``skip``), or ends the job (``fail``).
-    ``split_bytes=0`` reads every shard in one task; use it for members that are
-    tar files themselves.
+    ``split_bytes=0`` reads every shard in one task.
     """
-    if on_error not in ("skip", "fail"):
-        raise ValueError(f"on_error must be 'skip' or 'fail', got {on_error!r}")
     register(spark)
-    return (
-        spark.read.format("tarshards")
-        .options(columns=columns, on_error=on_error, split_bytes=str(split_bytes))
-        .load(pattern)
-    )
+    options = _options(on_error, columns=columns, split_bytes=split_bytes)
+    return spark.read.format("tarshards").options(**options).load(qualified(spark, pattern))
+
+
+def stream_shards(spark: SparkSession, pattern: str, log: str, columns: str = "jpg,json", on_error: str = "skip",
+                  split_bytes: int = SPLIT_BYTES, max_shards: int = 0) -> DataFrame:
+    """Samples of new shards as a stream, with the columns of :func:`read_shards`.
+
+    ``log`` is a folder of the stream alone, best below its checkpoint; it holds which shards were
+    admitted. At most ``max_shards`` are admitted at a time (0: all). A shard is read as it is when
+    it is admitted; shards of the writer below appear when they are whole.
+    """
+    register(spark)
+    options = _options(on_error, columns=columns, split_bytes=split_bytes, max_shards=max_shards, log=qualified(spark, log))
+    return spark.readStream.format("tarshards").options(**options).load(qualified(spark, pattern))
 
 
 def good_samples(df: DataFrame) -> DataFrame:
@@ -404,16 +584,60 @@ def with_captions(df: DataFrame, json: str = "json", out: str = "caption") -> Da
     return df.withColumn(out, json_member(F.col(json), "caption", "string"))
 
 
-def write_shards(df: DataFrame, path: str, order: str, rows_per_shard: int = 10_000, mode: str = "append") -> None:
-    """Samples (``key`` and one column per member) to numbered shards, in order of ``order``."""
+def place_in_shards(df: DataFrame, order: str, rows_per_shard: int) -> DataFrame:
+    """Add ``shard_idx``, the place by ``order`` div ``rows_per_shard``. Only the order column is shuffled.
+
+    The values at which shards begin are found by ranking the order column alone. Each row meets
+    those of its bucket, and counts how many it has passed. Rows without an order fill the first shards about evenly.
+    """
+    bucketed = order_buckets(df.select(order), order)
+    ranked = bucketed(exact_rank(df.select(order), order, "_place", total="_total"))
+    first = F.when(F.col("_place") % rows_per_shard == 0, F.col(order))
+    cuts = ranked.groupBy("_bucket").agg(
+        F.expr(f"(min(_place) - 1 + {int(rows_per_shard)}) div {int(rows_per_shard)} - 1").alias("_before"),
+        F.array_sort(F.collect_list(first)).alias("_cuts"),
+        F.ceil(F.count(F.lit(1)) / rows_per_shard).alias("_shards"),
+    )
+    placed = bucketed(df).join(small(cuts), "_bucket")
+    passed = F.size(F.filter("_cuts", lambda c: c <= F.col(order)))
+    spread = F.pmod(F.xxhash64(*df.columns), F.col("_shards"))
+    shard = F.when(F.col(order).isNull(), spread).otherwise(F.col("_before") + passed)
+    return placed.withColumn("shard_idx", shard.cast("bigint")).drop("_bucket", "_before", "_cuts", "_shards")
+
+
+def write_shards(df: DataFrame, path: str, order: str, rows_per_shard: int = 10_000, mode: str = "append",
+                 mark_bytes: int = MARK_BYTES) -> None:
+    """Samples (``key`` and one column per member) to numbered shards, in order of ``order``, unique.
+
+    The samples are shuffled once. Shards become visible together, when the manifest is written;
+    one job writes to a folder at a time. Files that a manifest does not list (replaced ones, and those of lost
+    attempts) are not seen, and left to :func:`remove_unlisted`; a copy of a folder needs its manifest too.
+    """
     register(df.sparkSession)
     members = [c for c in df.columns if c != order or c == "key"]
-    placed = exact_rank(df, order, "_place").withColumn("shard_idx", F.expr(f"_place div {int(rows_per_shard)}"))
+    by = "_order" if order in members else order
     (
-        placed.repartition("shard_idx")
-        .sortWithinPartitions("shard_idx", "_place")
+        place_in_shards(df.withColumn(by, F.col(order)), by, rows_per_shard)
+        .repartition("shard_idx")
+        .sortWithinPartitions("shard_idx", by)
         .select("shard_idx", *members)
         .write.format("tarshards")
+        .option("mark_bytes", str(mark_bytes))
         .mode(mode)
-        .save(path)
+        .save(qualified(df.sparkSession, path))
     )
+
+
+def remove_unlisted(spark: SparkSession, path: str, older_than: float = 86_400.0) -> list[str]:
+    """Delete the shards of a folder that its manifest does not list and that are older than so many seconds."""
+    files, root = _filesystem(qualified(spark, path))
+    listed = _listed(files, root)
+    if listed is None:
+        return []
+    gone = []
+    for f in files.get_file_info(pafs.FileSelector(root)):
+        name = f.path.rpartition("/")[2]
+        if name.endswith(".tar") and name not in listed and time.time() - f.mtime.timestamp() >= older_than:
+            files.delete_file(f.path)
+            gone.append(name)
+    return sorted(gone)
