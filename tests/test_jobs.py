@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from vlprep.operators import generation, metrics, tokens, udf
@@ -51,7 +52,15 @@ def test_stream_batches_carry_the_open_batch_and_survive_a_replay(spark, tmp_pat
     assert [(b, p) for b, p, _ in got] == [(i // 8, i % 8) for i in range(32)]
     # the third batch holds the five left over and the first three of the second drop
     assert [i for b, _, i in got if b == 2] == [16, 17, 18, 19, 20, 100, 101, 102]
-    jobs.append_batches(spark, spark.createDataFrame([(100 + i, "x") for i in range(12)], TEXTS), 1, "id", 8, folder)
+    jobs.append_batches(spark, spark.createDataFrame([(100 + i, "x") for i in range(12)], TEXTS), 1, "id", 8, folder, jobs.batch_owner(spark, folder))
+    assert whole() == got
+    # another checkpoint may not go on, nor begin anew, in the same folder
+    with pytest.raises(StreamingQueryException, match="another checkpoint"):
+        jobs.stream_batches(source(spark, tmp_path / "in"), folder, f"{tmp_path}/other", "id", 8).awaitTermination()
+    with pytest.raises(ValueError, match="another checkpoint"):
+        jobs.append_batches(spark, spark.createDataFrame([(1, "x")], TEXTS), 0, "id", 8, folder, "other")
+    with pytest.raises(ValueError, match="lacks epoch 6"):
+        jobs.append_batches(spark, spark.createDataFrame([(1, "x")], TEXTS), 7, "id", 8, folder, jobs.batch_owner(spark, folder))
     assert whole() == got
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from vlprep.config import WORD_PATTERN
 from vlprep.operators.batching import pad_batch
 from vlprep.operators.filters import text_keys, without_keys
-from vlprep.operators.ranking import exact_rank
+from vlprep.operators.ranking import exact_rank, row_count
 from vlprep.operators.tokens import caption_tokens
 from vlprep.session import cut
 from vlprep.sources.tables import parse_run_log
@@ -34,38 +36,63 @@ def stream_disjoint(source: DataFrame, used: DataFrame, sink: str, checkpoint: s
     return _start(out.writeStream.format("parquet").outputMode("append").option("path", sink).option("checkpointLocation", checkpoint), trigger)
 
 
-OFFSETS = T.StructType([T.StructField("rows", T.LongType()), T.StructField("epoch", T.LongType())])
+OWNER = "owner string"
+LEDGER = "start bigint, rows bigint"
+
 
+def batch_owner(spark: SparkSession, folder: str) -> str | None:
+    """The checkpoint that a folder of batches belongs to; None if there is none yet."""
+    try:
+        held = spark.read.schema(OWNER).parquet(f"{folder}/owner").first()
+    except AnalysisException:
+        return None
+    return held and held.owner
 
-def append_batches(spark: SparkSession, rows: DataFrame, epoch: int, order: str, size: int, folder: str) -> None:
+
+def _start_of(spark: SparkSession, epoch: int, folder: str, owner: str) -> int:
+    """Rows before an epoch, from the ledger entry of the one before. The first epoch claims the folder."""
+    held = batch_owner(spark, folder)
+    if held is None and epoch == 0:
+        spark.createDataFrame([(owner,)], OWNER).coalesce(1).write.mode("errorifexists").parquet(f"{folder}/owner")
+        held = owner
+    if held != owner:
+        raise ValueError(f"{folder!r} holds the batches of another checkpoint ({held}, not {owner}): give each its own folder")
+    if epoch == 0:
+        return 0
+    try:
+        before = spark.read.schema(LEDGER).parquet(f"{folder}/ledger/epoch={epoch - 1}").first()
+    except AnalysisException as error:
+        raise ValueError(f"the ledger of {folder!r} lacks epoch {epoch - 1}") from error
+    return before.start + before.rows
+
+
+def append_batches(spark: SparkSession, rows: DataFrame, epoch: int, order: str, size: int, folder: str, owner: str = "") -> None:
     """Number the rows of one micro-batch on from those before it, and write them.
 
-    Rows and offset go to folders of the epoch, so a replayed epoch overwrites
-    itself. The start is the row count of the earlier epochs.
+    Rows go to a folder of the epoch, so a replayed epoch overwrites itself. The ledger holds where each
+    epoch begins and how many rows it has; only the entry of the epoch before is read. A
+    folder belongs to the checkpoint (``owner``) that wrote its first epoch; others are refused.
     """
-    rows_dir, offsets_dir = f"{folder}/rows", f"{folder}/offsets"
-    if epoch == 0:
-        start = 0
-    else:
-        before = spark.read.schema(OFFSETS).parquet(offsets_dir).filter(F.col("epoch") < epoch)
-        start = before.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    start = _start_of(spark, epoch, folder, owner)
     ranked = exact_rank(rows, order, "_place").withColumn("_place", F.col("_place") + start)
-    here = f"{rows_dir}/epoch={epoch}"
+    here = f"{folder}/rows/epoch={epoch}"
     ranked.withColumns({"batch_id": F.expr(f"_place div {int(size)}"), "pos": F.col("_place") % size}).drop("_place").write.mode(
         "overwrite"
     ).parquet(here)
-    # counted from what was written: the offset always fits the rows
-    written = spark.read.parquet(here).agg(F.count(F.lit(1)).alias("rows"))
-    written.write.mode("overwrite").parquet(f"{offsets_dir}/epoch={epoch}")
+    # counted from what was written: the ledger always fits the rows
+    entry = spark.createDataFrame([(start, row_count(spark.read.parquet(here)))], LEDGER)
+    entry.coalesce(1).write.mode("overwrite").parquet(f"{folder}/ledger/epoch={epoch}")
 
 
 def stream_batches(source: DataFrame, folder: str, checkpoint: str, order: str, size: int, trigger: dict | None = None) -> StreamingQuery:
     """Batches of ``size`` rows over the whole stream; a batch may span micro-batches."""
 
     def step(rows: DataFrame, epoch: int) -> None:
+        # the id of the stream, which its checkpoint keeps over restarts
+        stream = json.loads(rows.sparkSession.read.text(f"{checkpoint}/metadata").first()[0])["id"]
         rows.persist()
         try:
-            append_batches(rows.sparkSession, rows, epoch, order, size, folder)
+            append_batches(rows.sparkSession, rows, epoch, order, size, folder, stream)
         finally:
             rows.unpersist()
 
@@ -74,7 +101,7 @@ def stream_batches(source: DataFrame, folder: str, checkpoint: str, order: str,
 
 def complete_batches(spark: SparkSession, folder: str, size: int, ids: str | None = None) -> DataFrame:
     """Rows of all full batches so far; the rows of the open last one wait. With ``ids``, padded."""
-    total = spark.read.schema(OFFSETS).parquet(f"{folder}/offsets").agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    total = spark.read.schema(LEDGER).parquet(f"{folder}/ledger").agg(F.max(F.col("start") + F.col("rows"))).first()[0]
     rows = spark.read.parquet(f"{folder}/rows").filter(F.col("batch_id") < total // size)
     return pad_batch(rows, ids) if ids else rows
 
