@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -20,14 +21,16 @@ from vlprep.functions.vectors import l2_normalize
 from vlprep.session import cut
 
 BLOCK = 2048
-CLASS_LIMIT = 4096
+#: Bytes of class vectors that are shipped to the tasks at a time.
+CLASS_BYTES = 64 << 20
+#: So many classes are fetched without being counted first.
+FEW_CLASSES = 1024
 
 _TILE = pa.schema(
     [("batch_id", pa.int64()), ("pos", pa.int64())]
     + [(n, pa.float64()) for n in ("i_top", "i_sum", "t_top", "t_sum", "own", "best_score")]
     + [("best", pa.int64())]
 )
-_BEST = pa.schema([("_id", pa.int64()), ("predicted", pa.int64()), ("score", pa.float64())])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -211,62 +214,54 @@ def class_vectors(df: DataFrame, vector: str = "embedding", label: str = "label"
 
 
 def zero_shot(images: DataFrame, classes: DataFrame, vector: str = "embedding", class_vec: str = "class_vec",
-              label: str = "label", row_id: str | None = None, scaler: float = 1.0, block: int = BLOCK,
-              class_block: int = BLOCK, class_limit: int = CLASS_LIMIT) -> DataFrame:
+              label: str = "label", scaler: float = 1.0, class_block: int | None = None) -> DataFrame:
     """Add ``predicted`` and ``score``: the class whose vector scores highest, the lowest label on ties.
 
-    Up to ``class_limit`` classes are shipped to the tasks and images are not
-    shuffled. More are cut into blocks that meet blocks of images, and the best
-    class per block is kept. Rows are told apart by a unique ``row_id`` there; without
-    one, the images are written once with a number for each row.
+    Classes are shipped to the tasks, at most ``class_block`` at a time (by default as many as
+    ``CLASS_BYTES`` hold); images stay where they are. With more classes than
+    that, the images are written after each block with the best class so far.
     """
-    rows = classes.select(F.col(label).cast("bigint").alias("label"), F.col(class_vec).cast("array<double>").alias("v")).limit(class_limit + 1).toPandas()
-    if len(rows) > class_limit:
-        if row_id is None:
-            numbered = cut(images.withColumn("_row", F.monotonically_increasing_id()))
-            return _zero_shot_blocks(numbered, classes, vector, class_vec, label, "_row", scaler, block, class_block).drop("_row")
-        return _zero_shot_blocks(images, classes, vector, class_vec, label, row_id, scaler, block, class_block)
-    rows = rows.sort_values("label")
-    if rows.empty:
-        return images.withColumns({"predicted": F.lit(None).cast("bigint"), "score": F.lit(None).cast("double")})
-    shared = images.sparkSession.sparkContext.broadcast((rows["label"].to_numpy(), np.stack(rows["v"].to_numpy())))
+    names = classes.select(F.col(label).cast("bigint").alias("label"), F.col(class_vec).cast("array<double>").alias("v"))
+    out = images.withColumns({"predicted": F.lit(None).cast("bigint"), "score": F.lit(None).cast("double")})
+    few = names.limit(min(class_block or FEW_CLASSES, FEW_CLASSES) + 1).toPandas()
+    if len(few) <= min(class_block or FEW_CLASSES, FEW_CLASSES):
+        return _best_of(out, few, vector, scaler)
+    table = cut(names)
+    size, n_classes = table.agg(F.max(F.size("v")), F.count(F.lit(1))).first()
+    n_blocks = -(-n_classes // (class_block or max(1, CLASS_BYTES // (8 * max(size, 1)))))
+    for i in range(n_blocks):
+        part = table.filter(F.pmod(F.xxhash64("label"), F.lit(n_blocks)) == i).toPandas()  # one block
+        out = _best_of(out, part, vector, scaler)
+        if i < n_blocks - 1 and len(part):
+            out = cut(out)
+    return out
+
+
+def _best_of(images: DataFrame, classes: pd.DataFrame, vector: str, scaler: float) -> DataFrame:
+    """The better one of each row's ``predicted`` and ``score`` and the best of some classes."""
+    if classes.empty:
+        return images
+    classes = classes.sort_values("label")
+    shared = images.sparkSession.sparkContext.broadcast((classes["label"].to_numpy(), np.stack(classes["v"].to_numpy())))
 
     @F.arrow_udf("struct<predicted bigint, score double>")
     def best(column: pa.Array) -> pa.Array:
         names, matrix = shared.value
 
         def highest(present: pa.Array) -> list[pa.Array]:
-            z = _matrix(present) @ matrix.T * scaler if len(present) else np.zeros((0, len(names)))
-            return [pa.array(names[z.argmax(axis=1)], pa.int64()), pa.array(z.max(axis=1), pa.float64())]
+            places, scores = np.zeros(len(present), np.int64), np.zeros(len(present))
+            for begin in range(0, len(present), BLOCK):  # a tile of scores at a time
+                z = _matrix(present.slice(begin, BLOCK)) @ matrix.T * scaler
+                places[begin : begin + BLOCK], scores[begin : begin + BLOCK] = z.argmax(axis=1), z.max(axis=1)
+            return [pa.array(names[places], pa.int64()), pa.array(scores, pa.float64())]
 
         predicted, score = _by_row(column, highest)
         return pa.StructArray.from_arrays([predicted, score], names=["predicted", "score"])
 
-    return images.withColumn("_best", best(F.col(vector))).select("*", "_best.predicted", "_best.score").drop("_best")
-
-
-def _zero_shot_blocks(images, classes, vector, class_vec, label, row_id, scaler, block, class_block):
-    n_classes, n_images = classes.count(), images.count()
-    c_blocks, i_blocks = -(-n_classes // class_block), max(1, -(-n_images // block))
-    numbered = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    vec = lambda c: F.col(c).cast("array<double>").alias("_vec")
-    left = images.filter(F.col(vector).isNotNull()).select(
-        F.lit(0).alias("_side"), F.col(row_id).cast("bigint").alias("_id"), vec(vector), numbered(row_id, i_blocks).alias("_i"), all_of(c_blocks).alias("_c")
-    )
-    right = classes.select(
-        F.lit(1).alias("_side"), F.col(label).cast("bigint").alias("_id"), vec(class_vec), all_of(i_blocks).alias("_i"), numbered(label, c_blocks).alias("_c")
-    )
-
-    def tile(rows: pa.Table) -> pa.Table:
-        (ids, left), (labels, right) = _sides(rows, "_id")
-        if not len(ids) or not len(labels):
-            return pa.table({n: [] for n in _BEST.names}, schema=_BEST)
-        z = left @ right.T * scaler
-        return pa.table([pa.array(ids), pa.array(labels[z.argmax(axis=1)]), pa.array(z.max(axis=1))], schema=_BEST)
-
-    tiles = left.unionByName(right).groupBy("_i", "_c").applyInArrow(tile, "_id bigint, predicted bigint, score double")
-    best = tiles.groupBy("_id").agg(
-        F.max_by("predicted", F.struct(F.col("score"), -F.col("predicted"))).alias("predicted"), F.max("score").alias("score")
+    new, score, predicted = F.col("_best.score"), F.col("score"), F.col("predicted")
+    better = score.isNull() | (new > score) | ((new == score) & (F.col("_best.predicted") < predicted))
+    return (
+        images.withColumn("_best", best(F.col(vector)))
+        .withColumns({"predicted": F.when(better, F.col("_best.predicted")).otherwise(predicted), "score": F.when(better, new).otherwise(score)})
+        .drop("_best")
     )
-    return images.join(best.withColumnRenamed("_id", row_id), row_id, "left")
