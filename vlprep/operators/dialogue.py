@@ -174,6 +174,26 @@ def transcript_chunks(turns: DataFrame, conv: str = "conv_id", turn: str = "turn
     )
 
 
+def whole_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
+                chunk: int = HISTORY_CHUNK, add_generation_prompt: bool = False) -> DataFrame:
+    """The rendered text of each conversation, system turns included, as ``chat``.
+
+    Messages are rendered in the tasks that read them and joined by (conversation, range of ``chunk`` turns), then by
+    ranges of ``chunk`` ranges; only the last step works on a conversation as a whole, on few long pieces.
+    """
+    pieces = turns.select(conv, F.col(turn).alias("_at"), render_message(F.col(role), F.col(text)).alias("_piece"))
+
+    def joined(rows: DataFrame, *by: str) -> DataFrame:
+        parts = F.sort_array(F.collect_list(F.struct("_at", "_piece")))
+        return rows.groupBy(conv, *by).agg(F.array_join(F.transform(parts, lambda x: x["_piece"]), "").alias("_piece"))
+
+    for _ in range(2):
+        ranged = pieces.withColumn("_range", F.floor(F.col("_at") / chunk))
+        pieces = joined(ranged, "_range").withColumnRenamed("_range", "_at")
+    end = generation_suffix() if add_generation_prompt else F.lit("")
+    return joined(pieces).select(conv, F.concat("_piece", end).alias("chat"))
+
+
 def whole_prompts(history: DataFrame, chunks: DataFrame, conv: str = "conv_id") -> DataFrame:
     """Chosen rows of :func:`history_prompts` with ``prompt``: all messages before the answer.
 

@@ -194,6 +194,13 @@ FROM events WHERE event_type <> 'error'""",
 FROM documents JOIN ({RANKED_DOCS}) USING (doc_id)""",
     "dialogue_json_scan": f"""WITH {TURNS}
 SELECT conv_id AS image_id, count(*) AS n_messages, md5(string_agg(text, '|' ORDER BY place)) AS values_md5 FROM turns GROUP BY conv_id""",
+    "dialogue_array_scan": f"""WITH {TURNS}
+SELECT conv_id AS image_id, count(*) AS n_messages, md5(string_agg(text, '|' ORDER BY place)) AS values_md5 FROM turns GROUP BY conv_id""",
+    "tar_listing": f"""SELECT place // 300 AS shard_idx, place // 300 AS number, (1024 + sum(512 + (strlen(text) + 511) // 512 * 512))::bigint AS bytes
+FROM documents JOIN ({RANKED_DOCS}) USING (doc_id) GROUP BY place // 300""",
+    "split_sources": f"SELECT doc_id, CASE WHEN {number(key('source'))} % 1000000 < 200000 THEN 'val' ELSE 'train' END AS split FROM documents",
+    "tar_stream": f"""SELECT doc_id, {digest(words('text'))} AS tokens FROM documents
+WHERE len({words('text')}) + 1 > 1 AND len({words('text')}) + 1 < 128""",
     "batch_sink": f"""SELECT doc_id, CASE WHEN {number(key('source'))} % 1000000 < 200000 THEN 'val' ELSE 'train' END AS split,
        (place // 16) % 4 AS rank, place // 16 AS batch_id, place % 16 AS pos FROM documents JOIN ({RANKED_DOCS}) USING (doc_id)""",
     "caption_filter": f"WITH {CAPTIONS} SELECT doc_id, len(ids) AS n_tokens, {digest('ids')} AS ids FROM captions",
@@ -214,6 +221,12 @@ WHERE quality = 1 AND toxic = 0""",
     "disjoint_corpus": f"SELECT doc_id FROM documents WHERE md5(lower(trim(text))) NOT IN {USED}",
     "map_columns": "SELECT doc_id, upper(lang) AS lang, n_chars * 2 AS n_chars FROM documents",
     "where_fn": "SELECT doc_id, lang, n_chars FROM documents WHERE n_chars > 500 AND lang = 'en'",
+    "where_unaccented": "SELECT doc_id, lang FROM documents WHERE strip_accents(text) = text",
+    "chained": f"""WITH {CAPTIONS}, c AS (
+  SELECT doc_id, upper(source) AS source, row_number() OVER (ORDER BY doc_id) - 1 AS place
+  FROM captions JOIN documents USING (doc_id) WHERE lang = 'en')
+SELECT doc_id, source, CASE WHEN {number(key('source'))} % 1000000 < 200000 THEN 'val' ELSE 'train' END AS split,
+       place // 16 AS batch_id, place % 16 AS pos FROM c""",
     "embed_table": "SELECT doc_id, length(text)::double AS n_chars, (length(text) - length(replace(text, 'e', '')))::double AS n_e FROM documents",
     "exact_rank": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents",
     "seeded_shuffle": f"SELECT doc_id, row_number() OVER (ORDER BY {key('doc_id')}) - 1 AS pos FROM documents",
@@ -346,6 +359,13 @@ SELECT vec_id, 192::bigint AS n_values, round((d[1] / 255.0 - 0.485) / 0.229, 4)
     "image_resize": f"""WITH p AS (SELECT vec_id, {LEVELS} AS d FROM embeddings),
 q AS (SELECT vec_id, list_transform(range(48), lambda i: d[((i // 3) // 4 * 2 + 1) * 8 + ((i // 3) % 4) * 2 + 2]) AS s FROM p)
 SELECT vec_id, 4::bigint AS width, 3::bigint AS channels, {hexes('s')} AS data FROM q""",
+    "image_resize_bilinear": f"""WITH p AS (SELECT vec_id, {LEVELS} AS d FROM embeddings),
+q AS (SELECT vec_id, list_transform(range(48), lambda i: (
+    d[(i // 12) * 16 + (i // 3 % 4) * 2 + 1] + d[(i // 12) * 16 + (i // 3 % 4) * 2 + 2] +
+    d[(i // 12) * 16 + 8 + (i // 3 % 4) * 2 + 1] + d[(i // 12) * 16 + 8 + (i // 3 % 4) * 2 + 2] + 2) // 4) AS s FROM p)
+SELECT vec_id, 4::bigint AS width, {hexes('s')} AS data FROM q""",
+    "image_folder": f"""WITH p AS (SELECT vec_id, {LEVELS} AS d FROM embeddings)
+SELECT vec_id::varchar AS image_id, 8::bigint AS width, {hexes('d')} AS data FROM p""",
     "image_patches": f"""WITH p AS (SELECT vec_id, {LEVELS} AS d FROM embeddings),
 q AS (SELECT vec_id, patch, list_transform(range(16), lambda i: d[(patch // 2 * 4 + i // 4) * 8 + patch % 2 * 4 + i % 4 + 1] / 255.0) AS v FROM p, range(4) r(patch))
 SELECT vec_id, patch, 48::bigint AS n_values, round(list_sum(v) * 3, 4) AS total, round(v[6], 4) AS v5 FROM q""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 import numpy as np
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vlprep.config import FINETUNE, PRETRAIN, STRICT
+from vlprep.config import FINETUNE, PRETRAIN, STRICT, SplitPaths
 from vlprep.functions import arrays, text, vectors
 from vlprep.functions.keys import digest
 from vlprep.operators import (
@@ -116,7 +117,7 @@ def tar_roundtrip(spark, sf):
     back = tarshards.with_captions(tarshards.good_samples(tarshards.read_shards(spark, folder, split_bytes=1 << 18)))
     return back.select(
         F.col("key").cast("bigint").alias("doc_id"),
-        F.regexp_extract("shard", r"(\d+)\.tar$", 1).cast("bigint").alias("shard_idx"),
+        F.regexp_extract("shard", r"(\d+)-\w+\.tar$", 1).cast("bigint").alias("shard_idx"),
         F.md5("jpg").alias("jpg_md5"),
         F.md5("caption").alias("caption_md5"),
     )
@@ -135,6 +136,55 @@ def dialogue_json_scan(spark, sf):
     )
 
 
+@query
+def dialogue_array_scan(spark, sf):
+    """Files that hold one JSON array each, cut where documents start."""
+    folder = run_dir(spark, "dialogues")
+    tables.write_dialogue_arrays(_nested(spark, sf), folder)
+    docs = tables.read_dialogues(spark, folder, layout="split")
+    content = F.get("conversations", F.lit(0))["content"]
+    return docs.select(
+        "image_id",
+        F.size(content).cast("bigint").alias("n_messages"),
+        F.md5(F.array_join(content["value"], "|")).alias("values_md5"),
+    )
+
+
+@query
+def tar_listing(spark, sf):
+    """Numbers and sizes of the shards that were written, without reading them."""
+    folder = run_dir(spark, "tars")
+    samples = _documents_as_samples(spark, sf).drop("json")
+    tarshards.write_shards(samples, folder, "doc_id", rows_per_shard=300)
+    listed = tables.list_shards(spark, f"{folder}/*.tar")
+    return listed.select("shard_idx", F.regexp_extract("shard", r"(\d+)-\w+\.tar$", 1).cast("bigint").alias("number"), "bytes")
+
+
+@query
+def split_sources(spark, sf):
+    """Training and validation shards in folders of their own, read by the name of the split."""
+    folder = run_dir(spark, "splits")
+    paths = SplitPaths(f"{folder}/train", f"{folder}/val")
+    rows = split.split_shards(_documents_as_samples(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id"), "source", 0.2, SEED)
+    parts = []
+    for name in ("train", "val"):
+        tarshards.write_shards(rows.filter(F.col("split") == name).select("doc_id", "key", "json"), paths.path(name), "doc_id", rows_per_shard=200)
+        read = tables.read_split(spark, paths, name, columns="json")
+        parts.append(tarshards.good_samples(read).select(F.col("key").cast("bigint").alias("doc_id"), F.lit(name).alias("split")))
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def tar_stream(spark, sf):
+    """Caption words of the samples of shards as they come in."""
+    folder = run_dir(spark, "tars")
+    tarshards.write_shards(_documents_as_samples(spark, sf).drop("jpg"), f"{folder}/in", "doc_id", rows_per_shard=300)
+    stream = tarshards.stream_shards(spark, f"{folder}/in", f"{folder}/log", columns="json", split_bytes=1 << 18)
+    samples = tarshards.with_captions(tarshards.good_samples(stream)).select(F.col("key").cast("bigint").alias("doc_id"), "caption")
+    jobs.stream_prepare(samples, f"{folder}/out", f"{folder}/state", text="caption").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("doc_id", digest(F.col("tokens")).alias("tokens"))
+
+
 @query
 def batch_sink(spark, sf):
     folder = run_dir(spark, "batches")
@@ -254,6 +304,32 @@ def where_fn(spark, sf):
     return udf.where_fn(docs, lambda n, lang: (n > 500) & (lang == "en"), "n_chars", "lang")
 
 
+@query
+def where_unaccented(spark, sf):
+    """A predicate that columns cannot say: texts without any accent, by decomposing their characters."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+
+    def plain(t: str | None) -> bool:
+        return t is not None and (t.isascii() or not any(map(unicodedata.combining, unicodedata.normalize("NFD", t))))
+
+    return udf.where_fn(docs, lambda texts: texts.map(plain), "text").select("doc_id", "lang")
+
+
+@query
+def chained(spark, sf):
+    """Operators put together with ``DataFrame.transform``."""
+    return (
+        table(spark, sf, "documents")
+        .transform(filters.filter_captions, "text", append_end=True)
+        .transform(udf.where_fn, F.col("lang") == "en")
+        .transform(udf.map_columns, {"source": F.upper})
+        .transform(split.split_shards, "source", 0.2, SEED)
+        .transform(lambda df: ranking.exact_rank(df.select("doc_id", "source", "split"), "doc_id", "place"))
+        .transform(batching.assign_batches, "doc_id", 16)
+        .select("doc_id", "source", "split", "batch_id", "pos")
+    )
+
+
 @query
 def embed_table(spark, sf):
     def loader():
@@ -398,10 +474,7 @@ def require_images(spark, sf):
 
 @query
 def chat_render(spark, sf):
-    said = F.struct("turn", text.message(F.col("role"), F.col("text")).alias("m"))
-    whole = _turns(spark, sf).groupBy("conv_id").agg(F.sort_array(F.collect_list(said)).alias("said"))
-    lists = whole.select("conv_id", F.transform("said", lambda x: x["m"]).alias("messages"))
-    return lists.select("conv_id", F.md5(text.render_chat(F.col("messages"), add_generation_prompt=True)).alias("chat_md5"))
+    return dialogue.whole_chats(_turns(spark, sf), add_generation_prompt=True).select("conv_id", F.md5("chat").alias("chat_md5"))
 
 
 @query
@@ -718,7 +791,7 @@ def zero_shot(spark, sf):
 
 @query
 def zero_shot_blocks(spark, sf):
-    return _zero_shot(spark, sf, row_id="vec_id", class_limit=1, block=256, class_block=4)
+    return _zero_shot(spark, sf, class_block=4)
 
 
 @query
@@ -761,6 +834,22 @@ def image_resize(spark, sf):
     return out.select("vec_id", F.col("image.width").cast("bigint").alias("width"), F.col("image.nChannels").cast("bigint").alias("channels"), F.lower(F.hex("image.data")).alias("data"))
 
 
+@query
+def image_resize_bilinear(spark, sf):
+    out = images.resize_images(_grey_images(spark, sf), 4)
+    return out.select("vec_id", F.col("image.width").cast("bigint").alias("width"), F.lower(F.hex("image.data")).alias("data"))
+
+
+@query
+def image_folder(spark, sf):
+    """Image files keyed by their names, next to a file that is no image."""
+    folder = run_dir(spark, "images")
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("name"), _pixels_of(F.col("embedding")).alias("data"))
+    images.write_grey_pngs(rows.unionByName(spark.createDataFrame([("read me", None)], "name string, data binary")), folder, 8, 8)
+    out = tables.read_images(spark, folder)
+    return out.select("image_id", F.col("image.width").cast("bigint").alias("width"), F.lower(F.hex("image.data")).alias("data"))
+
+
 @query
 def image_patches(spark, sf):
     pixels = images.normalize_images(_grey_images(spark, sf), mean=(0.0, 0.0, 0.0), std=(1.0, 1.0, 1.0))

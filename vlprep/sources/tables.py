@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +76,22 @@ def write_dialogue_lines(df: DataFrame, path: str, mode: str = "error") -> None:
     df.select("image_id", "conversations").write.mode(mode).json(path)
 
 
+def write_dialogue_arrays(df: DataFrame, path: str, mode: str = "error") -> None:
+    """Documents in files that hold one JSON array each, ``image_id`` first; every task writes a file of its own."""
+    document = F.to_json(F.struct(F.col("image_id").cast("bigint").alias("image_id"), F.col("conversations")), {"ignoreNullFields": "false"})
+
+    def bracketed(batches):
+        lead = "["
+        for batch in batches:
+            lines = [f"{',' if i or lead == ',' else '['}{line}" for i, line in enumerate(batch.column(0).to_pylist())]
+            if lines:
+                lead = ","
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if lead == "," else "[]"], pa.string())], ["value"])
+
+    df.select(document.alias("value")).mapInArrow(bracketed, "value string").write.mode(mode).text(path)
+
+
 def read_images(spark: SparkSession, path: str, on_error: str = "skip") -> DataFrame:
     """Images of a folder with ``image_id`` from the file name; unreadable files are skipped, or kept with width -1."""
     if on_error not in ("skip", "keep"):
