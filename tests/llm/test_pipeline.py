@@ -13,7 +13,7 @@ from vlprep.llm.queries import QUERIES, SQL, tokenizer_path
 
 def test_registered():
     names = spark_entry.queries()
-    assert "pipeline" in names and {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(SQL) <= set(names)
 
 

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vlprep.session import run_dir, small
+from vlprep.session import run_dir
+from vlprep.session import small as few_rows
 
 #: Bytes of text that one numpy step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 18
 #: Bytes of an Arrow batch where an operator starts the job itself.
 BATCH_BYTES = 4 << 20
+#: Bytes, as stored, up to which a table is broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,6 +58,12 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def worker_cache(name: str) -> dict:
+    """A dictionary that a Python worker keeps from task to task, though functions reach it anew with every task."""
+    home = sys.modules.setdefault("_vlprep_worker", types.ModuleType("_vlprep_worker"))
+    return home.__dict__.setdefault(name, {})
+
+
 class Words:
     """Words of some texts: hash of each, and where those of each text begin.
 
@@ -161,9 +172,35 @@ def arrow_batches(spark: SparkSession, rows: int, size: int = BATCH_BYTES):
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a Parquet table in the shared folder and return it as read from there."""
-    path = run_dir(df.sparkSession, name)
+    spark = df.sparkSession
+    path = run_dir(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out.stored_bytes = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    return out
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Mark ``df`` for broadcast when it has few rows, and few bytes where it is a stored table; else leave the join to Spark."""
+    return df if getattr(df, "stored_bytes", 0) > BROADCAST_BYTES else few_rows(df, rows)
+
+
+def renamed(df: DataFrame, keep: Sequence[str], taken: Sequence[str], *leading: Column) -> tuple[DataFrame, str, list[str]]:
+    """``leading`` and the columns ``keep`` of ``df`` under names of its own; the kept ones' schema; and their names again.
+
+    Names in ``taken``, those of an operator's results, can't be kept.
+    """
+    clash = sorted(set(taken).intersection(keep))
+    if clash:
+        raise ValueError(f"rename the kept columns {clash}: the result has columns of these names")
+    out = df.select(*leading, *[F.col(f"`{c}`") for c in keep]).toDF(*[f"l{i}" for i in range(len(leading))], *[f"c{i}" for i in range(len(keep))])
+    return out, "".join(f"{f.name} {f.dataType.simpleString()}, " for f in out.schema.fields[len(leading) :]), list(keep)
+
+
+def held_out(modulus: int, rest: int) -> Column:
+    """Whether the crc32 of ``doc_id`` as text leaves ``rest``; false without an id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == rest, F.lit(False))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vlprep.llm.common import slices
+from vlprep.llm.common import renamed, slices
 
 #: Blocks below this many characters are open.
 LENGTH_LOW = 70
@@ -311,7 +311,7 @@ def _rows(batches, stop_words: frozenset[str]):
     for part in slices(batches, 0):
         texts = [main_text(page, stop_words) if page else "" for page in part.column(0).to_pylist()]
         columns = [*part.columns[1:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
+        yield pa.RecordBatch.from_arrays(columns, [*part.schema.names[1:], "text", "n_chars"])
 
 
 def extract(pages: DataFrame, keep: Sequence[str] = ("page_id", "url"), html: str = "html", stop_words: frozenset[str] = STOP_WORDS) -> DataFrame:
@@ -320,14 +320,8 @@ def extract(pages: DataFrame, keep: Sequence[str] = ("page_id", "url"), html: st
     One row per row: repeated rows stay, whatever is null in them. A null page reads as an empty one. A page is
     taken whole. Kept columns may not be called ``text`` or ``n_chars``; other columns don't matter.
     """
-    clash = {"text", "n_chars"}.intersection(keep)
-    if clash:
-        raise ValueError(f"rename the kept columns {sorted(clash)}: the result has columns of these names")
-    source = pages.select(F.col(html).cast("string"), *[F.col(f"`{c}`") for c in keep]).toDF("page", *[f"c{i}" for i in range(len(keep))])
-    kept = [(f.name, f.dataType.simpleString()) for f in source.schema.fields[1:]]
-    n = len(kept)
-    schema = ", ".join([f"{c} {t}" for c, t in kept] + [f"c{n} string", f"c{n + 1} long"])
-    return source.mapInArrow(partial(_rows, stop_words=stop_words), schema).toDF(*keep, "text", "n_chars")
+    source, kept, names = renamed(pages, keep, ("text", "n_chars"), F.col(html).cast("string"))
+    return source.mapInArrow(partial(_rows, stop_words=stop_words), f"{kept}text string, n_chars long").toDF(*names, "text", "n_chars")
 
 
 __all__ = ["Block", "blocks", "extract", "main_text"]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vlprep.llm.common import slices, small, steps, stored
+from vlprep.llm.common import renamed, slices, small, steps, stored
 
 SLOT_BITS = 15
 SLOTS = 1 << SLOT_BITS
@@ -66,9 +66,9 @@ def subwords(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(slots), np.concatenate(owners)) if slots else (np.empty(0, np.int64), np.empty(0, np.int32))
 
 
-def _lower(batches):
+def _lower(batches, text: str = "_text"):
     for batch in batches:
-        yield batch.set_column(batch.schema.get_field_index("_text"), "_text", pc.utf8_lower(batch.column("_text")))
+        yield batch.set_column(batch.schema.get_field_index(text), text, pc.utf8_lower(batch.column(text)))
 
 
 def _count_rows(batches):
@@ -164,9 +164,9 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model
     return fit([(r["lang"], np.frombuffer(r["slots"], np.uint32), np.frombuffer(r["counts"], np.uint32)) for r in rows if len(r["slots"])])
 
 
-def _guess_rows(batches, shared, names: list[str]):
-    model: Model | None = shared.value
-    for batch, lowered in steps(_lower(slices(batches, "_text")), "_text"):
+def _guess_rows(batches, shared):
+    model = Model(*shared.value) if shared.value is not None else None
+    for batch, lowered in steps(_lower(slices(batches, 0), "l0"), 0):
         n = len(lowered)
         if model is None:
             best, score = ["und"] * n, np.zeros(n)
@@ -176,23 +176,25 @@ def _guess_rows(batches, shared, names: list[str]):
             sizes = np.bincount(owners, minlength=n)
             p = model.probabilities(sums / np.maximum(sizes, 1)[:, None])
             best, score = [model.languages[j] for j in p.argmax(1)], p.max(1)
-        lettered = batch.column("_lettered").to_pylist()
+        lettered = batch.column(1).to_pylist()
         best = [b if has else "und" for b, has in zip(best, lettered)]
         score = np.where(np.array(lettered, bool), score, 0.0)
         rejected = [b == "und" or s < REJECT_BELOW for b, s in zip(best, score)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*names, "lang_pred", "score", "rejected"])
+        found = [pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[2:], *found], [*batch.schema.names[2:], "lang_pred", "score", "rejected"])
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of each row of ``docs`` with ``lang_pred``, ``score`` and ``rejected``.
+    """Columns ``keep`` of each row of ``docs`` with ``lang_pred``, ``score`` and ``rejected``, names that can't be kept.
 
     Null texts and texts without a letter are ``und`` with score 0; all others
     get a learned language, also where the guess is rejected. Without a model (no
     labelled rows) every text is ``und``. Repeated rows are judged alike.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 * SLOTS rows of one number per language
-    fields = docs.select(*keep).dtypes
-    schema = ", ".join(f"`{c}` {k}" for c, k in fields) + ", lang_pred string, score double, rejected boolean"
+    # plain arrays, which a worker needs no code of ours to read; 2 * SLOTS rows of one number per language
+    shared = docs.sparkSession.sparkContext.broadcast(None if model is None else (model.languages, model.table, model.bias, model.temperature))
     text = F.col("text").cast("string")
-    rows = docs.select(*keep, text.alias("_text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_lettered"))
-    return rows.mapInArrow(partial(_guess_rows, shared=shared, names=keep), schema)
+    results = ("lang_pred", "score", "rejected")
+    rows, kept, names = renamed(docs, keep, results, text, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
+    schema = f"{kept}lang_pred string, score double, rejected boolean"
+    return rows.mapInArrow(partial(_guess_rows, shared=shared), schema).toDF(*names, *results)

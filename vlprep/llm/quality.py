@@ -104,9 +104,10 @@ def with_neighbours(x: np.ndarray, first: np.ndarray) -> np.ndarray:
 class Chain:
     """Weights of the two states' line scores (as the good one's lead), and of the steps between states."""
 
-    def __init__(self, mean: np.ndarray, scale: np.ndarray):
+    def __init__(self, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray | None = None, step: np.ndarray | None = None):
         self.mean, self.scale = mean, scale
-        self.weights, self.step = np.zeros(3 * N_FEATURES + 3), np.zeros((2, 2))
+        self.weights = np.zeros(3 * N_FEATURES + 3) if weights is None else weights
+        self.step = np.zeros((2, 2)) if step is None else step
 
     def leads(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
         return with_neighbours((x - self.mean) / self.scale, first) @ self.weights
@@ -204,14 +205,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", docs_per_l
 
 
 def _score_rows(batches, shared):
-    chain: Chain | None = shared.value
+    chain = Chain(*shared.value) if shared.value is not None else None
     for batch, texts in steps(batches):
         scores = np.full(len(texts), 0.5) if chain is None else chain.qualities(texts)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
 
 def score(docs: DataFrame, chain: Chain | None) -> DataFrame:
-    """``doc_id`` and ``score`` (0 to 1) of each row. Null and empty texts are one empty line; without a model 0.5."""
-    shared = docs.sparkSession.sparkContext.broadcast(chain)  # a few hundred numbers
+    """``doc_id`` and ``score`` (0 to 1) of each row, a null id too; repeated rows are scored alike.
+
+    Null and empty texts are one empty line; without a model 0.5. Other columns don't matter.
+    """
+    # plain arrays of a few hundred numbers, which a worker needs no code of ours to read
+    shared = docs.sparkSession.sparkContext.broadcast(None if chain is None else (chain.mean, chain.scale, chain.weights, chain.step))
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(partial(_score_rows, shared=shared), f"doc_id {kind}, score double")

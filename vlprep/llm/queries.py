@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vlprep.llm.common import read_table
+from vlprep.llm.common import held_out, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,7 +57,7 @@ def op5_language(spark, sf):
     from vlprep.llm import langid
 
     docs = read_table(spark, sf, "documents")
-    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held = held_out(4, 2)
     model = langid.train(docs.filter(~held))
     return langid.identify(docs, model, ["doc_id"]).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
@@ -76,7 +76,7 @@ def op1_quality(spark, sf):
     from vlprep.llm import quality
 
     docs = read_table(spark, sf, "documents")
-    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held = held_out(5, 0)
     chain = quality.train(docs, read_table(spark, sf, "labels").filter(~held))
     scored = quality.score(docs, chain)
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
