@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +15,6 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(tokenizer_path())
-    found.encode_special_tokens = True
     return found
 
 
@@ -22,11 +22,25 @@ def test_pieces_give_the_ids_of_the_whole(tokenizer):
     rng = random.Random(6)
     parts = [" ", "  ", "\n", "\t", "a", "Bc", "'s", "12", "!?", "é", " ", "　", "<|endoftext|>", "\r\n"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    texts += ["".join(rng.choice(["ab ", "\n", " ", "c", "\x85", "\u2003", "\x1c", "<|endoftext|>", "Ġ", "9"]) for _ in range(rng.randint(0, 9))) for _ in range(3000)]
     texts += ["", " ", "x" * 10_000, " " * 500 + "y", "<|endoftext|>"]
     encoder = PieceEncoder(tokenizer_path(), cache_pieces=50)
     for i in range(0, len(texts), 100):
-        for text, ids in zip(texts[i : i + 100], encoder.encode(texts[i : i + 100])):
-            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        part = texts[i : i + 100]
+        ids, sizes = encoder.encode(pa.array(part))
+        want = [tokenizer.encode(t, add_special_tokens=False).ids for t in part]
+        assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
+        ids, sizes = encoder.encode(pa.array(part), 2)
+        assert ids.tolist() == [x for w in want for x in (*w, 2)]
+
+
+def test_special_tokens_as_text(tokenizer):
+    text = "<|endoftext|> hi a<|endoftext|>"
+    plain, as_text = (PieceEncoder(tokenizer_path(), special_as_text=flag).encode(pa.array([text]))[0].tolist() for flag in (False, True))
+    assert plain == tokenizer.encode(text, add_special_tokens=False).ids and plain.count(50256) == 2
+    tokenizer.encode_special_tokens = True
+    assert as_text == tokenizer.encode(text, add_special_tokens=False).ids and 50256 not in as_text
+    tokenizer.encode_special_tokens = False
 
 
 @pytest.mark.parametrize("n", [1, 127, 128, 129, 1000])
@@ -38,8 +52,10 @@ def test_blocks_give_the_ids_back(n, high):
     writer = FileWriter()
     writer.CHUNK = 300
     for i in range(0, n, 70):
-        writer.add(i, ids[i : i + 70].tobytes())
-    file = TokenFile(writer.finish())
+        part = ids[i : i + 70]
+        writer.add([i, i + 1], [3 if len(part) > 3 else 0, len(part) - (3 if len(part) > 3 else 0)], part)
+    assert writer.finish()[1] == n
+    file = TokenFile(writer.sink.getvalue())
     assert file.ids(0, n).tolist() == ids.tolist()
     for _ in range(20):
         a, b = sorted(rng.integers(0, n + 1, 2))
@@ -53,8 +69,9 @@ def test_outliers_do_not_widen_blocks():
     size = {}
     for name, ids in (("small", small), ("odd", odd)):
         writer = FileWriter()
-        writer.add(1, ids.tobytes())
-        size[name] = len(writer.finish())
+        writer.add([1], [len(ids)], ids)
+        writer.finish()
+        size[name] = len(writer.sink.getvalue())
     assert size["odd"] == size["small"] + 10 * 5
 
 
@@ -85,3 +102,19 @@ def test_other_orders_and_odd_tables(spark, docs_of, tmp_path, tokenizer):
     got = sorted((r["start"], r["doc_id"]) for r in read_index(files).collect())
     assert [d for _, d in got] == list(range(29, -1, -1))
     assert token_index(docs_of([]).limit(0), tokenizer_path()).collect() == []
+
+
+def test_stored_rows_stay_in_their_files(spark, docs_of, tmp_path, tokenizer):
+    rows = [(i, f"text {i} " * (i % 7)) for i in range(200)]
+    docs_of(rows).orderBy("doc_id").repartitionByRange(6, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long")
+    placed = docs.select("doc_id", "text", part.alias("_part"), F.col("_metadata.row_index").alias("_row"))
+    files = write_tokens(placed, f"file://{tmp_path}/files", tokenizer_path(), placed=True)
+    assert "Exchange" not in placed._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["start"], *r[:1], *r[2:]) for r in read_index(files).collect())
+    assert [(d, s, n, c) for s, d, n, c in got] == expected(rows, tokenizer)
+    # a row missing in the middle of a file begins a new one
+    files = write_tokens(placed.filter("doc_id != 50"), f"file://{tmp_path}/more", tokenizer_path(), placed=True)
+    got = sorted((r["start"], *r[:1], *r[2:]) for r in read_index(files).collect())
+    assert [(d, s, n, c) for s, d, n, c in got] == expected([r for r in rows if r[0] != 50], tokenizer)

@@ -2,11 +2,12 @@
 
 A file holds the ids of a run of documents in order, little-endian throughout:
 
-    magic "PFOR1\\0\\0\\0"; int64 documents, ids, blocks
-    int64 per document: its id; int64 per document: number of ids before its end
-    int64 per block, and one more: where its bytes begin in the block area
+    magic "PFOR1\\0\\0\\0"
     blocks: uint32 minimum; uint8 width; uint8 exceptions; the packed numbers;
             a position byte and a uint32 for each exception
+    int64 per document: its id; int64 per document: number of ids before its end
+    int64 per block, and one more: where its bytes begin after the magic word
+    int64 documents, ids, blocks, and where the index of documents begins; the magic word again
 
 A block is 128 ids (the last may have fewer). Its minimum is taken off; the width
 is the bits that 90 of 100 of the rest need. Ids above it are stored whole in
@@ -16,21 +17,22 @@ blocks let a reader unpack any range of ids alone.
 
 from __future__ import annotations
 
+import io
 import os
 import re
 import uuid
 import zlib
-from array import array
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vlprep.llm.common import steps
+from vlprep.llm.common import slices, worker_cache
 from vlprep.session import run_dir
 
 MAGIC = b"PFOR1\0\0\0"
@@ -40,7 +42,15 @@ END_ID = 2
 #: Stands for a null document id in a file.
 NO_ID = -(1 << 63)
 #: Pieces of text whose ids a worker remembers.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 800_000
+#: New pieces that are encoded as one text.
+JOINED = 2000
+# Fixed value: a space at the start of a byte-level token.
+SPACE_TOKEN = "\u0120"
+_CUT = re.compile(r"(?= [^\s])")
+#: A space with other white space after it, ASCII or not: what stands around it is cut with care.
+_ODD = r" [\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_FILES = pa.schema([("part", pa.int64()), ("first", pa.int64()), ("path", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())])
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -126,146 +136,246 @@ def decode_blocks(area: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class FileWriter:
-    """Gathers documents into a file's bytes; ids are packed about ``CHUNK`` at a time."""
+    """Writes documents to a file as they come; about ``CHUNK`` ids are packed at a time."""
 
     CHUNK = 1 << 20
 
-    def __init__(self):
-        self.doc_ids, self.sizes, self.areas, self.starts = [], [], [], [np.zeros(1, np.int64)]
+    def __init__(self, sink=None):
+        self.sink = io.BytesIO() if sink is None else sink
+        self.sink.write(MAGIC)
+        self.doc_ids, self.sizes, self.starts = [], [], [np.zeros(1, np.int64)]
         self.waiting, self.n_waiting, self.n_bytes = [], 0, 0
 
-    def add(self, doc_id: int, ids: bytes) -> None:
-        self.doc_ids.append(doc_id)
-        self.sizes.append(len(ids) // 4)
-        self.waiting.append(ids)
-        self.n_waiting += len(ids) // 4
+    def add(self, doc_ids: list[int], sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Documents with their numbers of ids, and all their ids."""
+        self.doc_ids.append(np.array(doc_ids, "<i8"))
+        self.sizes.append(np.asarray(sizes, np.int64))
+        self.waiting.append(ids.astype(np.uint32, copy=False))
+        self.n_waiting += len(ids)
         if self.n_waiting >= self.CHUNK:
             self._pack(self.n_waiting // BLOCK * BLOCK)
 
     def _pack(self, n: int) -> None:
-        ids = np.frombuffer(b"".join(self.waiting), "<u4")
+        ids = np.concatenate(self.waiting)
         area, starts = encode_blocks(ids[:n])
-        self.areas.append(area)
+        self.sink.write(area)
         self.starts.append(starts[1:] + self.n_bytes)
         self.n_bytes += len(area)
-        self.waiting, self.n_waiting = [ids[n:].tobytes()], len(ids) - n
+        self.waiting, self.n_waiting = [ids[n:].copy()], len(ids) - n
 
-    def finish(self) -> bytes:
+    def finish(self) -> tuple[int, int]:
+        """Write what is left and the index; numbers of documents and ids."""
         if self.n_waiting:
             self._pack(self.n_waiting)
-        starts, ends = np.concatenate(self.starts), np.cumsum(self.sizes)
-        head = np.array([len(ends), ends[-1] if len(ends) else 0, len(starts) - 1], "<i8")
-        columns = (head, np.array(self.doc_ids, "<i8"), ends.astype("<i8"), starts.astype("<i8"))
-        return b"".join([MAGIC, *(c.tobytes() for c in columns), *self.areas])
+        sizes = np.concatenate([*self.sizes, np.empty(0, np.int64)])
+        starts, ends = np.concatenate(self.starts), np.cumsum(sizes)
+        n_ids = int(sizes.sum())
+        for column in (*self.doc_ids, ends, starts, np.array([len(ends), n_ids, len(starts) - 1, len(MAGIC) + self.n_bytes])):
+            self.sink.write(column.astype("<i8").tobytes())
+        self.sink.write(MAGIC)
+        return len(ends), n_ids
 
 
 class TokenFile:
-    """A file's content: ``doc_ids``, ``ends``, and ids of any range."""
+    """A file's index (``doc_ids``, ``ends``), and ids of any range. ``source`` is a file that can be read anywhere, or bytes."""
 
-    def __init__(self, data: bytes):
-        if data[:8] != MAGIC:
+    def __init__(self, source):
+        self.source = pa.BufferReader(source) if isinstance(source, bytes) else source
+        size = self.source.size()
+        tail = self._read(max(0, size - 40), 40)
+        if size < 48 or tail[32:] != MAGIC or self._read(0, 8) != MAGIC:
             raise ValueError("not a token file")
-        docs, self.size, blocks = np.frombuffer(data, "<i8", 3, 8)
-        at = 32
-        self.doc_ids = np.frombuffer(data, "<i8", docs, at)
-        self.ends = np.frombuffer(data, "<i8", docs, at + 8 * docs)
-        self.starts = np.frombuffer(data, "<i8", blocks + 1, at + 16 * docs)
-        self.area = np.frombuffer(data, np.uint8, offset=at + 16 * docs + 8 * (blocks + 1))
+        docs, self.size, blocks, at = np.frombuffer(tail[:32], "<i8").tolist()
+        index = np.frombuffer(self._read(at, 8 * (2 * docs + blocks + 1)), "<i8")
+        self.doc_ids, self.ends, self.starts = index[:docs], index[docs : 2 * docs], index[2 * docs :]
+
+    def _read(self, at: int, n: int) -> bytes:
+        self.source.seek(at)
+        return self.source.read(n)
 
     def ids(self, begin: int, end: int) -> np.ndarray:
         if end <= begin:
             return np.empty(0, np.uint32)
         first, last = begin // BLOCK, -(-end // BLOCK)
-        return decode_blocks(self.area, self.starts[first : last + 1])[begin - first * BLOCK : end - first * BLOCK]
+        starts = self.starts[first : last + 1]
+        area = np.frombuffer(self._read(len(MAGIC) + int(starts[0]), int(starts[-1] - starts[0])), np.uint8)
+        return decode_blocks(area, starts - starts[0])[begin - first * BLOCK : end - first * BLOCK]
 
 
 class PieceEncoder:
-    """Ids of texts by a tokenizer file, each distinct piece encoded once.
+    """Ids of texts by a byte-level tokenizer file, each distinct piece encoded once.
 
     The tokenizer's pattern never joins a space that a non-space follows to what
-    stands before it, so a text may be cut there and the pieces' ids put
-    together. Texts are cut at spaces; where several follow each other, only
-    before the last. Strings of special tokens are ordinary text.
+    stands before it, so a text may be cut there and the pieces' ids put together. Pieces
+    are taken without that space. New pieces are encoded some thousands at a time, as one text with
+    spaces between them: the first token of each is the only one that begins with its space.
+
+    ``special_as_text`` reads strings of special tokens as ordinary text; the tokenizer's own way is to take them as these tokens.
     """
 
-    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        self.tokenizer, self.cache_pieces = tokenizer, cache_pieces
-        self.plain, self.spaced = {}, {}  # ids of a piece, and of a piece with a space before it
-
-    def _learn(self, known: dict[str, bytes], lead: str, pieces: set[str]) -> None:
-        new = list(pieces.difference(known))
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast([lead + p for p in new], add_special_tokens=False)):
-            known[piece] = array("I", found.ids).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """32-bit ids of each text, in the machine's byte order."""
-        if len(self.plain) + len(self.spaced) > self.cache_pieces:
-            self.plain.clear()
-            self.spaced.clear()
-        cut = [None if "  " in t else t.split(" ") for t in texts]
-        odd = {i: re.split(r"(?= [^\s])", t) for i, (t, c) in enumerate(zip(texts, cut)) if c is None}
-        self._learn(self.plain, "", {c[0] for c in cut if c}.union(*odd.values()))
-        rests = [c[1:] if c else [] for c in cut]
-        self._learn(self.spaced, " ", set().union(*rests))
-        plain, spaced = self.plain.__getitem__, self.spaced.__getitem__
-        return [
-            b"".join(map(plain, odd[i])) if c is None else plain(c[0]) + b"".join(map(spaced, rest))
-            for i, (c, rest) in enumerate(zip(cut, rests))
-        ]
+        self.tokenizer, self.cache_pieces = Tokenizer.from_file(path), cache_pieces
+        self.tokenizer.encode_special_tokens = special_as_text
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.spaced_token = np.array([(self.tokenizer.id_to_token(i) or "").startswith(SPACE_TOKEN) for i in range(size)])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, dict[str, int]] = {" ": {}, "": {}}  # of pieces with a space before them, and without
+        # place 0 is for the end id
+        self.ids, self.begins, self.sizes = np.zeros(1, np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def _alone(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, pieces: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of some pieces with a space before each, and the number of ids of each."""
+        ids, sizes = [], []
+        for begin in range(0, len(pieces), JOINED):
+            part = pieces[begin : begin + JOINED]
+            found = self._alone([" " + " ".join(part)])[0]
+            firsts = np.flatnonzero(self.spaced_token[found])
+            if len(firsts) != len(part):  # not a byte-level tokenizer
+                each = self._alone([" " + p for p in part])
+                found, firsts = np.concatenate(each), np.cumsum([0, *map(len, each[:-1])])
+            ids.append(found)
+            sizes.append(np.diff(firsts, append=len(found)))
+        return ids, sizes
+
+    def _places(self, pieces: list[str], lead: str) -> np.ndarray:
+        """Where the ids of distinct pieces are kept; those not known are encoded first."""
+        known = self.place[lead]
+        places = np.array([known.get(p, -1) for p in pieces], np.int64)
+        missing = np.flatnonzero(places < 0)
+        if len(missing):
+            new = [pieces[i] for i in missing]
+            simple = np.array([bool(p) and " " not in p and not p[0].isspace() for p in new]) & bool(lead)
+            ids, sizes = self._together([new[i] for i in np.flatnonzero(simple)])
+            rest = self._alone([lead + new[i] for i in np.flatnonzero(~simple)])
+            sizes = np.concatenate([*sizes, [len(r) for r in rest]]).astype(np.int64)
+            at = np.empty(len(new), np.int64)
+            at[simple] = np.arange(simple.sum())
+            at[~simple] = np.arange(simple.sum(), len(new))
+            places[missing] = at + len(self.begins)
+            known.update(zip(new, places[missing].tolist()))
+            self.begins = np.concatenate([self.begins, len(self.ids) + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.ids = np.concatenate([self.ids, *ids, *rest])
+        return places
+
+    def _encode(self, pieces: pa.Array, begins: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts given by their pieces, and where each text's first piece is; the texts' numbers of ids."""
+        n = len(pieces)
+        coded = pieces.dictionary_encode()
+        places = self._places(coded.dictionary.to_pylist(), " ")[coded.indices.to_numpy(zero_copy_only=False)]
+        first = pieces.take(pa.array(begins)).dictionary_encode()
+        places[begins] = self._places(first.dictionary.to_pylist(), "")[first.indices.to_numpy(zero_copy_only=False)]
+        if end_id is not None:
+            self.ids[0] = end_id
+            places = np.insert(places, np.append(begins[1:], n), 0)
+            begins = begins + np.arange(len(begins))
+        sizes = self.sizes[places]
+        shift = self.begins[places] - (np.cumsum(sizes) - sizes)
+        counts = np.add.reduceat(sizes, begins) if n else np.empty(0, np.int64)
+        return self.ids[np.arange(int(sizes.sum())) + np.repeat(shift, sizes)], counts
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """32-bit ids of some texts one after the other, each followed by ``end_id``, and the number of each text's ids."""
+        if sum(map(len, self.place.values())) > self.cache_pieces:
+            self._forget()
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        parts = []
+        plain = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        if len(plain):
+            parts.append(self._encode(plain.flatten(), plain.offsets.to_numpy()[:-1] - plain.offsets[0].as_py(), end_id))
+        if odd.any():
+            # cut where one space stands before a non-space, after which the space is left out
+            cut = [[p[1:] if i else p for i, p in enumerate(_CUT.split(t))] for t in texts.filter(pa.array(odd)).to_pylist()]
+            begins = np.cumsum([0, *map(len, cut[:-1])])
+            parts.append(self._encode(pa.array([p for c in cut for p in c], pa.string()), begins, end_id))
+        if len(parts) == 1:
+            return parts[0]
+        if not parts:
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        sizes = np.empty(len(texts), np.int64)
+        sizes[~odd], sizes[odd] = parts[0][1], parts[1][1]
+        owner = np.repeat(odd, sizes)
+        out = np.empty(len(owner), np.uint32)
+        out[~owner], out[owner] = parts[0][0], parts[1][0]
+        return out, sizes
 
 
 def _filesystem(path: str):
     return pafs.FileSystem.from_uri(path) if re.match(r"^[a-z][a-z0-9+.-]*:", path) else (pafs.LocalFileSystem(), path)
 
 
-_encoders: dict[str, PieceEncoder] = {}
-
-
-def _write_rows(batches, folder: str, tokenizer: str, end_id: int):
+def _write_rows(batches, folder: str, tokenizer: str, end_id: int, placed: bool):
+    """One file for the rows of a task, or, with ``placed``, one for each run of rows that follow each other in a stored file."""
     from pyspark import TaskContext
 
-    encoder = _encoders.setdefault(tokenizer, PieceEncoder(tokenizer))
-    mark = np.array([end_id], "<u4").tobytes()
-    out = FileWriter()
-    for batch, texts in steps(batches, step=1 << 18):
-        for doc, found in zip(batch.column("doc_id").to_pylist(), encoder.encode([t.decode("utf-8", "replace") for t in texts])):
-            out.add(NO_ID if doc is None else doc, found + mark)
-    if not out.doc_ids:
-        return
-    part = TaskContext.get().partitionId()
-    n_ids, data = sum(out.sizes), out.finish()
+    encoders = worker_cache("token encoders")
+    if tokenizer not in encoders:
+        encoders[tokenizer] = PieceEncoder(tokenizer)
+    encoder = encoders[tokenizer]
     files, base = _filesystem(folder)
-    name, draft = f"{base}/part-{part:06d}.pfor", f"{base}/.draft-{part:06d}-{uuid.uuid4().hex}"
     files.create_dir(base, recursive=True)
-    with files.open_output_stream(draft) as target:
-        target.write(data)
-    files.move(draft, name)  # every attempt writes the same bytes
-    columns = [pa.array([part], pa.int32()), pa.array([f"{folder}/part-{part:06d}.pfor"]), pa.array([len(out.doc_ids)], pa.int64()), pa.array([n_ids], pa.int64())]
-    yield pa.RecordBatch.from_arrays(columns, ["part", "path", "documents", "ids"])
-
-
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, order: list[str] | None = None, end_id: int = END_ID) -> DataFrame:
-    """Write token files below ``folder``; one row per file: ``part``, ``path``, ``documents``, ``ids``, ``start``.
+    task = TaskContext.get().partitionId()
+    writer, place, following = None, None, None
+
+    def finished():
+        documents, ids = writer.finish()
+        writer.sink.close()
+        name = f"part-{place[0]:012d}-{place[1]:012d}.pfor"
+        files.move(draft, f"{base}/{name}")  # every attempt writes the same bytes
+        values = (place[0], place[1], f"{folder}/{name}", documents, ids)
+        return pa.RecordBatch.from_pydict({n: [v] for n, v in zip(("part", "first", "path", "documents", "ids"), values)}, _FILES)
+
+    for batch in slices(batches, step=1 << 21):
+        begins = [0]
+        if placed:
+            file, row = batch.column("_part").to_numpy(), batch.column("_row").to_numpy()
+            begins += (np.flatnonzero((np.diff(file) != 0) | (np.diff(row) != 1)) + 1).tolist()
+        for begin, end in zip(begins, [*begins[1:], batch.num_rows]):
+            here = (int(file[begin]), int(row[begin])) if placed else (task, 0)
+            if writer is None or placed and here != following:
+                if writer is not None:
+                    yield finished()
+                place, draft = here, f"{base}/.draft-{uuid.uuid4().hex}"
+                writer = FileWriter(files.open_output_stream(draft))
+            part = batch.slice(begin, end - begin)
+            following = (here[0], here[1] + end - begin)
+            ids, sizes = encoder.encode(pc.fill_null(part.column("text"), ""), end_id)
+            writer.add(part.column("doc_id").fill_null(NO_ID).to_numpy(), sizes, ids)
+    if writer is not None:
+        yield finished()
+
+
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, order: list[str] | None = None, end_id: int = END_ID, placed: bool = False) -> DataFrame:
+    """Write token files below ``folder``; one row per file: ``part``, ``first``, ``path``, ``documents``, ``ids``, ``start``.
 
     Files follow each other in the order of the columns ``order`` (default
-    ``doc_id``, equal ids by text, null first). A null text gives the end id alone. ``start``
-    is the number of ids in the files before. No documents, no files.
+    ``doc_id``, equal ids by text, null first). With ``placed`` the rows stay where they are: they
+    come from stored files, and the whole numbers ``_part`` and ``_row`` tell the file and the row in it.
+    A null text gives the end id alone. ``start`` is the number of ids in the files before. No documents, no files.
     """
-    order = order or ["doc_id", "text"]
-    ranged = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[c for c in order if c not in ("doc_id", "text")])
-    ranged = ranged.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    written = ranged.mapInArrow(
-        partial(_write_rows, folder=folder, tokenizer=tokenizer, end_id=end_id), "part int, path string, documents long, ids long"
-    )
+    doc, text = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    if placed:
+        ranged = docs.select(doc, text, F.col("_part").cast("long").alias("_part"), F.col("_row").cast("long").alias("_row"))
+    elif order:
+        ranged = docs.select(doc, text, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+        by = [f"_o{i}" for i in range(len(order))]
+        ranged = ranged.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "text")
+    else:
+        # ranges by the id alone: limits are sampled on the driver, which texts must not reach
+        ranged = docs.select(doc, text).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    run = partial(_write_rows, folder=folder, tokenizer=tokenizer, end_id=end_id, placed=placed)
     manifest = f"{folder}/_manifest"
-    written.write.parquet(manifest)
+    ranged.mapInArrow(run, "part long, first long, path string, documents long, ids long").write.parquet(manifest)
     files = docs.sparkSession.read.parquet(manifest)
-    before = F.sum("ids").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))  # one row per file
+    before = F.sum("ids").over(W.orderBy("part", "first").rowsBetween(W.unboundedPreceding, -1))  # one row per file
     return files.withColumn("start", F.coalesce(before, F.lit(0)).cast("long"))
 
 
@@ -273,21 +383,21 @@ def _read_rows(batches):
     for batch in batches:
         for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
             files, base = _filesystem(path)
-            with files.open_input_stream(base) as source:
-                file = TokenFile(source.read())
-            crc = np.zeros(len(file.ends), np.uint32)
-            firsts = np.concatenate([[0], file.ends[:-1]])
-            doc = 0
-            while doc < len(file.ends):  # about a million ids at a time
-                last = max(doc + 1, int(np.searchsorted(file.ends, firsts[doc] + (1 << 20), "right")))
-                ids = file.ids(int(firsts[doc]), int(file.ends[last - 1])).astype("<u4")
-                for i in range(doc, last):
-                    crc[i] = zlib.crc32(ids[firsts[i] - firsts[doc] : file.ends[i] - firsts[doc]])
-                doc = last
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(file.doc_ids, mask=file.doc_ids == NO_ID), pa.array(firsts + start), pa.array(file.ends - firsts), pa.array(crc.astype(np.int64))],
-                ["doc_id", "start", "n_tokens", "ids_crc32"],
-            )
+            with files.open_input_file(base) as source:
+                file = TokenFile(source)
+                firsts = np.concatenate([[0], file.ends[:-1]])
+                doc = 0
+                while doc < len(file.ends):  # about a million ids at a time
+                    last = max(doc + 1, int(np.searchsorted(file.ends, firsts[doc] + (1 << 20), "right")))
+                    ids = file.ids(int(firsts[doc]), int(file.ends[last - 1])).astype("<u4")
+                    here = slice(doc, last)
+                    crc = [zlib.crc32(ids[a:b]) for a, b in zip((firsts[here] - firsts[doc]).tolist(), (file.ends[here] - firsts[doc]).tolist())]
+                    names = file.doc_ids[here]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(names, mask=names == NO_ID), pa.array(firsts[here] + start), pa.array(file.ends[here] - firsts[here]), pa.array(crc, pa.int64())],
+                        ["doc_id", "start", "n_tokens", "ids_crc32"],
+                    )
+                    doc = last
 
 
 def read_index(files: DataFrame) -> DataFrame:
@@ -300,9 +410,9 @@ def read_index(files: DataFrame) -> DataFrame:
     return rows.mapInArrow(_read_rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_index(docs: DataFrame, tokenizer: str, order: list[str] | None = None) -> DataFrame:
+def token_index(docs: DataFrame, tokenizer: str, order: list[str] | None = None, placed: bool = False) -> DataFrame:
     """Write the files to the shared folder and read them back."""
-    return read_index(write_tokens(docs, run_dir(docs.sparkSession, "tokens"), tokenizer, order))
+    return read_index(write_tokens(docs, run_dir(docs.sparkSession, "tokens"), tokenizer, order, placed=placed))
 
 
-__all__ = ["PieceEncoder", "TokenFile", "decode_blocks", "encode_blocks", "read_index", "FileWriter", "token_index", "write_tokens"]
+__all__ = ["FileWriter", "PieceEncoder", "TokenFile", "decode_blocks", "encode_blocks", "read_index", "token_index", "write_tokens"]
