@@ -83,9 +83,11 @@ def test_against_brute_force(spark, docs_of, monkeypatch, short, block, segment,
     assert rows_of(search(docs_of(docs, 4), items_of(spark, items))) == brute(docs, items)
 
 
-def test_blocks_are_skipped_and_bounds_hold():
+def test_blocks_are_skipped_and_bounds_hold(monkeypatch):
+    monkeypatch.setattr(S, "SHORT_LIST", 128)
+    monkeypatch.setattr(S, "BLOCK", 64)
     rng = np.random.default_rng(7)
-    n, vocabulary = 4000, 30
+    n, vocabulary = 2000, 30
     sizes = rng.integers(5, vocabulary, n)
     terms = np.concatenate([np.sort(rng.choice(vocabulary, s, replace=False)) for s in sizes])
     values = rng.integers(1, 1000, len(terms)) * np.where(np.repeat(np.arange(n) % 50 == 0, sizes) & (terms < 10), 50, 1)  # a topic

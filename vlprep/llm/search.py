@@ -42,6 +42,8 @@ QUERY_TERMS = 200_000
 PIECE = 4 << 20
 #: Groups in which the best of the tasks are merged before the last merge.
 MERGES = 64
+#: Most rows that Python gets at a time.
+ROWS = 10_000
 #: Stands for a null id, behind all others.
 NO_ID = (1 << 63) - 1
 
@@ -300,6 +302,12 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     terms; a document's length factor ``m`` is ``10 + 90 * n * N div L``; a term adds
     ``weight * (10**9 * tf div (1000 * tf + 8 * m))``.
     """
+    # every job that runs Python is started in here
+    with arrow_batches(docs.sparkSession, ROWS):
+        return _search(docs, items, k)
+
+
+def _search(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
     spark = docs.sparkSession
     wanted = stored(item_terms(items), "item-terms")
     n_blocks = -(-wanted.count() // QUERY_TERMS)
