@@ -3,8 +3,10 @@
 Every text is fingerprinted: of each ``WINDOW`` = 7 consecutive hashes of
 ``GRAM`` = 7 words, the smallest is kept (the last one on ties). Any span of 13
 words shared by a document and an item has a fingerprint in common (Schleimer et
-al., 2003). Fingerprints of both sides are joined, each hit is extended to both
-sides word by word, and extensions of at least 13 words count. Items of fewer
+al., 2003). Equal fingerprints that follow each other in equal steps, as in a
+text of one word, are one run. Runs of both sides are joined, each hit is extended to both
+sides word by word, and extensions of at least 13 words count. Where
+runs allow many ways to lay an item on a document, the document's windows of 13 words are looked up among the item's instead. Items of fewer
 words are fingerprinted by all their words, and documents by every run of as
 many words as some such item has.
 
@@ -21,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vlprep.llm.common import Words, grams, small, steps, stored
+from vlprep.llm.common import Words, grams, renamed, small, steps, stored
 
 SPAN = 13
 GRAM = 7
 WINDOW = SPAN - GRAM + 1
+#: Ways to lay an item on a document that are tried one by one.
+MOST_SHIFTS = 64
 
 #: Bytes of words: 0-9, a-z (A-Z are lowered before) and every byte of a non-ASCII character.
 WORD_BYTES = np.zeros(256, bool)
@@ -55,6 +59,20 @@ def fingerprints(own: np.ndarray, short: list[int]) -> tuple[np.ndarray, np.ndar
     return np.concatenate(found), np.concatenate(where)
 
 
+def runs(found: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Equal fingerprints in equal steps as one: hash, first and last position, and the step (0 for one alone)."""
+    if not len(found):
+        return found, where, where, where
+    step = np.diff(where)
+    same = (found[1:] == found[:-1]) & (step > 0)
+    goes_on = same.copy()
+    goes_on[1:] &= ~same[:-1] | (step[1:] == step[:-1])
+    begins = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+    ends = np.append(begins[1:], len(found)) - 1
+    width = np.where(ends > begins, np.append(step, 0)[begins], 0)
+    return found[begins], where[begins], where[ends], width
+
+
 def _item_rows(batches):
     for batch, texts in steps(batches):
         words = Words(texts, WORD_BYTES)
@@ -62,29 +80,24 @@ def _item_rows(batches):
         for i in range(len(texts)):
             own = words.of(i)
             n = len(own)
-            found, where = fingerprints(own, []) if n >= SPAN else fingerprints(own, [n]) if n else (own, own)
-            rows.append((n, [int(x) for x in found.astype(np.uint64).view(np.int64)], [int(x) for x in where], own.tobytes()))
-        n, found, where, own = zip(*rows) if rows else ([], [], [], [])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("item_id"), pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(where, pa.list_(pa.int64())), pa.array(own, pa.binary())],
-            ["item_id", "n", "found", "at", "words"],
-        )
+            found, first, last, step = runs(*(fingerprints(own, []) if n >= SPAN else fingerprints(own, [n]) if n else (own, np.empty(0, np.int64))))
+            rows.append((n, found.astype(np.uint64).view(np.int64).tolist(), first.tolist(), last.tolist(), step.tolist(), own.tobytes()))
+        n, found, first, last, step, own = zip(*rows) if rows else ([],) * 6
+        lists = [pa.array(c, pa.list_(pa.int64())) for c in (found, first, last, step)]
+        yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(n, pa.int64()), *lists, pa.array(own, pa.binary())], ["item_id", "n", "found", "first", "last", "step", "words"])
 
 
 def _document_rows(batches, short: list[int]):
     for batch, texts in steps(batches):
         words = Words(texts, WORD_BYTES)
-        ids, prints, where = [], [], []
+        ids, parts = [], []
         for i in range(len(texts)):
-            found, at = fingerprints(words.of(i), short)
-            ids.append(np.full(len(found), i))
-            prints.append(found)
-            where.append(at)
-        ids = pa.array(np.concatenate(ids))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(ids), pa.array(np.concatenate(prints).view(np.int64)), pa.array(np.concatenate(where).astype(np.int64))],
-            ["doc_id", "print", "doc_at"],
-        )
+            part = runs(*fingerprints(words.of(i), short))
+            ids.append(np.full(len(part[0]), i))
+            parts.append(part)
+        found, first, last, step = (np.concatenate(c) for c in zip(*parts))
+        columns = [found.view(np.int64), *(c.astype(np.int64) for c in (first, last, step))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(np.concatenate(ids))), *map(pa.array, columns)], ["doc_id", "print", "d_first", "d_last", "d_step"])
 
 
 def _extended(own: np.ndarray, item: np.ndarray, shift: int) -> list[tuple[int, int]]:
@@ -97,9 +110,28 @@ def _extended(own: np.ndarray, item: np.ndarray, shift: int) -> list[tuple[int,
     return [(a, b) for a, b in runs if b - a >= min(SPAN, len(item))]
 
 
+def _windows(own: np.ndarray, item: np.ndarray) -> list[tuple[int, int]]:
+    """The document's windows that are windows of the item, wherever they stand in it."""
+    n = min(SPAN, len(item))
+    at = np.flatnonzero(np.isin(grams(own, n), grams(item, n)))
+    if not len(at):
+        return []
+    cuts = np.flatnonzero(np.diff(at) > n)  # windows that touch are one span
+    return list(zip(at[np.append(0, cuts + 1)].tolist(), (at[np.append(cuts, len(at) - 1)] + n).tolist()))
+
+
+def _spans(own: np.ndarray, item: np.ndarray, ways: list[dict]) -> list[tuple[int, int]]:
+    """Words of a document in windows of an item; ``ways`` are ranges of places to lay the item."""
+    ranges = [range(w["low"], w["high"] + 1, w["step"] or 1) for w in ways]
+    if sum(map(len, ranges)) > MOST_SHIFTS:
+        return _windows(own, item)
+    return [span for shift in sorted(set().union(*ranges)) for span in _extended(own, item, shift)]
+
+
 def _verdict_rows(batches):
-    for batch, texts in steps(batches):
-        hits = batch.column("hits")
+    """Columns: text, hits, and those to keep."""
+    for batch, texts in steps(batches, 0):
+        hits = batch.column(1)
         rows = []
         if hits.null_count < len(hits):
             words = Words(texts, WORD_BYTES)
@@ -111,12 +143,10 @@ def _verdict_rows(batches):
             if hits[i].is_valid:
                 own, mask = words.of(i), np.zeros(n + 1, np.int64)
                 for h in hits[i].as_py():
-                    item, found = np.frombuffer(h["words"], np.uint64), False
-                    for shift in h["shifts"]:
-                        for a, b in _extended(own, item, shift):
-                            mask[a] += 1
-                            mask[b] -= 1
-                            found = True
+                    found = _spans(own, np.frombuffer(h["words"], np.uint64), h["ways"])
+                    for a, b in found:
+                        mask[a] += 1
+                        mask[b] -= 1
                     if found:
                         items.append(h["item_id"])
                 covered = np.diff(np.concatenate([[0], (np.cumsum(mask) > 0).view(np.int8)]))
@@ -124,51 +154,53 @@ def _verdict_rows(batches):
                 hit = sum(s["end"] - s["begin"] for s in spans)
             rows.append((n, hit, items, spans))
         n, hit, items, spans = zip(*rows)
-        kept = [c for c in batch.schema.names if c != "hits"]
-        kind = batch.schema.field("hits").type.value_type.field("item_id").type
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(kind)),
-             pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))],
-            [*kept, "n_words", "n_hit", "items", "spans"],
-        )
+        kind = batch.schema.field(1).type.value_type.field("item_id").type
+        found = [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(kind)), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[2:], *found], [*batch.schema.names[2:], *RESULTS])
+
+
+RESULTS = ("n_words", "n_hit", "items", "spans")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Each row of ``docs`` with ``n_words``, ``n_hit``, ``items`` (found item ids) and ``spans`` (hit word ranges).
 
-    ``docs`` needs ``doc_id`` and ``text``; ``keep`` names further columns to
-    carry along. ``benchmark`` needs ``item_id`` and ``text``. Null and empty
+    ``docs`` needs ``doc_id`` and ``text``, which come first; ``keep`` names further columns to
+    carry along, any but those of the results. ``benchmark`` needs ``item_id`` and ``text``. Null and empty
     texts have no words and no hits; items without words are found nowhere. Rows
     that share a ``doc_id``, a null one too, are judged each by its own
     text; items that share an ``item_id`` count once. Empty tables give no hits.
     """
     columns = list(dict.fromkeys(["doc_id", "text", *(keep or [])]))
-    docs = docs.select(*columns)
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).distinct()
     kind = dict(items.dtypes)["item_id"]
-    items = stored(
-        items.mapInArrow(_item_rows, f"item_id {kind}, n long, found array<long>, at array<long>, words binary").filter("n > 0"), "items"
-    ).withColumn("item_no", F.xxhash64("item_id", "words"))
+    lists = "found array<long>, first array<long>, last array<long>, step array<long>"
+    items = stored(items.mapInArrow(_item_rows, f"item_id {kind}, n long, {lists}, words binary").filter("n > 0"), "items").withColumn("item_no", F.xxhash64("item_id", "words"))
     # lengths below 13: at most 12 values
     short = sorted(r[0] for r in items.filter(F.col("n") < SPAN).select("n").distinct().collect())
-    marks = items.select("item_no", F.explode(F.arrays_zip("found", "at")).alias("f")).select("item_no", F.col("f.found").alias("print"), F.col("f.at").alias("item_at"))
-    marks = stored(marks, "item-prints")
+    marks = items.select("item_no", F.explode(F.arrays_zip("found", "first", "last", "step")).alias("f"))
+    marks = stored(marks.select("item_no", F.col("f.found").alias("print"), F.col("f.first").alias("i_first"), F.col("f.last").alias("i_last"), F.col("f.step").alias("i_step")), "item-prints")
     ids = dict(docs.dtypes)["doc_id"]
     seen = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        partial(_document_rows, short=short), f"doc_id {ids}, print long, doc_at long"
+        partial(_document_rows, short=short), f"doc_id {ids}, print long, d_first long, d_last long, d_step long"
     )
+    alike = (F.col("d_step") == F.col("i_step")) | (F.col("d_step") == 0) | (F.col("i_step") == 0)
+    step = F.when(alike, F.greatest("d_step", "i_step")).otherwise(1)
+    ways = F.struct((F.col("d_first") - F.col("i_last")).alias("low"), (F.col("d_last") - F.col("i_first")).alias("high"), step.alias("step"))
     hits = (
         seen.join(small(marks), "print")
         .groupBy("doc_id", "item_no")
-        .agg(F.collect_set((F.col("doc_at") - F.col("item_at"))).alias("shifts"))
+        .agg(F.collect_set(ways).alias("ways"))
         .join(small(items.select("item_no", "item_id", "words")), "item_no")
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("item_id", "words", "shifts")).alias("hits"))
+        .agg(F.collect_list(F.struct("item_id", "words", "ways")).alias("hits"))
     )
     hits = stored(hits.withColumnRenamed("doc_id", "_doc"), "hits")
-    schema = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes) + f", n_words long, n_hit long, items array<{kind}>, spans array<struct<begin: long, end: long>>"
-    joined = docs.join(small(hits), F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
-    return joined.mapInArrow(_verdict_rows, schema).withColumn("items", F.array_distinct("items"))
+    source, kept, names = renamed(docs, columns, RESULTS, F.col("doc_id"), F.col("text").cast("string"))
+    joined = source.join(small(hits), F.col("l0").eqNullSafe(F.col("_doc")), "left")
+    joined = joined.select("l1", "hits", *[c for c in source.columns if c.startswith("c")])
+    schema = f"{kept}n_words long, n_hit long, items array<{kind}>, spans array<struct<begin: long, end: long>>"
+    return joined.mapInArrow(_verdict_rows, schema).withColumn("items", F.array_distinct("items")).toDF(*names, *RESULTS)
 
 
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):

@@ -79,17 +79,23 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_hashes(own: np.ndarray) -> tuple[int, int]:
+    """Two numbers that tell a set from others."""
+    return int(own.sum(dtype=np.uint64).astype(np.int64)), int(mix(own).sum(dtype=np.uint64).astype(np.int64))
+
+
 def _sketch_rows(batches, n: int):
     for batch, texts in steps(batches):
         size, one, two, regs = [], [], [], []
         for own in shingle_sets(texts, n):
             size.append(len(own))
-            one.append(int(own.sum(dtype=np.uint64).astype(np.int64)))
-            two.append(int(mix(own).sum(dtype=np.uint64).astype(np.int64)))
+            h1, h2 = set_hashes(own)
+            one.append(h1)
+            two.append(h2)
             regs.append(sketch(own).tobytes() if len(own) else b"")
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(regs, pa.binary())],
-            ["doc_id", "n_shingles", "h1", "h2", "sketch"],
+            [batch.column("doc_id"), batch.column("text_hash"), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(regs, pa.binary())],
+            ["doc_id", "text_hash", "n_shingles", "h1", "h2", "sketch"],
         )
 
 
@@ -166,9 +172,12 @@ def _likely_rows(batches, share: float):
 
 
 def _set_rows(batches, n: int):
+    """Sets of the rows that have the set asked for; an id may stand on rows of other texts too."""
     for batch, texts in steps(batches):
-        sets = [own.tobytes() for own in shingle_sets(texts, n)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.large_binary())], ["class_id", "members"])
+        asked = zip(batch.column("h1").to_pylist(), batch.column("h2").to_pylist())
+        sets = [own.tobytes() if set_hashes(own) == want else None for own, want in zip(shingle_sets(texts, n), asked)]
+        found = pa.array(sets, pa.large_binary())
+        yield pa.RecordBatch.from_arrays([batch.column("class_id").filter(found.is_valid()), found.drop_null()], ["class_id", "members"])
 
 
 def _confirmed_rows(batches, above: int, below: int):
@@ -218,7 +227,7 @@ def crowd_links(mixed: DataFrame, sketches: DataFrame, docs: DataFrame, n: int,
     others. Estimates and full sets are compared there, so only links become rows.
     """
     seen = mixed.filter("class_id != lead")
-    sets = full_sets(seen.select(F.col("class_id").alias("doc_id")).distinct(), docs, n)
+    sets = full_sets(seen.select("class_id").distinct(), sketches, docs, n)
     size = lambda c: F.greatest(F.lit(1), F.ceil(F.sum(c) / BLOCK_MEMBERS)).cast("int")
     blocks = seen.groupBy("band").agg(size(F.col("apart").cast("int")).alias("xs"), size(F.lit(1)).alias("ys"))
     spot = lambda of: F.array(F.pmod(F.xxhash64("class_id"), F.col(of)).cast("int"))
@@ -233,10 +242,10 @@ def crowd_links(mixed: DataFrame, sketches: DataFrame, docs: DataFrame, n: int,
         return stored(laid.mapInArrow(partial(_crowd_rows, above=threshold[0], below=threshold[1]), "a long, b long"), "crowd-links")
 
 
-def full_sets(ids: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """``class_id`` and ``members`` of some documents, computed from their texts again; stored."""
-    texts = docs.select("doc_id", "text").join(small(stored(ids, "set-ids")), "doc_id", "left_semi")
-    # an id on several rows: any of its sets will do, as each is verified against what it meets
+def full_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """``class_id`` and ``members`` of some classes, computed from the text of one of their documents again; stored."""
+    wanted = stored(classes.select("class_id", F.col("first_doc").alias("doc_id"), "h1", "h2").join(small(stored(ids, "class-ids")), "class_id", "left_semi"), "set-ids")
+    texts = docs.select("doc_id", "text").join(small(wanted), "doc_id")
     return stored(texts.mapInArrow(partial(_set_rows, n=n), "class_id long, members binary").dropDuplicates(["class_id"]), "sets")
 
 
@@ -247,11 +256,11 @@ def likely(pairs: DataFrame, sketches: DataFrame, share: float) -> DataFrame:
     return both.mapInArrow(partial(_likely_rows, share=share), "a long, b long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
+def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
     """Pairs (``a``, ``b``) of class ids whose full sets reach the threshold; stored."""
     above, below = threshold
     pairs = stored(pairs, "likely")
-    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs, n)
+    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct(), classes, docs, n)
     both = pairs.join(sets.toDF("a", "ma"), "a").join(sets.toDF("b", "mb"), "b").select("a", "b", "ma", "mb")
     with arrow_batches(docs.sparkSession, SET_ROWS):
         return stored(both.mapInArrow(partial(_confirmed_rows, above=above, below=below), "a long, b long"), "links")
@@ -272,14 +281,15 @@ def apart(meets: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
+    """One row per row: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``, ``group_id``, ``text_hash``.
 
     ``docs`` has a whole-number ``doc_id`` and ``text``; other columns are not
     read. ``component_id`` is the smallest ``doc_id`` reachable by links of
     Jaccard at least ``threshold`` (a fraction), the document's own without
     links. Null, empty and wordless texts have no shingles and link with
-    nothing. A ``doc_id`` on several rows stands for the first text in order;
-    a null one is left unlinked, with a null component, and kept. An
+    nothing. A ``doc_id`` on rows of different texts links by each of them: every row goes by its own text, and
+    ``group_id`` (null without shingles) and ``text_hash`` tell groups and texts apart where ids don't.
+    A null ``doc_id`` is left unlinked, with a null component, and kept. An
     empty table gives an empty result.
     """
     # every job that runs Python is started in here; what is returned only reads tables
@@ -288,30 +298,40 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, threshold: tuple[in
 
 
 def _classes(docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     sk = stored(
-        ids.mapInArrow(partial(_sketch_rows, n=n), "doc_id long, n_shingles long, h1 long, h2 long, sketch binary"), "sketches"
+        ids.mapInArrow(partial(_sketch_rows, n=n), "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, sketch binary"), "sketches"
     )
     real = sk.filter("n_shingles > 0 and doc_id is not null")
     same = ["n_shingles", "h1", "h2"]
-    classes = stored(real.groupBy(*same).agg(F.min("doc_id").alias("class_id"), F.first("sketch").alias("sketch")), "classes")
+    sets = stored(real.groupBy(*same).agg(F.min("doc_id").alias("first_doc"), F.first("sketch").alias("sketch")), "distinct-sets")
+    # a class is called by its smallest doc_id; where texts share that id, by a hash
+    shared = stored(sets.groupBy("first_doc").count().filter("count > 1").select("first_doc", F.lit(True).alias("_shared")), "shared-ids")
+    name = F.when(F.col("_shared"), F.shiftrightunsigned(F.xxhash64("h1", "h2"), 2) + F.lit(1 << 62)).otherwise(F.col("first_doc"))
+    classes = stored(sets.join(small(shared), "first_doc", "left").select(*same, "first_doc", name.alias("class_id"), "sketch"), "classes")
     bands = stored(classes.select("class_id", "sketch").mapInArrow(_band_rows, "band long, class_id long"), "bands")
     leads = bands.groupBy("band").agg(F.min("class_id").alias("lead"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     meets = stored(bands.join(leads, "band"), "meets")
     share = threshold[0] / threshold[1]
     first = meets.filter("class_id != lead").select(F.col("class_id").alias("a"), F.col("lead").alias("b")).distinct()
-    links = confirm(likely(first, classes, share), ids, n, threshold)
+    links = confirm(likely(first, classes, share), classes, ids, n, threshold)
     mixed = apart(meets, links)
     # a few more leads, chosen by chance in every bucket, settle nearly all of a crowd
     more = [F.min_by(F.struct("class_id", "part"), F.xxhash64(F.lit(i), "band", "class_id")) for i in range(LEADS)]
     leads = mixed.groupBy("band").agg(F.array(*more).alias("leads")).select("band", F.explode(F.array_distinct("leads")).alias("y"))
     settled = mixed.filter("apart").join(leads, "band").filter(F.col("part") != F.col("y.part"))
     settled = settled.select(F.greatest("class_id", "y.class_id").alias("a"), F.least("class_id", "y.class_id").alias("b")).distinct()
-    links = stored(links.unionByName(confirm(likely(settled, classes, share), ids, n, threshold)), "links")
+    links = stored(links.unionByName(confirm(likely(settled, classes, share), classes, ids, n, threshold)), "links")
     second = crowd_links(apart(meets, links), classes, ids, n, threshold)
     linked = stored(components(links.unionByName(second)), "components")
-    to_class = classes.select(*same, "class_id").join(linked.withColumnRenamed("id", "class_id"), "class_id", "left")
-    to_class = to_class.select(*same, F.coalesce("component_id", "class_id").alias("component_id"))
-    alone = sk.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = real.select("doc_id", *same).join(to_class, same).select("doc_id", "n_shingles", "component_id").unionByName(alone)
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    to_class = classes.select(*same, "class_id", "first_doc").join(linked.withColumnRenamed("id", "class_id"), "class_id", "left")
+    to_class = to_class.withColumn("group_id", F.coalesce("component_id", "class_id")).drop("component_id")
+    odd = to_class.filter("class_id != first_doc").select("group_id").distinct()
+    lowest = to_class.join(small(odd), "group_id", "left_semi").groupBy("group_id").agg(F.min("first_doc").alias("lowest"))
+    to_class = to_class.join(small(stored(lowest, "lowest")), "group_id", "left").select(*same, F.coalesce("lowest", "group_id").alias("component_id"), "group_id")
+    nothing = F.lit(None).cast("long").alias("group_id")
+    alone = sk.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), nothing, "text_hash")
+    out = real.select("doc_id", "text_hash", *same).join(to_class, same).select("doc_id", "n_shingles", "component_id", "group_id", "text_hash").unionByName(alone)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return out.select("doc_id", "n_shingles", "component_id", kept, "group_id", "text_hash")
