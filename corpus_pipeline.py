@@ -44,13 +44,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group stays; of repeated rows, one."""
+    """The document of the smallest id of each group stays; of repeated rows, one.
+
+    Rows are told apart by id and text, so an id on rows of different texts loses only those that have a group elsewhere.
+    """
     plain = _plain(docs)
     found = stored(neardup.near_duplicates(plain), "duplicates")
-    kept = plain.join(small(found.filter("not kept").select("doc_id").distinct()), "doc_id", "left_anti").select(*plain.columns)
-    again = stored(found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter(F.col("count") > 1).select("doc_id"), "repeated")
-    once = kept.join(small(again), "doc_id", "left_anti").select(*plain.columns)
-    repeated = kept.join(small(again), "doc_id", "left_semi").select(*plain.columns).dropDuplicates(["doc_id", "text"])
+    row = ["doc_id", "text_hash"]
+    # texts of one group under its smallest id: the first by hash stays
+    first = found.filter("kept and group_id is not null").groupBy("doc_id", "group_id").agg(F.min("text_hash").alias("_first"), F.max("text_hash").alias("_last")).filter("_first != _last")
+    extra = found.join(small(stored(first.select("doc_id", "group_id", "_first"), "same-ids")), ["doc_id", "group_id"]).filter("text_hash != _first")
+    gone = stored(found.filter("not kept").select(*row).unionByName(extra.select(*row)).distinct(), "gone")
+    hashed = plain.withColumn("text_hash", F.xxhash64(F.col("text").cast("string")))
+    kept = hashed.join(small(gone), row, "left_anti").select(*hashed.columns)
+    again = stored(found.filter("kept and doc_id is not null").groupBy(*row).count().filter(F.col("count") > 1).select(*row), "repeated")
+    once = kept.join(small(again), row, "left_anti").select(*plain.columns)
+    repeated = kept.join(small(again), row, "left_semi").select(*plain.columns).dropDuplicates(["doc_id", "text"])
     return once.unionByName(repeated).toDF(*docs.columns)
 
 
@@ -73,15 +82,16 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the documents in their stored order, read back: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``.
 
-    The stored order is that of the files and of the rows in them. A table that was
-    not read from files has none; its documents go by ``doc_id``.
+    The stored order is that of the numbers of the part files and of the rows in them; each file is encoded where it
+    lies. A table that was not read from part files has none; its documents go by ``doc_id``.
     """
     try:
-        marked = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-        order = ["_file", "_row"]
+        part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1)
+        marked = docs.select("doc_id", "text", F.when(part != "", part.cast("long")).alias("_part"), F.col("_metadata.row_index").alias("_row"))
+        placed = not marked.select("_part").distinct().filter("_part is null").count()
     except AnalysisException:
-        marked, order = docs.select("doc_id", "text"), None
-    return tokenfile.token_index(marked, tokenizer_path(), order)
+        placed = False
+    return tokenfile.token_index(marked if placed else docs.select("doc_id", "text"), tokenizer_path(), placed=placed)
 
 
 STAGES: list[tuple[str, Stage]] = [
