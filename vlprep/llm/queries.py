@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vlprep.llm.common import held_out, read_table
+from vlprep.llm.oracle import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
 
 
 def tokenizer_path() -> str:
@@ -31,7 +31,7 @@ def op2_near_duplicates(spark, sf):
     """Contract: 4-word shingles, Jaccard at least 0.8, over the whole of ``documents``."""
     from vlprep.llm.neardup import near_duplicates
 
-    return near_duplicates(read_table(spark, sf, "documents"), n=4)
+    return near_duplicates(read_table(spark, sf, "documents"), n=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @query
@@ -153,35 +153,4 @@ def op13_hard_negatives(spark, sf):
     return hard_negatives(read_table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, label)
 
 
-_TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
-SQL["op12_lexical_search"] = f"""
-WITH docs AS (SELECT doc_id, {_TERMS} AS terms FROM documents),
-sized AS (SELECT doc_id, terms, len(terms) AS n FROM docs WHERE len(terms) > 0),
-totals AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM sized),
-asked AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark)),
-counted AS (
-    SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM sized)
-    WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
-weighed AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM counted, totals GROUP BY term, n_docs),
-impacts AS (
-    SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * n_docs) // n_terms)))) AS impact
-    FROM counted JOIN weighed USING (term), totals),
-scored AS (SELECT item_id, doc_id, sum(impact)::BIGINT AS score FROM asked JOIN impacts USING (term) GROUP BY ALL HAVING sum(impact) > 0),
-ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored)
-SELECT * FROM ranked WHERE rank <= 10
-"""
-SQL["op13_hard_negatives"] = """
-WITH rows AS (
-    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
-    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-scored AS (
-    SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
-    FROM rows a JOIN rows b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
-near AS (
-    SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
-    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
-SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INTEGER AS rank,
-    other_id AS negative_id, positive_score, score AS negative_score
-FROM near JOIN scored USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
-QUALIFY rank <= 10
-"""
+__all__ = ["QUERIES", "SQL", "tokenizer_path"]
