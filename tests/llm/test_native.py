@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 from fractions import Fraction
 
 import pytest
@@ -70,6 +71,22 @@ def test_windows_keep_the_budget(spark):
     assert any("<turn old assistant>" in w["text"] for w in found)
 
 
+def test_tokens_of_the_users_own(spark):
+    """A function that gives no tokens for some turns loses and disorders nothing."""
+    rows = conversations(8)
+    formatted = chat.windows(spark.createDataFrame(rows, TURNS).repartition(5), 40, 10, lambda t: F.when(F.length(t) > 30, F.length(t)).when(F.length(t) > 3, F.lit(0)))
+    assert {r["conv_id"]: tuple(r)[1:5] for r in chat.digests(formatted).collect()} == said(rows)
+
+
+def test_no_join_or_window_by_conversation_alone(spark):
+    """But for sums over groups of groups, nothing is dealt out by ``conv_id`` alone."""
+    found = chat.windows(spark.createDataFrame(conversations(), TURNS).repartition(5))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan
+    dealt = re.findall(r"hashpartitioning\((.*), \d+\), ", plan)
+    assert dealt and all(re.search(r"_group|_of|window|_super|_bin|_in", d) for d in dealt)
+
+
 def chat_escape(text):
     return text.replace("&", "&amp;").replace("<", "&lt;")
 

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vlprep.llm.common import stored
+
 BUDGET = 1024
 HISTORY = 256
 #: Turn numbers in one group of the prefix sums; a long conversation is many groups.
@@ -50,34 +52,51 @@ def approximate_tokens(text: Column) -> Column:
     return (F.ceil(F.length(text) / 4) + 4).cast("long")
 
 
-def numbered(turns: DataFrame, tokens=approximate_tokens) -> DataFrame:
-    """Turns with ``pos`` (from 0), ``tokens``, and ``is_system`` for an opening system turn.
+def numbered(turns: DataFrame, tokens=approximate_tokens) -> tuple[DataFrame, DataFrame]:
+    """Turns with their places, and a stored table of the groups they fall into.
 
-    Also ``begin``, the tokens of the turns before it that are not the opening
-    system turn, and ``room_taken``, those of the opening system turn.
+    Turns get ``pos`` (from 0), ``tokens``, ``is_system`` for an opening system turn, ``begin``, the tokens of the turns
+    before that are not the opening system turn, ``room_taken``, those of the opening system turn, and
+    ``_group``. A row of a group has ``opening``, the first turn of the conversation, and ``n_turns``, the number of
+    all its turns. Sums run over groups and groups of groups, so a long conversation is many tasks.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     t = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text.alias("text"))
-    t = t.withColumn("tokens", tokens(F.col("text"))).withColumn("_group", F.floor(F.col("turn") / TURNS_PER_GROUP))
+    t = t.withColumn("tokens", F.greatest(F.coalesce(tokens(F.col("text")).cast("long"), F.lit(1)), F.lit(1)))
+    t = t.withColumn("_group", F.floor(F.col("turn") / TURNS_PER_GROUP))
     order = ["turn", "role", "text"]
     inside = W.partitionBy("conv_id", "_group").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     t = t.withColumn("_pos", F.coalesce(F.count(F.lit(1)).over(inside), F.lit(0))).withColumn("_before", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
-    sums = t.groupBy("conv_id", "_group").agg(F.count(F.lit(1)).alias("_n"), F.sum("tokens").alias("_t"), F.min_by(F.struct("role", "tokens"), F.struct(*order)).alias("_opening"))
-    per = W.partitionBy("conv_id").orderBy("_group").rowsBetween(W.unboundedPreceding, -1)
-    opening = F.first("_opening").over(W.partitionBy("conv_id").orderBy("_group").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    starts = sums.select(
-        F.col("conv_id").alias("_conv"),
-        F.col("_group").alias("_of"),
-        F.coalesce(F.sum("_n").over(per), F.lit(0)).alias("_n0"),
-        F.coalesce(F.sum("_t").over(per), F.lit(0)).alias("_t0"),
-        F.when(opening["role"] == SYSTEM_ROLE, opening["tokens"]).otherwise(0).alias("room_taken"),
-    )
-    both = t.join(starts, F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("_group").eqNullSafe(F.col("_of")))
-    pos = F.col("_n0") + F.col("_pos")
-    return both.select(
-        "conv_id", "role", "text", "tokens", pos.alias("pos"), ((pos == 0) & (F.col("role") == SYSTEM_ROLE)).alias("is_system"),
-        (F.col("_t0") + F.col("_before") - F.when(pos > 0, F.col("room_taken")).otherwise(0)).alias("begin"), "room_taken",
+    groups = t.groupBy("conv_id", "_group").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"), F.min(F.struct(*order, "tokens")).alias("opening"))
+    groups = groups.withColumn("_super", F.floor(F.col("_group") / TURNS_PER_GROUP))
+
+    def before(column: str, *by: str) -> Column:
+        return F.coalesce(F.sum(column).over(W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+    supers = groups.groupBy("conv_id", "_super").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.min("opening").alias("opening"))
+    whole = W.partitionBy("conv_id")
+    supers = supers.select(
+        F.col("conv_id").alias("_conv"), F.col("_super").alias("_of"), before("n", "conv_id", "_super").alias("_n"), before("t", "conv_id", "_super").alias("_t"),
+        F.sum("n").over(whole).alias("n_turns"), F.min("opening").over(whole).alias("_opening"),
+    )
+    mine = groups.select("conv_id", "_group", "_super", before("n", "conv_id", "_super", "_group").alias("n0"), before("t", "conv_id", "_super", "_group").alias("t0"))
+    starts = mine.join(supers, F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("_super").eqNullSafe(F.col("_of")))
+    starts = stored(
+        starts.select("conv_id", "_group", (F.col("n0") + F.col("_n")).alias("n0"), (F.col("t0") + F.col("_t")).alias("t0"), "n_turns", F.col("_opening").alias("opening")), "chat-groups"
     )
+    taken = F.when(F.col("opening.role") == SYSTEM_ROLE, F.col("opening.tokens")).otherwise(0)
+    there = starts.select(F.col("conv_id").alias("_conv"), F.col("_group").alias("_of"), "n0", "t0", taken.alias("room_taken"))
+    both = t.join(there, _same_group())
+    pos = F.col("n0") + F.col("_pos")
+    placed = both.select(
+        "conv_id", "_group", "role", "text", "tokens", pos.alias("pos"), ((pos == 0) & (F.col("role") == SYSTEM_ROLE)).alias("is_system"),
+        (F.col("t0") + F.col("_before") - F.when(pos > 0, F.col("room_taken")).otherwise(0)).alias("begin"), "room_taken",
+    )
+    return placed, starts
+
+
+def _same_group() -> Column:
+    return F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("_group").eqNullSafe(F.col("_of"))
 
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens=approximate_tokens) -> DataFrame:
@@ -86,26 +105,31 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, toke
     ``turns`` has ``conv_id``, ``turn``, ``role`` and ``text``; other columns are not
     read. Null texts and roles count as empty. Turns come in the order of their
     numbers, null first; equal ones by role and text, and repeated rows are turns of
-    their own. A null ``conv_id`` is a conversation. ``targets`` lists the begin and
-    length, in characters, of the escaped texts that a loss is taken on.
+    their own. A null ``conv_id`` is a conversation. ``tokens`` maps a text's column to its tokens; a turn has at
+    least one. ``targets`` lists the begin and length, in characters, of the escaped texts that a loss is taken on.
     """
     room = F.greatest(F.lit(budget - history) - F.col("room_taken"), F.lit(max(history, 1)))
-    t = numbered(turns, tokens).withColumn("room", room)
+    t, starts = numbered(turns, tokens)
+    t = t.withColumn("room", room)
     end = F.col("begin") + F.col("tokens") - 1
     t = t.withColumn("bin", F.when(F.col("is_system"), -1).otherwise(F.floor(F.col("begin") / F.col("room"))))
     t = t.withColumn("window", F.when(F.col("is_system"), -1).otherwise(2 * F.col("bin") + (F.floor(end / F.col("room")) != F.col("bin")).cast("int")))
-    mine = t.groupBy("conv_id", "window", "bin").agg(F.min("begin").alias("first"))
-    mine = mine.withColumn("opens", F.row_number().over(W.partitionBy("conv_id").orderBy(F.col("window") < 0, "window")) == 1)
-    opening = mine.select(F.col("conv_id").alias("_conv"), F.col("window").alias("_window"), F.col("bin").alias("_bin"), "first", "opens")
+    mine = t.groupBy("conv_id", "window", "bin").agg(F.min("begin").alias("first"), F.first("_group").alias("_group"))
+    # any group of a conversation tells how it opens
+    about = starts.select(F.col("conv_id").alias("_conv"), F.col("_group").alias("_of"), "n_turns", "opening")
+    opening = mine.join(about, _same_group()).select(
+        F.col("conv_id").alias("_conv"), F.col("window").alias("_window"), F.col("bin").alias("_bin"), "first", "opening",
+        # the window that opens the conversation; the system turn's own if nothing follows
+        F.when(F.col("window") >= 0, F.col("first") == 0).otherwise(F.col("n_turns") == 1).alias("opens"),
+    )
     row = ["_window", "pos", "new", "role", "text", "tokens"]
-    same = F.col("conv_id").eqNullSafe(F.col("_conv"))
     new = t.filter("not is_system").select("conv_id", F.col("window").alias("_window"), "pos", F.lit(True).alias("new"), "role", "text", "tokens")
-    # the system turn is new in the window that opens the conversation, which is its own when nothing follows
-    own = (F.col("_window") >= 0) | F.col("opens")
-    system = t.filter("is_system").join(opening, same).filter(own).select("conv_id", "_window", "pos", F.col("opens").alias("new"), "role", "text", "tokens")
+    # the system turn stands in every window, and is new in the one that opens the conversation
+    system = opening.filter((F.col("opening.role") == SYSTEM_ROLE) & ((F.col("_window") >= 0) | F.col("opens")))
+    system = system.select(F.col("_conv").alias("conv_id"), "_window", F.lit(0).cast("long").alias("pos"), F.col("opens").alias("new"), "opening.role", "opening.text", "opening.tokens")
     # a bin is at least as long as the history, so it reaches back into one bin before at most
     back = t.filter("not is_system").withColumn("_in", F.explode(F.array("bin", F.col("bin") + 1)))
-    near = same & (F.col("_in") == F.col("_bin")) & (F.col("begin") < F.col("first")) & (F.col("first") - F.col("begin") <= history)
+    near = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_in") == F.col("_bin")) & (F.col("begin") < F.col("first")) & (F.col("first") - F.col("begin") <= history)
     old = back.join(opening.filter("_window >= 0"), near).select("conv_id", "_window", "pos", F.lit(False).alias("new"), "role", "text", "tokens")
     rows = new.unionByName(system).unionByName(old)
     packed = rows.groupBy("conv_id", "_window").agg(
