@@ -108,10 +108,33 @@ def test_crossings_join_crowds(spark, monkeypatch):
 
 
 def test_labels_the_search_misses_are_compared_whole(spark, monkeypatch):
-    for name, value in {"ROUNDS": 1, "TABLES": 1, "LEAF": 2}.items():
+    for name, value in {"ROUNDS": 1, "LEAST_TABLES": 1, "MISSED": 0.9, "LEAF": 2}.items():
         monkeypatch.setattr(embdedup, name, value)
     rng = np.random.default_rng(6)
     x = rng.normal(size=(150, 24))
     rows = [(i, [float(np.float32(v)) for v in row], i % 2) for i, row in enumerate(np.vstack([x, x + rng.normal(size=x.shape) * 0.12]))]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embdedup.near_duplicate_vectors(table(spark, rows)).collect()}
     assert got == brute(rows)
+
+
+def test_labels_with_few_pairs_are_not_compared_whole(spark, monkeypatch):
+    seen = []
+    original = embdedup.stored
+    monkeypatch.setattr(embdedup, "stored", lambda df, name: seen.append(name) or original(df, name))
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 32)).astype(np.float32)
+    x[5990:] = x[:10] + 0.1 * rng.normal(size=(10, 32)).astype(np.float32)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embdedup.near_duplicate_vectors(table(spark, rows)).collect()}
+    assert "whole-parts" not in seen and "failed-parts" in seen
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    pairs = {i for i in range(10) if unit[i] @ unit[5990 + i] >= 0.98}
+    assert len(pairs) > 5
+    assert got == {i: (1, i if i < 10 else i - 5990) if (i if i < 10 else i - 5990) in pairs else (0, i) for i in range(6000)}
+
+
+def test_tables_follow_the_angle():
+    for bits in range(25):
+        n = embdedup.tables_for(bits, 0.98)
+        miss = (1 - (1 - np.arccos(0.98) / np.pi) ** bits) ** n
+        assert n >= 8 and miss <= 1e-3 and n < 60
