@@ -137,3 +137,39 @@ def test_secrets_with_a_late_digit(spark, docs_of):
     late = "qWeRtYuIoPaSdFgHjKlZ" * 3 + "7xyzab"
     got = secrets.find_secrets(docs_of([(1, f"token = {late} end"), (2, "x" * 200_000), (3, "y" * 200_000 + "1")])).collect()
     assert sorted((r["doc_id"], r["begin"], r["length"]) for r in got) == [(1, 8, len(late)), (3, 0, 200_001)]
+
+
+def test_findings_held_back(spark, sf):
+    """The forest tells planted findings that it has not seen."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    taught = secrets.planted_findings(docs)
+    kinds = {r["kind"]: r["count"] for r in taught.groupBy("kind").count().collect()}
+    assert len(kinds) == 13 and min(kinds.values()) > 100
+    rows = secrets.held_back(secrets.described(taught, secrets.known_words(docs, taught))).select("kind", "label", "secret").collect()
+    hit = sum(r["label"] == 1 and r["secret"] for r in rows)
+    precision, recall = hit / sum(r["secret"] for r in rows), hit / sum(r["label"] for r in rows)
+    print("held back:", len(rows), "precision", precision, "recall", recall)
+    assert len(rows) > 500 and precision > 0.95 and recall > 0.95
+
+
+def test_open_candidates(spark, docs_of):
+    """Values assigned to a credential's name, whatever their characters; marks of the sentence are no part of them."""
+    texts = {
+        1: ("db password: qW!x#zT", "qW!x#zT"), 2: ('SECRET_TOKEN="aBcDeFgHiJk"', "aBcDeFgHiJk"), 3: ("(pwd=Zx9!), then", "Zx9!"), 4: ("api_key => kJh.Gf-Ds.", "kJh.Gf-Ds"),
+        5: ("auth:\n  'p@ss:w0rd'", "p@ss:w0rd"), 6: ("passphrase := éàü$ßñ1", "éàü$ßñ1"),
+    }
+    found = {r["doc_id"]: r for r in secrets.candidates(docs_of([(i, t) for i, (t, _) in texts.items()])).collect()}
+    for i, (text, value) in texts.items():
+        assert found[i]["value"] == value and text[found[i]["begin"] : found[i]["begin"] + len(value)] == value
+    none = docs_of([(1, "the author: someone wrote"), (2, "token"), (3, "password: abc"), (4, "a secret he kept")])
+    assert secrets.candidates(none).count() == 0
+
+
+def test_same_verdict_in_tables_of_other_sizes(spark, docs_of):
+    filler = "some words of the text that stand in every document"
+    rows = [(0, 'token = "6f1e9a0c44b87d2235f0aa91c3be7d10c2ffab17"'), (1, "card 4742604793956271"), (2, "password: Zr7!kQ#p2"), (3, "password: words of the text")]
+    verdicts = []
+    for n in (1_000, 20_000):
+        got = secrets.find_secrets(docs_of([*rows, *((10 + i, f"{filler} {i}") for i in range(n))])).collect()
+        verdicts.append({r["doc_id"]: r["secret"] for r in got})
+    assert verdicts[0] == verdicts[1] == {0: True, 1: False, 2: True, 3: False}

@@ -114,7 +114,7 @@ def op3_licences(spark, sf):
 
 @query
 def op8_secrets(spark, sf):
-    """Candidates of all ``documents``, judged by a forest trained on those that can be told for certain."""
+    """Candidates of all ``documents``, judged by a forest trained on findings planted into pieces of their texts."""
     from vlprep.llm.secrets import find_secrets
 
     return find_secrets(read_table(spark, sf, "documents"))
