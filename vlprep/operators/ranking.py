@@ -61,7 +61,7 @@ def int_buckets(df: DataFrame, order: str, n_buckets: int = INT_BUCKETS, rows_pe
     values = df.select(F.col(order).cast("bigint").alias("v")).filter("v IS NOT NULL")
     n = row_count(values)
     drawn = values.sample(SAMPLE_ROWS / n, seed=0) if n > SAMPLE_ROWS else values
-    drawn = np.sort(drawn.toArrow().column("v").to_numpy()).astype(float)
+    drawn = np.sort(drawn.toArrow().column("v").to_numpy()).astype(float)  # at most about SAMPLE_ROWS values
     limits = np.unique(drawn[np.linspace(0, len(drawn) - 1, n_buckets + 1).astype(int)]) if len(drawn) else drawn
     parts = min(HASH_BUCKETS // n_buckets, -(-n // (n_buckets * rows_per_bucket)))
     if parts > 1 and len(limits) > 1:
@@ -91,14 +91,14 @@ def order_buckets(df: DataFrame, order: str):
 def row_count(df: DataFrame) -> int:
     """Number of rows; the counts of the tasks are added up in a few tasks, not in one."""
     group = F.pmod(F.spark_partition_id(), F.lit(COUNT_GROUPS))
-    return sum(r["count"] for r in df.groupBy(group.alias("_group")).count().collect())
+    return sum(r["count"] for r in df.groupBy(group.alias("_group")).count().collect())  # at most COUNT_GROUPS rows
 
 
 def _extent(df: DataFrame, order: str) -> tuple[int, object, object]:
     """Rows without ``order``, its smallest and its largest value."""
     group = F.pmod(F.spark_partition_id(), F.lit(COUNT_GROUPS))
     value = F.col(order)
-    found = df.groupBy(group.alias("_group")).agg(F.count_if(value.isNull()), F.min(value), F.max(value)).collect()
+    found = df.groupBy(group.alias("_group")).agg(F.count_if(value.isNull()), F.min(value), F.max(value)).collect()  # at most COUNT_GROUPS rows
     low, high = [r[2] for r in found if r[2] is not None], [r[3] for r in found if r[3] is not None]
     return sum(r[1] for r in found), min(low, default=None), max(high, default=None)
 
@@ -135,7 +135,7 @@ def nth_smallest(df: DataFrame, order: str, n: int):
             width = (high - low) // HASH_BUCKETS + 1
             kind = "decimal(38,0)" if high - low >= 1 << 62 else "bigint"
             counted = inside.select(F.expr(f"(CAST(`{order}` AS {kind}) - CAST({low} AS {kind})) div CAST({width} AS {kind})").alias("_range")).groupBy("_range")
-        part, before, count = _nth_range([tuple(r) for r in counted.count().collect()], n)
+        part, before, count = _nth_range([tuple(r) for r in counted.count().collect()], n)  # at most HASH_BUCKETS ranges
         if part is None:
             return None
         n -= before
@@ -152,7 +152,7 @@ def nth_smallest(df: DataFrame, order: str, n: int):
         if done:
             return last
         if count <= FEW_ROWS:
-            return sorted(r[0] for r in inside.collect())[n - 1]
+            return sorted(r[0] for r in inside.collect())[n - 1]  # at most FEW_ROWS values
 
 
 def _starts(counted: DataFrame) -> DataFrame:

@@ -230,7 +230,7 @@ def zero_shot(images: DataFrame, classes: DataFrame, vector: str = "embedding",
     size, n_classes = table.agg(F.max(F.size("v")), F.count(F.lit(1))).first()
     n_blocks = -(-n_classes // (class_block or max(1, CLASS_BYTES // (8 * max(size, 1)))))
     for i in range(n_blocks):
-        part = table.filter(F.pmod(F.xxhash64("label"), F.lit(n_blocks)) == i).toPandas()  # one block
+        part = table.filter(F.pmod(F.xxhash64("label"), F.lit(n_blocks)) == i).toPandas()  # at most about a block
         out = _best_of(out, part, vector, scaler)
         if i < n_blocks - 1 and len(part):
             out = cut(out)

@@ -53,7 +53,7 @@ def _start_of(spark: SparkSession, epoch: int, folder: str, owner: str) -> int:
     """Rows before an epoch, from the ledger entry of the one before. The first epoch claims the folder."""
     held = batch_owner(spark, folder)
     if held is None and epoch == 0:
-        spark.createDataFrame([(owner,)], OWNER).coalesce(1).write.mode("errorifexists").parquet(f"{folder}/owner")
+        spark.createDataFrame([(owner,)], OWNER).write.mode("errorifexists").parquet(f"{folder}/owner")
         held = owner
     if held != owner:
         raise ValueError(f"{folder!r} holds the batches of another checkpoint ({held}, not {owner}): give each its own folder")
@@ -81,7 +81,7 @@ def append_batches(spark: SparkSession, rows: DataFrame, epoch: int, order: str,
     ).parquet(here)
     # counted from what was written: the ledger always fits the rows
     entry = spark.createDataFrame([(start, row_count(spark.read.parquet(here)))], LEDGER)
-    entry.coalesce(1).write.mode("overwrite").parquet(f"{folder}/ledger/epoch={epoch}")
+    entry.write.mode("overwrite").parquet(f"{folder}/ledger/epoch={epoch}")
 
 
 def stream_batches(source: DataFrame, folder: str, checkpoint: str, order: str, size: int, trigger: dict | None = None) -> StreamingQuery:
