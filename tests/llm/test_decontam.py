@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from vlprep.llm import decontam
@@ -79,6 +80,29 @@ def test_odd_tables(spark, docs_of):
     assert result(docs_of([(1, long)]), items) == [(1, 200_003, 3, ["x"])]
 
 
+def test_runs_of_equal_prints(spark, docs_of):
+    """Texts of one word, or of a few in turn: as many places to lay an item as there are words, but few rows."""
+    items = [(1, "z " * 1000), (2, "a b " * 200), (3, "q r s " * 30 + "end"), (4, "z z z"), (5, "a b a")]
+    docs = [(1, "z " * 20_000), (2, "x " + "a b " * 3000 + "y"), (3, "q r s " * 500 + "end"), (4, "start " + "r s q " * 100), (5, "z " * 12 + "a " * 3), (6, "b " + "z " * 14)]
+    docs += [(7, "a b " * 6 + "c " + "b a " * 9), (8, ("z " * 15 + "k ") * 50)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    assert result(docs_of(docs), table) == brute(docs, items)
+    own = decontam.Words([b"z " * 20_000], decontam.WORD_BYTES).of(0)
+    found, first, last, step = decontam.runs(*decontam.fingerprints(own, []))
+    assert len(found) == 1 and step[0] == 1
+
+
+def test_kept_columns(spark, docs_of):
+    items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    docs = docs_of([(1, "one two three four")])
+    for c in ("hits", "_doc", "l0", "l1", "c0", "ways", "item_id"):
+        docs = docs.withColumn(c, F.lit(f"mine {c}"))
+    got = decontam.decontaminate(docs, items, keep=["hits", "_doc", "l0", "l1", "c0", "ways", "item_id"]).first()
+    assert got["n_hit"] == 3 and all(got[c] == f"mine {c}" for c in ("hits", "_doc", "l0", "l1", "c0", "ways", "item_id"))
+    with pytest.raises(ValueError, match="n_words"):
+        decontam.decontaminate(docs.withColumn("n_words", F.lit(1)), items, keep=["n_words"])
+
+
 def test_rule(spark):
     rows = spark.createDataFrame([(0, 0), (0, 5), (1, 20), (1, 21), (5, 100)], "n_hit long, n_words long")
     assert [r[0] for r in rows.select(decontam.contaminated()).collect()] == [False, False, True, False, True]

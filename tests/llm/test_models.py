@@ -1,10 +1,14 @@
 """Language ID, quality and secrets: what they learn, and odd tables."""
 
 import itertools
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from vlprep.llm import langid, quality, secrets
@@ -173,3 +177,47 @@ def test_same_verdict_in_tables_of_other_sizes(spark, docs_of):
         got = secrets.find_secrets(docs_of([*rows, *((10 + i, f"{filler} {i}") for i in range(n))])).collect()
         verdicts.append({r["doc_id"]: r["secret"] for r in got})
     assert verdicts[0] == verdicts[1] == {0: True, 1: False, 2: True, 3: False}
+
+
+def test_language_keeps_columns(spark, docs_of):
+    docs = docs_of([(1, "the words of it", "en"), (2, None, None)])
+    for c in ("_text", "_lettered", "l0", "l1", "c0"):
+        docs = docs.withColumn(c, F.lit(f"mine {c}"))
+    got = langid.identify(docs, langid.train(docs), ["doc_id", "_text", "_lettered", "l0", "l1", "c0"]).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in got] == ["en", "und"] and all(r[c] == f"mine {c}" for r in got for c in ("_text", "_lettered", "l0", "l1", "c0"))
+    with pytest.raises(ValueError, match="score"):
+        langid.identify(docs.withColumn("score", F.lit(1)), None, ["score"])
+
+
+WORKERS = """
+import sys
+sys.path.insert(0, {repo!r})
+import __spark_entry__ as entry
+from vlprep.session import local_session
+spark = local_session(3, shuffle_partitions=3)
+spark.sparkContext.setLogLevel("ERROR")
+
+def here(rows):
+    for batch in rows:
+        try:
+            import vlprep
+            found = True
+        except ModuleNotFoundError:
+            found = False
+        batch["id"] = int(found)
+        yield batch
+
+assert spark.range(3).mapInPandas(here, "id long").agg({{"id": "max"}}).first()[0] == 0, "workers can import the package"
+for name in {names!r}:
+    print(name, entry.queries()[name](spark, "/root/testdata/sf0.001").count(), flush=True)
+"""
+
+
+@pytest.mark.parametrize("names", [["op1_quality", "op5_language", "op12_lexical_search", "op13_hard_negatives"], ["op4_decontamination", "op6_token_files", "op11_html_text", "op2_near_duplicates"]])
+def test_workers_without_the_package(tmp_path, names):
+    """The functions reach workers that cannot import the package."""
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", WORKERS.format(repo=repo, names=names)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert [line.split()[0] for line in done.stdout.splitlines() if line.startswith("op")] == names

@@ -76,6 +76,29 @@ def test_odd_tables(spark, docs_of):
     assert len(neardup.near_duplicates(clash).collect()) == 1
 
 
+def test_ids_on_rows_of_different_texts(spark, docs_of):
+    """Every row goes by its own text: what one text of an id links with does not touch the other's links."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(5, a), (9, a), (3, b), (5, b), (4, b + " x"), (7, c), (7, c + " y"), (2, "a0 a1 a2"), (2, None)]
+    got = neardup.near_duplicates(docs_of(rows), n=4).select("doc_id", "component_id", "kept", "group_id", "n_shingles").collect()
+    by = {(r["doc_id"], r["n_shingles"], r["component_id"]): r for r in got}
+    # 5 and 9 by text a; 3, 4 and 5 by text b; both texts of 7
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [
+        (2, 2, True), (2, 2, True), (3, 3, True), (4, 3, False), (5, 3, False), (5, 5, True), (7, 7, True), (7, 7, True), (9, 5, False),
+    ]
+    groups = {(r["doc_id"], r["component_id"]): r["group_id"] for r in got if r["group_id"] is not None}
+    assert groups[5, 5] == groups[9, 5] != groups[5, 3] == groups[3, 3] == groups[4, 3] and len(by) == 9
+
+
+def test_an_id_on_texts_that_link_each_elsewhere(spark, docs_of):
+    words = lambda x, n=40: " ".join(f"{x}{i}" for i in range(n))
+    rows = [(1, words("p")), (1, words("q")), (1, words("r")), (20, words("p") + " z"), (30, words("q") + " z"), (40, words("r") + " z")]
+    got = {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(docs_of(rows), n=4).collect()}
+    assert got == {(1, 1), (20, 1), (30, 1), (40, 1)}
+    groups = neardup.near_duplicates(docs_of(rows), n=4).select("group_id").distinct().count()
+    assert groups == 3
+
+
 def test_sketch_estimates_jaccard():
     rng = np.random.default_rng(5)
     for share in (0.2, 0.5, 0.8, 0.95):

@@ -176,8 +176,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     kind = dict(items.dtypes)["item_id"]
     lists = "found array<long>, first array<long>, last array<long>, step array<long>"
     items = stored(items.mapInArrow(_item_rows, f"item_id {kind}, n long, {lists}, words binary").filter("n > 0"), "items").withColumn("item_no", F.xxhash64("item_id", "words"))
-    # lengths below 13: at most 12 values
-    short = sorted(r[0] for r in items.filter(F.col("n") < SPAN).select("n").distinct().collect())
+    short = sorted(r[0] for r in items.filter(F.col("n") < SPAN).select("n").distinct().collect())  # at most 12 lengths
     marks = items.select("item_no", F.explode(F.arrays_zip("found", "first", "last", "step")).alias("f"))
     marks = stored(marks.select("item_no", F.col("f.found").alias("print"), F.col("f.first").alias("i_first"), F.col("f.last").alias("i_last"), F.col("f.step").alias("i_step")), "item-prints")
     ids = dict(docs.dtypes)["doc_id"]

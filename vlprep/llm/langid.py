@@ -160,7 +160,8 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model
     first = near.withColumn("_row", F.row_number().over(W.partitionBy("lang").orderBy("_at", "doc_id"))).filter(F.col("_row") <= rows_per_language)
     chosen = known.withColumn("_at", at).join(small(stored(first.select("doc_id").distinct(), "langid-sample")), "doc_id", "left_semi")
     counted = chosen.select("lang", "_at", F.col("text").alias("_text")).mapInArrow(_count_rows, "lang string, at long, slots binary, counts binary")
-    rows = sorted(counted.collect(), key=lambda r: (r["at"], r["lang"], bytes(r["slots"]), bytes(r["counts"])))
+    found = counted.collect()  # at most ``rows_per_language`` rows a language, the sample
+    rows = sorted(found, key=lambda r: (r["at"], r["lang"], bytes(r["slots"]), bytes(r["counts"])))
     return fit([(r["lang"], np.frombuffer(r["slots"], np.uint32), np.frombuffer(r["counts"], np.uint32)) for r in rows if len(r["slots"])])
 
 

@@ -211,7 +211,7 @@ def mix_sources(docs: DataFrame, shares: dict[str, float] | None = None, block_r
     # the last block of a source may be short: rows after it move up
     ends = _literal([{"source": s, "block": n - 1, "missing": -counts[s] % block_rows} for s, n in blocks.items() if counts[s] % block_rows], "array<struct<source: string, block: long, missing: long>>")
     last = table.select("slot", F.get(F.filter(ends, lambda e: (e["source"] == F.col("source")) & (e["block"] == F.col("block"))), F.lit(0))["missing"].alias("missing"))
-    short = [r.asDict() for r in last.filter("missing > 0").collect()]  # one row a source at most
+    short = [r.asDict() for r in last.filter("missing > 0").collect()]  # at most a row a source
     gap = F.aggregate(_literal(short, "array<struct<slot: long, missing: long>>"), F.lit(0).cast("long"), lambda a, g: a + F.when(g["slot"] < F.col("slot"), g["missing"]).otherwise(0))
     buckets = 1 << max(4, min(16, math.ceil(math.log2(max(1, max(counts.values()) / ROWS_PER_BUCKET))) + 4))
     rows = rows.withColumn("bucket", F.pmod("at", F.lit(buckets)))

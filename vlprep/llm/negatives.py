@@ -185,7 +185,7 @@ def _blocks(anchors: DataFrame, size: int):
     n_blocks = -(-anchors.count() // per)
     placed = stored(anchors.withColumn("_block", F.pmod(F.xxhash64("id", "label", "v"), F.lit(max(n_blocks, 1)))), "anchors")
     for i in range(n_blocks):
-        table = placed.filter(F.col("_block") == i).select("id", "label", "v").toArrow()
+        table = placed.filter(F.col("_block") == i).select("id", "label", "v").toArrow()  # at most about ANCHOR_BYTES
         order = np.argsort(table.column("id").to_numpy(), kind="stable")
         table = table.take(pa.array(order)).combine_chunks()
         vectors = table.column("v").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int64()))
@@ -237,8 +237,7 @@ def hard_negatives(
         anchors = (ids, labels, values)
         plain_rows = rows.select("id", "label", "v")
         near = plain_rows.mapInArrow(partial(_positive_rows, anchors=anchors, size=size, moduli=moduli, k=positives), schema)
-        # at most ``positives`` rows an anchor of this block
-        chosen = sorted(tuple(r) for r in _merged(near, positives).select("target", "rank", "id", "score").collect())
+        chosen = sorted(tuple(r) for r in _merged(near, positives).select("target", "rank", "id", "score").collect())  # at most a few rows an anchor of the block
         owner, _, positive, score = (np.array(c, np.int64) for c in zip(*chosen)) if chosen else (np.empty(0, np.int64),) * 4
         low, high = -(-window[0] * score // 100), window[1] * score // 100
         windows = (owner, low, high)

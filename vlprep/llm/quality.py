@@ -199,7 +199,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", docs_per_l
     sides = [clear.filter(F.col("label") == v).orderBy(at, "doc_id").limit(docs_per_label) for v in (0, 1)]
     chosen = stored(sides[0].unionByName(sides[1]), "quality-sample")
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(small(chosen), "doc_id")
-    rows = rows.mapInArrow(partial(_sample_rows, most=LINES_PER_DOC), "doc_id string, label int, lines binary").filter("lines is not null").collect()
+    sample = rows.mapInArrow(partial(_sample_rows, most=LINES_PER_DOC), "doc_id string, label int, lines binary").filter("lines is not null")
+    rows = sample.collect()  # at most ``docs_per_label`` documents a label
     rows = sorted((r["doc_id"], bytes(r["lines"]), r["label"]) for r in rows)
     return fit([(y, np.frombuffer(x, np.float32).reshape(-1, N_FEATURES)) for _, x, y in rows])
 

@@ -313,7 +313,7 @@ def _search(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
     n_blocks = -(-wanted.count() // QUERY_TERMS)
     found = [spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")]
     for i in range(n_blocks):
-        rows = wanted.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == i).collect()  # about QUERY_TERMS rows
+        rows = wanted.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == i).collect()  # at most about QUERY_TERMS rows
         vocabulary = {t: j for j, t in enumerate(sorted({r.term.encode() for r in rows}))}
         if not rows:
             continue
@@ -336,7 +336,7 @@ def _search(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
             schema = "query long, doc_id long, score long"
             near = stored(segments.mapInArrow(partial(run, least=None), schema), "found")
             least = [1] * len(queries)
-            for q, score in _merged(near, k).filter(F.col("rank") == k).select("query", "score").collect():  # one row an item
+            for q, score in _merged(near, k).filter(F.col("rank") == k).select("query", "score").collect():  # at most a row an item
                 least[q] = score
             far = stored(segments.mapInArrow(partial(run, least=least), schema), "found")
         ids = spark.createDataFrame(list(enumerate(names)), "query long, item_id long")
