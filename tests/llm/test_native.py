@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 from fractions import Fraction
 
 import pytest
@@ -291,3 +292,17 @@ def test_schedule_keeps_the_given_shares(shares):
         t += 1
         if t % 50 == 0 or t < 50:
             assert max(abs(done[s] - t * v / total) for s, v in shares.items()) < 1 + 1e-9
+
+
+def test_every_licence_is_found(spark, docs_of):
+    """Each rule's sentences, as they stand in files: wrapped, in comments, and on a line of their own."""
+    rows, want = [], {}
+    for name, each in licences.RULES.items():
+        for ids in each:
+            text = "\n".join(licences.SENTENCES[i] for i in ids)
+            lines = [line for i in ids for line in textwrap.wrap(licences.SENTENCES[i], 60)]
+            for shown in (text, "\n".join(f" * {x}" for x in lines), "\n".join(f"# {x}" for x in lines) + "\n\nimport x"):
+                rows.append((len(rows), shown))
+                want[len(rows) - 1] = (ids, name)
+    got = {r["doc_id"]: (r["sentence_ids"], r["licences"]) for r in licences.scan(docs_of(rows)).collect()}
+    assert {i: (s, names) for i, (s, names) in got.items()} == {i: (ids, [name]) for i, (ids, name) in want.items()}

@@ -43,21 +43,62 @@ SENTENCES = {
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd-name": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "gpl2-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl2-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "lgpl21-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-later": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "lgpl-see": "See the GNU Lesser General Public License for more details.",
+    "agpl-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-see": "See the GNU Affero General Public License for more details.",
+    "mpl-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "unlicense-free": "This is free and unencumbered software released into the public domain.",
+    "unlicense-anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "epl2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at http://www.eclipse.org/legal/epl-2.0/",
+    "bsl-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "bsl-short": "Distributed under the Boost Software License, Version 1.0.",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "gpl2-short": "Licensed under the GNU General Public License, version 2.",
+    "lgpl-short": "Licensed under the GNU Lesser General Public License, version 2.1.",
+    "agpl-short": "Licensed under the GNU Affero General Public License, version 3.",
+    "mpl-short": "Licensed under the Mozilla Public License, version 2.0.",
+    "bsd3-short": "Licensed under the BSD 3-Clause License.",
+    "bsd2-short": "Licensed under the BSD 2-Clause License.",
+    "isc-short": "Licensed under the ISC License.",
+    "epl-short": "Licensed under the Eclipse Public License, version 2.0.",
     "reserved": "All rights reserved.",
 }
 RULES = {
     "MIT": [["mit-short"], ["mit-under"], ["mit-grant", "mit-notice", "as-is"]],
     "Apache-2.0": [["apache-short"], ["apache-except", "apache-copy", "apache-basis", "apache-see"]],
+    "GPL-2.0-only": [["gpl2-short"], ["gpl2-only", "gpl-hope", "gpl-see"]],
+    "GPL-2.0-or-later": [["gpl2-later", "gpl-hope", "gpl-see"]],
     "GPL-3.0-only": [["gpl3-short"]],
     "GPL-3.0-or-later": [["gpl-free", "gpl-hope", "gpl-see"]],
+    "LGPL-2.1-only": [["lgpl-short"]],
+    "LGPL-2.1-or-later": [["lgpl21-later", "lgpl-hope", "lgpl-see"]],
+    "LGPL-3.0-or-later": [["lgpl3-later", "lgpl-hope", "lgpl-see"]],
+    "AGPL-3.0-only": [["agpl-short"]],
+    "AGPL-3.0-or-later": [["agpl-later", "gpl-hope", "agpl-see"]],
+    "MPL-2.0": [["mpl-short"], ["mpl-form", "mpl-copy"]],
+    "EPL-2.0": [["epl-short"], ["epl2"]],
+    "BSL-1.0": [["bsl-short"], ["bsl-grant"]],
+    "Unlicense": [["unlicense-free", "unlicense-anyone"]],
     "CC-BY-NC-4.0": [["cc-by-nc-4"]],
     "CC-BY-4.0": [["cc-by-4"]],
     "CC-BY-SA-4.0": [["cc-by-sa-4"]],
-    "ISC": [["isc-grant"]],
-    "BSD-2-Clause": [["bsd-use", "bsd-source", "bsd-binary"]],
-    "BSD-3-Clause": [["bsd-use", "bsd-source", "bsd-binary", "bsd-name"]],
+    "ISC": [["isc-short"], ["isc-grant"]],
+    "0BSD": [["0bsd-grant"]],
+    "BSD-2-Clause": [["bsd2-short"], ["bsd-use", "bsd-source", "bsd-binary"]],
+    "BSD-3-Clause": [["bsd3-short"], ["bsd-use", "bsd-source", "bsd-binary", "bsd-name"]],
     "all-rights-reserved": [["reserved"]],
 }
+# A line that names the licence is a sentence too.
+SENTENCES |= {f"spdx-{name}": f"SPDX-License-Identifier: {name}" for name in RULES if name != "all-rights-reserved"}
+for _name, _rules in RULES.items():
+    if f"spdx-{_name}" in SENTENCES:
+        _rules.append([f"spdx-{_name}"])
 
 MARK = "\x01"
 
