@@ -327,9 +327,13 @@ def _classes(docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
     linked = stored(components(links.unionByName(second)), "components")
     to_class = classes.select(*same, "class_id", "first_doc").join(linked.withColumnRenamed("id", "class_id"), "class_id", "left")
     to_class = to_class.withColumn("group_id", F.coalesce("component_id", "class_id")).drop("component_id")
-    odd = to_class.filter("class_id != first_doc").select("group_id").distinct()
-    lowest = to_class.join(small(odd), "group_id", "left_semi").groupBy("group_id").agg(F.min("first_doc").alias("lowest"))
-    to_class = to_class.join(small(stored(lowest, "lowest")), "group_id", "left").select(*same, F.coalesce("lowest", "group_id").alias("component_id"), "group_id")
+    if shared.limit(1).count():  # groups with a class that is called by a hash
+        odd = to_class.filter("class_id != first_doc").select("group_id").distinct()
+        lowest = to_class.join(small(odd), "group_id", "left_semi").groupBy("group_id").agg(F.min("first_doc").alias("lowest"))
+        to_class = to_class.join(small(stored(lowest, "lowest")), "group_id", "left")
+    else:
+        to_class = to_class.withColumn("lowest", F.col("group_id"))
+    to_class = to_class.select(*same, F.coalesce("lowest", "group_id").alias("component_id"), "group_id")
     nothing = F.lit(None).cast("long").alias("group_id")
     alone = sk.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), nothing, "text_hash")
     out = real.select("doc_id", "text_hash", *same).join(to_class, same).select("doc_id", "n_shingles", "component_id", "group_id", "text_hash").unionByName(alone)
