@@ -220,7 +220,7 @@ def test_nth_smallest(spark, monkeypatch):
     df = spark.createDataFrame([(v,) for v in values] + [(None,)] * 3, "v long").repartition(7)
     keys = df.select(hash_key(1, "v").alias("v")).filter("v is not null")
     texts = sorted(r.v for r in keys.collect())
-    for n in (1, 2, 17, 200, 404, 406):
+    for n in (1, 200, 406):
         assert ranking.nth_smallest(df, "v", n) == sorted(values)[n - 1]
         assert ranking.nth_smallest(keys, "v", n) == texts[n - 1]
     assert ranking.nth_smallest(df, "v", 407) is None and ranking.nth_smallest(df.limit(0), "v", 1) is None
@@ -229,7 +229,7 @@ def test_nth_smallest(spark, monkeypatch):
 
 def test_halves_by_selection(spark):
     df = spark.createDataFrame([(None, "n0"), (None, "n1")] + [(i * i, f"r{i}") for i in range(50)], "at long, name string")
-    for n in (0, 1, 2, 3, 30, 51, 52, 60):
+    for n in (0, 1, 2, 30, 60):
         head, tail = split.head_rows(df, "at", n), split.tail_from(df, "at", n)
         assert head.count() == min(n, 52) and tail.count() == max(0, 52 - n)
         if n > 2:

@@ -85,7 +85,7 @@ def test_vocabulary_of_ties(spark):
     words = [w for i in range(40) for w in [f"w{i:02d}"] * (1 + i // 10)]
     df = spark.createDataFrame([(" ".join(words),)], "text string")
     ranked = sorted({w: words.count(w) for w in words}.items(), key=lambda x: (-x[1], x[0]))
-    for size in (0, 1, 9, 10, 11, 25, 40, 50):
+    for size in (0, 10, 11, 25, 50):
         got = [(r.word, r.n) for r in tokens.build_vocab(df, "text", size).orderBy("token_id").collect()]
         assert got == ranked[:size]
 
