@@ -83,12 +83,13 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token files of the documents in their stored order, read back: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``.
 
     The stored order is that of the numbers of the part files and of the rows in them; each file is encoded where it
-    lies. A table that was not read from part files has none; its documents go by ``doc_id``.
+    lies. A table that was not read from part files, or from several with one number, has none; its documents go by ``doc_id``.
     """
     try:
         part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1)
         marked = docs.select("doc_id", "text", F.when(part != "", part.cast("long")).alias("_part"), F.col("_metadata.row_index").alias("_row"))
-        placed = not marked.select("_part").distinct().filter("_part is null").count()
+        files = docs.select(F.col("_metadata.file_path").alias("_file"), F.when(part != "", part.cast("long")).alias("_part")).distinct()
+        placed = files.agg(F.count(F.lit(1)) == F.count_distinct("_part")).first()[0]
     except AnalysisException:
         placed = False
     return tokenfile.token_index(marked if placed else docs.select("doc_id", "text"), tokenizer_path(), placed=placed)
