@@ -77,6 +77,23 @@ def test_last_stages_keep_all_in_the_mixed_order(stages, spark, sf):
         start += n
 
 
+def test_ids_on_rows_of_different_texts(spark, docs_of, sf):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    docs = docs_of([(5, a), (9, a), (3, b), (5, b), (6, "one of a kind here"), (6, "another one of its kind there"), (6, "one of a kind here")])
+    kept = sorted((r["doc_id"], r["text"]) for r in cp.near_duplicates(spark, docs, sf).collect())
+    assert kept == sorted([(5, a), (3, b), (6, "one of a kind here"), (6, "another one of its kind there")])
+    # both texts of one id in one group: one of them stays
+    again = cp.near_duplicates(spark, docs_of([(7, a), (7, a + " x"), (8, a)]), sf).collect()
+    assert len(again) == 1 and again[0]["doc_id"] == 7
+
+
+def test_files_of_one_number_go_by_id(spark, docs_of, sf, tmp_path):
+    for rows in ([(i, f"text {i}") for i in range(20)], [(100 - i, f"text {i}") for i in range(20)]):
+        docs_of(rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/docs")
+    got = cp.write_tokens(spark, spark.read.parquet(f"{tmp_path}/docs"), sf).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [*range(20), *range(81, 101)]
+
+
 def test_odd_rows_pass_every_stage(spark, docs_of, sf):
     rows = [(1, "the same words here again and again"), (1, "the same words here again and again"), (2, None), (None, "another text with words"), (3, ""), (4, "x" * 200_000)]
     docs = docs_of([(*r, "en", None) for r in rows]).withColumn("position", F.lit(1)).withColumn("hits", F.lit("h")).withColumn("carried_0", F.lit(0))
