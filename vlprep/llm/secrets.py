@@ -161,17 +161,21 @@ def planted(docs: DataFrame, path: str = "source", rows: int = PLANTED) -> DataF
     plain = [F.regexp_replace(F.regexp_replace(c, CANDIDATE, " "), NAME, " ").alias(c) for c in ("left", "right")]
     r = spark.range(rows).withColumn("nth", F.col("id") % n).join(F.broadcast(numbered.select("nth", "source", *plain)), "nth")
     digits = lambda salt: F.sha2(F.concat(F.lit(f"finding {salt} "), F.col("id").cast("string")), 256)
-    h, g = digits(1), digits(2)
-    code = F.translate(F.base64(F.unhex(h)), "\r\n=", "")
-    letters = F.translate(code, "0123456789+/", "qwertyuiopas")
-    dice = lambda k: F.conv(F.substring(g, 1 + 4 * k, 4), 16, 10).cast("long")
+    r = r.withColumns({"h": digits(1), "g": digits(2)})
+    # parts that several kinds are made of
     words = F.filter(F.split(F.concat_ws(" ", "left", "right", F.lit("other words name text")), r"[^\p{L}]+"), lambda w: F.length(w) >= 4)
-    word = lambda k: F.element_at(words, (F.pmod(dice(k), F.size(words).cast("long")) + 1).cast("int"))
+    r = r.withColumns(
+        {"code": F.translate(F.base64(F.unhex("h")), "\r\n=", ""), "number": F.translate(F.substring("h", 1, 16), "abcdef", "012345"), "words": words}
+        | {f"d{k}": F.conv(F.substring("g", 1 + 4 * k, 4), 16, 10).cast("long") for k in range(8)}
+    )
+    r = r.withColumn("letters", F.translate("code", "0123456789+/", "qwertyuiopas"))
+    h, code, letters, number = (F.col(c) for c in ("h", "code", "letters", "number"))
+    dice = lambda k: F.col(f"d{k}")
+    word = lambda k: F.element_at("words", (F.pmod(dice(k), F.size("words").cast("long")) + 1).cast("int"))
     credential = _pick(dice(0), "password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access-key", "auth", "Bearer", "TOKEN", "Password", "credentials")
     named = F.concat(credential, _pick(dice(1), ": ", "=", " = ", ' = "', ": '", '="', " : "))
     neutral = _pick(dice(1), "", "", "see ", "with ", "id ", "value: ", "x = ", '"')
     size = lambda low, high: (F.lit(low) + F.pmod(dice(2), F.lit(high - low + 1))).cast("int")
-    number = F.translate(F.substring(h, 1, 16), "abcdef", "012345")
     kinds = [
         ("access key id", 1, neutral, F.concat(F.lit("AKIA"), F.upper(F.translate(F.substring(code, 1, 16), "+/", "XZ")))),
         ("named code", 1, named, F.substr(code, F.lit(1), size(16, 42))),
@@ -198,7 +202,7 @@ def planted(docs: DataFrame, path: str = "source", rows: int = PLANTED) -> DataF
 
 def planted_findings(docs: DataFrame, path: str = "source") -> DataFrame:
     """Candidates that cover a planted value, with its ``label`` and ``kind``; stored."""
-    found = candidates(planted(docs, path), "source", ("label", "kind", "at", "size"))
+    found = candidates(stored(planted(docs, path), "planted"), "source", ("label", "kind", "at", "size"))
     covers = (F.col("begin") <= F.col("at") + 2) & (F.col("begin") + F.length("value") >= F.col("at") + F.col("size") - 2)
     return stored(found.filter(covers).drop("at", "size"), "planted-findings")
 
