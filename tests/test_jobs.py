@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from vlprep.operators import generation, metrics, tokens, udf
 from vlprep.operators.filters import disjoint
+from vlprep.plans.queries import QUERIES
 from vlprep.streaming import jobs
 
 TEXTS = "id bigint, text string"
@@ -174,3 +175,21 @@ def test_generation_cut_operator(spark):
     df = spark.createDataFrame([([1, 7, 2, 7, 3], [1, 1, 1, 1, 0], 2)], "ids array<int>, m array<int>, p int")
     row = generation.truncate_generation(df, "ids", "m", "p", 7).first()
     assert row.answer_ids == [1, 7, 2] and row.finish_index == 3
+
+
+@pytest.mark.parametrize("by", [None, "source"])
+@pytest.mark.parametrize("name", ["stream_prepare", "stream_disjoint", "stream_batches"])
+def test_streamed_tables_may_be_folders(spark, tmp_path, name, by):
+    rows = [(i, f"w {i // 2}" * (i % 4 > 0), "ab"[i % 2]) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    (docs.write.partitionBy(by) if by else docs.write).parquet(f"{tmp_path}/documents.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet-old")
+    docs.filter("doc_id < 20").select("doc_id").write.parquet(f"{tmp_path}/labels.parquet")
+    got = QUERIES[name](spark, str(tmp_path)).collect()
+    if name == "stream_prepare":
+        assert sorted(r.doc_id for r in got) == [i for i in range(100) if i % 4]
+    elif name == "stream_disjoint":
+        used = {rows[i][1] for i in range(20)}
+        assert sorted(r.doc_id for r in got) == [i for i, text, _ in rows if text not in used]
+    else:
+        assert sorted(map(tuple, got)) == [(i, i // 48, i % 48) for i in range(96)]

@@ -921,8 +921,9 @@ def masked_mean(spark, sf):
 
 
 def _stream(spark, sf, name):
+    # as a pattern the path may be a file or a folder of files; a stream takes a plain path for a folder
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).option("basePath", sf).parquet(f"{sf}/{{{name}}}.parquet")
 
 
 @query
