@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from vlprep.llm import common
 from vlprep.llm.queries import tokenizer_path
 from vlprep.llm.tokenfile import FileWriter, PieceEncoder, TokenFile, read_index, token_index, write_tokens
 
@@ -118,3 +119,11 @@ def test_stored_rows_stay_in_their_files(spark, docs_of, tmp_path, tokenizer):
     files = write_tokens(placed.filter("doc_id != 50"), f"file://{tmp_path}/more", tokenizer_path(), placed=True)
     got = sorted((r["start"], *r[:1], *r[2:]) for r in read_index(files).collect())
     assert [(d, s, n, c) for s, d, n, c in got] == expected([r for r in rows if r[0] != 50], tokenizer)
+
+
+def test_workers_let_encoders_go_for_other_work():
+    kept = common.worker_cache("token encoders")
+    kept["some file"] = PieceEncoder(tokenizer_path())
+    batch = pa.RecordBatch.from_pydict({"text": ["a b", None]})
+    assert [len(texts) for _, texts in common.steps(iter([batch]))] == [2]
+    assert not common.worker_cache("token encoders")

@@ -64,6 +64,17 @@ def worker_cache(name: str) -> dict:
     return home.__dict__.setdefault(name, {})
 
 
+#: What :func:`worker_cache` has of token encoders: hundreds of MB, which workers that go on to other work let go.
+ENCODERS = "token encoders"
+
+
+def let_go() -> None:
+    """Free the token encoders that a Python worker has kept from earlier tasks."""
+    if kept := worker_cache(ENCODERS):
+        kept.clear()
+        pa.default_memory_pool().release_unused()
+
+
 class Words:
     """Words of some texts: hash of each, and where those of each text begin.
 
@@ -125,7 +136,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: int | str = "text", step: in
 
 
 def steps(batches: Iterator[pa.RecordBatch], text: int | str = "text", step: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of about ``step`` bytes of text with their texts, nulls read as empty."""
+    """Slices of about ``step`` bytes of text with their texts, nulls read as empty. The worker lets token encoders go."""
+    let_go()
     for part in slices(batches, text, step):
         column = part.column(text)
         texts = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
