@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vlprep.llm.common import slices, worker_cache
+from vlprep.llm.common import ENCODERS, slices, worker_cache
 from vlprep.session import run_dir
 
 MAGIC = b"PFOR1\0\0\0"
@@ -270,9 +270,9 @@ class PieceEncoder:
         """Ids of texts given by their pieces, and where each text's first piece is; the texts' numbers of ids."""
         n = len(pieces)
         coded = pieces.dictionary_encode()
-        places = self._places(coded.dictionary.to_pylist(), " ")[coded.indices.to_numpy(zero_copy_only=False)]
+        places = self._places(_strings(coded.dictionary), " ")[coded.indices.to_numpy(zero_copy_only=False)]
         first = pieces.take(pa.array(begins)).dictionary_encode()
-        places[begins] = self._places(first.dictionary.to_pylist(), "")[first.indices.to_numpy(zero_copy_only=False)]
+        places[begins] = self._places(_strings(first.dictionary), "")[first.indices.to_numpy(zero_copy_only=False)]
         if end_id is not None:
             self.ids[0] = end_id
             places = np.insert(places, np.append(begins[1:], n), 0)
@@ -308,6 +308,10 @@ class PieceEncoder:
         return out, sizes
 
 
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()  # as one array, a tenth of the time of to_pylist
+
+
 def _filesystem(path: str):
     return pafs.FileSystem.from_uri(path) if re.match(r"^[a-z][a-z0-9+.-]*:", path) else (pafs.LocalFileSystem(), path)
 
@@ -316,7 +320,7 @@ def _write_rows(batches, folder: str, tokenizer: str, end_id: int, placed: bool)
     """One file for the rows of a task, or, with ``placed``, one for each run of rows that follow each other in a stored file."""
     from pyspark import TaskContext
 
-    encoders = worker_cache("token encoders")
+    encoders = worker_cache(ENCODERS)
     if tokenizer not in encoders:
         encoders[tokenizer] = PieceEncoder(tokenizer)
     encoder = encoders[tokenizer]
