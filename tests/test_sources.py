@@ -240,6 +240,23 @@ def test_lost_attempts_are_not_seen(spark, tmp_path):
     assert len(shard_files(tmp_path / "a")) == 1
 
 
+def test_tasks_grow_with_the_bytes_and_not_with_the_ranges(tmp_path):
+    """Many small shards cut into many ranges go to few tasks, which read each sample once."""
+    for i in range(100):
+        write_tar(tmp_path / f"{i:03d}.tar", [sample(10 * i + j, f"c {i} {j}", 700) for j in range(10)])
+    options = {"path": str(tmp_path), "split_bytes": "2048", "columns": "json"}
+    reader = tarshards.TarShardReader(options, tarshards.TarShards(options).schema())
+    parts = reader.partitions()
+    n = len(tarshards.ranges_of(tarshards.find_shards(str(tmp_path)), 2048))
+    assert n > 800 and tarshards.LEAST_TASKS <= len(parts) <= 2 * tarshards.LEAST_TASKS
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert [r["key"] for r in rows] == [f"{i:05d}" for i in range(1000)] and not any(r["error"] for r in rows)
+    size = 1 << 20
+    tasks = tarshards.tasks_of([tarshards.ShardRange(f"{i // 4}", i % 4 * size, (i % 4 + 1) * size, i % 8 < 4) for i in range(20_000)])
+    assert max(sum(r.end - r.start for r in t.ranges) for t in tasks) <= tarshards.TASK_BYTES
+    assert len(tasks) == 20_000 * size // tarshards.TASK_BYTES + 1
+
+
 def test_stream_of_shards_equals_batch_and_reads_none_twice(spark, tmp_path):
     folder, log, out, state = (f"{tmp_path}/{n}" for n in ("in", "log", "out", "state"))
     os.mkdir(folder)

@@ -2,7 +2,7 @@
 
 A sample is a run of members that share a key: the member name up to the first
 dot of its last part. Every shard is read by at least one task, shards over
-``split_bytes`` by several.
+``split_bytes`` by several. Where that makes many small ranges, a task reads several, and neighbours as one.
 
 Shards written here are listed in the folder's manifest, with marks: places where a sample begins, some
 megabytes apart. Such shards are cut at marks. Others are cut anywhere, and a task finds
@@ -48,6 +48,9 @@ from vlprep.session import qualified, small
 BLOCK = tarfile.BLOCKSIZE
 TEXT_MEMBERS = ("json", "txt", "cls")
 SPLIT_BYTES = 512 << 20
+#: So many ranges get a task each. Of more, as many go to a task as this leaves tasks, and as have so many bytes.
+LEAST_TASKS = 64
+TASK_BYTES = 64 << 20
 #: Least distance of two marks of a shard.
 MARK_BYTES = 16 << 20
 ROWS_PER_ARROW_BATCH = 256
@@ -149,6 +152,31 @@ def ranges_of(shards: list[Shard], split_bytes: int) -> list[ShardRange]:
     return parts
 
 
+@dataclass
+class ShardRanges(InputPartition):
+    ranges: list[ShardRange]
+
+
+def tasks_of(ranges: list[ShardRange]) -> list[InputPartition]:
+    """Ranges as they are dealt out to tasks, in order. Their number grows with the bytes to read, not with that of the ranges."""
+    if len(ranges) <= LEAST_TASKS:
+        return ranges
+    most = min(TASK_BYTES, sum(r.end - r.start for r in ranges) // LEAST_TASKS)
+    tasks, held = [], 0
+    for r in ranges:
+        held += r.end - r.start
+        if not tasks or held > most:
+            tasks.append(ShardRanges([r]))
+            held = r.end - r.start
+            continue
+        own = tasks[-1].ranges
+        if (own[-1].path, own[-1].end, own[-1].marked) == (r.path, r.start, r.marked):
+            own[-1] = ShardRange(r.path, own[-1].start, r.end, r.marked)
+        else:
+            own.append(r)
+    return tasks
+
+
 def _step(info: tarfile.TarInfo) -> int:
     return BLOCK + -(-info.size // BLOCK) * BLOCK
 
@@ -326,7 +354,7 @@ class TarShardReader(DataSourceReader):
         shards = find_shards(self.pattern)
         if not shards:
             raise ValueError(f"no shards match {self.pattern!r}")
-        return ranges_of(shards, self.split_bytes)
+        return tasks_of(ranges_of(shards, self.split_bytes))
 
     def _row(self, path: str, key, sample: dict, error) -> dict:
         row = {"shard": path, "key": key, "error": error}
@@ -335,7 +363,11 @@ class TarShardReader(DataSourceReader):
             row[name] = value.decode("utf-8", "replace") if value is not None and name in TEXT_MEMBERS else value
         return row
 
-    def read(self, partition: ShardRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        for part in partition.ranges if isinstance(partition, ShardRanges) else [partition]:
+            yield from self._read_range(part)
+
+    def _read_range(self, partition: ShardRange) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([(n, pa.binary() if is_binary else pa.string()) for n, is_binary in self.fields])
         files = _filesystem(self.pattern)[0]
         rows, held = [], 0
@@ -413,9 +445,9 @@ class TarShardStreamReader(DataSourceStreamReader):
             if entry is None:
                 raise ValueError(f"the log {self.log!r} lacks admission {n}")
             parts += ranges_of(entry, self.reader.split_bytes)
-        return parts
+        return tasks_of(parts)
 
-    def read(self, partition: ShardRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         return self.reader.read(partition)
 
 
