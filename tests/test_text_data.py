@@ -6,6 +6,7 @@ from vlprep.config import PRETRAIN
 from vlprep.functions import text
 from vlprep.operators import batching, dialogue, filters, metrics, tokens
 from vlprep.plans import captions, dialogues
+from vlprep.session import cut
 
 PROMPTS = ["Say what you see.", "What is this?"]
 
@@ -100,6 +101,22 @@ def test_long_lists_by_join(spark, monkeypatch):
     assert {r.id: r.ids for r in out.collect()} == want
 
 
+def test_join_gives_python_few_bytes_at_a_time(spark, monkeypatch):
+    """Nothing but the lookup of the head runs in Python, at some MB a batch; repeated rows are encoded alike."""
+    monkeypatch.setattr(tokens, "BROADCAST_ROWS", 3)
+    sizes = []
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    monkeypatch.setattr(tokens, "cut", lambda df: sizes.append(int(spark.conf.get(name))) or cut(df))
+    before = spark.conf.get(name)
+    vocab = spark.createDataFrame([(f"w{i}", i) for i in range(50)], "word string, token_id long")
+    rows = [(i // 2, [f"w{i // 2 + j}" for j in range(9)]) for i in range(80)]
+    out = tokens.encode(spark.createDataFrame(rows, "id long, w array<string>"), "w", vocab, -1, "id", "join")
+    assert sizes and sizes[-1] <= 4 << 20 and spark.conf.get(name) == before
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.id, r.ids) for r in out.collect())
+    assert got == [(i, [int(w[1:]) if int(w[1:]) < 50 else -1 for w in ws]) for i, ws in rows]
+
+
 def test_lookup_keeps_sliced_and_null_rows_apart(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", text.words(F.col("text")).alias("w"))
     holes = docs.withColumn("w", F.when(F.col("doc_id") % 3 != 0, F.col("w")))

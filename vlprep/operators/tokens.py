@@ -15,7 +15,7 @@ from vlprep.config import BROADCAST_ROWS, SYSTEM_PROMPT, WORD_PATTERN
 from vlprep.functions.text import has_text, message, pick_prompt, render_chat, system_message, words
 from vlprep.operators.filters import filter_captions
 from vlprep.operators.ranking import name_index, nth_smallest, row_count
-from vlprep.session import cut
+from vlprep.session import arrow_bytes, cut
 
 
 def word_counts(df: DataFrame, text: str, pattern: str = WORD_PATTERN) -> DataFrame:
@@ -116,7 +116,9 @@ def _encode_join(df: DataFrame, tokens: str, vocab: DataFrame, unknown_id: int,
     tail = vocab.filter(F.col("token_id") >= BROADCAST_ROWS)
     if len(head) > BROADCAST_ROWS:
         head, tail = head[:0], vocab
-    found = cut(df.withColumn("_ids", _ids_of(df, tokens, head, None)))
+    # the job runs in here, so that Python gets a bounded number of bytes at a time
+    with arrow_bytes(df.sparkSession):
+        found = cut(df.withColumn("_ids", _ids_of(df, tokens, head, None)))
     each = found.select(row_id, "_ids", F.posexplode(tokens).alias("_at", "word")).filter(F.get("_ids", F.col("_at")).isNull())
     rest = may_hold(each.filter(F.col("word").isNotNull()).select(row_id, "_at", "word"), tail)
     # one lookup per distinct word and row
@@ -124,16 +126,15 @@ def _encode_join(df: DataFrame, tokens: str, vocab: DataFrame, unknown_id: int,
     known = asked.join(tail.select("word", F.col("token_id").cast("int").alias("_id")), "word").select(row_id, F.explode("_ats").alias("_at"), "_id")
     more = known.groupBy(row_id).agg(F.collect_list(F.struct("_at", "_id")).alias("_more")).select(row_id, "_more._at", "_more._id")
 
-    @F.arrow_udf("array<int>")
-    def filled(ids: pa.Array, at: pa.Array, found_ids: pa.Array) -> pa.Array:
-        lengths = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(lengths)
-        flat = pc.fill_null(ids.flatten(), unknown_id).to_numpy(zero_copy_only=False).copy()
-        counts = pc.fill_null(pc.list_value_length(at), 0).to_numpy(zero_copy_only=False)
-        flat[np.repeat(ends - lengths, counts) + at.flatten().to_numpy(zero_copy_only=False)] = found_ids.flatten().to_numpy(zero_copy_only=False)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat, pa.int32()), mask=pc.is_null(ids))
-
-    return found.join(more, row_id, "left").withColumn(out, filled("_ids", "_at", "_id")).drop("_ids", "_at", "_id")
+    # ids in place order, a word's null before the id found for it: the last of a place stays, and nulls left are unknown
+    ids = F.transform("_ids", lambda x, i: F.struct(i.alias("_at"), x.alias("_id")))
+    own = F.filter(F.arrays_zip("_at", "_id"), lambda x: (x["_at"] < F.size("_ids")) & F.get("_ids", x["_at"]).isNull())
+    laid = F.array_sort(F.concat(ids, own))
+    last = lambda x, i: ~F.get(F.col("_laid"), i + 1)["_at"].eqNullSafe(x["_at"])
+    merged = F.transform(F.filter("_laid", last), lambda x: F.coalesce(x["_id"], F.lit(unknown_id)))
+    plain = F.transform("_ids", lambda x: F.coalesce(x, F.lit(unknown_id)))
+    joined = found.join(more, row_id, "left").withColumn("_laid", F.when(F.col("_at").isNotNull(), laid))
+    return joined.withColumn(out, F.when(F.col("_laid").isNull(), plain).otherwise(merged)).drop("_ids", "_at", "_id", "_laid")
 
 
 def caption_tokens(df: DataFrame, text: str, pattern: str = WORD_PATTERN, out: str = "tokens") -> DataFrame:

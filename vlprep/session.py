@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +55,18 @@ def qualified(spark: SparkSession, path: str) -> str:
     return f"{default.rstrip('/')}/{path.lstrip('/')}"
 
 
+@contextmanager
+def arrow_bytes(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
+    """Jobs started inside give Python about ``size`` bytes of rows at a time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once, so that later passes reread it."""
     shared_dir(df.sparkSession)
