@@ -2,6 +2,8 @@
 
 ``run`` applies them to ``documents``, and writes the result of each as Parquet, which
 the next one reads. Every stage but the last returns the columns of its input.
+The first and third start the jobs that judge texts in Python themselves, some MB at a
+time, and return what is left without the ids and texts found.
 Stages take null, empty, repeated and additional values as the operators do;
 columns beyond ``doc_id``, ``text``, ``lang`` and ``source`` are carried along whatever their names.
 """
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 import vlprep
 from vlprep.llm import decontam, langid, mixing, neardup, tokenfile
-from vlprep.llm.common import read_table, small, stored
+from vlprep.llm.common import arrow_batches, read_table, small, stored
 from vlprep.llm.queries import tokenizer_path
 from vlprep.session import run_dir
 
@@ -26,6 +28,8 @@ cloudpickle.register_pickle_by_value(vlprep)
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 NEEDED = ("doc_id", "text", "lang", "source")
+#: Most rows that Python gets at a time.
+ROWS = 10_000
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -33,14 +37,27 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.toDF(*[c if c in NEEDED else f"carried_{i}" for i, c in enumerate(docs.columns)])
 
 
+def _hashed(plain: DataFrame) -> DataFrame:
+    return plain.withColumn("text_hash", F.xxhash64(F.col("text").cast("string")))
+
+
+def _without(hashed: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """Rows of ``hashed`` whose id and text are not those of a row of ``found``, which is stored."""
+    gone = stored(found.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct(), name)
+    return hashed.join(small(gone), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left_anti")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go: no text, no letter, or a guess that is more likely wrong than right.
 
     Learns from rows whose crc32(doc_id) mod 4 is not 2, as the registered query does.
     """
     plain = _plain(docs)
-    model = langid.train(plain.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
-    return langid.identify(plain, model, plain.columns).filter("not rejected").select(*plain.columns).toDF(*docs.columns)
+    hashed = _hashed(plain)
+    with arrow_batches(spark, ROWS):
+        model = langid.train(plain.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
+        kept = _without(hashed, langid.identify(hashed, model, ["doc_id", "text_hash"]).filter("rejected"), "rejected")
+    return kept.select(*plain.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +72,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = found.filter("kept and group_id is not null").groupBy("doc_id", "group_id").agg(F.min("text_hash").alias("_first"), F.max("text_hash").alias("_last")).filter("_first != _last")
     extra = found.join(small(stored(first.select("doc_id", "group_id", "_first"), "same-ids")), ["doc_id", "group_id"]).filter("text_hash != _first")
     gone = stored(found.filter("not kept").select(*row).unionByName(extra.select(*row)).distinct(), "gone")
-    hashed = plain.withColumn("text_hash", F.xxhash64(F.col("text").cast("string")))
+    hashed = _hashed(plain)
     kept = hashed.join(small(gone), row, "left_anti").select(*hashed.columns)
     again = stored(found.filter("kept and doc_id is not null").groupBy(*row).count().filter(F.col("count") > 1).select(*row), "repeated")
     once = kept.join(small(again), row, "left_anti").select(*plain.columns)
@@ -66,8 +83,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a twentieth or more of their words in benchmark passages go."""
     plain = _plain(docs)
-    found = decontam.decontaminate(plain, read_table(spark, sf_dir, "benchmark"), keep=plain.columns)
-    return found.filter(~decontam.contaminated()).select(*plain.columns).toDF(*docs.columns)
+    hashed = _hashed(plain)
+    with arrow_batches(spark, ROWS):
+        found = decontam.decontaminate(hashed, read_table(spark, sf_dir, "benchmark"), keep=["text_hash"])
+        kept = _without(hashed, found.filter(decontam.contaminated()), "contaminated")
+    return kept.select(*plain.columns).toDF(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import __spark_entry__ as spark_entry
 import corpus_pipeline as cp
 from test_decontam import brute as contaminated
 from test_neardup import brute as duplicates
+from vlprep.llm import decontam, langid
 from vlprep.llm.queries import QUERIES, SQL, tokenizer_path
 
 
@@ -106,3 +107,32 @@ def test_odd_rows_pass_every_stage(spark, docs_of, sf):
     empty = docs_of([]).limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, empty, sf).collect() == []
+
+
+def test_python_gets_some_mb_of_texts_at_a_time(spark, docs_of, sf, monkeypatch):
+    def watched(inner):
+        def rows(batches, **given):
+            def few():
+                for batch in batches:
+                    if batch.nbytes > 8 << 20:
+                        raise ValueError(f"{batch.nbytes} bytes")
+                    yield batch
+
+            yield from inner(few(), **given)
+
+        return rows
+
+    for module, name in ((langid, "_guess_rows"), (decontam, "_document_rows"), (decontam, "_verdict_rows")):
+        monkeypatch.setattr(module, name, watched(getattr(module, name)))
+    docs = docs_of([(i, f"number {i} " + "some words of a long text " * 400, "en") for i in range(1200)], partitions=1)
+    for stage in (cp.language_id, cp.decontaminate):
+        assert stage(spark, docs, sf).count() == 1200
+
+
+def test_each_text_of_an_id_is_judged(spark, docs_of, sf):
+    bad = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    rows = [(1, bad), (1, "the same id on other words"), (None, bad), (None, "no id at all on these words"), (2, bad), (2, bad), (3, None)]
+    kept = cp.decontaminate(spark, docs_of(rows), sf).collect()
+    assert sorted(r["text"] or "" for r in kept) == ["", "no id at all on these words", "the same id on other words"]
+    kept = cp.language_id(spark, docs_of([(1, "7 7"), (1, "the same id on other words", "en"), (None, "..."), (None, "no id on these words", "en"), (None, None)]), sf).collect()
+    assert sorted(r["text"] for r in kept) == ["no id on these words", "the same id on other words"]

@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vlprep.llm.common import Words, grams, renamed, small, steps, stored
+from vlprep.llm.common import Words, arrow_batches, grams, renamed, small, steps, stored
 
 SPAN = 13
 GRAM = 7
 WINDOW = SPAN - GRAM + 1
 #: Ways to lay an item on a document that are tried one by one.
 MOST_SHIFTS = 64
+#: Most rows that Python gets at a time.
+ROWS = 10_000
 
 #: Bytes of words: 0-9, a-z (A-Z are lowered before) and every byte of a non-ASCII character.
 WORD_BYTES = np.zeros(256, bool)
@@ -128,10 +130,11 @@ def _spans(own: np.ndarray, item: np.ndarray, ways: list[dict]) -> list[tuple[in
     return [span for shift in sorted(set().union(*ranges)) for span in _extended(own, item, shift)]
 
 
-def _verdict_rows(batches):
-    """Columns: text, hits, and those to keep."""
-    for batch, texts in steps(batches, 0):
-        hits = batch.column(1)
+def _verdict_rows(batches, text: str):
+    """Columns: ``hits``, ``text``, and those to keep, c0, c1 and so on, of which ``text`` may be one."""
+    for batch, texts in steps(batches, text):
+        hits = batch.column("hits")
+        kept = [c for c in batch.schema.names if c.startswith("c")]
         rows = []
         if hits.null_count < len(hits):
             words = Words(texts, WORD_BYTES)
@@ -154,9 +157,9 @@ def _verdict_rows(batches):
                 hit = sum(s["end"] - s["begin"] for s in spans)
             rows.append((n, hit, items, spans))
         n, hit, items, spans = zip(*rows)
-        kind = batch.schema.field(1).type.value_type.field("item_id").type
+        kind = batch.schema.field("hits").type.value_type.field("item_id").type
         found = [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(kind)), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))]
-        yield pa.RecordBatch.from_arrays([*batch.columns[2:], *found], [*batch.schema.names[2:], *RESULTS])
+        yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *found], [*kept, *RESULTS])
 
 
 RESULTS = ("n_words", "n_hit", "items", "spans")
@@ -194,12 +197,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("item_id", "words", "ways")).alias("hits"))
     )
-    hits = stored(hits.withColumnRenamed("doc_id", "_doc"), "hits")
+    with arrow_batches(docs.sparkSession, ROWS):
+        hits = stored(hits.withColumnRenamed("doc_id", "_doc"), "hits")
     source, kept, names = renamed(docs, columns, RESULTS, F.col("doc_id"), F.col("text").cast("string"))
     joined = source.join(small(hits), F.col("l0").eqNullSafe(F.col("_doc")), "left")
-    joined = joined.select("l1", "hits", *[c for c in source.columns if c.startswith("c")])
+    text = "c1" if dict(docs.dtypes)["text"] == "string" else "l1"  # Python gets each text once where it can
+    joined = joined.select("hits", *[c for c in source.columns if c == text or c.startswith("c")])
     schema = f"{kept}n_words long, n_hit long, items array<{kind}>, spans array<struct<begin: long, end: long>>"
-    return joined.mapInArrow(_verdict_rows, schema).withColumn("items", F.array_distinct("items")).toDF(*names, *RESULTS)
+    return joined.mapInArrow(partial(_verdict_rows, text=text), schema).withColumn("items", F.array_distinct("items")).toDF(*names, *RESULTS)
 
 
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
